@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featuremart.plans.members import AGE_COLUMNS
+
 # Fixed values of the binding (they must equal the oracle's).
 BASE_DAY = "2024-01-01"
 KEYWORD = "kw"
@@ -22,8 +24,8 @@ SEGMENT_LEVEL = {
     "HOUSEHOLD": "-",
 }
 UNKNOWN_LEVEL = "999"
-# Age labels of the member job, in the order the job lists them; nation % 10 picks one, 9 -> unknown.
-AGE_LABELS = ["40岁-49岁", "19岁-24岁", "18岁以下", "-", "35岁-39岁", "50岁-59岁", "34岁-39岁", "25岁-29岁", "60岁以上"]
+# The member job's nine age labels, in its order; nation % 10 picks one, 9 -> unknown.
+AGE_LABELS = [label for _, label in AGE_COLUMNS]
 UNKNOWN_AGE = "unknown"
 GENDERS = ["F", "M", "N"]
 
@@ -172,9 +174,11 @@ def fx_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, code in SEGMENT_LEVEL.items():
         lvl = lvl.when(seg == name, code)
     slot = F.col("c_nationkey") % 10
-    age = F.coalesce(F.element_at(F.array(*[F.lit(a) for a in AGE_LABELS]), (slot + 1).cast("int")),
-                     F.lit(UNKNOWN_AGE))
-    gender = F.element_at(F.array(*[F.lit(g) for g in GENDERS]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    age = F.lit(UNKNOWN_AGE)
+    for i in reversed(range(len(AGE_LABELS))):
+        age = F.when(slot == i, AGE_LABELS[i]).otherwise(age)
+    g = F.col("c_custkey") % 3
+    gender = F.when(g == 0, GENDERS[0]).when(g == 1, GENDERS[1]).otherwise(GENDERS[2])
     return cu.select(_txt(F.col("c_custkey")).alias("member_id"), lvl.alias("mem_lvl"),
                      age.alias("age_range"), gender.alias("gender"))
 
