@@ -49,46 +49,46 @@ def letters_total(df: DataFrame, col: str) -> Column:
 
 
 def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median",
-              buckets: int = 256, accuracy: int = 100_000) -> DataFrame:
+              accuracy: int = 10_000) -> DataFrame:
     """Exact median of ``col`` per group (U7): odd count -> middle value, even -> mean of the two
     middle values (as double), NULLs skipped; groups with no non-NULL value are absent.
 
-    Plan, all distributed:
-      1. distinct values with counts per group (partial aggregation shrinks repeated values);
-      2. approximate value quantiles of the distinct values per group (bounded sketch) give
-         ``buckets`` value ranges; exact per-bucket counts give each bucket's rank offset;
-      3. only the (at most two) buckets holding the middle ranks are ranked exactly, with a window
-         partitioned by (group, bucket): a hot group is split into ``buckets`` independent tasks.
-    The sketch only places bucket borders; every count and the chosen values are exact.
+    Plan, all distributed and with partial aggregation before every shuffle:
+      1. a bounded quantile sketch per group (``percentile_approx``) gives values ``lo`` / ``hi``
+         a few rank-error widths below / above the middle;
+      2. distinct values with counts per group, tagged against (lo, hi) with two comparisons;
+         exact counts give the rank of ``lo`` and check that the middle ranks fall in [lo, hi];
+      3. only the values in [lo, hi] (about ``8 / accuracy`` of a group) are ranked exactly in a
+         window per group. A group whose check fails is ranked over all its values instead, so
+         the result is exact whatever the sketch returns.
     """
     require_median_input(df, col)
     g = list(group)
     require_columns(df, [*g, col], "median")
     is_int = isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     x = F.col(col).cast("long" if is_int else "double")
-    vals = (df.where(F.col(col).isNotNull()).select(*g, x.alias("__x"))
-            .groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c")))
-    probs = [i / buckets for i in range(1, buckets)]
-    borders = vals.groupBy(*g).agg(
-        F.percentile_approx("__x", probs, accuracy).alias("__b"),
-        F.sum("__c").alias("__n"))
-    keyed = vals.join(borders, g, "inner").withColumn(
-        "__bk", F.size(F.filter("__b", lambda b: b < F.col("__x"))))
-    per_bucket = keyed.groupBy(*g, "__bk").agg(F.sum("__c").alias("__bc"), F.first("__n").alias("__n"))
-    wb = Window.partitionBy(*g).orderBy("__bk")  # at most `buckets` rows per group
-    per_bucket = per_bucket.withColumn(
-        "__off", F.coalesce(F.sum("__bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lo_rank = F.floor((F.col("__n") - 1) / 2)
-    hi_rank = F.floor(F.col("__n") / 2)
-    inside = lambda r: (F.col("__off") <= r) & (r < F.col("__off") + F.col("__bc"))
-    targets = per_bucket.where(inside(lo_rank) | inside(hi_rank)).select(
-        *g, "__bk", "__off", lo_rank.alias("__lo"), hi_rank.alias("__hi"))
-    cand = keyed.select(*g, "__bk", "__x", "__c").join(targets, [*g, "__bk"], "inner")
-    wv = Window.partitionBy(*g, "__bk").orderBy("__x")
-    cand = cand.withColumn("__end", F.col("__off") + F.sum("__c").over(wv))  # exclusive end rank
-    cand = cand.withColumn("__start", F.col("__end") - F.col("__c"))
-    covers = lambda r: (F.col("__start") <= r) & (r < F.col("__end"))
+    rows = df.where(F.col(col).isNotNull()).select(*g, x.alias("__x"))
+    d = 4.0 / accuracy
+    sketch = rows.groupBy(*g).agg(
+        F.percentile_approx("__x", [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias("__b"))
+    vals = rows.groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    tagged = (vals.join(sketch, g) if g else vals.crossJoin(sketch)).select(
+        *g, "__x", "__c", F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"))
+    inside = F.col("__x").between(F.col("__lo"), F.col("__hi"))
+    stats = tagged.groupBy(*g).agg(
+        F.sum("__c").alias("__n"),
+        F.coalesce(F.sum(F.when(F.col("__x") < F.col("__lo"), F.col("__c"))), F.lit(0)).alias("__below"),
+        F.coalesce(F.sum(F.when(inside, F.col("__c"))), F.lit(0)).alias("__mid"))
+    stats = stats.select(*g, "__n", "__below", F.floor((F.col("__n") - 1) / 2).alias("__klo"),
+                         F.floor(F.col("__n") / 2).alias("__khi"), "__mid")
+    ok = (F.col("__below") <= F.col("__klo")) & (F.col("__below") + F.col("__mid") > F.col("__khi"))
+    stats = stats.select(*g, "__klo", "__khi", F.when(ok, F.col("__below")).otherwise(F.lit(0)).alias("__base"),
+                         ok.alias("__ok"))
+    cand = (tagged.join(stats, g) if g else tagged.crossJoin(stats)).where(~F.col("__ok") | inside)
+    w = Window.partitionBy(*g).orderBy("__x")
+    cand = cand.withColumn("__end", F.col("__base") + F.sum("__c").over(w))  # exclusive end rank
+    covers = lambda r: (F.col("__end") - F.col("__c") <= r) & (r < F.col("__end"))
     picked = cand.groupBy(*g).agg(
-        F.max(F.when(covers(F.col("__lo")), F.col("__x"))).alias("__vlo"),
-        F.max(F.when(covers(F.col("__hi")), F.col("__x"))).alias("__vhi"))
+        F.max(F.when(covers(F.col("__klo")), F.col("__x"))).alias("__vlo"),
+        F.max(F.when(covers(F.col("__khi")), F.col("__x"))).alias("__vhi"))
     return picked.select(*g, ((F.col("__vlo").cast("double") + F.col("__vhi").cast("double")) / 2).alias(out))

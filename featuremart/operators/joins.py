@@ -7,20 +7,30 @@ AQE may still convert or split it at runtime from real sizes.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_SIZED: "weakref.WeakKeyDictionary[DataFrame, tuple[int, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The count is one small job over the dimension (pruned to the columns the caller selected).
-    Call it once per dimension and reuse the result.
+    The check is one small job that stops after ``max_rows + 1`` rows of the dimension (pruned to
+    the columns the caller selected); its outcome is remembered for the same DataFrame.
     """
     if max_rows <= 0:
         return df
+    hit = _SIZED.get(df)
+    if hit is not None and hit[0] == max_rows:
+        return hit[1]
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    out = F.broadcast(df) if n <= max_rows else df
+    _SIZED[df] = (max_rows, out)
+    return out
 
 
 def restrict_to(df: DataFrame, keys: DataFrame, on: str, key_col: str | None = None) -> DataFrame:

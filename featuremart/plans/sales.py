@@ -61,10 +61,35 @@ def paying_members(base: DataFrame) -> DataFrame:
 
 
 def sales_features(t: SourceTables, day: str, base: DataFrame | None = None) -> DataFrame:
-    """The four measure tables combined by stack-and-sum (one shuffle, NULL keys kept together).
-
-    A NULL price stays NULL unless another measure table holds the key, where SUM turns it into
-    0 exactly as the reference's union does."""
+    """The four measure tables combined as the reference's UNION ALL + SUM (stack-and-sum).
+
+    The three measure tables that need no join (price and quantity, refunds, paying members) are
+    computed in one grouped pass over the day's order lines; the promotion table (joined to the
+    deals) is stacked onto it. Two scans of the base instead of four, same result: keys come
+    from the full base in both forms; refund quantity and member count default to 0; and a NULL
+    price (zero quantity) becomes 0 exactly when another measure table holds the key, because
+    SUM skips the NULL and adds that table's 0."""
+    base = sales_base(t, day) if base is None else base
+    refunded = day_key_by_parsing(F.col("rfd_time")) == F.col("statis_date")
+    paid = day_key_from_text(F.col("pay_time")) == F.col("statis_date")
+    one_pass = base.groupBy(*KEYS).agg(
+        F.sum("tot_amnt").alias("__amnt"), F.sum("shld_amnt").alias("__shld"), F.sum("tot_qty").alias("sale_cnt"),
+        F.sum(F.when(refunded, F.col("tot_qty"))).alias("goods_rejected_num"),
+        F.count_distinct(F.when(paid, F.col("member_id"))).alias("sale_member_num"),
+        F.coalesce(F.max(refunded), F.lit(False)).alias("__has_refund"),
+        F.coalesce(F.max(paid), F.lit(False)).alias("__has_paid"))
+    other_table = F.col("__has_refund") | F.col("__has_paid")
+    price = lambda amount: F.when(
+        other_table, F.coalesce(safe_ratio(F.col(amount), F.col("sale_cnt")), F.lit(0.0))
+    ).otherwise(safe_ratio(F.col(amount), F.col("sale_cnt")))
+    one_pass = one_pass.select(
+        *KEYS, "sale_cnt", F.coalesce("goods_rejected_num", F.lit(0).cast("bigint")).alias("goods_rejected_num"),
+        "sale_member_num", price("__amnt").alias("gds_price"), price("__shld").alias("sale_price"))
+    return stack_and_sum([one_pass, promotion_sales(base, t, day)], KEYS, MEASURES)
+
+
+def sales_features_stacked(t: SourceTables, day: str, base: DataFrame | None = None) -> DataFrame:
+    """N1 literally as four measure tables stacked and summed (reference form, for checks)."""
     base = sales_base(t, day) if base is None else base
     frames = [price_and_quantity(base), promotion_sales(base, t, day), rejected_quantity(base), paying_members(base)]
     return stack_and_sum(frames, KEYS, MEASURES)

@@ -1,47 +1,75 @@
 """The set of source tables every feature job reads.
 
-In production each attribute is a catalog table (``spark.table``) partitioned by ``statis_date``;
-for tests the same shapes are derived from the TPC-H-like test data (``testdata.bind``).
-Column names follow the reference jobs, lower-cased.
+In production each table is a catalog table (``spark.table``) partitioned by ``statis_date``;
+for tests the same shapes are derived from the TPC-H-like test data (``testdata``). Tables are
+resolved lazily, so a job only plans the sources it reads. Column names follow the reference
+jobs, lower-cased.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from featuremart.operators.joins import bounded_broadcast
 
+TABLES = {
+    "order": "order lines: statis_date, gds_id, city_cd, chnl_cd, tot_qty, oms_order_item_id, busi_tp_id, rfd_time, "
+             "member_id, tot_amnt, shld_amnt, order_time, pay_time, visit_id",
+    "goods": "selected products: gds_cd",
+    "deal": "deal types: statis_date, order_item_id, promotion_num, deal_type",
+    "cust_visit": "visits: statis_date, gds_id, city_cd, visitor_id, visit_id, busi_tp_id, pv_qty, oos_pv_qty, "
+                  "one_pv_puv_flag",
+    "web_visit": "web page views: statis_date, pv_id, visitor_id, visit_id, city_cd, gds_id, busi_tp_id, "
+                 "from_key_word",
+    "app_visit": "app page views: same columns as web_visit",
+    "web_click": "web clicks: statis_date, pv_id, prmtr_id_1, prmtr_id_2",
+    "app_click": "app clicks: statis_date, trmnl_tp_id, clnt_id, visit_id, visit_order, click_num",
+    "member": "members (unpartitioned): member_id, mem_lvl, age_range, gender",
+}
+
 
-@dataclass
 class SourceTables:
-    order: DataFrame        # order lines: statis_date, gds_id, city_cd, chnl_cd, tot_qty, ...
-    goods: DataFrame        # selected products: gds_cd
-    deal: DataFrame         # deal types: statis_date, order_item_id, promotion_num, deal_type
-    cust_visit: DataFrame   # visits: statis_date, gds_id, city_cd, visitor_id, visit_id, ...
-    web_visit: DataFrame    # web page views: statis_date, pv_id, visitor_id, visit_id, city_cd, gds_id, ...
-    app_visit: DataFrame    # app page views: same columns
-    web_click: DataFrame    # web clicks: statis_date, pv_id, prmtr_id_1, prmtr_id_2
-    app_click: DataFrame    # app clicks: statis_date, trmnl_tp_id, clnt_id, visit_id, visit_order, click_num
-    member: DataFrame       # members (unpartitioned): member_id, mem_lvl, age_range, gender
-    # Largest product list (rows) that is shipped to every task instead of shuffling the fact side.
-    goods_broadcast_rows: int = 5_000_000
-    _goods_side: DataFrame | None = field(default=None, repr=False)
+    """Lazily resolved source tables; ``SourceTables(order=df, ...)`` or with loaders."""
+
+    def __init__(self, loaders: dict[str, Callable[[], DataFrame]] | None = None,
+                 goods_broadcast_rows: int = 5_000_000, **frames: DataFrame):
+        unknown = set(frames) | set(loaders or {})
+        unknown -= set(TABLES)
+        if unknown:
+            raise ValueError(f"unknown source tables {sorted(unknown)}")
+        self._loaders = dict(loaders or {})
+        self._frames = dict(frames)
+        # Largest product list (rows) shipped to every task instead of shuffling the fact side.
+        self.goods_broadcast_rows = goods_broadcast_rows
+        self._goods_side: DataFrame | None = None
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in TABLES:
+            raise AttributeError(name)
+        if name not in self._frames:
+            if name not in self._loaders:
+                raise ValueError(f"source table {name!r} is not bound")
+            self._frames[name] = self._loaders[name]()
+        return self._frames[name]
+
+    def replace(self, **frames: DataFrame) -> "SourceTables":
+        loaders = {k: (lambda k=k: getattr(self, k)) for k in TABLES if k not in frames}
+        return SourceTables(loaders, self.goods_broadcast_rows, **frames)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, names: dict[str, str], **kw) -> "SourceTables":
-        return cls(**{k: spark.table(v) for k, v in names.items()}, **kw)
+        return cls({k: (lambda v=v: spark.table(v)) for k, v in names.items()}, **kw)
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "SourceTables":
         from featuremart.sources import testdata
-        return cls(**testdata.bind(spark, sf_dir), **kw)
+        return cls(testdata.loaders(spark, sf_dir), **kw)
 
     def goods_side(self) -> DataFrame:
         """Product keys for the semi joins (J1-J4), broadcast only when the row count is within
         ``goods_broadcast_rows``; otherwise a shuffled semi join. The size check runs once."""
         if self._goods_side is None:
-            keys = self.goods.select("gds_cd")
-            self._goods_side = bounded_broadcast(keys, self.goods_broadcast_rows)
+            self._goods_side = bounded_broadcast(self.goods, self.goods_broadcast_rows).select("gds_cd")
         return self._goods_side

@@ -30,11 +30,30 @@ UNKNOWN_AGE = "unknown"
 GENDERS = ["F", "M", "N"]
 
 
+def _cached(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Fixture DataFrames are pure functions of the read-only test files: build each plan once
+    per session (DataFrames are immutable, so sharing them is safe)."""
+    cache = spark.__dict__.setdefault("_featuremart_fixtures", {})
+    if key not in cache:
+        cache[key] = build()
+    return cache[key]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table, optionally pruned to ``cols``."""
+    df = _cached(spark, ("read", sf_dir, name), lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return df.select(*cols) if cols else df
 
 
+def fixture(fn):
+    """Decorator: cache a fixture builder ``fn(spark, sf_dir)`` per session and folder."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _cached(spark, (fn.__name__, sf_dir), lambda: fn(spark, sf_dir))
+    build.__name__ = fn.__name__
+    build.__doc__ = fn.__doc__
+    return build
+
+
 def _txt(c: Column) -> Column:
     return c.cast("string")
 
@@ -51,6 +70,7 @@ def _day_text(offset: Column, clock: str) -> Column:
     return F.concat(F.date_format(_day(offset), "yyyy-MM-dd"), F.lit(" " + clock))
 
 
+@fixture
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
               "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -58,12 +78,14 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(od, li.l_orderkey == od.o_orderkey)
 
 
+@fixture
 def fx_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part", "p_partkey", "p_size")
     return part.where((F.col("p_partkey") < 100) & (F.col("p_size") <= 30)).select(
         _txt(F.col("p_partkey")).alias("gds_cd"))
 
 
+@fixture
 def fx_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     n0 = F.col("o_orderkey") % 30
     line = F.col("l_linenumber")
@@ -86,6 +108,7 @@ def fx_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@fixture
 def fx_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
     n0 = F.col("o_orderkey") % 30
     return _order_lines(spark, sf_dir).select(
@@ -98,6 +121,7 @@ def fx_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+@fixture
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     et = F.col("event_type")
@@ -119,6 +143,7 @@ def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 VISIT_COLS = ["statis_date", "pv_id", "visitor_id", "visit_id", "city_cd", "gds_id", "busi_tp_id", "from_key_word"]
 
 
+@fixture
 def fx_cust_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visits(spark, sf_dir).select(
         "statis_date", "gds_id", "city_cd", "visitor_id", "visit_id", "busi_tp_id",
@@ -130,16 +155,19 @@ def _app_pv_id() -> Column:
                     F.col("visit_id"), F.lit("o"), _txt(F.col("event_id")))
 
 
+@fixture
 def fx_web_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (_visits(spark, sf_dir).where(F.col("event_id") % 2 == 0)
             .withColumn("pv_id", _txt(F.col("event_id"))).select(*VISIT_COLS))
 
 
+@fixture
 def fx_app_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (_visits(spark, sf_dir).where(F.col("event_id") % 2 == 1)
             .withColumn("pv_id", _app_pv_id()).select(*VISIT_COLS))
 
 
+@fixture
 def fx_web_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     et = F.col("event_type")
     p1 = (F.when(et == "click", "shoucang01").when(et == "purchase", "buy01").when(et == "signup", "shoucang02")
@@ -154,6 +182,7 @@ def fx_web_click(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.inline(F.array(pair(p1, p2), pair(F.lit("other"), F.lit("none")))))
 
 
+@fixture
 def fx_app_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     et = F.col("event_type")
     num = F.when(et == "click", "121316").when(et == "purchase", "121312").when(et == "error", "1210709").otherwise("0")
@@ -167,6 +196,7 @@ def fx_app_click(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.array(num, F.lit("0"))).alias("click_num"))
 
 
+@fixture
 def fx_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     seg = F.col("c_mktsegment")
@@ -183,23 +213,27 @@ def fx_member(spark: SparkSession, sf_dir: str) -> DataFrame:
                      age.alias("age_range"), gender.alias("gender"))
 
 
-def bind(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All source tables of the feature jobs, bound to the test data."""
-    return {
-        "order": fx_order(spark, sf_dir),
-        "goods": fx_goods(spark, sf_dir),
-        "deal": fx_deal(spark, sf_dir),
-        "cust_visit": fx_cust_visit(spark, sf_dir),
-        "web_visit": fx_web_visit(spark, sf_dir),
-        "app_visit": fx_app_visit(spark, sf_dir),
-        "web_click": fx_web_click(spark, sf_dir),
-        "app_click": fx_app_click(spark, sf_dir),
-        "member": fx_member(spark, sf_dir),
-    }
+BINDING = {
+    "order": fx_order,
+    "goods": fx_goods,
+    "deal": fx_deal,
+    "cust_visit": fx_cust_visit,
+    "web_visit": fx_web_visit,
+    "app_visit": fx_app_visit,
+    "web_click": fx_web_click,
+    "app_click": fx_app_click,
+    "member": fx_member,
+}
+
+
+def loaders(spark: SparkSession, sf_dir: str) -> dict:
+    """Source tables of the feature jobs bound to the test data, each built on first use."""
+    return {name: (lambda fn=fn: fn(spark, sf_dir)) for name, fn in BINDING.items()}
 
 
 # ---- inputs of the function examples -------------------------------------------------------------
 
+@fixture
 def fx_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score lists per order line: one list of two maps (quantity, line number) per lineitem row,
     named by its order. Summing the per-row totals by name gives the per-order total."""
@@ -210,6 +244,7 @@ def fx_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.create_map(F.lit("line"), F.col("l_linenumber"))).alias("score_list"))
 
 
+@fixture
 def fx_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type")
     slot = F.col("p_partkey") % 5
@@ -220,6 +255,7 @@ def fx_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", name.alias("full_name"))
 
 
+@fixture
 def fx_dau(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
     return ev.select(
@@ -229,6 +265,7 @@ def fx_dau(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("i"), _txt(F.col("user_id") * 3 + F.col("event_id") % 3)).alias("imei"))
 
 
+@fixture
 def fx_tb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for the ad-hoc client's table ``tb(a, b, c)``: empty codes where lineitem has
     return flag N / line status O."""

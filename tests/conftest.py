@@ -18,7 +18,11 @@ def spark():
     s.stop()
 
 
+def _norm(v):
+    return round(v, 6) if isinstance(v, float) else v
+
+
 def rows(df, *order):
-    """Collected rows as sorted tuples (order-insensitive compare)."""
-    out = [tuple(r) for r in df.collect()]
+    """Collected rows as sorted tuples (order-insensitive compare, doubles to 6 decimals)."""
+    out = [tuple(_norm(x) for x in r) for r in df.collect()]
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))

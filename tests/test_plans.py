@@ -32,6 +32,32 @@ def test_sales_union_form_equals_left_join_form(spark, t):
     assert rows(union.select(*cols)) == rows(left.select(*cols))
 
 
+def test_one_pass_sales_equals_four_stacked_tables(spark, t):
+    for day in (DAY, "20240103", "20240130"):
+        assert rows(sales.sales_features(t, day)) == rows(sales.sales_features_stacked(t, day))
+
+
+def test_one_pass_sales_null_price_rule(spark):
+    # zero quantity -> NULL price; it turns 0 only when another measure table holds the key
+    order = spark.createDataFrame([
+        ("20240115", "1", "c", "50", 0, "i1", "Z", None, "m1", 5.0, 4.0, "2024-01-14 10:00:00", "2024-01-14 11:00:00"),
+        ("20240115", "2", "c", "50", 0, "i2", "Z", None, "m2", 5.0, 4.0, "2024-01-14 10:00:00", "2024-01-15 11:00:00"),
+        ("20240115", "3", "c", "50", 0, "i3", "Z", "2024-01-15 12:00:00", "m3", 5.0, 4.0, "2024-01-15 10:00:00",
+         "-"),
+        ("20240115", "4", "c", "50", 0, "i4", "Z", "-", None, 5.0, 4.0, "2024-01-15 10:00:00", "2024-01-14"),
+    ], "statis_date string, gds_id string, city_cd string, chnl_cd string, tot_qty bigint, oms_order_item_id string, "
+       "busi_tp_id string, rfd_time string, member_id string, tot_amnt double, shld_amnt double, order_time string, "
+       "pay_time string")
+    goods = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "gds_cd string")
+    deal = spark.createDataFrame([("20240115", "i4", "P1", "02")], "statis_date string, order_item_id string, "
+                                 "promotion_num string, deal_type string")
+    tt = SourceTables(order=order, goods=goods, deal=deal)
+    got = {r.gds_id: (r.gds_price, r.goods_rejected_num, r.sale_member_num, r.sale_promotion_cnt)
+           for r in sales.sales_features(tt, DAY).collect()}
+    assert got == {"1": (None, 0, 0, 0), "2": (0.0, 0, 1, 0), "3": (0.0, 0, 0, 0), "4": (0.0, 0, 0, 1)}
+    assert rows(sales.sales_features(tt, DAY)) == rows(sales.sales_features_stacked(tt, DAY))
+
+
 def test_gather_keeps_sales_rows_at_channel_50(spark, t):
     n_sales = sales.sales_features(t, DAY).where("chnl_cd = '50'").count()
     wide = gather.feature_gather_for_day(t, DAY)
@@ -73,8 +99,7 @@ def test_app_click_key_with_null_part_never_joins(spark, t):
     clicks = spark.createDataFrame([(DAY, None, "c1v", "1_1", "o1", "121316"), (DAY, "1", "c1v", "1_1", "o1", "0")],
                                    "statis_date string, trmnl_tp_id string, clnt_id string, visit_id string, "
                                    "visit_order string, click_num string")
-    t2 = SourceTables(**{**{k: getattr(t, k) for k in ["order", "goods", "deal", "cust_visit", "web_visit",
-                                                         "app_visit", "web_click", "member"]}, "app_click": clicks})
+    t2 = t.replace(app_click=clicks)
     got = rows(clct_cart.app_click_flags(t2, DAY))
     assert got == [("1c1v1_1o1", 0, 0), (None, 1, 0)]
 
