@@ -34,7 +34,7 @@ class SourceTables:
     """Lazily resolved source tables; ``SourceTables(order=df, ...)`` or with loaders."""
 
     def __init__(self, loaders: dict[str, Callable[[], DataFrame]] | None = None,
-                 goods_broadcast_rows: int = 5_000_000, **frames: DataFrame):
+                 goods_broadcast_rows: int = 2_000_000, **frames: DataFrame):
         unknown = set(frames) | set(loaders or {})
         unknown -= set(TABLES)
         if unknown:

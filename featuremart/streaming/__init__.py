@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream processing: every job is a batch over one day partition (or a fixed
+date range), with no watermark, event-time window, stateful operator or late-data rule. The daily
+jobs run as batch plans (``featuremart.plans.daily``); re-running a day replaces its partition.
+"""
