@@ -12,8 +12,11 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from featuremart.session import build_session
-    s = build_session(master="local[*]", shuffle_partitions=8)
+    warehouse = tempfile.mkdtemp(prefix="fm-warehouse-", dir="/tmp")
+    s = build_session(master="local[*]", shuffle_partitions=8, extra={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
 

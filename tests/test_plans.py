@@ -132,3 +132,36 @@ def test_results_do_not_depend_on_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert len(ref) == 26
+
+
+def test_member_join_semantics_with_repeated_members(spark):
+    # buyers without a member row drop out; a repeated member row counts twice (inner join)
+    order = spark.createDataFrame([
+        ("20240115", "1", "c", "m1", "Z"), ("20240115", "1", "c", "m1", "Z"), ("20240115", "1", "c", "m2", "-"),
+        ("20240115", "1", "c", "m3", "Z"), ("20240115", "1", "c", "m4", "X"), ("20240114", "1", "c", "m5", "Z"),
+    ], "statis_date string, gds_id string, city_cd string, member_id string, busi_tp_id string")
+    member = spark.createDataFrame([
+        ("m1", "161000000100", "40岁-49岁", "F"), ("m2", "161000000130", "other", "M"),
+        ("m2", "161000000130", "other", "M"), ("m4", "-", "-", "N"), ("m5", "-", "-", "N"),
+    ], "member_id string, mem_lvl string, age_range string, gender string")
+    goods = spark.createDataFrame([("1",), ("1",)], "gds_cd string")
+    r = members.gds_member(SourceTables(order=order, member=member, goods=goods), DAY).collect()
+    assert len(r) == 1
+    r = r[0]
+    assert (r.members, r.new, r.v3, r.ar1, r.ar10, r.f, r.m) == (3, 1, 2, 1, 2, 1, 2)
+
+
+def test_visit_null_city_keeps_null_returning_count(spark):
+    cv = spark.createDataFrame([
+        ("20240115", "1", None, "v1", "s1", "Z-SHIP", 1, 0, 1),
+        ("20240110", "1", None, "v1", "s0", "Z-SHIP", 1, 0, 0),
+        ("20240115", "1", "c", "v2", "s2", "-", 2, 1, 0),
+        ("20240112", "1", "c", "v2", "s3", "-", 1, 0, 0),
+        ("20240115", "-", "c", "v3", "s4", "-", 1, 0, 0),
+    ], "statis_date string, gds_id string, city_cd string, visitor_id string, visit_id string, busi_tp_id string, "
+       "pv_qty bigint, oos_pv_qty bigint, one_pv_puv_flag int")
+    goods = spark.createDataFrame([("1",), ("-",)], "gds_cd string")
+    got = {r.city_cd: (r.pv_qty, r.visitors, r.old_uv, r.loss_rate)
+           for r in visits.gds_visit(SourceTables(cust_visit=cv, goods=goods), DAY).collect()}
+    # NULL city never matches in the left join: its returning count stays NULL, not 0
+    assert got == {None: (1, 1, None, 1.0), "c": (2, 1, 1, 0.0)}

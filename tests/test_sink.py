@@ -44,3 +44,22 @@ def test_daily_run_gathers_from_written_partitions(spark):
     cols = [c for c in written.columns if c != "etl_time"]
     assert rows(written.select(*cols)) == rows(in_dag.select(*cols))
     assert written.count() == 26
+
+
+def test_catalog_table_day_overwrite(spark):
+    cols = "gds_id string, city_cd string, tot_qty bigint, search_visit_pv bigint, search_visit_uv bigint"
+    a = spark.createDataFrame([("g1", "c", 1, 2, 3)], cols)
+    b = spark.createDataFrame([("g2", "c", 4, 5, 6)], cols)
+    sink.write_day(a, schemas.GDSEARCH, "20240101", table="fm_search")
+    sink.write_day(b, schemas.GDSEARCH, "20240102", table="fm_search")
+    sink.write_day(b.select(*reversed(b.columns)), schemas.GDSEARCH, "20240101", table="fm_search")
+    got = rows(spark.table("fm_search").select("gds_id", "tot_qty", "statis_date"))
+    assert got == [("g2", 4, "20240101"), ("g2", 4, "20240102")]
+
+
+def test_write_table_replaces_whole_result(spark):
+    out = tempfile.mkdtemp(prefix="fm-ctas-", dir="/tmp")
+    cols = "gds_id string, statis_date string, sum bigint, num bigint, sales_volume bigint, rank int"
+    sink.write_table(spark.createDataFrame([("g", "20240101", 1, 2, 3, 1)], cols), schemas.SALES_VOLUME, out)
+    sink.write_table(spark.createDataFrame([("h", "20240102", 4, 5, 6, 1)], cols), schemas.SALES_VOLUME, out)
+    assert rows(spark.read.parquet(out).select("gds_id", "rank")) == [("h", 1)]
