@@ -370,6 +370,10 @@ def sql() -> dict[str, str]:
         f'SELECT * FROM (SELECT gds_id, statis_date, "sum", num, sales_volume, '
         f'CAST(rank() OVER (ORDER BY num DESC, sales_volume DESC) AS INTEGER) AS "rank" '
         f'FROM volume WHERE num > {VOLUME_MIN_DAYS}) r WHERE "rank" < {VOLUME_RANK_LIMIT}',
+        "sales_volume_dense_rank": _with(PAID_DAYS) +
+        f'SELECT * FROM (SELECT gds_id, statis_date, "sum", num, sales_volume, '
+        f'CAST(dense_rank() OVER (ORDER BY num DESC, sales_volume DESC) AS INTEGER) AS "rank" '
+        f'FROM volume WHERE num > {VOLUME_MIN_DAYS}) r WHERE "rank" < {VOLUME_RANK_LIMIT}',
         "adhoc_filter_limit": _with(_TB) + "SELECT a, b, c FROM tb WHERE a = '' AND b = '' ORDER BY c LIMIT 10",
         "greeting": "SELECT r_regionkey, 'Hello ' || r_name AS greeting FROM region",
         "array_contains_strict": "SELECT p_partkey, list_contains(string_split(p_name, ' '), 'red') AS has_red "
@@ -397,6 +401,15 @@ def sql() -> dict[str, str]:
                      f"CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, "
                      f"l_linenumber) AS INTEGER) AS rn FROM lineitem WHERE l_extendedprice IS NOT NULL) t "
                      f"WHERE rn <= {TOPN}",
+        "topn_array": f"""
+WITH ranked AS (
+  SELECT l_suppkey, l_extendedprice, l_orderkey, l_linenumber,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn
+  FROM lineitem WHERE l_extendedprice IS NOT NULL),
+slots AS (SELECT s.l_suppkey, CAST(p.pos AS INTEGER) AS pos
+          FROM (SELECT DISTINCT l_suppkey FROM ranked) s, range(1, {TOPN} + 1) p(pos))
+SELECT s.l_suppkey, s.pos, r.l_extendedprice AS f0, r.l_orderkey AS f1, r.l_linenumber AS f2
+FROM slots s LEFT JOIN ranked r ON r.l_suppkey = s.l_suppkey AND r.rn = s.pos""",
         "dau_count": _DAU,
     }
 

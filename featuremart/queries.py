@@ -82,6 +82,12 @@ def sales_volume_rank_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_volume.sales_volume_rank(order, VOLUME_START, VOLUME_END, VOLUME_MIN_DAYS, VOLUME_RANK_LIMIT)
 
 
+def sales_volume_dense_rank_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = testdata.fx_order(spark, sf_dir)
+    return sales_volume.sales_volume_rank(order, VOLUME_START, VOLUME_END, VOLUME_MIN_DAYS, VOLUME_RANK_LIMIT,
+                                          dense=True)
+
+
 def adhoc_filter_limit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adhoc.filtered_fetch(testdata.fx_tb(spark, sf_dir), {"a": "", "b": ""}, ["a", "b", "c"], n=10,
                                 order_by=["c"])
@@ -151,6 +157,14 @@ def topn_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relops.topn_rows(li, ["l_suppkey"], TOPN, "l_extendedprice", ["l_orderkey", "l_linenumber"])
 
 
+def topn_array_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Array form of top-n (padded to n), flattened back to one row per slot for comparison."""
+    li = _lineitem(spark, sf_dir, "l_suppkey", "l_extendedprice", "l_orderkey", "l_linenumber")
+    arr = relops.topn_array(li, ["l_suppkey"], TOPN, "l_extendedprice", ["l_orderkey", "l_linenumber"])
+    return arr.select("l_suppkey", F.posexplode("topn").alias("pos", "e")).select(
+        "l_suppkey", (F.col("pos") + 1).alias("pos"), "e.f0", "e.f1", "e.f2")
+
+
 def dau_count_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relops.dau_count(testdata.fx_dau(spark, sf_dir), ["statis_date"])
 
@@ -181,6 +195,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # sales volume (N7) and the ad-hoc fetch
         "sales_volume": sales_volume_q,
         "sales_volume_rank": sales_volume_rank_q,
+        "sales_volume_dense_rank": sales_volume_dense_rank_q,
         "adhoc_filter_limit": adhoc_filter_limit_q,
         # functions
         "greeting": greeting_q,
@@ -195,5 +210,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "median_double": _median("l_extendedprice"),
         "letters_total": letters_total_q,
         "topn_rows": topn_rows_q,
+        "topn_array": topn_array_q,
         "dau_count": dau_count_q,
     }

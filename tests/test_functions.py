@@ -140,6 +140,17 @@ def test_median_matches_brute_force_on_skewed_group(spark, parts, acc):
         assert got[g] == pytest.approx(exp, abs=1e-9), g
 
 
+def test_median_falls_back_to_full_ranking_when_sketch_window_misses(spark, monkeypatch):
+    import featuremart.functions.aggs as aggs_mod
+    # a "sketch" whose window is the maximum only: the check fails for every group with more
+    # than one distinct value, so those groups are ranked over all their values
+    monkeypatch.setattr(aggs_mod.F, "percentile_approx",
+                        lambda c, p, a: F.array(F.max(c), F.max(c)))
+    data = [(1, x) for x in [5, 1, 4, 2, 3]] + [(2, x) for x in [10, 10, 1, 7]] + [(3, 8)]
+    df = spark.createDataFrame(data, "g int, x int").repartition(3)
+    assert rows(median_by(df, ["g"], "x")) == [(1, 3.0), (2, 8.5), (3, 8.0)]
+
+
 # ---- letters ------------------------------------------------------------------------------------------
 def test_letters_total_counts_characters(spark):
     df = spark.createDataFrame([(1, "ab c"), (1, None), (1, "日本"), (2, None)], "g int, t string")
