@@ -43,9 +43,3 @@ def require_max_min_input(df: DataFrame, col: str) -> None:
 def require_string(df: DataFrame, col: str, op: str) -> None:
     if not isinstance(_type(df, col), T.StringType):
         raise TypeError(f"{op}: {col} must be a string column, got {_type(df, col).simpleString()}")
-
-
-def require_string_array(df: DataFrame, col: str, op: str) -> None:
-    t = _type(df, col)
-    if not (isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StringType)):
-        raise TypeError(f"{op}: {col} must be array<string>, got {t.simpleString()}")
