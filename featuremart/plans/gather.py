@@ -22,15 +22,47 @@ OUTPUT = ["gds_id", "city_cd", "chnl_cd", *SALES_MEASURES, *VISIT_COLUMNS, *CART
           *MEMBER_COLUMNS]
 
 
+def _sides(visit, clct_cart, search, member):
+    return ((visit, VISIT_COLUMNS), (clct_cart, CART_COLUMNS), (search, SEARCH_COLUMNS), (member, MEMBER_COLUMNS))
+
+
 def feature_gather(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, search: DataFrame,
                    member: DataFrame) -> DataFrame:
-    """Chain of four left joins on (gds_id, city_cd). Every right side is unique on the key (each
-    is grouped by it), so the base's row count is kept; unmatched features stay NULL. All sides
-    are hash-partitioned on the same key, so each is exchanged at most once."""
+    """Sales at channel 50 left-joined to the four feature sets on (gds_id, city_cd).
+
+    Every input is unique on the key (each is grouped by it; the sales base is unique once the
+    channel is fixed), so the four left joins equal one grouping of the stacked inputs: each input
+    contributes its own columns (NULL elsewhere) and a base marker, rows are grouped by the key and
+    only keys present in the base are kept. One exchange for all five inputs and a hash
+    aggregation, instead of four sort-merge joins. Rows of the feature sets with a NULL key part
+    are dropped first: an equi-join never matches them, and the base's NULL-key rows must not pick
+    up their values."""
     base = sales.where(F.col("chnl_cd") == GATHERED_CHANNEL)
-    out = base
-    for side, cols in ((visit, VISIT_COLUMNS), (clct_cart, CART_COLUMNS), (search, SEARCH_COLUMNS),
-                       (member, MEMBER_COLUMNS)):
+    sides = _sides(visit, clct_cart, search, member)
+    all_cols = ["chnl_cd", *SALES_MEASURES] + [c for _, cols in sides for c in cols]
+    types = {f.name: f.dataType for df in (base, visit, clct_cart, search, member) for f in df.schema.fields}
+
+    def stacked(df: DataFrame, own: list[str], is_base: bool) -> DataFrame:
+        return df.select(*KEYS, F.lit(is_base).alias("__base"),
+                         *[F.col(c) if c in own else F.lit(None).cast(types[c]).alias(c) for c in all_cols])
+
+    frames = [stacked(base, ["chnl_cd", *SALES_MEASURES], True)]
+    for side, cols in sides:
+        keyed = side.where(F.col(KEYS[0]).isNotNull() & F.col(KEYS[1]).isNotNull())
+        frames.append(stacked(keyed, cols, False))
+    union = frames[0]
+    for f in frames[1:]:
+        union = union.unionByName(f)
+    # each column comes from exactly one input row per key, so max() just picks it (or NULL)
+    out = union.groupBy(*KEYS).agg(F.max("__base").alias("__base"), *[F.max(c).alias(c) for c in all_cols])
+    return out.where(F.col("__base")).select(*OUTPUT)
+
+
+def feature_gather_joined(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, search: DataFrame,
+                          member: DataFrame) -> DataFrame:
+    """N6 literally as the reference writes it: a chain of four left joins (for checks)."""
+    out = sales.where(F.col("chnl_cd") == GATHERED_CHANNEL)
+    for side, cols in _sides(visit, clct_cart, search, member):
         out = out.join(side.select(*KEYS, *cols), KEYS, "left")
     return out.select(*OUTPUT)
 

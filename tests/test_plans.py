@@ -64,6 +64,29 @@ def test_gather_keeps_sales_rows_at_channel_50(spark, t):
     assert wide.count() == n_sales == 163
 
 
+def test_gather_union_form_equals_left_join_chain(spark, t):
+    parts = (sales.sales_features(t, DAY), visits.gds_visit(t, DAY), clct_cart.gds_clct_cart(t, DAY),
+             search.gds_search(t, DAY), members.gds_member(t, DAY))
+    assert rows(gather.feature_gather(*parts)) == rows(gather.feature_gather_joined(*parts))
+
+
+def test_gather_null_keys_do_not_pick_up_feature_rows(spark):
+    s_cols = "gds_id string, city_cd string, chnl_cd string, " + ", ".join(
+        f"{c} {'double' if c in ('gds_price', 'sale_price') else 'bigint'}" for c in gather.SALES_MEASURES)
+    sal = spark.createDataFrame([("1", None, "50", 1, 0, 0, 0, 0, 1.0, 1.0), ("1", "c", "50", 2, 0, 0, 0, 0, 2.0, 2.0),
+                                 ("1", "c", "51", 3, 0, 0, 0, 0, 3.0, 3.0)], s_cols)
+    v_cols = "gds_id string, city_cd string, pv_qty bigint, visitor_num bigint, oos_pv_qty bigint, " \
+             "one_pv_puv_num bigint, visitors bigint, old_uv bigint, loss_rate double"
+    vis = spark.createDataFrame([("1", None, 9, 9, 9, 9, 9, 9, 0.5), ("1", "c", 5, 4, 0, 1, 2, None, 0.5),
+                                 ("2", "c", 7, 7, 7, 7, 7, 7, 1.0)], v_cols)
+    empty = lambda cols: spark.createDataFrame([], "gds_id string, city_cd string, " + ", ".join(
+        f"{c} bigint" for c in cols))
+    parts = (sal, vis, empty(gather.CART_COLUMNS), empty(gather.SEARCH_COLUMNS), empty(gather.MEMBER_COLUMNS))
+    got = {r.city_cd: (r.sale_cnt, r.pv_qty, r.old_uv) for r in gather.feature_gather(*parts).collect()}
+    assert got == {None: (1, None, None), "c": (2, 5, None)}
+    assert rows(gather.feature_gather(*parts)) == rows(gather.feature_gather_joined(*parts))
+
+
 def test_search_pre_reduction_equals_fan_out_join(spark, t):
     o = day_scan(t.order, DAY).where("gds_id != '-' AND visit_id != '-' AND busi_tp_id IN ('Z', '-')")
     o = o.join(t.goods.withColumnRenamed("gds_cd", "gds_id"), "gds_id", "left_semi")
