@@ -2,7 +2,7 @@
 
   python -m featuremart run-day --date 20240115 --out /shared/mart (--testdata DIR | --catalog names.json)
   python -m featuremart sales-volume --start 20160101 --end 20171231 --min-days 600 --rank-limit 10000 \\
-      --out /shared/mart/gfj_sales_volume_statistics (--testdata DIR | --catalog names.json)
+      --out /shared/mart/sales_volume_stats (--testdata DIR | --catalog names.json)
 
 ``--catalog`` names a JSON object mapping source roles (order, goods, deal, cust_visit, web_visit,
 app_visit, web_click, app_click, member) to catalog table names. The day is a function argument,
@@ -61,8 +61,8 @@ def main(argv: list[str] | None = None) -> int:
         from featuremart import schemas, sink
         from featuremart.plans.sales_volume import sales_volume_rank
         df = sales_volume_rank(t.order, args.start, args.end, args.min_days, args.rank_limit, dense=args.dense)
-        sink.write_table(df, schemas.SALES_VOLUME, args.out)
-        print(json.dumps({schemas.SALES_VOLUME.name: args.out}))
+        sink.write_table(df, schemas.SALES_VOLUME_T, args.out)
+        print(json.dumps({schemas.SALES_VOLUME_T.name: args.out}))
     return 0
 
 

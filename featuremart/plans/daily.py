@@ -29,11 +29,11 @@ def run_day(spark: SparkSession, t: SourceTables, day: str, out_root: str, persi
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [
-            (schemas.SAL_FS, sales.sales_features(t, day, base=base)),
-            (schemas.GDSVISIT, visits.gds_visit(t, day)),
-            (schemas.GDSCLCTCART, clct_cart.gds_clct_cart(t, day)),
-            (schemas.GDSEARCH, search.gds_search(t, day)),
-            (schemas.GDSMEMBER, members.gds_member(t, day)),
+            (schemas.SALES_T, sales.sales_features(t, day, base=base)),
+            (schemas.VISITS_T, visits.gds_visit(t, day)),
+            (schemas.FAVOURITE_CART_T, clct_cart.gds_clct_cart(t, day)),
+            (schemas.SEARCH_T, search.gds_search(t, day)),
+            (schemas.MEMBERS_T, members.gds_member(t, day)),
         ]
         for target, df in jobs:
             paths[target.name] = target_path(out_root, target)
@@ -42,9 +42,9 @@ def run_day(spark: SparkSession, t: SourceTables, day: str, out_root: str, persi
         if persist_base:
             base.unpersist()
     read = lambda tg: sink.read_day(spark, tg, day, paths[tg.name]).drop("statis_date", "etl_time")
-    sal = read(schemas.SAL_FS).withColumnRenamed("gds_cd", "gds_id")
-    wide = gather.feature_gather(sal, read(schemas.GDSVISIT), read(schemas.GDSCLCTCART), read(schemas.GDSEARCH),
-                                 read(schemas.GDSMEMBER))
-    paths[schemas.FEATUREGATHER.name] = target_path(out_root, schemas.FEATUREGATHER)
-    sink.write_day(wide, schemas.FEATUREGATHER, day, path=paths[schemas.FEATUREGATHER.name])
+    sal = read(schemas.SALES_T).withColumnRenamed("gds_cd", "gds_id")
+    wide = gather.feature_gather(sal, read(schemas.VISITS_T), read(schemas.FAVOURITE_CART_T), read(schemas.SEARCH_T),
+                                 read(schemas.MEMBERS_T))
+    paths[schemas.GATHER_T.name] = target_path(out_root, schemas.GATHER_T)
+    sink.write_day(wide, schemas.GATHER_T, day, path=paths[schemas.GATHER_T.name])
     return paths

@@ -34,17 +34,17 @@ class Target:
         return T.StructType([T.StructField(n, t) for n, t in self.fields] + part)
 
 
-SAL_FS = Target("tdm_ml_sf_sal_fs", [("gds_cd", S), ("city_cd", S), ("chnl_cd", S), *SALES_FIELDS],
+SALES_T = Target("sales_features_d", [("gds_cd", S), ("city_cd", S), ("chnl_cd", S), *SALES_FIELDS],
                 renames={"gds_id": "gds_cd"})
-GDSVISIT = Target("tdm_ml_sf_gdsvisit_d", [("gds_id", S), ("city_cd", S), *VISIT_FIELDS, *ETL])
-GDSCLCTCART = Target("tdm_ml_sf_gdsclctcart_d", [("gds_id", S), ("city_cd", S), *CART_FIELDS, *ETL])
-GDSEARCH = Target("tdm_ml_sf_gdsearch_d", [("gds_id", S), ("city_cd", S), *SEARCH_FIELDS, *ETL])
-GDSMEMBER = Target("tdm_ml_sf_gdsmember_d", [("gds_id", S), ("city_cd", S), *MEMBER_FIELDS, *ETL])
-FEATUREGATHER = Target("tdm_ml_sf_featuregather_d",
+VISITS_T = Target("visit_features_d", [("gds_id", S), ("city_cd", S), *VISIT_FIELDS, *ETL])
+FAVOURITE_CART_T = Target("favourite_cart_d", [("gds_id", S), ("city_cd", S), *CART_FIELDS, *ETL])
+SEARCH_T = Target("search_features_d", [("gds_id", S), ("city_cd", S), *SEARCH_FIELDS, *ETL])
+MEMBERS_T = Target("member_features_d", [("gds_id", S), ("city_cd", S), *MEMBER_FIELDS, *ETL])
+GATHER_T = Target("product_features_d",
                        [("gds_id", S), ("city_cd", S), ("chnl_cd", S), *SALES_FIELDS, *VISIT_FIELDS, *CART_FIELDS,
                         *SEARCH_FIELDS, *MEMBER_FIELDS, *ETL])
-SALES_VOLUME = Target("gfj_sales_volume_statistics",
+SALES_VOLUME_T = Target("sales_volume_stats",
                       [("gds_id", S), ("statis_date", S), ("sum", T.LongType()), ("num", T.LongType()),
                        ("sales_volume", T.LongType()), ("rank", I)], partition="")
 
-TARGETS = {t.name: t for t in [SAL_FS, GDSVISIT, GDSCLCTCART, GDSEARCH, GDSMEMBER, FEATUREGATHER, SALES_VOLUME]}
+TARGETS = {t.name: t for t in [SALES_T, VISITS_T, FAVOURITE_CART_T, SEARCH_T, MEMBERS_T, GATHER_T, SALES_VOLUME_T]}

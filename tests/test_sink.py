@@ -17,10 +17,10 @@ def test_day_overwrite_is_idempotent_and_keeps_other_days(spark):
                                                      "cart_flag_uv_num bigint")
     df2 = spark.createDataFrame([("g2", "c", 3, 4)], "gds_id string, city_cd string, p_clct_uv_num bigint, "
                                                      "cart_flag_uv_num bigint")
-    sink.write_day(df1, schemas.GDSCLCTCART, "20240101", path=out)
-    sink.write_day(df2, schemas.GDSCLCTCART, "20240102", path=out)
-    sink.write_day(df2, schemas.GDSCLCTCART, "20240101", path=out)  # re-run replaces only that day
-    back = spark.read.schema(schemas.GDSCLCTCART.schema).parquet(out)
+    sink.write_day(df1, schemas.FAVOURITE_CART_T, "20240101", path=out)
+    sink.write_day(df2, schemas.FAVOURITE_CART_T, "20240102", path=out)
+    sink.write_day(df2, schemas.FAVOURITE_CART_T, "20240101", path=out)  # re-run replaces only that day
+    back = spark.read.schema(schemas.FAVOURITE_CART_T.schema).parquet(out)
     assert rows(back.select("gds_id", "statis_date")) == [("g2", "20240101"), ("g2", "20240102")]
     assert dict(back.dtypes)["p_clct_uv_num"] == "int"
     assert back.where(F.col("etl_time").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$")).count() == 2
@@ -31,7 +31,7 @@ def test_conform_renames_by_name_not_position(spark):
     df = df.select("gds_id", "city_cd", "chnl_cd", "sale_cnt", *[F.lit(0).alias(c) for c in
                    ["sale_promotion_cnt", "sale_promotion_num", "goods_rejected_num", "sale_member_num"]],
                    F.lit(None).cast("double").alias("gds_price"), F.lit(1.5).alias("sale_price"))
-    out = sink.conform(df.select(*reversed(df.columns)), schemas.SAL_FS, DAY).collect()[0]
+    out = sink.conform(df.select(*reversed(df.columns)), schemas.SALES_T, DAY).collect()[0]
     assert out.gds_cd == "g" and out.sale_cnt == 1 and out.sale_price == 1.5 and out.statis_date == DAY
 
 
@@ -39,8 +39,8 @@ def test_daily_run_gathers_from_written_partitions(spark):
     out = tempfile.mkdtemp(prefix="fm-daily-", dir="/tmp")
     t = SourceTables.from_testdata(spark, SF_SMALL)
     paths = daily.run_day(spark, t, DAY, out)
-    written = sink.read_day(spark, schemas.FEATUREGATHER, DAY, paths[schemas.FEATUREGATHER.name])
-    in_dag = sink.conform(gather.feature_gather_for_day(t, DAY), schemas.FEATUREGATHER, DAY)
+    written = sink.read_day(spark, schemas.GATHER_T, DAY, paths[schemas.GATHER_T.name])
+    in_dag = sink.conform(gather.feature_gather_for_day(t, DAY), schemas.GATHER_T, DAY)
     cols = [c for c in written.columns if c != "etl_time"]
     assert rows(written.select(*cols)) == rows(in_dag.select(*cols))
     assert written.count() == 26
@@ -50,9 +50,9 @@ def test_catalog_table_day_overwrite(spark):
     cols = "gds_id string, city_cd string, tot_qty bigint, search_visit_pv bigint, search_visit_uv bigint"
     a = spark.createDataFrame([("g1", "c", 1, 2, 3)], cols)
     b = spark.createDataFrame([("g2", "c", 4, 5, 6)], cols)
-    sink.write_day(a, schemas.GDSEARCH, "20240101", table="fm_search")
-    sink.write_day(b, schemas.GDSEARCH, "20240102", table="fm_search")
-    sink.write_day(b.select(*reversed(b.columns)), schemas.GDSEARCH, "20240101", table="fm_search")
+    sink.write_day(a, schemas.SEARCH_T, "20240101", table="fm_search")
+    sink.write_day(b, schemas.SEARCH_T, "20240102", table="fm_search")
+    sink.write_day(b.select(*reversed(b.columns)), schemas.SEARCH_T, "20240101", table="fm_search")
     got = rows(spark.table("fm_search").select("gds_id", "tot_qty", "statis_date"))
     assert got == [("g2", 4, "20240101"), ("g2", 4, "20240102")]
 
@@ -60,6 +60,6 @@ def test_catalog_table_day_overwrite(spark):
 def test_write_table_replaces_whole_result(spark):
     out = tempfile.mkdtemp(prefix="fm-ctas-", dir="/tmp")
     cols = "gds_id string, statis_date string, sum bigint, num bigint, sales_volume bigint, rank int"
-    sink.write_table(spark.createDataFrame([("g", "20240101", 1, 2, 3, 1)], cols), schemas.SALES_VOLUME, out)
-    sink.write_table(spark.createDataFrame([("h", "20240102", 4, 5, 6, 1)], cols), schemas.SALES_VOLUME, out)
+    sink.write_table(spark.createDataFrame([("g", "20240101", 1, 2, 3, 1)], cols), schemas.SALES_VOLUME_T, out)
+    sink.write_table(spark.createDataFrame([("h", "20240102", 4, 5, 6, 1)], cols), schemas.SALES_VOLUME_T, out)
     assert rows(spark.read.parquet(out).select("gds_id", "rank")) == [("h", 1)]
