@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def day_key_from_text(ts_text: Column) -> Column:
-    """``'yyyy-MM-dd HH:mm:ss'`` text -> ``yyyyMMdd`` by cutting the first ten characters (F1)."""
-    return F.regexp_replace(F.substring(ts_text, 1, 10), "-", "")
+    """``'yyyy-MM-dd HH:mm:ss'`` text -> ``yyyyMMdd``: the first ten characters without their dashes
+    (F1). A literal ``replace`` removes every ``-`` exactly as the pattern replace does, without
+    running a regular expression per row."""
+    return F.replace(F.substring(ts_text, 1, 10), F.lit("-"), F.lit(""))
 
 
 def day_key_by_parsing(ts_text: Column) -> Column:
