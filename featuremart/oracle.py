@@ -3,7 +3,8 @@
 The fixture binding of ``featuremart.sources.testdata`` is restated as CTEs over the raw test
 tables; each query then states the job's semantics in plain SQL (semi joins as ``IN``, the
 stack-and-sum as UNION ALL + SUM, ranks with window functions). Integer sums are cast to BIGINT,
-doubles rounded to 6 decimals and divisions guarded with ``nullif``, matching the Spark side.
+doubles rounded half-up to 6 decimals with the same
+IEEE formula as the Spark side and divisions guarded with ``nullif``, matching the Spark side.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ fx_order AS (
          CAST(o_custkey % 5 AS VARCHAR) AS city_cd,
          CASE o_orderstatus WHEN 'F' THEN '50' WHEN 'O' THEN '51' WHEN 'P' THEN '52' END AS chnl_cd,
          CAST(trunc(l_quantity) AS BIGINT) AS tot_qty,
-         l_extendedprice AS tot_amnt,
-         l_extendedprice * (1 - l_discount) AS shld_amnt,
+         CAST(l_extendedprice AS DECIMAL(15, 2)) AS tot_amnt,
+         CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(15, 2))) AS shld_amnt,
          CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS oms_order_item_id,
          CASE WHEN l_linestatus = 'O' THEN 'Z' WHEN l_linenumber = 7 THEN '-' ELSE 'X' END AS busi_tp_id,
          CAST(o_custkey AS VARCHAR) AS member_id,
@@ -128,8 +129,8 @@ base AS (
 FS01 = """
 fs01 AS (
   SELECT gds_id, city_cd, chnl_cd,
-         SUM(tot_amnt) / nullif(SUM(tot_qty), 0) AS gds_price,
-         SUM(shld_amnt) / nullif(SUM(tot_qty), 0) AS sale_price,
+         CAST(SUM(tot_amnt) AS DOUBLE) / CAST(nullif(SUM(tot_qty), 0) AS DOUBLE) AS gds_price,
+         CAST(SUM(shld_amnt) AS DOUBLE) / CAST(nullif(SUM(tot_qty), 0) AS DOUBLE) AS sale_price,
          CAST(SUM(tot_qty) AS BIGINT) AS sale_cnt
   FROM base GROUP BY gds_id, city_cd, chnl_cd)"""
 
@@ -296,7 +297,7 @@ gds_member AS (
 MEMBER_OUT = ["members"] + [n for n, _ in LEVEL_COLUMNS] + ["vn"] + [n for n, _ in AGE_COLUMNS] + ["ar10"] + \
     [n for n, _ in GENDER_COLUMNS]
 
-R6 = "round({0}, 6) AS {0}"
+R6 = "(CASE WHEN abs({0}) < 1e12 THEN floor(({0}) * 1e6 + 0.5) / 1e6 ELSE ({0}) END) AS {0}"
 
 PAID_DAYS = f"""
 paid AS (
@@ -311,6 +312,11 @@ volume AS (
   FROM paid)"""
 
 
+def _r6(expr: str) -> str:
+    """Same half-up rounding to 6 decimals as ``featuremart.queries.round6``."""
+    return f"(CASE WHEN abs({expr}) < 1e12 THEN floor(({expr}) * 1e6 + 0.5) / 1e6 ELSE ({expr}) END)"
+
+
 def _round_cols(cols: list[str], doubles: set[str]) -> str:
     return ", ".join(R6.format(c) if c in doubles else c for c in cols)
 
@@ -329,7 +335,7 @@ def _gather_select() -> str:
                 "search_visit_uv": "d"})
     src.update({c: "e" for c in MEMBER_OUT})
     doubles = {"gds_price", "sale_price", "loss_rate"}
-    return ", ".join(f"round({src[c]}.{c}, 6) AS {c}" if c in doubles else f"{src[c]}.{c}" for c in GATHER_COLS)
+    return ", ".join(f"(CASE WHEN abs({src[c]}.{c}) < 1e12 THEN floor(({src[c]}.{c}) * 1e6 + 0.5) / 1e6 ELSE ({src[c]}.{c}) END) AS {c}" if c in doubles else f"{src[c]}.{c}" for c in GATHER_COLS)
 
 
 def sql() -> dict[str, str]:
@@ -337,19 +343,19 @@ def sql() -> dict[str, str]:
     visit_ctes = (VISIT_A, VISIT_D, GDS_VISIT)
     return {
         "sal_price": _with(SALES_BASE, FS01) +
-        "SELECT gds_id, city_cd, chnl_cd, round(gds_price, 6) AS gds_price, round(sale_price, 6) AS sale_price, "
+        "SELECT gds_id, city_cd, chnl_cd, (CASE WHEN abs(gds_price) < 1e12 THEN floor((gds_price) * 1e6 + 0.5) / 1e6 ELSE (gds_price) END) AS gds_price, (CASE WHEN abs(sale_price) < 1e12 THEN floor((sale_price) * 1e6 + 0.5) / 1e6 ELSE (sale_price) END) AS sale_price, "
         "sale_cnt FROM fs01",
         "sal_promotion": _with(SALES_BASE, FS02) + "SELECT * FROM fs02",
         "sal_rejected": _with(SALES_BASE, FS03) + "SELECT * FROM fs03",
         "sal_members": _with(SALES_BASE, FS04) + "SELECT * FROM fs04",
         "sal_fs": _with(*sales_ctes) +
         "SELECT gds_id, city_cd, chnl_cd, sale_cnt, sale_promotion_cnt, sale_promotion_num, goods_rejected_num, "
-        "sale_member_num, round(gds_price, 6) AS gds_price, round(sale_price, 6) AS sale_price FROM sal_fs",
+        "sale_member_num, (CASE WHEN abs(gds_price) < 1e12 THEN floor((gds_price) * 1e6 + 0.5) / 1e6 ELSE (gds_price) END) AS gds_price, (CASE WHEN abs(sale_price) < 1e12 THEN floor((sale_price) * 1e6 + 0.5) / 1e6 ELSE (sale_price) END) AS sale_price FROM sal_fs",
         "visit_measures": _with(VISIT_A) + "SELECT * FROM visit_a",
         "returning_visitors": _with(VISIT_D) + "SELECT * FROM visit_d",
         "gds_visit": _with(*visit_ctes) +
         "SELECT gds_id, city_cd, pv_qty, visitor_num, oos_pv_qty, one_pv_puv_num, visitors, old_uv, "
-        "round(loss_rate, 6) AS loss_rate FROM gds_visit",
+        "(CASE WHEN abs(loss_rate) < 1e12 THEN floor((loss_rate) * 1e6 + 0.5) / 1e6 ELSE (loss_rate) END) AS loss_rate FROM gds_visit",
         "returning_visitors_range": _with() + _returning_range_sql(),
         "web_click_flags": _with(WEB_FLAGS) + "SELECT * FROM web_flags",
         "app_click_flags": _with(APP_FLAGS) + "SELECT * FROM app_flags",
@@ -384,16 +390,16 @@ def sql() -> dict[str, str]:
         "name_rows": _NAME_ROWS,
         "name_rows_sql": _NAME_ROWS,
         "max_any": "SELECT l_returnflag, MAX(l_linenumber) AS max_int, MAX(l_suppkey) AS max_long, "
-                   "round(MAX(l_extendedprice), 6) AS max_double, MAX(l_linestatus) AS max_string, "
+                   "(CASE WHEN abs(MAX(l_extendedprice)) < 1e12 THEN floor((MAX(l_extendedprice)) * 1e6 + 0.5) / 1e6 ELSE (MAX(l_extendedprice)) END) AS max_double, MAX(l_linestatus) AS max_string, "
                    "strftime(MAX(l_shipdate), '%Y-%m-%d %H:%M:%S') AS max_ts FROM lineitem GROUP BY l_returnflag",
-        "max_min": "SELECT l_returnflag, round(MAX(l_extendedprice), 6) AS price_max, "
-                   "round(MIN(l_extendedprice), 6) AS price_min, CAST(MAX(l_linenumber) AS DOUBLE) AS line_max, "
+        "max_min": "SELECT l_returnflag, (CASE WHEN abs(MAX(l_extendedprice)) < 1e12 THEN floor((MAX(l_extendedprice)) * 1e6 + 0.5) / 1e6 ELSE (MAX(l_extendedprice)) END) AS price_max, "
+                   "(CASE WHEN abs(MIN(l_extendedprice)) < 1e12 THEN floor((MIN(l_extendedprice)) * 1e6 + 0.5) / 1e6 ELSE (MIN(l_extendedprice)) END) AS price_min, CAST(MAX(l_linenumber) AS DOUBLE) AS line_max, "
                    "CAST(MIN(l_linenumber) AS DOUBLE) AS line_min FROM lineitem GROUP BY l_returnflag",
-        "median_int": "SELECT l_returnflag, round(quantile_cont(l_linenumber, 0.5), 6) AS median FROM lineitem "
+        "median_int": "SELECT l_returnflag, (CASE WHEN abs(quantile_cont(l_linenumber, 0.5)) < 1e12 THEN floor((quantile_cont(l_linenumber, 0.5)) * 1e6 + 0.5) / 1e6 ELSE (quantile_cont(l_linenumber, 0.5)) END) AS median FROM lineitem "
                       "GROUP BY l_returnflag",
-        "median_long": "SELECT l_returnflag, round(quantile_cont(l_suppkey, 0.5), 6) AS median FROM lineitem "
+        "median_long": "SELECT l_returnflag, (CASE WHEN abs(quantile_cont(l_suppkey, 0.5)) < 1e12 THEN floor((quantile_cont(l_suppkey, 0.5)) * 1e6 + 0.5) / 1e6 ELSE (quantile_cont(l_suppkey, 0.5)) END) AS median FROM lineitem "
                        "GROUP BY l_returnflag",
-        "median_double": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS median "
+        "median_double": "SELECT l_returnflag, (CASE WHEN abs(quantile_cont(l_extendedprice, 0.5)) < 1e12 THEN floor((quantile_cont(l_extendedprice, 0.5)) * 1e6 + 0.5) / 1e6 ELSE (quantile_cont(l_extendedprice, 0.5)) END) AS median "
                          "FROM lineitem GROUP BY l_returnflag",
         "letters_total": "SELECT lang, CAST(COALESCE(SUM(length(text)), 0) AS BIGINT) AS letters FROM documents "
                          "GROUP BY lang",

@@ -58,6 +58,12 @@ def _txt(c: Column) -> Column:
     return c.cast("string")
 
 
+def _money(c: Column) -> Column:
+    """Amounts are exact decimals (two places in the test data), so sums do not depend on the
+    order of addition."""
+    return c.cast("decimal(15,2)")
+
+
 def _day(offset: Column) -> Column:
     return F.date_add(F.to_date(F.lit(BASE_DAY)), offset.cast("int"))
 
@@ -96,8 +102,8 @@ def fx_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "50").when(F.col("o_orderstatus") == "O", "51")
          .when(F.col("o_orderstatus") == "P", "52").alias("chnl_cd"),
         F.col("l_quantity").cast("bigint").alias("tot_qty"),
-        F.col("l_extendedprice").alias("tot_amnt"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("shld_amnt"),
+        _money(F.col("l_extendedprice")).alias("tot_amnt"),
+        (_money(F.col("l_extendedprice")) * (1 - _money(F.col("l_discount")))).alias("shld_amnt"),
         F.concat(_txt(F.col("l_orderkey")), F.lit("-"), _txt(line)).alias("oms_order_item_id"),
         F.when(F.col("l_linestatus") == "O", "Z").when(line == 7, "-").otherwise("X").alias("busi_tp_id"),
         _txt(F.col("o_custkey")).alias("member_id"),
