@@ -36,8 +36,8 @@ def stack_and_sum(frames: Sequence[DataFrame], keys: Sequence[str], measures: Se
     padded = []
     for df in frames:
         cols = [F.col(k) for k in keys]
-        cols += [F.col(m).cast(types[m]).alias(m) if m in df.columns else F.lit(0).cast(types[m]).alias(m)
-                 for m in measures]
+        cols += [F.col(m).cast(types[m].simpleString()).alias(m) if m in df.columns
+                 else F.lit(0).cast(types[m].simpleString()).alias(m) for m in measures]
         padded.append(df.select(*cols))
     stacked = padded[0]
     for df in padded[1:]:

@@ -8,6 +8,7 @@ executors there never re-runs the upstream jobs. Re-running a day replaces only
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import SparkSession
@@ -21,8 +22,13 @@ def target_path(root: str, target: schemas.Target) -> str:
     return os.path.join(root, target.name)
 
 
-def run_day(spark: SparkSession, t: SourceTables, day: str, out_root: str, persist_base: bool = True) -> dict:
-    """Compute and write every feature table of ``day`` under ``out_root``; returns the paths."""
+def run_day(spark: SparkSession, t: SourceTables, day: str, out_root: str, persist_base: bool = True,
+            parallel: bool = True) -> dict:
+    """Compute and write every feature table of ``day`` under ``out_root``; returns the paths.
+
+    The five feature jobs are independent; with ``parallel`` their writes are submitted from
+    separate threads, so Spark schedules their stages side by side instead of one job after the
+    other. The wide table is gathered after all five are written."""
     paths = {}
     base = sales.sales_base(t, day)
     if persist_base:  # read by four measure tables
@@ -35,9 +41,16 @@ def run_day(spark: SparkSession, t: SourceTables, day: str, out_root: str, persi
             (schemas.SEARCH_T, search.gds_search(t, day)),
             (schemas.MEMBERS_T, members.gds_member(t, day)),
         ]
-        for target, df in jobs:
+        for target, _ in jobs:
             paths[target.name] = target_path(out_root, target)
-            sink.write_day(df, target, day, path=paths[target.name])
+        if parallel:
+            with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+                done = [pool.submit(sink.write_day, df, target, day, path=paths[target.name]) for target, df in jobs]
+                for f in done:
+                    f.result()
+        else:
+            for target, df in jobs:
+                sink.write_day(df, target, day, path=paths[target.name])
     finally:
         if persist_base:
             base.unpersist()

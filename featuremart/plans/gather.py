@@ -43,8 +43,10 @@ def feature_gather(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, sea
     types = {f.name: f.dataType for df in (base, visit, clct_cart, search, member) for f in df.schema.fields}
 
     def stacked(df: DataFrame, own: list[str], is_base: bool) -> DataFrame:
-        return df.select(*KEYS, F.lit(is_base).alias("__base"),
-                         *[F.col(c) if c in own else F.lit(None).cast(types[c]).alias(c) for c in all_cols])
+        # one SQL projection per input (cheap to build): own columns as they are, NULL elsewhere
+        return df.selectExpr(*[f"`{k}`" for k in KEYS], f"{str(is_base).upper()} AS __base",
+                             *[f"`{c}`" if c in own else f"CAST(NULL AS {types[c].simpleString()}) AS `{c}`"
+                               for c in all_cols])
 
     frames = [stacked(base, ["chnl_cd", *SALES_MEASURES], True)]
     for side, cols in sides:
