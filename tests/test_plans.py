@@ -188,3 +188,18 @@ def test_visit_null_city_keeps_null_returning_count(spark):
            for r in visits.gds_visit(SourceTables(cust_visit=cv, goods=goods), DAY).collect()}
     # NULL city never matches in the left join: its returning count stays NULL, not 0
     assert got == {None: (1, 1, None, 1.0), "c": (2, 1, 1, 0.0)}
+
+
+def test_catalog_binding_equals_test_binding(spark, t):
+    from featuremart.sources import testdata
+    names = {}
+    for role, build in testdata.BINDING.items():
+        build(spark, SF_CHECK).createOrReplaceTempView(f"fm_src_{role}")
+        names[role] = f"fm_src_{role}"
+    cat = SourceTables.from_catalog(spark, names)
+    assert rows(gather.feature_gather_for_day(cat, DAY)) == rows(gather.feature_gather_for_day(t, DAY))
+
+
+def test_unknown_source_role_is_rejected():
+    with pytest.raises(ValueError):
+        SourceTables(orders=None)
