@@ -1,6 +1,6 @@
 """Command-line runner.
 
-  python -m featuremart run-day --date 20240115 --out /shared/mart (--testdata DIR | --catalog names.json)
+  python -m featuremart run-day --date 20240115 [--to 20240131] --out /shared/mart (--testdata DIR | --catalog names.json)
   python -m featuremart sales-volume --start 20160101 --end 20171231 --min-days 600 --rank-limit 10000 \\
       --out /shared/mart/sales_volume_stats (--testdata DIR | --catalog names.json)
 
@@ -36,7 +36,8 @@ def main(argv: list[str] | None = None) -> int:
         src.add_argument("--catalog", help="JSON file: source role -> catalog table")
         sp.add_argument("--out", required=True, help="output root (run-day) or table folder (sales-volume)")
         sp.add_argument("--master", default=None, help="only for local runs, e.g. local[8]")
-    sub.choices["run-day"].add_argument("--date", required=True, help="yyyyMMdd")
+    sub.choices["run-day"].add_argument("--date", required=True, help="yyyyMMdd (first day with --to)")
+    sub.choices["run-day"].add_argument("--to", default=None, help="last day of a backfill range, yyyyMMdd")
     sv = sub.choices["sales-volume"]
     sv.add_argument("--start", default="20160101")
     sv.add_argument("--end", default="20171231")
@@ -55,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     t = _tables(spark, args)
     if args.cmd == "run-day":
         from featuremart.plans.daily import run_day
-        paths = run_day(spark, t, args.date, args.out)
+        paths = run_day(spark, t, (args.date, args.to) if args.to else args.date, args.out)
         print(json.dumps(paths))
     else:
         from featuremart import schemas, sink

@@ -116,162 +116,8 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-D = _q(DAY)
-D1 = _q(shift_day(DAY, -1))
-D7 = _q(shift_day(DAY, -7))
 GOODS = "(SELECT gds_cd FROM fx_goods)"
 
-SALES_BASE = f"""
-base AS (
-  SELECT * FROM fx_order
-  WHERE statis_date = {D} AND busi_tp_id IN ('Z', '-') AND gds_id IN {GOODS})"""
-
-FS01 = """
-fs01 AS (
-  SELECT gds_id, city_cd, chnl_cd,
-         CAST(SUM(tot_amnt) AS DOUBLE) / CAST(nullif(SUM(tot_qty), 0) AS DOUBLE) AS gds_price,
-         CAST(SUM(shld_amnt) AS DOUBLE) / CAST(nullif(SUM(tot_qty), 0) AS DOUBLE) AS sale_price,
-         CAST(SUM(tot_qty) AS BIGINT) AS sale_cnt
-  FROM base GROUP BY gds_id, city_cd, chnl_cd)"""
-
-FS02 = f"""
-fs02 AS (
-  SELECT gds_id, city_cd, chnl_cd, COUNT(oms_order_item_id) AS sale_promotion_cnt,
-         CAST(SUM(tot_qty) AS BIGINT) AS sale_promotion_num
-  FROM base
-  WHERE regexp_replace(substring(order_time, 1, 10), '-', '', 'g') = statis_date
-    AND oms_order_item_id IN (SELECT order_item_id FROM fx_deal
-                              WHERE statis_date = {D} AND promotion_num IS NOT NULL AND deal_type IN ('02', '03'))
-  GROUP BY gds_id, city_cd, chnl_cd)"""
-
-FS03 = """
-fs03 AS (
-  SELECT gds_id, city_cd, chnl_cd, CAST(SUM(tot_qty) AS BIGINT) AS goods_rejected_num
-  FROM base WHERE strftime(TRY_CAST(rfd_time AS DATE), '%Y%m%d') = statis_date
-  GROUP BY gds_id, city_cd, chnl_cd)"""
-
-FS04 = """
-fs04 AS (
-  SELECT gds_id, city_cd, chnl_cd, COUNT(DISTINCT member_id) AS sale_member_num
-  FROM base WHERE regexp_replace(substring(pay_time, 1, 10), '-', '', 'g') = statis_date
-  GROUP BY gds_id, city_cd, chnl_cd)"""
-
-SAL_FS = f"""
-sal_fs AS (
-  SELECT gds_id, city_cd, chnl_cd,
-         CAST(SUM(sale_cnt) AS BIGINT) AS sale_cnt,
-         CAST(SUM(sale_promotion_cnt) AS BIGINT) AS sale_promotion_cnt,
-         CAST(SUM(sale_promotion_num) AS BIGINT) AS sale_promotion_num,
-         CAST(SUM(goods_rejected_num) AS BIGINT) AS goods_rejected_num,
-         CAST(SUM(sale_member_num) AS BIGINT) AS sale_member_num,
-         SUM(gds_price) AS gds_price,
-         SUM(sale_price) AS sale_price
-  FROM (
-    SELECT gds_id, city_cd, chnl_cd, sale_cnt, 0 AS sale_promotion_cnt, 0 AS sale_promotion_num,
-           0 AS goods_rejected_num, 0 AS sale_member_num, gds_price, sale_price FROM fs01
-    UNION ALL
-    SELECT gds_id, city_cd, chnl_cd, 0, sale_promotion_cnt, sale_promotion_num, 0, 0, 0, 0 FROM fs02
-    UNION ALL
-    SELECT gds_id, city_cd, chnl_cd, 0, 0, 0, goods_rejected_num, 0, 0, 0 FROM fs03
-    UNION ALL
-    SELECT gds_id, city_cd, chnl_cd, 0, 0, 0, 0, sale_member_num, 0, 0 FROM fs04) tt
-  GROUP BY gds_id, city_cd, chnl_cd)"""
-
-VISIT_A = f"""
-visit_a AS (
-  SELECT gds_id, city_cd,
-         CAST(SUM(pv_qty) AS BIGINT) AS pv_qty,
-         COUNT(DISTINCT visitor_id) AS visitor_num,
-         CAST(SUM(oos_pv_qty) AS BIGINT) AS oos_pv_qty,
-         COUNT(DISTINCT CASE WHEN one_pv_puv_flag = 1 THEN visit_id END) AS one_pv_puv_num,
-         COUNT(DISTINCT visit_id) AS visitors
-  FROM fx_cust_visit
-  WHERE statis_date = {D} AND busi_tp_id IN ('Z-SHIP', '-') AND gds_id <> '-' AND gds_id IN {GOODS}
-  GROUP BY gds_id, city_cd)"""
-
-VISIT_D = f"""
-visit_d AS (
-  SELECT gds_id, city_cd,
-         CAST(SUM(CASE WHEN old_visitor <> 0 AND new_visitor <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS old_uv
-  FROM (
-    SELECT gds_id, city_cd, visitor_id,
-           MAX(CASE WHEN statis_date BETWEEN {D7} AND {D1} THEN 1 ELSE 0 END) AS old_visitor,
-           MAX(CASE WHEN statis_date = {D} THEN 1 ELSE 0 END) AS new_visitor
-    FROM fx_cust_visit
-    WHERE statis_date BETWEEN {D7} AND {D} AND gds_id <> '-' AND busi_tp_id IN ('Z-SHIP', '-')
-      AND gds_id IN {GOODS}
-    GROUP BY gds_id, city_cd, visitor_id) t
-  GROUP BY gds_id, city_cd)"""
-
-GDS_VISIT = """
-gds_visit AS (
-  SELECT a.gds_id, a.city_cd, a.pv_qty, a.visitor_num, a.oos_pv_qty, a.one_pv_puv_num, a.visitors, d.old_uv,
-         CAST(a.one_pv_puv_num AS DOUBLE) / nullif(CAST(a.visitors AS DOUBLE), 0) AS loss_rate
-  FROM visit_a a LEFT JOIN visit_d d ON a.gds_id = d.gds_id AND a.city_cd = d.city_cd)"""
-
-WEB_FLAGS = f"""
-web_flags AS (
-  SELECT pv_id,
-         MAX(CASE WHEN prmtr_id_1 IN {_in(WEB_FAVOURITE_P1)} AND prmtr_id_2 IN {_in(WEB_FAVOURITE_P2)}
-                  THEN 1 ELSE 0 END) AS p_clct_flag,
-         MAX(CASE WHEN prmtr_id_1 IN {_in(WEB_CART_P1)} AND prmtr_id_2 IN {_in(WEB_CART_P2)}
-                  THEN 1 ELSE 0 END) AS cart_flag
-  FROM fx_web_click WHERE statis_date = {D} GROUP BY pv_id)"""
-
-APP_FLAGS = f"""
-app_flags AS (
-  SELECT trmnl_tp_id || clnt_id || visit_id || visit_order AS pv_key,
-         MAX(CASE WHEN click_num IN {_in(APP_FAVOURITE_CODES)} THEN 1 ELSE 0 END) AS p_clct_flag,
-         MAX(CASE WHEN click_num IN {_in(APP_CART_CODES)} THEN 1 ELSE 0 END) AS cart_flag
-  FROM fx_app_click WHERE statis_date = {D}
-  GROUP BY trmnl_tp_id || clnt_id || visit_id || visit_order)"""
-
-CLCT_CART = f"""
-clct_cart AS (
-  SELECT gds_id, city_cd,
-         COUNT(DISTINCT CASE WHEN p_clct_flag = 1 THEN visitor_id END) AS p_clct_uv_num,
-         COUNT(DISTINCT CASE WHEN cart_flag = 1 THEN visitor_id END) AS cart_flag_uv_num
-  FROM (
-    SELECT t1.visitor_id, t1.city_cd, t1.gds_id, t2.p_clct_flag, t2.cart_flag
-    FROM (SELECT * FROM fx_web_visit WHERE statis_date = {D} AND busi_tp_id IN ('Z-SHIP', '-')
-                                       AND gds_id IN {GOODS}) t1
-    JOIN web_flags t2 ON t1.pv_id = t2.pv_id
-    UNION ALL
-    SELECT t1.visitor_id, t1.city_cd, t1.gds_id, t2.p_clct_flag, t2.cart_flag
-    FROM (SELECT * FROM fx_app_visit WHERE statis_date = {D} AND gds_id IN {GOODS}) t1
-    JOIN app_flags t2 ON t1.pv_id = t2.pv_key) t
-  GROUP BY gds_id, city_cd)"""
-
-
-def _channel_search(table: str) -> str:
-    return f"""
-    SELECT gds_id, visit_id, city_cd, COUNT(pv_id) AS search_visit_pv, COUNT(DISTINCT visitor_id) AS search_visit_uv
-    FROM {table}
-    WHERE statis_date = {D} AND from_key_word <> '-' AND gds_id <> '' AND gds_id <> '-' AND visit_id <> '-'
-      AND visit_id <> '' AND city_cd <> '-' AND city_cd <> '' AND busi_tp_id IN ('Z-SHIP', '-')
-      AND gds_id IN {GOODS}
-    GROUP BY gds_id, city_cd, visit_id"""
-
-
-SEARCH_VISITS = f"""
-search_visits AS (
-  SELECT gds_id, city_cd, visit_id, CAST(SUM(search_visit_pv) AS BIGINT) AS search_visit_pv,
-         CAST(SUM(search_visit_uv) AS BIGINT) AS search_visit_uv
-  FROM ({_channel_search('fx_app_visit')}
-    UNION ALL {_channel_search('fx_web_visit')}) t
-  GROUP BY gds_id, city_cd, visit_id)"""
-
-GDS_SEARCH = f"""
-gds_search AS (
-  SELECT t1.gds_id, t1.city_cd, CAST(SUM(t1.tot_qty) AS BIGINT) AS tot_qty,
-         CAST(SUM(t2.search_visit_pv) AS BIGINT) AS search_visit_pv,
-         CAST(SUM(t2.search_visit_uv) AS BIGINT) AS search_visit_uv
-  FROM (SELECT gds_id, city_cd, visit_id, tot_qty FROM fx_order
-        WHERE statis_date = {D} AND gds_id <> '-' AND visit_id <> '-' AND busi_tp_id IN ('Z', '-')
-          AND gds_id IN {GOODS}) t1
-  JOIN search_visits t2 ON t1.gds_id = t2.gds_id AND t1.city_cd = t2.city_cd AND t1.visit_id = t2.visit_id
-  GROUP BY t1.gds_id, t1.city_cd)"""
-
 
 def _count(cond: str) -> str:
     return f"CAST(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)"
@@ -284,15 +130,176 @@ _MEMBER_COLS = ",\n         ".join(
     + [f"{_count(' AND '.join(f't2.age_range <> {_q(label)}' for _, label in AGE_COLUMNS))} AS ar10"]
     + [f"{_count(f't2.gender = {_q(g)}')} AS {name}" for name, g in GENDER_COLUMNS])
 
-GDS_MEMBER = f"""
-gds_member AS (
-  SELECT t1.gds_id, t1.city_cd, COUNT(t2.member_id) AS members,
-         {_MEMBER_COLS}
-  FROM (SELECT gds_id, city_cd, member_id FROM fx_order
-        WHERE statis_date = {D} AND busi_tp_id IN ('Z', '-') AND gds_id IN {GOODS}
-        GROUP BY gds_id, city_cd, member_id) t1
-  JOIN fx_member t2 ON t1.member_id = t2.member_id
-  GROUP BY t1.gds_id, t1.city_cd)"""
+
+def _day_ctes(day: str) -> dict[str, str]:
+    """The CTEs of the daily jobs for one day (d1 = day - 1, d7 = day - 7)."""
+    D = _q(day)  # noqa: N806
+    D1 = _q(shift_day(day, -1))  # noqa: N806
+    D7 = _q(shift_day(day, -7))  # noqa: N806
+
+    SALES_BASE = f"""
+    base AS (
+      SELECT * FROM fx_order
+      WHERE statis_date = {D} AND busi_tp_id IN ('Z', '-') AND gds_id IN {GOODS})"""
+
+    FS01 = """
+    fs01 AS (
+      SELECT gds_id, city_cd, chnl_cd,
+             CAST(SUM(tot_amnt) AS DOUBLE) / CAST(nullif(SUM(tot_qty), 0) AS DOUBLE) AS gds_price,
+             CAST(SUM(shld_amnt) AS DOUBLE) / CAST(nullif(SUM(tot_qty), 0) AS DOUBLE) AS sale_price,
+             CAST(SUM(tot_qty) AS BIGINT) AS sale_cnt
+      FROM base GROUP BY gds_id, city_cd, chnl_cd)"""
+
+    FS02 = f"""
+    fs02 AS (
+      SELECT gds_id, city_cd, chnl_cd, COUNT(oms_order_item_id) AS sale_promotion_cnt,
+             CAST(SUM(tot_qty) AS BIGINT) AS sale_promotion_num
+      FROM base
+      WHERE regexp_replace(substring(order_time, 1, 10), '-', '', 'g') = statis_date
+        AND oms_order_item_id IN (SELECT order_item_id FROM fx_deal
+                                  WHERE statis_date = {D} AND promotion_num IS NOT NULL AND deal_type IN ('02', '03'))
+      GROUP BY gds_id, city_cd, chnl_cd)"""
+
+    FS03 = """
+    fs03 AS (
+      SELECT gds_id, city_cd, chnl_cd, CAST(SUM(tot_qty) AS BIGINT) AS goods_rejected_num
+      FROM base WHERE strftime(TRY_CAST(rfd_time AS DATE), '%Y%m%d') = statis_date
+      GROUP BY gds_id, city_cd, chnl_cd)"""
+
+    FS04 = """
+    fs04 AS (
+      SELECT gds_id, city_cd, chnl_cd, COUNT(DISTINCT member_id) AS sale_member_num
+      FROM base WHERE regexp_replace(substring(pay_time, 1, 10), '-', '', 'g') = statis_date
+      GROUP BY gds_id, city_cd, chnl_cd)"""
+
+    SAL_FS = f"""
+    sal_fs AS (
+      SELECT gds_id, city_cd, chnl_cd,
+             CAST(SUM(sale_cnt) AS BIGINT) AS sale_cnt,
+             CAST(SUM(sale_promotion_cnt) AS BIGINT) AS sale_promotion_cnt,
+             CAST(SUM(sale_promotion_num) AS BIGINT) AS sale_promotion_num,
+             CAST(SUM(goods_rejected_num) AS BIGINT) AS goods_rejected_num,
+             CAST(SUM(sale_member_num) AS BIGINT) AS sale_member_num,
+             SUM(gds_price) AS gds_price,
+             SUM(sale_price) AS sale_price
+      FROM (
+        SELECT gds_id, city_cd, chnl_cd, sale_cnt, 0 AS sale_promotion_cnt, 0 AS sale_promotion_num,
+               0 AS goods_rejected_num, 0 AS sale_member_num, gds_price, sale_price FROM fs01
+        UNION ALL
+        SELECT gds_id, city_cd, chnl_cd, 0, sale_promotion_cnt, sale_promotion_num, 0, 0, 0, 0 FROM fs02
+        UNION ALL
+        SELECT gds_id, city_cd, chnl_cd, 0, 0, 0, goods_rejected_num, 0, 0, 0 FROM fs03
+        UNION ALL
+        SELECT gds_id, city_cd, chnl_cd, 0, 0, 0, 0, sale_member_num, 0, 0 FROM fs04) tt
+      GROUP BY gds_id, city_cd, chnl_cd)"""
+
+    VISIT_A = f"""
+    visit_a AS (
+      SELECT gds_id, city_cd,
+             CAST(SUM(pv_qty) AS BIGINT) AS pv_qty,
+             COUNT(DISTINCT visitor_id) AS visitor_num,
+             CAST(SUM(oos_pv_qty) AS BIGINT) AS oos_pv_qty,
+             COUNT(DISTINCT CASE WHEN one_pv_puv_flag = 1 THEN visit_id END) AS one_pv_puv_num,
+             COUNT(DISTINCT visit_id) AS visitors
+      FROM fx_cust_visit
+      WHERE statis_date = {D} AND busi_tp_id IN ('Z-SHIP', '-') AND gds_id <> '-' AND gds_id IN {GOODS}
+      GROUP BY gds_id, city_cd)"""
+
+    VISIT_D = f"""
+    visit_d AS (
+      SELECT gds_id, city_cd,
+             CAST(SUM(CASE WHEN old_visitor <> 0 AND new_visitor <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS old_uv
+      FROM (
+        SELECT gds_id, city_cd, visitor_id,
+               MAX(CASE WHEN statis_date BETWEEN {D7} AND {D1} THEN 1 ELSE 0 END) AS old_visitor,
+               MAX(CASE WHEN statis_date = {D} THEN 1 ELSE 0 END) AS new_visitor
+        FROM fx_cust_visit
+        WHERE statis_date BETWEEN {D7} AND {D} AND gds_id <> '-' AND busi_tp_id IN ('Z-SHIP', '-')
+          AND gds_id IN {GOODS}
+        GROUP BY gds_id, city_cd, visitor_id) t
+      GROUP BY gds_id, city_cd)"""
+
+    GDS_VISIT = """
+    gds_visit AS (
+      SELECT a.gds_id, a.city_cd, a.pv_qty, a.visitor_num, a.oos_pv_qty, a.one_pv_puv_num, a.visitors, d.old_uv,
+             CAST(a.one_pv_puv_num AS DOUBLE) / nullif(CAST(a.visitors AS DOUBLE), 0) AS loss_rate
+      FROM visit_a a LEFT JOIN visit_d d ON a.gds_id = d.gds_id AND a.city_cd = d.city_cd)"""
+
+    WEB_FLAGS = f"""
+    web_flags AS (
+      SELECT pv_id,
+             MAX(CASE WHEN prmtr_id_1 IN {_in(WEB_FAVOURITE_P1)} AND prmtr_id_2 IN {_in(WEB_FAVOURITE_P2)}
+                      THEN 1 ELSE 0 END) AS p_clct_flag,
+             MAX(CASE WHEN prmtr_id_1 IN {_in(WEB_CART_P1)} AND prmtr_id_2 IN {_in(WEB_CART_P2)}
+                      THEN 1 ELSE 0 END) AS cart_flag
+      FROM fx_web_click WHERE statis_date = {D} GROUP BY pv_id)"""
+
+    APP_FLAGS = f"""
+    app_flags AS (
+      SELECT trmnl_tp_id || clnt_id || visit_id || visit_order AS pv_key,
+             MAX(CASE WHEN click_num IN {_in(APP_FAVOURITE_CODES)} THEN 1 ELSE 0 END) AS p_clct_flag,
+             MAX(CASE WHEN click_num IN {_in(APP_CART_CODES)} THEN 1 ELSE 0 END) AS cart_flag
+      FROM fx_app_click WHERE statis_date = {D}
+      GROUP BY trmnl_tp_id || clnt_id || visit_id || visit_order)"""
+
+    CLCT_CART = f"""
+    clct_cart AS (
+      SELECT gds_id, city_cd,
+             COUNT(DISTINCT CASE WHEN p_clct_flag = 1 THEN visitor_id END) AS p_clct_uv_num,
+             COUNT(DISTINCT CASE WHEN cart_flag = 1 THEN visitor_id END) AS cart_flag_uv_num
+      FROM (
+        SELECT t1.visitor_id, t1.city_cd, t1.gds_id, t2.p_clct_flag, t2.cart_flag
+        FROM (SELECT * FROM fx_web_visit WHERE statis_date = {D} AND busi_tp_id IN ('Z-SHIP', '-')
+                                           AND gds_id IN {GOODS}) t1
+        JOIN web_flags t2 ON t1.pv_id = t2.pv_id
+        UNION ALL
+        SELECT t1.visitor_id, t1.city_cd, t1.gds_id, t2.p_clct_flag, t2.cart_flag
+        FROM (SELECT * FROM fx_app_visit WHERE statis_date = {D} AND gds_id IN {GOODS}) t1
+        JOIN app_flags t2 ON t1.pv_id = t2.pv_key) t
+      GROUP BY gds_id, city_cd)"""
+
+
+    def _channel_search(table: str) -> str:
+        return f"""
+        SELECT gds_id, visit_id, city_cd, COUNT(pv_id) AS search_visit_pv, COUNT(DISTINCT visitor_id) AS search_visit_uv
+        FROM {table}
+        WHERE statis_date = {D} AND from_key_word <> '-' AND gds_id <> '' AND gds_id <> '-' AND visit_id <> '-'
+          AND visit_id <> '' AND city_cd <> '-' AND city_cd <> '' AND busi_tp_id IN ('Z-SHIP', '-')
+          AND gds_id IN {GOODS}
+        GROUP BY gds_id, city_cd, visit_id"""
+
+
+    SEARCH_VISITS = f"""
+    search_visits AS (
+      SELECT gds_id, city_cd, visit_id, CAST(SUM(search_visit_pv) AS BIGINT) AS search_visit_pv,
+             CAST(SUM(search_visit_uv) AS BIGINT) AS search_visit_uv
+      FROM ({_channel_search('fx_app_visit')}
+        UNION ALL {_channel_search('fx_web_visit')}) t
+      GROUP BY gds_id, city_cd, visit_id)"""
+
+    GDS_SEARCH = f"""
+    gds_search AS (
+      SELECT t1.gds_id, t1.city_cd, CAST(SUM(t1.tot_qty) AS BIGINT) AS tot_qty,
+             CAST(SUM(t2.search_visit_pv) AS BIGINT) AS search_visit_pv,
+             CAST(SUM(t2.search_visit_uv) AS BIGINT) AS search_visit_uv
+      FROM (SELECT gds_id, city_cd, visit_id, tot_qty FROM fx_order
+            WHERE statis_date = {D} AND gds_id <> '-' AND visit_id <> '-' AND busi_tp_id IN ('Z', '-')
+              AND gds_id IN {GOODS}) t1
+      JOIN search_visits t2 ON t1.gds_id = t2.gds_id AND t1.city_cd = t2.city_cd AND t1.visit_id = t2.visit_id
+      GROUP BY t1.gds_id, t1.city_cd)"""
+
+
+    GDS_MEMBER = f"""
+    gds_member AS (
+      SELECT t1.gds_id, t1.city_cd, COUNT(t2.member_id) AS members,
+             {_MEMBER_COLS}
+      FROM (SELECT gds_id, city_cd, member_id FROM fx_order
+            WHERE statis_date = {D} AND busi_tp_id IN ('Z', '-') AND gds_id IN {GOODS}
+            GROUP BY gds_id, city_cd, member_id) t1
+      JOIN fx_member t2 ON t1.member_id = t2.member_id
+      GROUP BY t1.gds_id, t1.city_cd)"""
+    return {"SALES_BASE": SALES_BASE, "FS01": FS01, "FS02": FS02, "FS03": FS03, "FS04": FS04, "SAL_FS": SAL_FS, "VISIT_A": VISIT_A, "VISIT_D": VISIT_D, "GDS_VISIT": GDS_VISIT, "WEB_FLAGS": WEB_FLAGS, "APP_FLAGS": APP_FLAGS, "CLCT_CART": CLCT_CART, "SEARCH_VISITS": SEARCH_VISITS, "GDS_SEARCH": GDS_SEARCH, "GDS_MEMBER": GDS_MEMBER}
+
 
 MEMBER_OUT = ["members"] + [n for n, _ in LEVEL_COLUMNS] + ["vn"] + [n for n, _ in AGE_COLUMNS] + ["ar10"] + \
     [n for n, _ in GENDER_COLUMNS]
@@ -338,38 +345,69 @@ def _gather_select() -> str:
     return ", ".join(f"(CASE WHEN abs({src[c]}.{c}) < 1e12 THEN floor(({src[c]}.{c}) * 1e6 + 0.5) / 1e6 ELSE ({src[c]}.{c}) END) AS {c}" if c in doubles else f"{src[c]}.{c}" for c in GATHER_COLS)
 
 
-def sql() -> dict[str, str]:
-    sales_ctes = (SALES_BASE, FS01, FS02, FS03, FS04, SAL_FS)
-    visit_ctes = (VISIT_A, VISIT_D, GDS_VISIT)
+def _daily_queries(day: str) -> dict[str, str]:
+    """Oracle SQL of the jobs that read one day, for ``day``."""
+    c = _day_ctes(day)
+    sales_ctes = [c[n] for n in ("SALES_BASE", "FS01", "FS02", "FS03", "FS04", "SAL_FS")]
+    visit_ctes = [c[n] for n in ("VISIT_A", "VISIT_D", "GDS_VISIT")]
+    price = f"{_r6('gds_price')} AS gds_price, {_r6('sale_price')} AS sale_price"
     return {
-        "sal_price": _with(SALES_BASE, FS01) +
-        "SELECT gds_id, city_cd, chnl_cd, (CASE WHEN abs(gds_price) < 1e12 THEN floor((gds_price) * 1e6 + 0.5) / 1e6 ELSE (gds_price) END) AS gds_price, (CASE WHEN abs(sale_price) < 1e12 THEN floor((sale_price) * 1e6 + 0.5) / 1e6 ELSE (sale_price) END) AS sale_price, "
-        "sale_cnt FROM fs01",
-        "sal_promotion": _with(SALES_BASE, FS02) + "SELECT * FROM fs02",
-        "sal_rejected": _with(SALES_BASE, FS03) + "SELECT * FROM fs03",
-        "sal_members": _with(SALES_BASE, FS04) + "SELECT * FROM fs04",
+        "sal_price": _with(c["SALES_BASE"], c["FS01"]) + f"SELECT gds_id, city_cd, chnl_cd, {price}, sale_cnt FROM fs01",
+        "sal_promotion": _with(c["SALES_BASE"], c["FS02"]) + "SELECT * FROM fs02",
+        "sal_rejected": _with(c["SALES_BASE"], c["FS03"]) + "SELECT * FROM fs03",
+        "sal_members": _with(c["SALES_BASE"], c["FS04"]) + "SELECT * FROM fs04",
         "sal_fs": _with(*sales_ctes) +
         "SELECT gds_id, city_cd, chnl_cd, sale_cnt, sale_promotion_cnt, sale_promotion_num, goods_rejected_num, "
-        "sale_member_num, (CASE WHEN abs(gds_price) < 1e12 THEN floor((gds_price) * 1e6 + 0.5) / 1e6 ELSE (gds_price) END) AS gds_price, (CASE WHEN abs(sale_price) < 1e12 THEN floor((sale_price) * 1e6 + 0.5) / 1e6 ELSE (sale_price) END) AS sale_price FROM sal_fs",
-        "visit_measures": _with(VISIT_A) + "SELECT * FROM visit_a",
-        "returning_visitors": _with(VISIT_D) + "SELECT * FROM visit_d",
+        f"sale_member_num, {price} FROM sal_fs",
+        "visit_measures": _with(c["VISIT_A"]) + "SELECT * FROM visit_a",
+        "returning_visitors": _with(c["VISIT_D"]) + "SELECT * FROM visit_d",
         "gds_visit": _with(*visit_ctes) +
         "SELECT gds_id, city_cd, pv_qty, visitor_num, oos_pv_qty, one_pv_puv_num, visitors, old_uv, "
-        "(CASE WHEN abs(loss_rate) < 1e12 THEN floor((loss_rate) * 1e6 + 0.5) / 1e6 ELSE (loss_rate) END) AS loss_rate FROM gds_visit",
-        "returning_visitors_range": _with() + _returning_range_sql(),
-        "web_click_flags": _with(WEB_FLAGS) + "SELECT * FROM web_flags",
-        "app_click_flags": _with(APP_FLAGS) + "SELECT * FROM app_flags",
-        "gds_clct_cart": _with(WEB_FLAGS, APP_FLAGS, CLCT_CART) + "SELECT * FROM clct_cart",
-        "search_visits": _with(SEARCH_VISITS) + "SELECT * FROM search_visits",
-        "gds_search": _with(SEARCH_VISITS, GDS_SEARCH) + "SELECT * FROM gds_search",
-        "gds_member": _with(GDS_MEMBER) + "SELECT * FROM gds_member",
-        "feature_gather": _with(*sales_ctes, *visit_ctes, WEB_FLAGS, APP_FLAGS, CLCT_CART, SEARCH_VISITS, GDS_SEARCH,
-                                GDS_MEMBER) +
+        f"{_r6('loss_rate')} AS loss_rate FROM gds_visit",
+        "web_click_flags": _with(c["WEB_FLAGS"]) + "SELECT * FROM web_flags",
+        "app_click_flags": _with(c["APP_FLAGS"]) + "SELECT * FROM app_flags",
+        "gds_clct_cart": _with(c["WEB_FLAGS"], c["APP_FLAGS"], c["CLCT_CART"]) + "SELECT * FROM clct_cart",
+        "search_visits": _with(c["SEARCH_VISITS"]) + "SELECT * FROM search_visits",
+        "gds_search": _with(c["SEARCH_VISITS"], c["GDS_SEARCH"]) + "SELECT * FROM gds_search",
+        "gds_member": _with(c["GDS_MEMBER"]) + "SELECT * FROM gds_member",
+        "feature_gather": _with(*sales_ctes, *visit_ctes, c["WEB_FLAGS"], c["APP_FLAGS"], c["CLCT_CART"],
+                                c["SEARCH_VISITS"], c["GDS_SEARCH"], c["GDS_MEMBER"]) +
         f"SELECT {_gather_select()} FROM (SELECT * FROM sal_fs WHERE chnl_cd = '50') a "
         "LEFT JOIN gds_visit b ON a.gds_id = b.gds_id AND a.city_cd = b.city_cd "
         "LEFT JOIN clct_cart c ON a.gds_id = c.gds_id AND a.city_cd = c.city_cd "
         "LEFT JOIN gds_search d ON a.gds_id = d.gds_id AND a.city_cd = d.city_cd "
         "LEFT JOIN gds_member e ON a.gds_id = e.gds_id AND a.city_cd = e.city_cd",
+    }
+
+
+RANGE_JOBS = ["sal_fs", "gds_visit", "gds_clct_cart", "gds_search", "gds_member", "feature_gather"]
+
+
+def _days(lo: str, hi: str) -> list[str]:
+    out, d = [], lo
+    while d <= hi:
+        out.append(d)
+        d = shift_day(d, 1)
+    return out
+
+
+def _range_queries(lo: str, hi: str) -> dict[str, str]:
+    """A job over a day range equals the union of its daily results, each tagged with its day."""
+    per_day = {day: _daily_queries(day) for day in _days(lo, hi)}
+    return {f"{name}_range": "\nUNION ALL\n".join(
+        f"SELECT {_q(day)} AS statis_date, q{i}.* FROM ({qs[name]}) q{i}" for i, (day, qs) in enumerate(per_day.items()))
+        for name in RANGE_JOBS}
+
+
+def _median_sql(col: str) -> str:
+    return f"SELECT l_returnflag, {_r6(f'quantile_cont({col}, 0.5)')} AS median FROM lineitem GROUP BY l_returnflag"
+
+
+def sql() -> dict[str, str]:
+    out = _daily_queries(DAY)
+    out.update(_range_queries(RANGE_LO, RANGE_HI))
+    out.update({
+        "returning_visitors_range": _with() + _returning_range_sql(),
         "sales_volume": _with(PAID_DAYS) +
         f'SELECT gds_id, statis_date, "sum", num, sales_volume FROM volume WHERE num > {VOLUME_MIN_DAYS}',
         "sales_volume_rank": _with(PAID_DAYS) +
@@ -389,18 +427,15 @@ def sql() -> dict[str, str]:
                        "FROM lineitem GROUP BY l_orderkey",
         "name_rows": _NAME_ROWS,
         "name_rows_sql": _NAME_ROWS,
-        "max_any": "SELECT l_returnflag, MAX(l_linenumber) AS max_int, MAX(l_suppkey) AS max_long, "
-                   "(CASE WHEN abs(MAX(l_extendedprice)) < 1e12 THEN floor((MAX(l_extendedprice)) * 1e6 + 0.5) / 1e6 ELSE (MAX(l_extendedprice)) END) AS max_double, MAX(l_linestatus) AS max_string, "
+        "max_any": f"SELECT l_returnflag, MAX(l_linenumber) AS max_int, MAX(l_suppkey) AS max_long, "
+                   f"{_r6('MAX(l_extendedprice)')} AS max_double, MAX(l_linestatus) AS max_string, "
                    "strftime(MAX(l_shipdate), '%Y-%m-%d %H:%M:%S') AS max_ts FROM lineitem GROUP BY l_returnflag",
-        "max_min": "SELECT l_returnflag, (CASE WHEN abs(MAX(l_extendedprice)) < 1e12 THEN floor((MAX(l_extendedprice)) * 1e6 + 0.5) / 1e6 ELSE (MAX(l_extendedprice)) END) AS price_max, "
-                   "(CASE WHEN abs(MIN(l_extendedprice)) < 1e12 THEN floor((MIN(l_extendedprice)) * 1e6 + 0.5) / 1e6 ELSE (MIN(l_extendedprice)) END) AS price_min, CAST(MAX(l_linenumber) AS DOUBLE) AS line_max, "
+        "max_min": f"SELECT l_returnflag, {_r6('MAX(l_extendedprice)')} AS price_max, "
+                   f"{_r6('MIN(l_extendedprice)')} AS price_min, CAST(MAX(l_linenumber) AS DOUBLE) AS line_max, "
                    "CAST(MIN(l_linenumber) AS DOUBLE) AS line_min FROM lineitem GROUP BY l_returnflag",
-        "median_int": "SELECT l_returnflag, (CASE WHEN abs(quantile_cont(l_linenumber, 0.5)) < 1e12 THEN floor((quantile_cont(l_linenumber, 0.5)) * 1e6 + 0.5) / 1e6 ELSE (quantile_cont(l_linenumber, 0.5)) END) AS median FROM lineitem "
-                      "GROUP BY l_returnflag",
-        "median_long": "SELECT l_returnflag, (CASE WHEN abs(quantile_cont(l_suppkey, 0.5)) < 1e12 THEN floor((quantile_cont(l_suppkey, 0.5)) * 1e6 + 0.5) / 1e6 ELSE (quantile_cont(l_suppkey, 0.5)) END) AS median FROM lineitem "
-                       "GROUP BY l_returnflag",
-        "median_double": "SELECT l_returnflag, (CASE WHEN abs(quantile_cont(l_extendedprice, 0.5)) < 1e12 THEN floor((quantile_cont(l_extendedprice, 0.5)) * 1e6 + 0.5) / 1e6 ELSE (quantile_cont(l_extendedprice, 0.5)) END) AS median "
-                         "FROM lineitem GROUP BY l_returnflag",
+        "median_int": _median_sql("l_linenumber"),
+        "median_long": _median_sql("l_suppkey"),
+        "median_double": _median_sql("l_extendedprice"),
         "letters_total": "SELECT lang, CAST(COALESCE(SUM(length(text)), 0) AS BIGINT) AS letters FROM documents "
                          "GROUP BY lang",
         "topn_rows": f"SELECT * FROM (SELECT l_suppkey, l_extendedprice, l_orderkey, l_linenumber, "
@@ -417,7 +452,8 @@ slots AS (SELECT s.l_suppkey, CAST(p.pos AS INTEGER) AS pos
 SELECT s.l_suppkey, s.pos, r.l_extendedprice AS f0, r.l_orderkey AS f1, r.l_linenumber AS f2
 FROM slots s LEFT JOIN ranked r ON r.l_suppkey = s.l_suppkey AND r.rn = s.pos""",
         "dau_count": _DAU,
-    }
+    })
+    return out
 
 
 def _returning_range_sql() -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from featuremart.functions.expr import flag
 from featuremart.operators.joins import restrict_to
 from featuremart.plans.visits import KEYS, VISIT_BUSINESS_TYPES
-from featuremart.sources.scans import day_scan
+from featuremart.sources.scans import Days
 from featuremart.sources.tables import SourceTables
 
 # Click parameters and click codes that mark a favourite or a cart action.
@@ -20,46 +20,49 @@ APP_FAVOURITE_CODES = ["121316", "780801", "1010106", "1010202", "1010301", "120
 APP_CART_CODES = ["121312", "1210138", "1210709"]
 
 
-def web_click_flags(t: SourceTables, day: str) -> DataFrame:
+def web_click_flags(t: SourceTables, days) -> DataFrame:
     """Per web page view, whether any click was a favourite / a cart action."""
-    c = day_scan(t.web_click, day, "pv_id", "prmtr_id_1", "prmtr_id_2")
+    d = Days.of(days)
+    c = d.scan(t.web_click, "pv_id", "prmtr_id_1", "prmtr_id_2")
     p1, p2 = F.col("prmtr_id_1"), F.col("prmtr_id_2")
-    return c.groupBy("pv_id").agg(
+    return c.groupBy(*d.keys("pv_id")).agg(
         F.max(flag(p1.isin(*WEB_FAVOURITE_P1) & p2.isin(*WEB_FAVOURITE_P2))).alias("p_clct_flag"),
         F.max(flag(p1.isin(*WEB_CART_P1) & p2.isin(*WEB_CART_P2))).alias("cart_flag"))
 
 
-def app_click_flags(t: SourceTables, day: str) -> DataFrame:
+def app_click_flags(t: SourceTables, days) -> DataFrame:
     """Per app page view, keyed by terminal type + client + visit + visit order.
 
     The page-view key is concatenated without separators (a NULL part gives a NULL key, which
     never joins). Grouping by the concatenated key merges tuples that collide on it; since only
     "any click was a favourite / cart" per visitor is used downstream, the result is the same."""
-    c = day_scan(t.app_click, day, "trmnl_tp_id", "clnt_id", "visit_id", "visit_order", "click_num")
+    d = Days.of(days)
+    c = d.scan(t.app_click, "trmnl_tp_id", "clnt_id", "visit_id", "visit_order", "click_num")
     key = F.concat("trmnl_tp_id", "clnt_id", "visit_id", "visit_order")
     num = F.col("click_num")
-    return c.groupBy(key.alias("pv_key")).agg(
+    return c.groupBy(*[F.col(k) for k in d.keys()], key.alias("pv_key")).agg(
         F.max(flag(num.isin(*APP_FAVOURITE_CODES))).alias("p_clct_flag"),
         F.max(flag(num.isin(*APP_CART_CODES))).alias("cart_flag"))
 
 
-def gds_clct_cart(t: SourceTables, day: str) -> DataFrame:
+def gds_clct_cart(t: SourceTables, days) -> DataFrame:
     """Distinct visitors with a favourite / cart click, web and app together.
 
     As in the reference, only the web page views are filtered by business type. Distinct counts are
     two-level: one row per (product, city, visitor) with its flags, then conditional counts."""
-    cols = ["pv_id", "visitor_id", "city_cd", "gds_id"]
-    web = day_scan(t.web_visit, day, *cols, "busi_tp_id").where(F.col("busi_tp_id").isin(*VISIT_BUSINESS_TYPES))
+    d = Days.of(days)
+    cols = d.keys("pv_id", "visitor_id", "city_cd", "gds_id")
+    web = d.scan(t.web_visit, *cols, "busi_tp_id").where(F.col("busi_tp_id").isin(*VISIT_BUSINESS_TYPES))
     web = restrict_to(web, t.goods_side(), "gds_id", "gds_cd").select(*cols)
-    app = restrict_to(day_scan(t.app_visit, day, *cols), t.goods_side(), "gds_id", "gds_cd")
-    web_rows = web.join(web_click_flags(t, day), "pv_id").select(*KEYS, "visitor_id", "p_clct_flag", "cart_flag")
-    app_flags = app_click_flags(t, day)
-    app_rows = app.join(app_flags, app.pv_id == app_flags.pv_key).select(
-        *KEYS, "visitor_id", "p_clct_flag", "cart_flag")
+    app = restrict_to(d.scan(t.app_visit, *cols), t.goods_side(), "gds_id", "gds_cd")
+    out = [*d.keys(*KEYS), "visitor_id", "p_clct_flag", "cart_flag"]
+    web_rows = web.join(web_click_flags(t, d), d.keys("pv_id")).select(*out)
+    app_flags = app_click_flags(t, d).withColumnRenamed("pv_key", "pv_id")
+    app_rows = app.join(app_flags, d.keys("pv_id")).select(*out)
     rows = web_rows.unionByName(app_rows)
-    per_visitor = rows.groupBy(*KEYS, "visitor_id").agg(
+    per_visitor = rows.groupBy(*d.keys(*KEYS, "visitor_id")).agg(
         F.max("p_clct_flag").alias("p"), F.max("cart_flag").alias("c"))
     known = F.col("visitor_id").isNotNull()
-    return per_visitor.groupBy(*KEYS).agg(
+    return per_visitor.groupBy(*d.keys(*KEYS)).agg(
         F.count_if(known & (F.col("p") == 1)).alias("p_clct_uv_num"),
         F.count_if(known & (F.col("c") == 1)).alias("cart_flag_uv_num"))

@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from featuremart import schemas, sink
 from featuremart.plans import clct_cart, gather, members, sales, search, visits
+from featuremart.sources.scans import Days
 from featuremart.sources.tables import SourceTables
 
 
@@ -22,24 +23,28 @@ def target_path(root: str, target: schemas.Target) -> str:
     return os.path.join(root, target.name)
 
 
-def run_day(spark: SparkSession, t: SourceTables, day: str, out_root: str, persist_base: bool = True,
+def run_day(spark: SparkSession, t: SourceTables, days, out_root: str, persist_base: bool = True,
             parallel: bool = True) -> dict:
-    """Compute and write every feature table of ``day`` under ``out_root``; returns the paths.
+    """Compute and write every feature table of ``days`` under ``out_root``; returns the paths.
 
-    The five feature jobs are independent; with ``parallel`` their writes are submitted from
-    separate threads, so Spark schedules their stages side by side instead of one job after the
-    other. The wide table is gathered after all five are written."""
+    ``days`` is one day, or a ``(lo, hi)`` range for a backfill: each job then scans the range once
+    and writes all its day partitions in one job (N2's returning visitors by the one-pass look-back
+    form instead of an 8-day scan per day). The five feature jobs are independent; with
+    ``parallel`` their writes are submitted from separate threads, so Spark schedules their stages
+    side by side. The wide table is gathered after all five are written."""
+    d = Days.of(days)
+    day = d.lo if d.single else None  # None: the frames carry statis_date
     paths = {}
-    base = sales.sales_base(t, day)
+    base = sales.sales_base(t, d)
     if persist_base:  # read by four measure tables
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [
-            (schemas.SALES_T, sales.sales_features(t, day, base=base)),
-            (schemas.VISITS_T, visits.gds_visit(t, day)),
-            (schemas.FAVOURITE_CART_T, clct_cart.gds_clct_cart(t, day)),
-            (schemas.SEARCH_T, search.gds_search(t, day)),
-            (schemas.MEMBERS_T, members.gds_member(t, day)),
+            (schemas.SALES_T, sales.sales_features(t, d, base=base)),
+            (schemas.VISITS_T, visits.gds_visit(t, d)),
+            (schemas.FAVOURITE_CART_T, clct_cart.gds_clct_cart(t, d)),
+            (schemas.SEARCH_T, search.gds_search(t, d)),
+            (schemas.MEMBERS_T, members.gds_member(t, d)),
         ]
         for target, _ in jobs:
             paths[target.name] = target_path(out_root, target)
@@ -54,7 +59,11 @@ def run_day(spark: SparkSession, t: SourceTables, day: str, out_root: str, persi
     finally:
         if persist_base:
             base.unpersist()
-    read = lambda tg: sink.read_day(spark, tg, day, paths[tg.name]).drop("statis_date", "etl_time")
+
+    def read(tg: schemas.Target):
+        df = sink.read_day(spark, tg, d.lo, paths[tg.name], None if d.single else d.hi).drop("etl_time")
+        return df.drop("statis_date") if d.single else df
+
     sal = read(schemas.SALES_T).withColumnRenamed("gds_cd", "gds_id")
     wide = gather.feature_gather(sal, read(schemas.VISITS_T), read(schemas.FAVOURITE_CART_T), read(schemas.SEARCH_T),
                                  read(schemas.MEMBERS_T))

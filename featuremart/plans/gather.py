@@ -12,6 +12,7 @@ from featuremart.plans.sales import MEASURES as SALES_MEASURES
 from featuremart.plans.sales import sales_features
 from featuremart.plans.search import gds_search
 from featuremart.plans.visits import KEYS, gds_visit
+from featuremart.sources.scans import DAY_COL, Days
 from featuremart.sources.tables import SourceTables
 
 GATHERED_CHANNEL = "50"
@@ -37,6 +38,7 @@ def feature_gather(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, sea
     aggregation, instead of four sort-merge joins. Rows of the feature sets with a NULL key part
     are dropped first: an equi-join never matches them, and the base's NULL-key rows must not pick
     up their values."""
+    keys = [DAY_COL, *KEYS] if DAY_COL in sales.columns else list(KEYS)  # day range: per day
     base = sales.where(F.col("chnl_cd") == GATHERED_CHANNEL)
     sides = _sides(visit, clct_cart, search, member)
     all_cols = ["chnl_cd", *SALES_MEASURES] + [c for _, cols in sides for c in cols]
@@ -44,33 +46,35 @@ def feature_gather(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, sea
 
     def stacked(df: DataFrame, own: list[str], is_base: bool) -> DataFrame:
         # one SQL projection per input (cheap to build): own columns as they are, NULL elsewhere
-        return df.selectExpr(*[f"`{k}`" for k in KEYS], f"{str(is_base).upper()} AS __base",
+        return df.selectExpr(*[f"`{k}`" for k in keys], f"{str(is_base).upper()} AS __base",
                              *[f"`{c}`" if c in own else f"CAST(NULL AS {types[c].simpleString()}) AS `{c}`"
                                for c in all_cols])
 
     frames = [stacked(base, ["chnl_cd", *SALES_MEASURES], True)]
     for side, cols in sides:
-        keyed = side.where(F.col(KEYS[0]).isNotNull() & F.col(KEYS[1]).isNotNull())
+        keyed = side.where(F.col(keys[-2]).isNotNull() & F.col(keys[-1]).isNotNull())
         frames.append(stacked(keyed, cols, False))
     union = frames[0]
     for f in frames[1:]:
         union = union.unionByName(f)
     # each column comes from exactly one input row per key, so max() just picks it (or NULL)
-    out = union.groupBy(*KEYS).agg(F.max("__base").alias("__base"), *[F.max(c).alias(c) for c in all_cols])
-    return out.where(F.col("__base")).select(*OUTPUT)
+    out = union.groupBy(*keys).agg(F.max("__base").alias("__base"), *[F.max(c).alias(c) for c in all_cols])
+    return out.where(F.col("__base")).select(*keys[:-2], *OUTPUT)
 
 
 def feature_gather_joined(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, search: DataFrame,
                           member: DataFrame) -> DataFrame:
     """N6 literally as the reference writes it: a chain of four left joins (for checks)."""
+    keys = [DAY_COL, *KEYS] if DAY_COL in sales.columns else list(KEYS)
     out = sales.where(F.col("chnl_cd") == GATHERED_CHANNEL)
     for side, cols in _sides(visit, clct_cart, search, member):
-        out = out.join(side.select(*KEYS, *cols), KEYS, "left")
-    return out.select(*OUTPUT)
+        out = out.join(side.select(*keys, *cols), keys, "left")
+    return out.select(*keys[:-2], *OUTPUT)
 
 
-def feature_gather_for_day(t: SourceTables, day: str) -> DataFrame:
+def feature_gather_for_day(t: SourceTables, days) -> DataFrame:
     """N6 computed in one plan from the source tables (the daily runner instead reads the five
-    written day partitions back)."""
-    return feature_gather(sales_features(t, day), gds_visit(t, day), gds_clct_cart(t, day), gds_search(t, day),
-                          gds_member(t, day))
+    written day partitions back). ``days`` may be a (lo, hi) range: one row set per day."""
+    d = Days.of(days)
+    return feature_gather(sales_features(t, d), gds_visit(t, d), gds_clct_cart(t, d), gds_search(t, d),
+                          gds_member(t, d))

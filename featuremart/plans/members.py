@@ -9,7 +9,7 @@ from featuremart.operators.joins import restrict_to
 from featuremart.operators.relops import count_by_label
 from featuremart.plans.sales import ORDER_BUSINESS_TYPES
 from featuremart.plans.visits import KEYS
-from featuremart.sources.scans import day_scan
+from featuremart.sources.scans import Days
 from featuremart.sources.tables import SourceTables
 
 # Member level codes, age-range labels and genders, each with its output column, in
@@ -39,17 +39,19 @@ def member_counters() -> list[tuple[str, object]]:
     return counters
 
 
-def buyers(t: SourceTables, day: str) -> DataFrame:
+def buyers(t: SourceTables, days) -> DataFrame:
     """Distinct (product, city, member) of the day's order lines."""
-    o = day_scan(t.order, day, *KEYS, "member_id", "busi_tp_id").where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
-    return restrict_to(o, t.goods_side(), "gds_id", "gds_cd").select(*KEYS, "member_id").distinct()
+    d = Days.of(days)
+    o = d.scan(t.order, *KEYS, "member_id", "busi_tp_id").where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
+    return restrict_to(o, t.goods_side(), "gds_id", "gds_cd").select(*d.keys(*KEYS), "member_id").distinct()
 
 
-def gds_member(t: SourceTables, day: str) -> DataFrame:
+def gds_member(t: SourceTables, days) -> DataFrame:
     """Buyers joined to the member table (inner: buyers without a member row drop out), then
     member, level, age and gender counts in one grouped pass. The member table is large, so the
     join is a shuffle join on member_id (AQE splits a hot member's partition)."""
+    d = Days.of(days)
     m = t.member.select("member_id", "mem_lvl", "age_range", "gender")
-    j = buyers(t, day).join(m, "member_id")
-    out = count_by_label(j, KEYS, member_counters(), total=("members", F.col("member_id")))
-    return out.select(*KEYS, *OUTPUT)
+    j = buyers(t, d).join(m, "member_id")
+    out = count_by_label(j, d.keys(*KEYS), member_counters(), total=("members", F.col("member_id")))
+    return out.select(*d.keys(*KEYS), *OUTPUT)

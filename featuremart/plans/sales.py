@@ -1,4 +1,7 @@
-"""Daily sales features per product x city x channel (N1a-N1e, N1)."""
+"""Daily sales features per product x city x channel (N1a-N1e, N1).
+
+Every job takes ``days``: one ``yyyyMMdd`` day (the reference's daily job) or a ``(lo, hi)`` range
+computed in one pass with ``statis_date`` as a leading key (backfill)."""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from featuremart.functions.expr import day_key_by_parsing, day_key_from_text, safe_ratio
 from featuremart.operators.joins import restrict_to
 from featuremart.operators.relops import stack_and_sum
-from featuremart.sources.scans import day_scan
+from featuremart.sources.scans import Days
 from featuremart.sources.tables import SourceTables
 
 KEYS = ["gds_id", "city_cd", "chnl_cd"]
@@ -18,49 +21,54 @@ ORDER_BUSINESS_TYPES = ["Z", "-"]
 PROMOTION_DEAL_TYPES = ["02", "03"]
 
 
-def sales_base(t: SourceTables, day: str) -> DataFrame:
+def sales_base(t: SourceTables, days) -> DataFrame:
     """Order lines of the day with an order business type, restricted to the selected products.
 
     The reference's inner join to the product list is a semi join here (equal when product codes
     are unique, and never multiplies rows when they are not)."""
-    o = day_scan(t.order, day, "statis_date", *KEYS, "tot_qty", "oms_order_item_id", "busi_tp_id", "rfd_time",
-                 "member_id", "tot_amnt", "shld_amnt", "order_time", "pay_time")
+    o = Days.of(days).scan(t.order, "statis_date", *KEYS, "tot_qty", "oms_order_item_id", "busi_tp_id", "rfd_time",
+                           "member_id", "tot_amnt", "shld_amnt", "order_time", "pay_time")
     o = o.where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
     return restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
 
 
-def price_and_quantity(base: DataFrame) -> DataFrame:
+def price_and_quantity(base: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Average list and paid unit price, quantity. Zero quantity gives a NULL price."""
-    return base.groupBy(*KEYS).agg(
+    return base.groupBy(*keys).agg(
         safe_ratio(F.sum("tot_amnt"), F.sum("tot_qty")).alias("gds_price"),
         safe_ratio(F.sum("shld_amnt"), F.sum("tot_qty")).alias("sale_price"),
         F.sum("tot_qty").alias("sale_cnt"))
 
 
-def promotion_sales(base: DataFrame, t: SourceTables, day: str) -> DataFrame:
-    """Lines ordered on the day that carry a promotion deal (deal type 02/03)."""
-    deals = (day_scan(t.deal, day, "order_item_id", "promotion_num", "deal_type")
+def promotion_sales(base: DataFrame, t: SourceTables, days) -> DataFrame:
+    """Lines ordered on the day that carry a promotion deal (deal type 02/03) of that day."""
+    d = Days.of(days)
+    deals = (d.scan(t.deal, "order_item_id", "promotion_num", "deal_type")
              .where(F.col("promotion_num").isNotNull() & F.col("deal_type").isin(*PROMOTION_DEAL_TYPES)))
     ordered_today = base.where(day_key_from_text(F.col("order_time")) == F.col("statis_date"))
-    promo = restrict_to(ordered_today, deals, "oms_order_item_id", "order_item_id")
-    return promo.groupBy(*KEYS).agg(
+    if d.single:
+        promo = restrict_to(ordered_today, deals, "oms_order_item_id", "order_item_id")
+    else:  # deals match lines of the same day
+        promo = ordered_today.join(deals.select("statis_date", F.col("order_item_id").alias("oms_order_item_id")),
+                                   ["statis_date", "oms_order_item_id"], "left_semi")
+    return promo.groupBy(*d.keys(*KEYS)).agg(
         F.count("oms_order_item_id").alias("sale_promotion_cnt"),
         F.sum("tot_qty").alias("sale_promotion_num"))
 
 
-def rejected_quantity(base: DataFrame) -> DataFrame:
+def rejected_quantity(base: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """N1d: quantity refunded on the day (refund time parsed as a date; malformed -> no match)."""
     return (base.where(day_key_by_parsing(F.col("rfd_time")) == F.col("statis_date"))
-            .groupBy(*KEYS).agg(F.sum("tot_qty").alias("goods_rejected_num")))
+            .groupBy(*keys).agg(F.sum("tot_qty").alias("goods_rejected_num")))
 
 
-def paying_members(base: DataFrame) -> DataFrame:
+def paying_members(base: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """N1e: distinct members who paid on the day."""
     return (base.where(day_key_from_text(F.col("pay_time")) == F.col("statis_date"))
-            .groupBy(*KEYS).agg(F.count_distinct("member_id").alias("sale_member_num")))
+            .groupBy(*keys).agg(F.count_distinct("member_id").alias("sale_member_num")))
 
 
-def sales_features(t: SourceTables, day: str, base: DataFrame | None = None) -> DataFrame:
+def sales_features(t: SourceTables, days, base: DataFrame | None = None) -> DataFrame:
     """The four measure tables combined as the reference's UNION ALL + SUM (stack-and-sum).
 
     The three measure tables that need no join (price and quantity, refunds, paying members) are
@@ -69,10 +77,12 @@ def sales_features(t: SourceTables, day: str, base: DataFrame | None = None) ->
     from the full base in both forms; refund quantity and member count default to 0; and a NULL
     price (zero quantity) becomes 0 exactly when another measure table holds the key, because
     SUM skips the NULL and adds that table's 0."""
-    base = sales_base(t, day) if base is None else base
+    d = Days.of(days)
+    keys = d.keys(*KEYS)
+    base = sales_base(t, d) if base is None else base
     refunded = day_key_by_parsing(F.col("rfd_time")) == F.col("statis_date")
     paid = day_key_from_text(F.col("pay_time")) == F.col("statis_date")
-    one_pass = base.groupBy(*KEYS).agg(
+    one_pass = base.groupBy(*keys).agg(
         F.sum("tot_amnt").alias("__amnt"), F.sum("shld_amnt").alias("__shld"), F.sum("tot_qty").alias("sale_cnt"),
         F.sum(F.when(refunded, F.col("tot_qty"))).alias("goods_rejected_num"),
         F.count_distinct(F.when(paid, F.col("member_id"))).alias("sale_member_num"),
@@ -83,13 +93,16 @@ def sales_features(t: SourceTables, day: str, base: DataFrame | None = None) ->
         other_table, F.coalesce(safe_ratio(F.col(amount), F.col("sale_cnt")), F.lit(0.0))
     ).otherwise(safe_ratio(F.col(amount), F.col("sale_cnt")))
     one_pass = one_pass.select(
-        *KEYS, "sale_cnt", F.coalesce("goods_rejected_num", F.lit(0).cast("bigint")).alias("goods_rejected_num"),
+        *keys, "sale_cnt", F.coalesce("goods_rejected_num", F.lit(0).cast("bigint")).alias("goods_rejected_num"),
         "sale_member_num", price("__amnt").alias("gds_price"), price("__shld").alias("sale_price"))
-    return stack_and_sum([one_pass, promotion_sales(base, t, day)], KEYS, MEASURES)
+    return stack_and_sum([one_pass, promotion_sales(base, t, d)], keys, MEASURES)
 
 
-def sales_features_stacked(t: SourceTables, day: str, base: DataFrame | None = None) -> DataFrame:
+def sales_features_stacked(t: SourceTables, days, base: DataFrame | None = None) -> DataFrame:
     """N1 literally as four measure tables stacked and summed (reference form, for checks)."""
-    base = sales_base(t, day) if base is None else base
-    frames = [price_and_quantity(base), promotion_sales(base, t, day), rejected_quantity(base), paying_members(base)]
-    return stack_and_sum(frames, KEYS, MEASURES)
+    d = Days.of(days)
+    keys = d.keys(*KEYS)
+    base = sales_base(t, d) if base is None else base
+    frames = [price_and_quantity(base, keys), promotion_sales(base, t, d), rejected_quantity(base, keys),
+              paying_members(base, keys)]
+    return stack_and_sum(frames, keys, MEASURES)

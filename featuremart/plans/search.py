@@ -8,43 +8,45 @@ from pyspark.sql import functions as F
 from featuremart.operators.joins import not_placeholder, restrict_to
 from featuremart.plans.sales import ORDER_BUSINESS_TYPES
 from featuremart.plans.visits import KEYS, VISIT_BUSINESS_TYPES
-from featuremart.sources.scans import day_scan
+from featuremart.sources.scans import Days
 from featuremart.sources.tables import SourceTables
 
 VISIT_KEYS = ["gds_id", "city_cd", "visit_id"]
 
 
-def _channel_search(t: SourceTables, df: DataFrame, day: str) -> DataFrame:
-    v = day_scan(df, day, *VISIT_KEYS, "pv_id", "visitor_id", "from_key_word", "busi_tp_id")
+def _channel_search(t: SourceTables, df: DataFrame, d: Days) -> DataFrame:
+    v = d.scan(df, *VISIT_KEYS, "pv_id", "visitor_id", "from_key_word", "busi_tp_id")
     v = v.where((F.col("from_key_word") != "-") & not_placeholder(*VISIT_KEYS)
                 & F.col("busi_tp_id").isin(*VISIT_BUSINESS_TYPES))
     v = restrict_to(v, t.goods_side(), "gds_id", "gds_cd")
-    return v.groupBy(*VISIT_KEYS).agg(
+    return v.groupBy(*d.keys(*VISIT_KEYS)).agg(
         F.count("pv_id").alias("search_visit_pv"),
         F.count_distinct("visitor_id").alias("search_visit_uv"))
 
 
-def search_visits(t: SourceTables, day: str) -> DataFrame:
+def search_visits(t: SourceTables, days) -> DataFrame:
     """Per product x city x visit, keyword page views and visitors, summed over web and app."""
-    both = _channel_search(t, t.app_visit, day).unionByName(_channel_search(t, t.web_visit, day))
-    return both.groupBy(*VISIT_KEYS).agg(
+    d = Days.of(days)
+    both = _channel_search(t, t.app_visit, d).unionByName(_channel_search(t, t.web_visit, d))
+    return both.groupBy(*d.keys(*VISIT_KEYS)).agg(
         F.sum("search_visit_pv").alias("search_visit_pv"),
         F.sum("search_visit_uv").alias("search_visit_uv"))
 
 
-def gds_search(t: SourceTables, day: str) -> DataFrame:
+def gds_search(t: SourceTables, days) -> DataFrame:
     """Order quantity of search visits, with the visit's PV / UV counted once per order line.
 
     The reference joins order lines to search visits and sums, so PV and UV repeat once per order
     line of the visit. Order lines are first reduced per visit to (quantity, line count); the join
     is then one-to-one and ``pv * lines`` reproduces the repetition exactly, without fan-out rows
     and without a hot visit's lines landing in one join task."""
-    o = day_scan(t.order, day, *VISIT_KEYS, "tot_qty", "busi_tp_id")
+    d = Days.of(days)
+    o = d.scan(t.order, *VISIT_KEYS, "tot_qty", "busi_tp_id")
     o = o.where((F.col("gds_id") != "-") & (F.col("visit_id") != "-") & F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
     o = restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
-    per_visit = o.groupBy(*VISIT_KEYS).agg(F.sum("tot_qty").alias("qty"), F.count(F.lit(1)).alias("lines"))
-    j = per_visit.join(search_visits(t, day), VISIT_KEYS)
-    return j.groupBy(*KEYS).agg(
+    per_visit = o.groupBy(*d.keys(*VISIT_KEYS)).agg(F.sum("tot_qty").alias("qty"), F.count(F.lit(1)).alias("lines"))
+    j = per_visit.join(search_visits(t, d), d.keys(*VISIT_KEYS))
+    return j.groupBy(*d.keys(*KEYS)).agg(
         F.sum("qty").alias("tot_qty"),
         F.sum(F.col("search_visit_pv") * F.col("lines")).alias("search_visit_pv"),
         F.sum(F.col("search_visit_uv") * F.col("lines")).alias("search_visit_uv"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from featuremart.functions.expr import safe_ratio
 from featuremart.operators.joins import restrict_to
-from featuremart.sources.scans import day_scan, range_pred, range_scan, shift_day
+from featuremart.sources.scans import Days, range_pred, range_scan, shift_day
 from featuremart.sources.tables import SourceTables
 
 KEYS = ["gds_id", "city_cd"]
@@ -19,18 +19,19 @@ def _visits(t: SourceTables, df: DataFrame) -> DataFrame:
     return restrict_to(df, t.goods_side(), "gds_id", "gds_cd")
 
 
-def visit_measures(t: SourceTables, day: str) -> DataFrame:
+def visit_measures(t: SourceTables, days) -> DataFrame:
     """Page views, visitors, out-of-stock views, one-page visits and visits.
 
     The three distinct counts are taken after reducing the rows to one per
     (product, city, visitor, visit), so Catalyst's expansion for several distinct aggregates
     multiplies the reduced rows, not the raw page views."""
-    v = _visits(t, day_scan(t.cust_visit, day, *KEYS, "visitor_id", "visit_id", "busi_tp_id", "pv_qty",
-                            "oos_pv_qty", "one_pv_puv_flag"))
-    per_visit = v.groupBy(*KEYS, "visitor_id", "visit_id").agg(
+    d = Days.of(days)
+    v = _visits(t, d.scan(t.cust_visit, *KEYS, "visitor_id", "visit_id", "busi_tp_id", "pv_qty", "oos_pv_qty",
+                          "one_pv_puv_flag"))
+    per_visit = v.groupBy(*d.keys(*KEYS, "visitor_id", "visit_id")).agg(
         F.sum("pv_qty").alias("pv_qty"), F.sum("oos_pv_qty").alias("oos_pv_qty"),
         F.max(F.col("one_pv_puv_flag") == 1).alias("one_pv"))
-    return per_visit.groupBy(*KEYS).agg(
+    return per_visit.groupBy(*d.keys(*KEYS)).agg(
         F.sum("pv_qty").alias("pv_qty"),
         F.count_distinct("visitor_id").alias("visitor_num"),
         F.sum("oos_pv_qty").alias("oos_pv_qty"),
@@ -50,13 +51,23 @@ def returning_visitors(t: SourceTables, day: str, d1: str | None = None, d7: str
         F.count_if(F.col("old_visitor") & F.col("new_visitor")).alias("old_uv"))
 
 
-def gds_visit(t: SourceTables, day: str, d1: str | None = None, d7: str | None = None) -> DataFrame:
+def gds_visit(t: SourceTables, days, d1: str | None = None, d7: str | None = None) -> DataFrame:
     """Visit measures with returning visitors (left join: no match -> NULL) and the bounce rate.
-    Both sides are aggregated on (gds_id, city_cd), so the join reuses their partitioning."""
-    a = visit_measures(t, day)
-    d = returning_visitors(t, day, d1, d7)
-    return a.join(d, KEYS, "left").select(
-        *KEYS, "pv_qty", "visitor_num", "oos_pv_qty", "one_pv_puv_num", "visitors", "old_uv",
+    Both sides are aggregated on (gds_id, city_cd), so the join reuses their partitioning.
+
+    For a day range the returning visitors come from the one-pass backfill form (7-day look-back,
+    i.e. the default d7 / d1 of the daily job)."""
+    dd = Days.of(days)
+    a = visit_measures(t, dd)
+    if dd.single:
+        d = returning_visitors(t, dd.lo, d1, d7)
+    else:
+        if d1 is not None or d7 is not None:
+            raise ValueError("gds_visit: explicit d1 / d7 only for a single day")
+        d = returning_visitors_range(t, dd.lo, dd.hi)
+    keys = dd.keys(*KEYS)
+    return a.join(d, keys, "left").select(
+        *keys, "pv_qty", "visitor_num", "oos_pv_qty", "one_pv_puv_num", "visitors", "old_uv",
         safe_ratio(F.col("one_pv_puv_num"), F.col("visitors")).alias("loss_rate"))
 
 

@@ -57,6 +57,14 @@ def _job(fn: Callable[[SourceTables, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
+def _range_job(fn: Callable[[SourceTables, object], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The same job over RANGE_LO..RANGE_HI in one pass (backfill form, statis_date leading)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return round_doubles(fn(_tables(spark, sf_dir), (RANGE_LO, RANGE_HI)))
+    run.__name__ = fn.__name__ + "_range"
+    return run
+
+
 def _lineitem(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return testdata.read(spark, sf_dir, "lineitem", *cols)
 
@@ -203,6 +211,13 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # members (N5) and the wide table
         "gds_member": _job(members.gds_member),
         "feature_gather": _job(gather.feature_gather_for_day),
+        # the same jobs over a day range in one pass (backfill)
+        "sal_fs_range": _range_job(sales.sales_features),
+        "gds_visit_range": _range_job(visits.gds_visit),
+        "gds_clct_cart_range": _range_job(clct_cart.gds_clct_cart),
+        "gds_search_range": _range_job(search.gds_search),
+        "gds_member_range": _range_job(members.gds_member),
+        "feature_gather_range": _range_job(gather.feature_gather_for_day),
         # sales volume (N7) and the ad-hoc fetch
         "sales_volume": sales_volume_q,
         "sales_volume_rank": sales_volume_rank_q,

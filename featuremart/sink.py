@@ -37,8 +37,13 @@ def conform(df: DataFrame, target: Target, day: str | None = None) -> DataFrame:
     return df.select(*cols)
 
 
-def write_day(df: DataFrame, target: Target, day: str, path: str | None = None, table: str | None = None) -> None:
-    """Replace the ``day`` partition of the target (a parquet folder or a catalog table)."""
+def write_day(df: DataFrame, target: Target, day: str | None, path: str | None = None,
+              table: str | None = None) -> None:
+    """Replace the ``day`` partition of the target (a parquet folder or a catalog table). With
+    ``day=None`` the frame carries ``statis_date`` itself (a backfill) and every day it holds is
+    replaced, the others survive."""
+    if day is None and target.partition not in df.columns:
+        raise ValueError(f"{target.name}: no day given and no {target.partition} column")
     out = conform(df, target, day).hint("rebalance")
     if table is not None:
         spark = df.sparkSession
@@ -55,10 +60,13 @@ def write_day(df: DataFrame, target: Target, day: str, path: str | None = None,
      .partitionBy(target.partition).parquet(path))
 
 
-def read_day(spark: SparkSession, target: Target, day: str, path: str) -> DataFrame:
-    """Read one day partition back with the declared schema (no partition type inference)."""
-    return (spark.read.schema(target.schema).parquet(path)
-            .where(F.col(target.partition) == F.lit(_check_day(day))))
+def read_day(spark: SparkSession, target: Target, day: str, path: str, hi: str | None = None) -> DataFrame:
+    """Read one day partition (or the days ``day..hi``) back with the declared schema (no partition
+    type inference)."""
+    df = spark.read.schema(target.schema).parquet(path)
+    if hi is None:
+        return df.where(F.col(target.partition) == F.lit(_check_day(day)))
+    return df.where(F.col(target.partition).between(F.lit(_check_day(day)), F.lit(_check_day(hi))))
 
 
 def write_table(df: DataFrame, target: Target, path: str) -> None:

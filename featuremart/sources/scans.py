@@ -47,3 +47,43 @@ def range_scan(df: DataFrame, lo: str, hi: str, *cols: str, col: str = DAY_COL)
 
 def as_day(d: date) -> str:
     return d.strftime("%Y%m%d")
+
+
+class Days:
+    """One day, or an inclusive range of days computed in one pass (backfill).
+
+    A job scans the range once and adds ``statis_date`` in front of its grouping and join keys;
+    for a single day the keys and output columns are exactly those of the daily job."""
+
+    __slots__ = ("lo", "hi")
+
+    def __init__(self, lo: str, hi: str | None = None):
+        self.lo = _check_day(lo)
+        self.hi = _check_day(hi if hi is not None else lo)
+        if self.hi < self.lo:
+            raise ValueError(f"empty day range {self.lo}..{self.hi}")
+
+    @staticmethod
+    def of(days: "str | tuple[str, str] | Days") -> "Days":
+        if isinstance(days, Days):
+            return days
+        if isinstance(days, tuple):
+            return Days(*days)
+        return Days(days)
+
+    @property
+    def single(self) -> bool:
+        return self.lo == self.hi
+
+    def keys(self, *keys: str) -> list[str]:
+        return list(keys) if self.single else [DAY_COL, *keys]
+
+    def scan(self, df: DataFrame, *cols: str) -> DataFrame:
+        if self.single:
+            return day_scan(df, self.lo, *cols)
+        if cols and DAY_COL not in cols:
+            cols = (DAY_COL, *cols)
+        return range_scan(df, self.lo, self.hi, *cols)
+
+    def __repr__(self) -> str:
+        return f"Days({self.lo!r}, {self.hi!r})"

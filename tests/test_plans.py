@@ -203,3 +203,25 @@ def test_catalog_binding_equals_test_binding(spark, t):
 def test_unknown_source_role_is_rejected():
     with pytest.raises(ValueError):
         SourceTables(orders=None)
+
+
+RANGE = ("20240113", "20240116")
+RANGE_DAYS = ["20240113", "20240114", "20240115", "20240116"]
+
+
+@pytest.mark.parametrize("job", [sales.sales_features, visits.visit_measures, visits.gds_visit,
+                                 clct_cart.gds_clct_cart, search.gds_search, members.gds_member,
+                                 gather.feature_gather_for_day])
+def test_day_range_equals_the_daily_jobs(spark, t, job):
+    from pyspark.sql import functions as F2
+    daily = None
+    for day in RANGE_DAYS:
+        one = job(t, day).select(F2.lit(day).alias("statis_date"), "*")
+        daily = one if daily is None else daily.unionByName(one)
+    assert rows(job(t, RANGE)) == rows(daily)
+
+
+def test_single_day_range_is_the_daily_job(spark, t):
+    assert rows(sales.sales_features(t, (DAY, DAY))) == rows(sales.sales_features(t, DAY))
+    with pytest.raises(ValueError):
+        sales.sales_features(t, ("20240116", "20240113"))

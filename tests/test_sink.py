@@ -63,3 +63,16 @@ def test_write_table_replaces_whole_result(spark):
     sink.write_table(spark.createDataFrame([("g", "20240101", 1, 2, 3, 1)], cols), schemas.SALES_VOLUME_T, out)
     sink.write_table(spark.createDataFrame([("h", "20240102", 4, 5, 6, 1)], cols), schemas.SALES_VOLUME_T, out)
     assert rows(spark.read.parquet(out).select("gds_id", "rank")) == [("h", 1)]
+
+
+def test_daily_run_over_a_range_writes_every_day(spark):
+    out = tempfile.mkdtemp(prefix="fm-range-", dir="/tmp")
+    t = SourceTables.from_testdata(spark, SF_SMALL)
+    paths = daily.run_day(spark, t, ("20240114", "20240116"), out)
+    written = spark.read.schema(schemas.GATHER_T.schema).parquet(paths[schemas.GATHER_T.name])
+    days = sorted(r.statis_date for r in written.select("statis_date").distinct().collect())
+    assert days == ["20240114", "20240115", "20240116"]
+    one = sink.read_day(spark, schemas.GATHER_T, DAY, paths[schemas.GATHER_T.name])
+    cols = [c for c in one.columns if c not in ("etl_time",)]
+    expected = sink.conform(gather.feature_gather_for_day(t, DAY), schemas.GATHER_T, DAY)
+    assert rows(one.select(*cols)) == rows(expected.select(*cols))
