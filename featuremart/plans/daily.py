@@ -33,7 +33,6 @@ def run_day(spark: SparkSession, t: SourceTables, days, out_root: str, persist_b
     ``parallel`` their writes are submitted from separate threads, so Spark schedules their stages
     side by side. The wide table is gathered after all five are written."""
     d = Days.of(days)
-    day = d.lo if d.single else None  # None: the frames carry statis_date
     paths = {}
     base = sales.sales_base(t, d)
     if persist_base:  # read by four measure tables
@@ -50,12 +49,12 @@ def run_day(spark: SparkSession, t: SourceTables, days, out_root: str, persist_b
             paths[target.name] = target_path(out_root, target)
         if parallel:
             with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-                done = [pool.submit(sink.write_day, df, target, day, path=paths[target.name]) for target, df in jobs]
+                done = [pool.submit(sink.write_day, df, target, d, path=paths[target.name]) for target, df in jobs]
                 for f in done:
                     f.result()
         else:
             for target, df in jobs:
-                sink.write_day(df, target, day, path=paths[target.name])
+                sink.write_day(df, target, d, path=paths[target.name])
     finally:
         if persist_base:
             base.unpersist()
@@ -68,5 +67,5 @@ def run_day(spark: SparkSession, t: SourceTables, days, out_root: str, persist_b
     wide = gather.feature_gather(sal, read(schemas.VISITS_T), read(schemas.FAVOURITE_CART_T), read(schemas.SEARCH_T),
                                  read(schemas.MEMBERS_T))
     paths[schemas.GATHER_T.name] = target_path(out_root, schemas.GATHER_T)
-    sink.write_day(wide, schemas.GATHER_T, day, path=paths[schemas.GATHER_T.name])
+    sink.write_day(wide, schemas.GATHER_T, d, path=paths[schemas.GATHER_T.name])
     return paths

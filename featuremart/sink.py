@@ -2,18 +2,20 @@
 
 * ``conform``: rename job columns to the target's names explicitly (never by position), cast to
   the declared types, add the processing-time column in the sink only (K4, K5).
-* ``write_day``: idempotent overwrite of one day partition; other days survive (K2). A REBALANCE
-  hint lets AQE size the output files.
+* ``write_day``: idempotent overwrite of one day partition (or of every day of a range); other days
+  survive, and a day whose new result is empty is emptied (K2). A REBALANCE hint lets AQE size the
+  output files.
 * ``write_table``: plain create-or-replace of an unpartitioned result (K3).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featuremart.schemas import Target
-from featuremart.sources.scans import _check_day
+from featuremart.sources.scans import Days, _check_day, shift_day
 
 
 def etl_time() -> F.Column:
@@ -37,27 +39,61 @@ def conform(df: DataFrame, target: Target, day: str | None = None) -> DataFrame:
     return df.select(*cols)
 
 
-def write_day(df: DataFrame, target: Target, day: str | None, path: str | None = None,
-              table: str | None = None) -> None:
-    """Replace the ``day`` partition of the target (a parquet folder or a catalog table). With
-    ``day=None`` the frame carries ``statis_date`` itself (a backfill) and every day it holds is
-    replaced, the others survive."""
-    if day is None and target.partition not in df.columns:
-        raise ValueError(f"{target.name}: no day given and no {target.partition} column")
-    out = conform(df, target, day).hint("rebalance")
+def write_day(df: DataFrame, target: Target, days, path: str | None = None, table: str | None = None) -> None:
+    """Replace the partitions of ``days`` in the target (a parquet folder or a catalog table), as
+    ``INSERT OVERWRITE ... PARTITION (statis_date = d)`` does: other days survive, a re-run replaces.
+
+    ``days`` is one day (the frame has no ``statis_date``; it is added) or a ``(lo, hi)`` range
+    (the frame carries ``statis_date``). Rows are written with dynamic partition overwrite (each
+    day's files are swapped in at commit); days of the run that produced no rows are then emptied,
+    so a re-run never leaves rows of a previous run behind."""
+    d = Days.of(days)
+    if not d.single and target.partition not in df.columns:
+        raise ValueError(f"{target.name}: a day range needs a {target.partition} column")
+    out = conform(df, target, d.lo if d.single else None).hint("rebalance")
+    spark = df.sparkSession
+    if table is not None and not spark.catalog.tableExists(table):
+        out.limit(0).write.format("parquet").partitionBy(target.partition).saveAsTable(table)
+    # the days the new result holds, gathered while writing (at most one entry per day of the run)
+    seen = Observation(f"days_{target.name}")
+    out = out.observe(seen, F.collect_set(target.partition).alias("days"))
     if table is not None:
-        spark = df.sparkSession
-        if not spark.catalog.tableExists(table):
-            (out.limit(0).write.format("parquet").partitionBy(target.partition).saveAsTable(table))
         # Columns are already in the table's order and named like it; insertInto only adds the
         # dynamic partition overwrite.
         order = spark.table(table).columns
         out.select(*order).write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
-        return
-    if path is None:
+    elif path is not None:
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(target.partition).parquet(path))
+    else:
         raise ValueError("write_day: give a path or a table")
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(target.partition).parquet(path))
+    present = set(seen.get.get("days") or [])
+    _empty_days(spark, target, [day for day in _day_list(d) if day not in present], path, table)
+
+
+def _empty_days(spark: SparkSession, target: Target, days: list[str], path: str | None, table: str | None) -> None:
+    """Static overwrite of each day with no rows (``INSERT OVERWRITE ... PARTITION (d)`` of nothing)."""
+    if not days:
+        return
+    part = target.partition
+    fields = [f for f in target.schema.fields if f.name != part]
+    empty = spark.createDataFrame([], T.StructType(fields))
+    for day in days:
+        if table is not None:
+            view = f"__featuremart_empty_{target.name}"
+            empty.createOrReplaceTempView(view)
+            cols = ", ".join(f"`{f.name}`" for f in fields)
+            spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({part} = '{day}') SELECT {cols} FROM {view}")
+        else:
+            empty.write.mode("overwrite").parquet(f"{path}/{part}={day}")
+
+
+def _day_list(d: Days) -> list[str]:
+    out, day = [], d.lo
+    while day <= d.hi:
+        out.append(day)
+        day = shift_day(day, 1)
+    return out
 
 
 def read_day(spark: SparkSession, target: Target, day: str, path: str, hi: str | None = None) -> DataFrame:

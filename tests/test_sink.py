@@ -76,3 +76,29 @@ def test_daily_run_over_a_range_writes_every_day(spark):
     cols = [c for c in one.columns if c not in ("etl_time",)]
     expected = sink.conform(gather.feature_gather_for_day(t, DAY), schemas.GATHER_T, DAY)
     assert rows(one.select(*cols)) == rows(expected.select(*cols))
+
+
+def test_rerun_with_empty_result_empties_the_day(spark):
+    out = tempfile.mkdtemp(prefix="fm-empty-", dir="/tmp")
+    cols = "gds_id string, city_cd string, p_clct_uv_num bigint, cart_flag_uv_num bigint"
+    df = spark.createDataFrame([("g1", "c", 1, 2)], cols)
+    sink.write_day(df, schemas.FAVOURITE_CART_T, "20240101", path=out)
+    sink.write_day(df, schemas.FAVOURITE_CART_T, "20240102", path=out)
+    sink.write_day(df.where("false"), schemas.FAVOURITE_CART_T, "20240101", path=out)
+    back = spark.read.schema(schemas.FAVOURITE_CART_T.schema).parquet(out)
+    assert rows(back.select("gds_id", "statis_date")) == [("g1", "20240102")]
+    # a range run: days with rows are replaced, days without rows emptied, others kept
+    rng = spark.createDataFrame([("g9", "c", 1, 1, "20240103")], cols + ", statis_date string")
+    sink.write_day(df, schemas.FAVOURITE_CART_T, "20240104", path=out)
+    sink.write_day(rng, schemas.FAVOURITE_CART_T, ("20240102", "20240103"), path=out)
+    back = spark.read.schema(schemas.FAVOURITE_CART_T.schema).parquet(out)
+    assert rows(back.select("gds_id", "statis_date")) == [("g1", "20240104"), ("g9", "20240103")]
+
+
+def test_catalog_rerun_with_empty_result_empties_the_day(spark):
+    cols = "gds_id string, city_cd string, p_clct_uv_num bigint, cart_flag_uv_num bigint"
+    df = spark.createDataFrame([("g1", "c", 1, 2)], cols)
+    sink.write_day(df, schemas.FAVOURITE_CART_T, "20240101", table="fm_cart")
+    sink.write_day(df, schemas.FAVOURITE_CART_T, "20240102", table="fm_cart")
+    sink.write_day(df.where("false"), schemas.FAVOURITE_CART_T, "20240101", table="fm_cart")
+    assert rows(spark.table("fm_cart").select("gds_id", "statis_date")) == [("g1", "20240102")]
