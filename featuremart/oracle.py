@@ -304,7 +304,6 @@ def _day_ctes(day: str) -> dict[str, str]:
 MEMBER_OUT = ["members"] + [n for n, _ in LEVEL_COLUMNS] + ["vn"] + [n for n, _ in AGE_COLUMNS] + ["ar10"] + \
     [n for n, _ in GENDER_COLUMNS]
 
-R6 = "(CASE WHEN abs({0}) < 1e12 THEN floor(({0}) * 1e6 + 0.5) / 1e6 ELSE ({0}) END) AS {0}"
 
 PAID_DAYS = f"""
 paid AS (
@@ -324,10 +323,6 @@ def _r6(expr: str) -> str:
     return f"(CASE WHEN abs({expr}) < 1e12 THEN floor(({expr}) * 1e6 + 0.5) / 1e6 ELSE ({expr}) END)"
 
 
-def _round_cols(cols: list[str], doubles: set[str]) -> str:
-    return ", ".join(R6.format(c) if c in doubles else c for c in cols)
-
-
 GATHER_COLS = ["gds_id", "city_cd", "chnl_cd", "sale_cnt", "sale_promotion_cnt", "sale_promotion_num",
                "goods_rejected_num", "sale_member_num", "gds_price", "sale_price", "pv_qty", "visitor_num",
                "oos_pv_qty", "one_pv_puv_num", "visitors", "old_uv", "loss_rate", "p_clct_uv_num",
