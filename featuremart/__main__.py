@@ -38,6 +38,8 @@ def main(argv: list[str] | None = None) -> int:
         sp.add_argument("--master", default=None, help="only for local runs, e.g. local[8]")
     sub.choices["run-day"].add_argument("--date", required=True, help="yyyyMMdd (first day with --to)")
     sub.choices["run-day"].add_argument("--to", default=None, help="last day of a backfill range, yyyyMMdd")
+    sub.choices["run-day"].add_argument("--approx-distinct", action="store_true",
+                                        help="HyperLogLog distinct counts instead of exact ones")
     sv = sub.choices["sales-volume"]
     sv.add_argument("--start", default="20160101")
     sv.add_argument("--end", default="20171231")
@@ -56,7 +58,8 @@ def main(argv: list[str] | None = None) -> int:
     t = _tables(spark, args)
     if args.cmd == "run-day":
         from featuremart.plans.daily import run_day
-        paths = run_day(spark, t, (args.date, args.to) if args.to else args.date, args.out)
+        paths = run_day(spark, t, (args.date, args.to) if args.to else args.date, args.out,
+                        approx_distinct=args.approx_distinct)
         print(json.dumps(paths))
     else:
         from featuremart import schemas, sink

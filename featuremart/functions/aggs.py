@@ -18,6 +18,13 @@ from featuremart.functions.checks import (TIMESTAMPS, require_columns, require_m
                                           require_orderable, require_string)
 
 
+def distinct_count(c: Column | str, approx: bool = False, rsd: float = 0.01) -> Column:
+    """``COUNT(DISTINCT c)`` (A3). ``approx=True`` uses a HyperLogLog++ sketch (relative standard
+    deviation ``rsd``): sketches merge map-side, so no (key, value) pairs are shuffled. Exact is the
+    default and the reference's contract."""
+    return F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c)
+
+
 def max_any(df: DataFrame, col: str) -> Column:
     """``max`` over any orderable type (U5); NULLs skipped, empty group -> NULL."""
     require_orderable(df, col, "max")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featuremart.functions.aggs import distinct_count
 from featuremart.functions.expr import flag
 from featuremart.operators.joins import restrict_to
 from featuremart.plans.visits import KEYS, VISIT_BUSINESS_TYPES
@@ -45,7 +46,7 @@ def app_click_flags(t: SourceTables, days) -> DataFrame:
         F.max(flag(num.isin(*APP_CART_CODES))).alias("cart_flag"))
 
 
-def gds_clct_cart(t: SourceTables, days) -> DataFrame:
+def gds_clct_cart(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:
     """Distinct visitors with a favourite / cart click, web and app together.
 
     As in the reference, only the web page views are filtered by business type. Distinct counts are
@@ -60,6 +61,10 @@ def gds_clct_cart(t: SourceTables, days) -> DataFrame:
     app_flags = app_click_flags(t, d).withColumnRenamed("pv_key", "pv_id")
     app_rows = app.join(app_flags, d.keys("pv_id")).select(*out)
     rows = web_rows.unionByName(app_rows)
+    if approx_distinct:  # HyperLogLog sketches per key instead of the per-visitor level
+        return rows.groupBy(*d.keys(*KEYS)).agg(
+            distinct_count(F.when(F.col("p_clct_flag") == 1, F.col("visitor_id")), True).alias("p_clct_uv_num"),
+            distinct_count(F.when(F.col("cart_flag") == 1, F.col("visitor_id")), True).alias("cart_flag_uv_num"))
     per_visitor = rows.groupBy(*d.keys(*KEYS, "visitor_id")).agg(
         F.max("p_clct_flag").alias("p"), F.max("cart_flag").alias("c"))
     known = F.col("visitor_id").isNotNull()

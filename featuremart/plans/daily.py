@@ -24,14 +24,15 @@ def target_path(root: str, target: schemas.Target) -> str:
 
 
 def run_day(spark: SparkSession, t: SourceTables, days, out_root: str, persist_base: bool = True,
-            parallel: bool = True) -> dict:
+            parallel: bool = True, approx_distinct: bool = False) -> dict:
     """Compute and write every feature table of ``days`` under ``out_root``; returns the paths.
 
     ``days`` is one day, or a ``(lo, hi)`` range for a backfill: each job then scans the range once
     and writes all its day partitions in one job (N2's returning visitors by the one-pass look-back
     form instead of an 8-day scan per day). The five feature jobs are independent; with
     ``parallel`` their writes are submitted from separate threads, so Spark schedules their stages
-    side by side. The wide table is gathered after all five are written."""
+    side by side. The wide table is gathered after all five are written. ``approx_distinct``
+    switches the distinct-visitor / member counts to HyperLogLog sketches (default exact)."""
     d = Days.of(days)
     paths = {}
     base = sales.sales_base(t, d)
@@ -39,10 +40,10 @@ def run_day(spark: SparkSession, t: SourceTables, days, out_root: str, persist_b
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [
-            (schemas.SALES_T, sales.sales_features(t, d, base=base)),
-            (schemas.VISITS_T, visits.gds_visit(t, d)),
-            (schemas.FAVOURITE_CART_T, clct_cart.gds_clct_cart(t, d)),
-            (schemas.SEARCH_T, search.gds_search(t, d)),
+            (schemas.SALES_T, sales.sales_features(t, d, base=base, approx_distinct=approx_distinct)),
+            (schemas.VISITS_T, visits.gds_visit(t, d, approx_distinct=approx_distinct)),
+            (schemas.FAVOURITE_CART_T, clct_cart.gds_clct_cart(t, d, approx_distinct)),
+            (schemas.SEARCH_T, search.gds_search(t, d, approx_distinct)),
             (schemas.MEMBERS_T, members.gds_member(t, d)),
         ]
         for target, _ in jobs:

@@ -72,9 +72,10 @@ def feature_gather_joined(sales: DataFrame, visit: DataFrame, clct_cart: DataFra
     return out.select(*keys[:-2], *OUTPUT)
 
 
-def feature_gather_for_day(t: SourceTables, days) -> DataFrame:
+def feature_gather_for_day(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:
     """N6 computed in one plan from the source tables (the daily runner instead reads the five
     written day partitions back). ``days`` may be a (lo, hi) range: one row set per day."""
     d = Days.of(days)
-    return feature_gather(sales_features(t, d), gds_visit(t, d), gds_clct_cart(t, d), gds_search(t, d),
-                          gds_member(t, d))
+    a = approx_distinct
+    return feature_gather(sales_features(t, d, approx_distinct=a), gds_visit(t, d, approx_distinct=a),
+                          gds_clct_cart(t, d, a), gds_search(t, d, a), gds_member(t, d))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featuremart.functions.aggs import distinct_count
 from featuremart.functions.expr import day_key_by_parsing, day_key_from_text, safe_ratio
 from featuremart.operators.joins import restrict_to
 from featuremart.operators.relops import stack_and_sum
@@ -68,7 +69,8 @@ def paying_members(base: DataFrame, keys: list[str] = KEYS) -> DataFrame:
             .groupBy(*keys).agg(F.count_distinct("member_id").alias("sale_member_num")))
 
 
-def sales_features(t: SourceTables, days, base: DataFrame | None = None) -> DataFrame:
+def sales_features(t: SourceTables, days, base: DataFrame | None = None, approx_distinct: bool = False
+                   ) -> DataFrame:
     """The four measure tables combined as the reference's UNION ALL + SUM (stack-and-sum).
 
     The three measure tables that need no join (price and quantity, refunds, paying members) are
@@ -76,7 +78,8 @@ def sales_features(t: SourceTables, days, base: DataFrame | None = None) -> Data
     deals) is stacked onto it. Two scans of the base instead of four, same result: keys come
     from the full base in both forms; refund quantity and member count default to 0; and a NULL
     price (zero quantity) becomes 0 exactly when another measure table holds the key, because
-    SUM skips the NULL and adds that table's 0."""
+    SUM skips the NULL and adds that table's 0. ``approx_distinct`` counts paying members with a
+    HyperLogLog sketch instead of exactly."""
     d = Days.of(days)
     keys = d.keys(*KEYS)
     base = sales_base(t, d) if base is None else base
@@ -85,7 +88,7 @@ def sales_features(t: SourceTables, days, base: DataFrame | None = None) -> Data
     one_pass = base.groupBy(*keys).agg(
         F.sum("tot_amnt").alias("__amnt"), F.sum("shld_amnt").alias("__shld"), F.sum("tot_qty").alias("sale_cnt"),
         F.sum(F.when(refunded, F.col("tot_qty"))).alias("goods_rejected_num"),
-        F.count_distinct(F.when(paid, F.col("member_id"))).alias("sale_member_num"),
+        distinct_count(F.when(paid, F.col("member_id")), approx_distinct).alias("sale_member_num"),
         F.coalesce(F.max(refunded), F.lit(False)).alias("__has_refund"),
         F.coalesce(F.max(paid), F.lit(False)).alias("__has_paid"))
     other_table = F.col("__has_refund") | F.col("__has_paid")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from featuremart.functions.aggs import distinct_count
 from featuremart.functions.expr import safe_ratio
 from featuremart.operators.joins import restrict_to
 from featuremart.sources.scans import Days, range_pred, range_scan, shift_day
@@ -19,15 +20,23 @@ def _visits(t: SourceTables, df: DataFrame) -> DataFrame:
     return restrict_to(df, t.goods_side(), "gds_id", "gds_cd")
 
 
-def visit_measures(t: SourceTables, days) -> DataFrame:
+def visit_measures(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:
     """Page views, visitors, out-of-stock views, one-page visits and visits.
 
     The three distinct counts are taken after reducing the rows to one per
     (product, city, visitor, visit), so Catalyst's expansion for several distinct aggregates
-    multiplies the reduced rows, not the raw page views."""
+    multiplies the reduced rows, not the raw page views. With ``approx_distinct`` the three counts
+    are HyperLogLog sketches over the raw rows: one grouped pass, no distinct shuffle."""
     d = Days.of(days)
     v = _visits(t, d.scan(t.cust_visit, *KEYS, "visitor_id", "visit_id", "busi_tp_id", "pv_qty", "oos_pv_qty",
                           "one_pv_puv_flag"))
+    if approx_distinct:
+        return v.groupBy(*d.keys(*KEYS)).agg(
+            F.sum("pv_qty").alias("pv_qty"),
+            distinct_count("visitor_id", True).alias("visitor_num"),
+            F.sum("oos_pv_qty").alias("oos_pv_qty"),
+            distinct_count(F.when(F.col("one_pv_puv_flag") == 1, F.col("visit_id")), True).alias("one_pv_puv_num"),
+            distinct_count("visit_id", True).alias("visitors"))
     per_visit = v.groupBy(*d.keys(*KEYS, "visitor_id", "visit_id")).agg(
         F.sum("pv_qty").alias("pv_qty"), F.sum("oos_pv_qty").alias("oos_pv_qty"),
         F.max(F.col("one_pv_puv_flag") == 1).alias("one_pv"))
@@ -51,14 +60,15 @@ def returning_visitors(t: SourceTables, day: str, d1: str | None = None, d7: str
         F.count_if(F.col("old_visitor") & F.col("new_visitor")).alias("old_uv"))
 
 
-def gds_visit(t: SourceTables, days, d1: str | None = None, d7: str | None = None) -> DataFrame:
+def gds_visit(t: SourceTables, days, d1: str | None = None, d7: str | None = None, approx_distinct: bool = False
+              ) -> DataFrame:
     """Visit measures with returning visitors (left join: no match -> NULL) and the bounce rate.
     Both sides are aggregated on (gds_id, city_cd), so the join reuses their partitioning.
 
     For a day range the returning visitors come from the one-pass backfill form (7-day look-back,
     i.e. the default d7 / d1 of the daily job)."""
     dd = Days.of(days)
-    a = visit_measures(t, dd)
+    a = visit_measures(t, dd, approx_distinct)
     if dd.single:
         d = returning_visitors(t, dd.lo, d1, d7)
     else:

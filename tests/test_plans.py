@@ -225,3 +225,27 @@ def test_single_day_range_is_the_daily_job(spark, t):
     assert rows(sales.sales_features(t, (DAY, DAY))) == rows(sales.sales_features(t, DAY))
     with pytest.raises(ValueError):
         sales.sales_features(t, ("20240116", "20240113"))
+
+
+def test_approx_distinct_counts_are_close_and_skip_the_distinct_shuffle(spark, t):
+    import contextlib
+    import io
+    for job, cols in ((visits.visit_measures, ["visitor_num", "one_pv_puv_num", "visitors"]),
+                      (clct_cart.gds_clct_cart, ["p_clct_uv_num", "cart_flag_uv_num"]),
+                      (search.search_visits, ["search_visit_uv"])):
+        exact = {tuple(r[:2]): r for r in job(t, DAY).collect()}
+        approx_df = job(t, DAY, approx_distinct=True)
+        approx = {tuple(r[:2]): r for r in approx_df.collect()}
+        assert exact.keys() == approx.keys()
+        for k in exact:
+            for c in cols:
+                e, a = exact[k][c], approx[k][c]
+                assert abs(a - e) <= max(1, 0.05 * e), (job.__name__, k, c, e, a)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            approx_df.explain()
+        assert "Expand" not in buf.getvalue()
+    exact = {tuple(r[:3]): r.sale_member_num for r in sales.sales_features(t, DAY).collect()}
+    approx = {tuple(r[:3]): r.sale_member_num for r in sales.sales_features(t, DAY, approx_distinct=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[k] - exact[k]) <= max(1, 0.05 * exact[k]) for k in exact)
