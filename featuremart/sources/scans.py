@@ -10,6 +10,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY_COL = "statis_date"
 
@@ -34,14 +35,22 @@ def range_pred(lo: str, hi: str, col: str = DAY_COL) -> Column:
     return F.col(col).between(F.lit(_check_day(lo)), F.lit(_check_day(hi)))
 
 
+def _text_day(df: DataFrame, col: str) -> DataFrame:
+    """A partitioned folder read without a schema infers the day key as a number; the jobs compare
+    it with text day keys, so it is turned back into text (after the filter, which still prunes)."""
+    if col in df.columns and not isinstance(df.schema[col].dataType, T.StringType):
+        return df.withColumn(col, F.col(col).cast("string"))
+    return df
+
+
 def day_scan(df: DataFrame, day: str, *cols: str, col: str = DAY_COL) -> DataFrame:
     """Single-day scan with an optional column subset."""
-    out = df.where(day_pred(day, col))
+    out = _text_day(df.where(day_pred(day, col)), col)
     return out.select(*cols) if cols else out
 
 
 def range_scan(df: DataFrame, lo: str, hi: str, *cols: str, col: str = DAY_COL) -> DataFrame:
-    out = df.where(range_pred(lo, hi, col))
+    out = _text_day(df.where(range_pred(lo, hi, col)), col)
     return out.select(*cols) if cols else out
 
 

@@ -81,3 +81,18 @@ def test_scans_read_only_used_columns(spark):
     text = plan(queries()["letters_total"](spark, SF_SMALL))
     assert "ReadSchema: struct<text:string,lang:string>" in text or "ReadSchema: struct<lang:string,text:string>" \
         in text
+
+
+def test_inferred_numeric_day_key_still_prunes_and_matches(spark, partitioned):
+    # the same folders read without a schema: statis_date is inferred as a number
+    import os
+    from conftest import rows
+    root = os.path.dirname(partitioned.order.inputFiles()[0].split("/statis_date=")[0].replace("file:", ""))
+    frames = {name: spark.read.parquet(f"{root}/{name}") for name in
+              ["order", "deal", "cust_visit", "web_visit", "app_visit", "web_click", "app_click"]}
+    assert dict(frames["order"].dtypes)["statis_date"] != "string"
+    inferred = SourceTables(goods=partitioned.goods, member=partitioned.member, **frames)
+    from featuremart.plans import gather
+    text = plan(sales.sales_features(inferred, DAY), "formatted")
+    assert any(ln.startswith("PartitionFilters:") and "20240115" in ln for ln in text.splitlines())
+    assert rows(gather.feature_gather_for_day(inferred, DAY)) == rows(gather.feature_gather_for_day(partitioned, DAY))
