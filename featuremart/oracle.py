@@ -298,7 +298,10 @@ def _day_ctes(day: str) -> dict[str, str]:
             GROUP BY gds_id, city_cd, member_id) t1
       JOIN fx_member t2 ON t1.member_id = t2.member_id
       GROUP BY t1.gds_id, t1.city_cd)"""
-    return {"SALES_BASE": SALES_BASE, "FS01": FS01, "FS02": FS02, "FS03": FS03, "FS04": FS04, "SAL_FS": SAL_FS, "VISIT_A": VISIT_A, "VISIT_D": VISIT_D, "GDS_VISIT": GDS_VISIT, "WEB_FLAGS": WEB_FLAGS, "APP_FLAGS": APP_FLAGS, "CLCT_CART": CLCT_CART, "SEARCH_VISITS": SEARCH_VISITS, "GDS_SEARCH": GDS_SEARCH, "GDS_MEMBER": GDS_MEMBER}
+    names = ["SALES_BASE", "FS01", "FS02", "FS03", "FS04", "SAL_FS", "VISIT_A", "VISIT_D", "GDS_VISIT", "WEB_FLAGS",
+             "APP_FLAGS", "CLCT_CART", "SEARCH_VISITS", "GDS_SEARCH", "GDS_MEMBER"]
+    scope = locals()
+    return {n: scope[n] for n in names}
 
 
 MEMBER_OUT = ["members"] + [n for n, _ in LEVEL_COLUMNS] + ["vn"] + [n for n, _ in AGE_COLUMNS] + ["ar10"] + \
@@ -337,7 +340,7 @@ def _gather_select() -> str:
                 "search_visit_uv": "d"})
     src.update({c: "e" for c in MEMBER_OUT})
     doubles = {"gds_price", "sale_price", "loss_rate"}
-    return ", ".join(f"(CASE WHEN abs({src[c]}.{c}) < 1e12 THEN floor(({src[c]}.{c}) * 1e6 + 0.5) / 1e6 ELSE ({src[c]}.{c}) END) AS {c}" if c in doubles else f"{src[c]}.{c}" for c in GATHER_COLS)
+    return ", ".join(f"{_r6(src[c] + '.' + c)} AS {c}" if c in doubles else f"{src[c]}.{c}" for c in GATHER_COLS)
 
 
 def _daily_queries(day: str) -> dict[str, str]:

@@ -36,15 +36,15 @@ def run_day(spark: SparkSession, t: SourceTables, days, out_root: str, persist_b
     d = Days.of(days)
     paths = {}
     base = sales.sales_base(t, d)
-    if persist_base:  # read by four measure tables
+    if persist_base:  # the day's order lines: read by N1's two branches, N4 and N5
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [
             (schemas.SALES_T, sales.sales_features(t, d, base=base, approx_distinct=approx_distinct)),
             (schemas.VISITS_T, visits.gds_visit(t, d, approx_distinct=approx_distinct)),
             (schemas.FAVOURITE_CART_T, clct_cart.gds_clct_cart(t, d, approx_distinct)),
-            (schemas.SEARCH_T, search.gds_search(t, d, approx_distinct)),
-            (schemas.MEMBERS_T, members.gds_member(t, d)),
+            (schemas.SEARCH_T, search.gds_search(t, d, approx_distinct, base=base)),
+            (schemas.MEMBERS_T, members.gds_member(t, d, base=base)),
         ]
         for target, _ in jobs:
             paths[target.name] = target_path(out_root, target)

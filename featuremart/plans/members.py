@@ -39,19 +39,23 @@ def member_counters() -> list[tuple[str, object]]:
     return counters
 
 
-def buyers(t: SourceTables, days) -> DataFrame:
-    """Distinct (product, city, member) of the day's order lines."""
+def buyers(t: SourceTables, days, base: DataFrame | None = None) -> DataFrame:
+    """Distinct (product, city, member) of the day's order lines (``base``: the shared order lines of
+    ``sales.sales_base``)."""
     d = Days.of(days)
-    o = d.scan(t.order, *KEYS, "member_id", "busi_tp_id").where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
-    return restrict_to(o, t.goods_side(), "gds_id", "gds_cd").select(*d.keys(*KEYS), "member_id").distinct()
+    if base is None:
+        o = d.scan(t.order, *KEYS, "member_id", "busi_tp_id")
+        o = o.where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
+        base = restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
+    return base.select(*d.keys(*KEYS), "member_id").distinct()
 
 
-def gds_member(t: SourceTables, days) -> DataFrame:
+def gds_member(t: SourceTables, days, base: DataFrame | None = None) -> DataFrame:
     """Buyers joined to the member table (inner: buyers without a member row drop out), then
     member, level, age and gender counts in one grouped pass. The member table is large, so the
     join is a shuffle join on member_id (AQE splits a hot member's partition)."""
     d = Days.of(days)
     m = t.member.select("member_id", "mem_lvl", "age_range", "gender")
-    j = buyers(t, d).join(m, "member_id")
+    j = buyers(t, d, base).join(m, "member_id")
     out = count_by_label(j, d.keys(*KEYS), member_counters(), total=("members", F.col("member_id")))
     return out.select(*d.keys(*KEYS), *OUTPUT)

@@ -26,9 +26,11 @@ def sales_base(t: SourceTables, days) -> DataFrame:
     """Order lines of the day with an order business type, restricted to the selected products.
 
     The reference's inner join to the product list is a semi join here (equal when product codes
-    are unique, and never multiplies rows when they are not)."""
-    o = Days.of(days).scan(t.order, "statis_date", *KEYS, "tot_qty", "oms_order_item_id", "busi_tp_id", "rfd_time",
-                           "member_id", "tot_amnt", "shld_amnt", "order_time", "pay_time")
+    are unique, and never multiplies rows when they are not). The search (N4) and member (N5) jobs
+    start from the same lines, so the daily runner builds this once and shares it (``visit_id`` is
+    kept for N4)."""
+    o = Days.of(days).scan(t.order, "statis_date", *KEYS, "visit_id", "tot_qty", "oms_order_item_id", "busi_tp_id",
+                           "rfd_time", "member_id", "tot_amnt", "shld_amnt", "order_time", "pay_time")
     o = o.where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
     return restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
 

@@ -35,17 +35,22 @@ def search_visits(t: SourceTables, days, approx_distinct: bool = False) -> DataF
         F.sum("search_visit_uv").alias("search_visit_uv"))
 
 
-def gds_search(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:
+def gds_search(t: SourceTables, days, approx_distinct: bool = False, base: DataFrame | None = None) -> DataFrame:
     """Order quantity of search visits, with the visit's PV / UV counted once per order line.
 
     The reference joins order lines to search visits and sums, so PV and UV repeat once per order
     line of the visit. Order lines are first reduced per visit to (quantity, line count); the join
     is then one-to-one and ``pv * lines`` reproduces the repetition exactly, without fan-out rows
-    and without a hot visit's lines landing in one join task."""
+    and without a hot visit's lines landing in one join task. ``base`` may be the shared order
+    lines of ``sales.sales_base`` (already filtered by business type and product)."""
     d = Days.of(days)
-    o = d.scan(t.order, *VISIT_KEYS, "tot_qty", "busi_tp_id")
-    o = o.where((F.col("gds_id") != "-") & (F.col("visit_id") != "-") & F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
-    o = restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
+    if base is None:
+        o = d.scan(t.order, *VISIT_KEYS, "tot_qty", "busi_tp_id")
+        o = o.where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
+        o = restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
+    else:
+        o = base
+    o = o.where((F.col("gds_id") != "-") & (F.col("visit_id") != "-"))
     per_visit = o.groupBy(*d.keys(*VISIT_KEYS)).agg(F.sum("tot_qty").alias("qty"), F.count(F.lit(1)).alias("lines"))
     j = per_visit.join(search_visits(t, d, approx_distinct), d.keys(*VISIT_KEYS))
     return j.groupBy(*d.keys(*KEYS)).agg(

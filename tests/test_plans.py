@@ -249,3 +249,13 @@ def test_approx_distinct_counts_are_close_and_skip_the_distinct_shuffle(spark, t
     approx = {tuple(r[:3]): r.sale_member_num for r in sales.sales_features(t, DAY, approx_distinct=True).collect()}
     assert exact.keys() == approx.keys()
     assert all(abs(approx[k] - exact[k]) <= max(1, 0.05 * exact[k]) for k in exact)
+
+
+def test_search_and_members_from_the_shared_order_base(spark, t):
+    base = sales.sales_base(t, DAY)
+    assert rows(search.gds_search(t, DAY, base=base)) == rows(search.gds_search(t, DAY))
+    assert rows(members.gds_member(t, DAY, base=base)) == rows(members.gds_member(t, DAY))
+    rng = ("20240113", "20240115")
+    rbase = sales.sales_base(t, rng)
+    assert rows(search.gds_search(t, rng, base=rbase)) == rows(search.gds_search(t, rng))
+    assert rows(members.gds_member(t, rng, base=rbase)) == rows(members.gds_member(t, rng))
