@@ -29,7 +29,8 @@ def sales_base(t: SourceTables, days) -> DataFrame:
     are unique, and never multiplies rows when they are not). The search (N4) and member (N5) jobs
     start from the same lines, so the daily runner builds this once and shares it (``visit_id`` is
     kept for N4)."""
-    o = Days.of(days).scan(t.order, "statis_date", *KEYS, "visit_id", "tot_qty", "oms_order_item_id", "busi_tp_id",
+    shared = ["visit_id"] if "visit_id" in t.order.columns else []
+    o = Days.of(days).scan(t.order, "statis_date", *KEYS, *shared, "tot_qty", "oms_order_item_id", "busi_tp_id",
                            "rfd_time", "member_id", "tot_amnt", "shld_amnt", "order_time", "pay_time")
     o = o.where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
     return restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
