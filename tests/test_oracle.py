@@ -1,5 +1,5 @@
-"""Every registered query against its DuckDB oracle SQL on the smallest test data (exact values,
-order-insensitive, columns compared by name). The driver runs the same comparison at sf0.01;
+"""Every registered query against its DuckDB oracle SQL on the smallest test data: same column
+names and types, and the same rows (exact values, order-insensitive, columns compared by name). The driver runs the same comparison at sf0.01;
 ``tools/check_oracle.py`` runs it at any scale."""
 
 import os
@@ -23,6 +23,11 @@ def _names():
     return list(queries())
 
 
+# Spark type names as DuckDB reports them
+DUCK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+              "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, duck, name):
     from check_oracle import rows_of
@@ -30,6 +35,8 @@ def test_query_matches_oracle(spark, duck, name):
     from __spark_entry__ import oracle_sql, queries
     df = queries()[name](spark, SF_SMALL)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    rel = duck.sql(oracle_sql()[name])
+    assert {c: DUCK_TYPES.get(t, t) for c, t in df.dtypes} == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = duck.execute(oracle_sql()[name])
     cols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(cols)
