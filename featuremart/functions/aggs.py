@@ -68,6 +68,10 @@ def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median"
       3. only the values in [lo, hi] (about ``8 / accuracy`` of a group) are ranked exactly in a
          window per group. A group whose check fails is ranked over all its values instead, so
          the result is exact whatever the sketch returns.
+
+    ``percentile_approx`` documents a rank error of at most ``n / accuracy``; the window reaches
+    ``4 n / accuracy`` to each side of the middle, so the check can only fail if that bound does.
+    The fallback is a safety net for exactness, not a path the data should take.
     """
     require_median_input(df, col)
     g = list(group)
