@@ -4,7 +4,7 @@
   python -m featuremart sales-volume --start 20160101 --end 20171231 --min-days 600 --rank-limit 10000 \\
       --out /shared/mart/sales_volume_stats (--testdata DIR | --catalog names.json)
 
-``--catalog`` names a JSON object mapping source roles (order, goods, deal, cust_visit, web_visit,
+``--catalog`` (or ``--paths`` for parquet folders) names a JSON object mapping source roles (order, goods, deal, cust_visit, web_visit,
 app_visit, web_click, app_click, member) to catalog table names. The day is a function argument,
 never text substituted into SQL.
 """
@@ -22,6 +22,9 @@ def _tables(spark: SparkSession, args):
     from featuremart.sources import SourceTables
     if args.testdata:
         return SourceTables.from_testdata(spark, args.testdata)
+    if args.paths:
+        with open(args.paths) as fh:
+            return SourceTables.from_paths(spark, json.load(fh))
     with open(args.catalog) as fh:
         return SourceTables.from_catalog(spark, json.load(fh))
 
@@ -34,6 +37,7 @@ def main(argv: list[str] | None = None) -> int:
         src = sp.add_mutually_exclusive_group(required=True)
         src.add_argument("--testdata", help="test-data folder (sf*/) to bind the sources to")
         src.add_argument("--catalog", help="JSON file: source role -> catalog table")
+        src.add_argument("--paths", help="JSON file: source role -> parquet folder (partitioned by statis_date)")
         sp.add_argument("--out", required=True, help="output root (run-day) or table folder (sales-volume)")
         sp.add_argument("--master", default=None, help="only for local runs, e.g. local[8]")
     sub.choices["run-day"].add_argument("--date", required=True, help="yyyyMMdd (first day with --to)")

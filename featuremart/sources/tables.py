@@ -62,6 +62,18 @@ class SourceTables:
     def from_catalog(cls, spark: SparkSession, names: dict[str, str], **kw) -> "SourceTables":
         return cls({k: (lambda v=v: spark.table(v)) for k, v in names.items()}, **kw)
 
+    @classmethod
+    def from_paths(cls, spark: SparkSession, paths: dict[str, str], schemas: dict | None = None,
+                   **kw) -> "SourceTables":
+        """Parquet folders (daily tables partitioned by ``statis_date``). Give ``schemas`` to keep the
+        day key as text; without them the scans turn an inferred numeric day key back into text."""
+        schemas = schemas or {}
+
+        def load(role: str, path: str):
+            reader = spark.read.schema(schemas[role]) if role in schemas else spark.read
+            return reader.parquet(path)
+        return cls({k: (lambda k=k, v=v: load(k, v)) for k, v in paths.items()}, **kw)
+
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "SourceTables":
         from featuremart.sources import testdata

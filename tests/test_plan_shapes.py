@@ -88,10 +88,10 @@ def test_inferred_numeric_day_key_still_prunes_and_matches(spark, partitioned):
     import os
     from conftest import rows
     root = os.path.dirname(partitioned.order.inputFiles()[0].split("/statis_date=")[0].replace("file:", ""))
-    frames = {name: spark.read.parquet(f"{root}/{name}") for name in
-              ["order", "deal", "cust_visit", "web_visit", "app_visit", "web_click", "app_click"]}
-    assert dict(frames["order"].dtypes)["statis_date"] != "string"
-    inferred = SourceTables(goods=partitioned.goods, member=partitioned.member, **frames)
+    paths = {name: f"{root}/{name}" for name in
+             ["order", "deal", "cust_visit", "web_visit", "app_visit", "web_click", "app_click"]}
+    inferred = SourceTables.from_paths(spark, paths).replace(goods=partitioned.goods, member=partitioned.member)
+    assert dict(inferred.order.dtypes)["statis_date"] != "string"
     from featuremart.plans import gather
     text = plan(sales.sales_features(inferred, DAY), "formatted")
     assert any(ln.startswith("PartitionFilters:") and "20240115" in ln for ln in text.splitlines())
