@@ -69,3 +69,30 @@ def test_topn_property(spark):
         expected += [(g, r[1], r[2], r[3], i + 1) for i, r in enumerate(grp[:4])]
     assert got == sorted(expected, key=lambda r: tuple((x is None, str(x)) for x in r))
     assert df.where(F.col("k").isNull()).count() > 0
+
+
+def test_stack_and_sum_property(spark):
+    from featuremart.operators import stack_and_sum
+    rnd = random.Random(23)
+    keys = [None, "a", "b", "c"]
+    f1 = [(rnd.choice(keys), rnd.choice([None, 1, 2, 5]), rnd.choice([None, 0.5, 1.5])) for _ in range(300)]
+    f2 = [(rnd.choice(keys), rnd.choice([None, 3, 4])) for _ in range(300)]
+    d1 = spark.createDataFrame(f1, "k string, x bigint, p double").repartition(7)
+    d2 = spark.createDataFrame(f2, "k string, y bigint").repartition(5)
+    got = {r.k: (r.x, r.y, r.p) for r in stack_and_sum([d1, d2], ["k"], ["x", "y", "p"]).collect()}
+
+    def total(values):
+        vals = [v for v in values if v is not None]
+        return sum(vals) if vals else None
+    expected = {}
+    for k in {r[0] for r in f1} | {r[0] for r in f2}:
+        # each input row contributes its own measures and 0 for the ones its frame lacks
+        xs = [r[1] for r in f1 if r[0] == k] + [0 for r in f2 if r[0] == k]
+        ys = [0 for r in f1 if r[0] == k] + [r[1] for r in f2 if r[0] == k]
+        ps = [r[2] for r in f1 if r[0] == k] + [0.0 for r in f2 if r[0] == k]
+        expected[k] = (total(xs), total(ys), total(ps))
+    assert got.keys() == expected.keys()
+    for k in expected:
+        gx, gy, gp = got[k]
+        ex, ey, ep = expected[k]
+        assert (gx, gy) == (ex, ey) and (gp is None) == (ep is None) and (gp is None or abs(gp - ep) < 1e-9), k
