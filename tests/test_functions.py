@@ -211,3 +211,12 @@ def test_dau_rejects_non_integer_flag(spark):
     df = spark.createDataFrame([("1", "u", "i", "x")], "flag string, uid string, imei string, d string")
     with pytest.raises(TypeError):
         dau_count(df, ["d"])
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_letters_and_max_min_do_not_depend_on_partitioning(spark, parts):
+    data = [(g, t, v) for g in range(5) for t, v in [("abc", "-1.5"), (None, "x"), ("日本語", "2"), ("", None)]]
+    data += [(9, None, None)]
+    df = spark.createDataFrame(data, "g int, t string, v string").repartition(parts)
+    got = rows(df.groupBy("g").agg(letters_total(df, "t").alias("n"), *max_min(df, "v", "mm")[:2]))
+    assert got == [(g, 6, 2.0, -1.5) for g in range(5)] + [(9, 0, None, None)]
