@@ -114,12 +114,17 @@ def train(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "
     What reaches the driver is the list of languages and the table (at most ``2**SLOT_BITS`` rows)."""
     rows = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
             .where(F.col("id").isNotNull() & F.col("lang").isNotNull()).where(train_rows("id")))
+    # Only rows whose hash is low enough to be among the least can be sampled: per language about
+    # 4 * per_lang rows reach the ranking, however many there are.
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not totals:
+        return Model([], np.zeros((1 << SLOT_BITS, 1), dtype=U64))
+    reach = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, 4 * per_lang / n))])
+    low = (F.xxhash64("id") / float(1 << 64) + 0.5) <= reach[F.col("lang")]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = rows.withColumn("r", rank).where(F.col("r") <= per_lang).select("id", "lang")
+    ids = rows.where(low).withColumn("r", rank).where(F.col("r") <= per_lang).select("id", "lang")
     sizes = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
-    if not langs:
-        return Model([], np.zeros((1 << SLOT_BITS, 1), dtype=U64))
     index = {lang: i for i, lang in enumerate(langs)}
     sample = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
                           F.col(text_col).alias("t"))

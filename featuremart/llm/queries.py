@@ -10,11 +10,12 @@ from featuremart.llm.op2_langid import op2_langid
 from featuremart.llm.op4_packing import op4_packing
 from featuremart.llm.op5_fingerprint import op5_fingerprint
 from featuremart.llm.op6_quality import op6_quality
+from featuremart.llm.op7_bpe import op7_bpe
 from featuremart.llm.op8_chat import op8_chat
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op4_packing, op5_fingerprint, op6_quality, op8_chat)}
+    return {f.__name__: f for f in (op2_langid, op4_packing, op5_fingerprint, op6_quality, op7_bpe, op8_chat)}
 
 
 def sql() -> dict[str, str]:
