@@ -12,10 +12,12 @@ from featuremart.llm.op5_fingerprint import op5_fingerprint
 from featuremart.llm.op6_quality import op6_quality
 from featuremart.llm.op7_bpe import op7_bpe
 from featuremart.llm.op8_chat import op8_chat
+from featuremart.llm.op9_suffix_dedup import op9_suffix_dedup
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op4_packing, op5_fingerprint, op6_quality, op7_bpe, op8_chat)}
+    return {f.__name__: f for f in (op2_langid, op4_packing, op5_fingerprint, op6_quality, op7_bpe, op8_chat,
+                                   op9_suffix_dedup)}
 
 
 def sql() -> dict[str, str]:
