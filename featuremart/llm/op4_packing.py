@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featuremart.llm.common import read_table, sorted_groups
+from featuremart.llm.common import materialize, read_table, sorted_groups
 
 LENGTHS = (512, 1024, 2048, 4096)   # permitted sequence lengths
 SHARD_ROWS = 20_000                 # pieces packed together
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     top = lengths[-1]
     kind = dict(docs.dtypes)[id_col]
     n = (length if length is not None else word_length()).alias("n")
-    sized = docs.select(F.col(id_col).alias("doc_id"), n)
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), n), "lengths")  # texts are measured once
     # Equal (id, length) rows are told apart by a running number below, never by their place in a file.
     rows = sized.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("copies")).select(
         "doc_id", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
         "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("start"),
         F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("bin_length"),
         F.lit(None).cast("int").alias("bin_used"), F.lit(None).cast("int").alias("bin_offset"))
-    shards = max(1, -(-docs.select(id_col).count() // shard_rows))
+    shards = max(1, -(-sized.count() // shard_rows))
     dealt = (part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "start"), F.lit(shards)).cast("int"))
              .select("shard", "size", "doc_id", "copy", "piece", "start")
              .repartition("shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "copy"))
