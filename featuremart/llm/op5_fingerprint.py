@@ -25,14 +25,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featuremart.llm.common import U64, mix, prefix_hash, read_table, span_hash
 
 EXACT = 8       # lanes modulo 2^64
 SKETCH = 256    # lanes modulo 2^16
-BLOCKS = 512    # upper bound of the blocks of neighbouring ids
+BLOCKS = 16384  # most blocks of neighbouring ids; their bounds are a literal of the plan
+BLOCK_ROWS = 1000
 _LANES = mix(np.arange(1, EXACT + 1, dtype=U64))
 
 
@@ -121,12 +122,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = keys.count()
     if not n:
         return docs.sparkSession.createDataFrame([], SCHEMA.format(id=kind))
-    blocks = max(1, min(BLOCKS, n // 200))
-    bounds = sorted(set(keys.approxQuantile("key", [i / blocks for i in range(1, blocks)], 0.1 / blocks))) \
-        if blocks > 1 else []
-    bounds = [int(b) for b in bounds]  # as doubles; any fixed bounds give right results
-    block = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    rows = rows.withColumn("block", block.cast("int"))
+    blocks = max(1, min(BLOCKS, n // BLOCK_ROWS))
+    # any fixed bounds give right results, so a sketch of the quantiles will do
+    bounds = sorted({int(b) for b in keys.approxQuantile("key", [i / blocks for i in range(1, blocks)],
+                                                         0.25 / blocks)}) if blocks > 1 else []
+    rows = rows.withColumn("block", _block(bounds, F.col("key")))
     # the row that follows a block is the first of the next lower block that has rows: its greatest key
     tops = {r["block"]: r["m"] for r in rows.groupBy("block").agg(F.max("key").alias("m")).collect()}
     order = sorted(tops)
@@ -159,6 +159,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return dealt.mapInArrow(run, SCHEMA.format(id=kind))
 
 
+def _block(bounds: list[int], key: Column) -> Column:
+    """How many of the sorted ``bounds`` are not above ``key``, found in two steps of about the square
+    root of their number each."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+    many = F.lit(len(parts))
+
+    def upto(a: Column) -> Column:
+        return F.size(F.filter(a, lambda b: b <= key))
+
+    coarse = F.greatest(upto(F.lit([p[0] for p in parts])), F.lit(1))
+    return ((F.least(coarse, many) - 1) * step + upto(F.element_at(F.lit(parts), coarse))).cast("int")
+
+
 _TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
