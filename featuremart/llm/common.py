@@ -7,8 +7,11 @@ them have no lineage behind them.
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +26,29 @@ _MASK = (1 << 64) - 1
 
 # -- tables ------------------------------------------------------------------------------------
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, unless the submitter has put an archive on
+    their path: tasks import it there, wherever the driver was started."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(sc, "_training_data_shipped", False) or not os.path.isdir(root):
+        return
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "training_data.zip")
+    with open(path, "wb") as f:  # Spark's driver serves it to the executors
+        f.write(made.getvalue())
+    sc.addPyFile(path)
+    sc._training_data_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -52,7 +77,8 @@ def map_batches(df: DataFrame, fn: Callable[[list[list]], dict | list], schema:
     """``mapInArrow`` in slices of ``rows`` input rows, so that a task holds the working arrays of a
     few texts at a time. ``fn`` gets one Python list per input column and returns the output columns
     as lists in the order of ``schema``."""
-    target = _arrow_schema(df.sparkSession, schema)
+    ship(df.sparkSession)
+    target = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +93,7 @@ def map_batches(df: DataFrame, fn: Callable[[list[list]], dict | list], schema:
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
     return to_arrow_schema(StructType.fromDDL(schema))
@@ -195,6 +221,39 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
+# -- buckets of a similarity join ----------------------------------------------------------------
+
+GROUP = ["path", "bi", "bj"]
+
+
+def deal_blocks(leaves: DataFrame, block: int) -> DataFrame:
+    """Rows (path, n, k1, k2) of buckets with n members -> (path, bi, bj, blk, k1, k2): a bucket of more
+    than two blocks is dealt as pairs of blocks, each a group of its own; smaller ones stay whole."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.when(F.col("n") > 2 * block, F.col("n")).otherwise(0) / block)).cast("int")
+    blk = F.pmod(F.xxhash64("k1", "k2"), blocks).cast("int")
+    return (leaves.withColumn("blk", blk)
+            .select("path", "blk", "k1", "k2", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+            .select("path", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "k1", "k2"))
+
+
+def fresh_pairs(path: int, leaves: list[list[int]], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Which pairs (rows[i], cols[i]) of a bucket's members share no bucket before ``path``; ``leaves``:
+    all buckets of each member. So a pair counts in the first bucket alone, without moving pairs."""
+    earlier = [{p for p in x if p < path} for x in leaves]
+    return np.array([earlier[i].isdisjoint(earlier[j]) for i, j in zip(rows.tolist(), cols.tolist())], dtype=bool)
+
+
+def fresh_matrix(path: int, leaves: list[list[int]]) -> np.ndarray:
+    """The same for all pairs of a block."""
+    index: dict[int, int] = {}
+    at = [[index.setdefault(p, len(index)) for p in x if p < path] for x in leaves]
+    m = np.zeros((len(leaves), max(1, len(index))), dtype=np.float32)
+    for i, x in enumerate(at):
+        m[i, x] = 1
+    m = m[:, m.sum(axis=0) > 1]
+    return (m @ m.T) == 0
+
+
 # -- connected components ----------------------------------------------------------------------
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from featuremart.llm.common import U64, crc_mod, map_batches, mix, read_table
+from featuremart.llm.common import U64, crc_mod, map_batches, mix, read_table, ship
 
 PER_LANG = 1000     # bound of the sample: rows per language
 SLOT_BITS = 20      # 2**SLOT_BITS filter rows: 8 MB of masks per 64 languages
@@ -112,6 +112,7 @@ def train(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "
     """Sample, count n-grams per language, build the bit-sliced filter as one grouped OR per row.
 
     What reaches the driver is the list of languages and the table (at most ``2**SLOT_BITS`` rows)."""
+    ship(docs.sparkSession)
     rows = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
             .where(F.col("id").isNotNull() & F.col("lang").isNotNull()).where(train_rows("id")))
     # Only rows whose hash is low enough to be among the least can be sampled: per language about
@@ -178,6 +179,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that have a language with score ``least`` or more."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

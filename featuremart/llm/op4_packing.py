@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featuremart.llm.common import materialize, read_table, sorted_groups
+from featuremart.llm.common import materialize, read_table, ship, sorted_groups
 
 LENGTHS = (512, 1024, 2048, 4096)   # permitted sequence lengths
 SHARD_ROWS = 20_000                 # pieces packed together
@@ -101,6 +101,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
          lengths: tuple[int, ...] = LENGTHS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: ``n_tokens`` of the piece from token ``start`` of its document, its bin, the
     bin's final length and contents, and the piece's offset in it."""
+    ship(docs.sparkSession)
     lengths = tuple(sorted(lengths))
     top = lengths[-1]
     kind = dict(docs.dtypes)[id_col]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featuremart.llm.common import U64, mix, prefix_hash, read_table, span_hash
+from featuremart.llm.common import U64, mix, prefix_hash, read_table, ship, span_hash
 
 EXACT = 8       # lanes modulo 2^64
 SKETCH = 256    # lanes modulo 2^16
@@ -113,6 +113,7 @@ SCHEMA = ("doc_id {id}, n_chars long, edited_sha256 string, fingerprint string,
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row its fingerprint, that of its edited text, and the likenesses to it and to the next row
     in descending id (after the last: the first)."""
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     lowest = -(1 << 63)
     rows = docs.select(F.col(id_col).alias("doc_id"),

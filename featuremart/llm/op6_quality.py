@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featuremart.llm.common import U64, crc_mod, map_batches, mix, prefix_hash, read_table, span_hash
+from featuremart.llm.common import U64, crc_mod, map_batches, mix, prefix_hash, read_table, ship, span_hash
 
 MAX_ROWS = 8000      # bound of the training sample
 BITS = 18            # 2**BITS hashed weights (2 MB as doubles): what a model broadcasts
@@ -144,6 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id"
     Only (id, label) pairs are sampled; the sampled ids, bounded by ``max_rows``, are then joined to
     the texts, and one task that holds at most ``max_rows`` texts makes the sequential updates.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     chosen = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
               .where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(train_rows("id"))
@@ -191,6 +192,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def passing(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores ``least`` or more."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

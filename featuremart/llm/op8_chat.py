@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featuremart.llm.common import read_table, sorted_groups
+from featuremart.llm.common import read_table, ship, sorted_groups
 
 # The template's marks and the control strings of common chat templates.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -77,6 +77,7 @@ def expand(turns: list[tuple[str, str]]) -> Iterator[tuple[int, str, int, int]]:
 def examples(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
              text_col: str = "text") -> DataFrame:
     """One row per example: the formatted text and its trainable span [loss_start, loss_end)."""
+    ship(rows.sparkSession)
     kind = dict(rows.dtypes)[id_col]
     turns = (rows.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"),
                          F.coalesce(F.col(role_col), F.lit("")).alias("role"),
@@ -98,6 +99,7 @@ def examples(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", r
 
 def digest(made: DataFrame) -> DataFrame:
     """Read the examples back: turns from the longest example, trainable text from every mask."""
+    ship(made.sparkSession)
     kind = dict(made.dtypes)["conv_id"]
     rows = (made.select("conv_id", "example", "n_turns", "formatted", "loss_start", "loss_end")
             .repartition("conv_id").sortWithinPartitions("conv_id", "example"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from featuremart.llm.op10_embedding_dedup import op10_embedding_dedup
 from featuremart.llm.op2_langid import op2_langid
 from featuremart.llm.op3_jaccard_join import op3_jaccard_join
 from featuremart.llm.op4_packing import op4_packing
@@ -18,11 +19,11 @@ from featuremart.llm.op9_suffix_dedup import op9_suffix_dedup
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op2_langid, op3_jaccard_join, op4_packing, op5_fingerprint, op6_quality, op7_bpe, op8_chat,
-                                   op9_suffix_dedup)}
+                                   op9_suffix_dedup, op10_embedding_dedup)}
 
 
 def sql() -> dict[str, str]:
-    return {"op8_chat": OP8}
+    return {"op3_jaccard_join": OP3, "op8_chat": OP8, "op10_embedding_dedup": OP10}
 
 
 # Template marks and control strings are the operator's fixed values: a turn adds the marks (23
@@ -45,3 +46,42 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(CASE WHEN role = 'assistant' OR pos = n THEN prefix ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM running GROUP BY conv_id
 """
+
+
+# Different texts are compared through their common shingles; a class is a distinct text.
+OP3 = r"""
+WITH RECURSIVE classes AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS m FROM documents GROUP BY 1),
+words AS (
+  SELECT rep, m, list_filter(string_split_regex(lower(text), '\s+'), x -> x <> '') AS w FROM classes),
+shingles AS (
+  SELECT DISTINCT rep, list_aggregate(w[i:i + least(5, len(w)) - 1], 'string_agg', ' ') AS s
+  FROM (SELECT rep, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT rep, count(*) AS n FROM shingles GROUP BY rep),
+common AS (
+  SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.rep <> b.rep GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sizes sx ON sx.rep = x JOIN sizes sy ON sy.rep = y
+  WHERE c >= 0.8 * (sx.n + sy.n - c) - 1e-9),
+reach AS (
+  SELECT rep AS x, rep AS y FROM classes UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+component AS (SELECT x, min(y) AS least FROM reach GROUP BY x),
+degree AS (SELECT x, sum(m) AS d FROM links JOIN classes ON rep = y GROUP BY x)
+SELECT doc_id, least AS component_id, CAST(m - 1 + coalesce(d, 0) AS BIGINT) AS n_links, m AS n_copies, doc_id = least AS kept
+FROM documents t JOIN classes c ON c.text = coalesce(t.text, '') JOIN component ON component.x = rep LEFT JOIN degree ON degree.x = rep
+"""
+
+OP10 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, x -> x <> 0)) > 0, false) AS valid
+  FROM embeddings),
+links AS (
+  SELECT a.i AS x, b.i AS y, b.vec_id FROM v a JOIN v b ON a.valid AND b.valid AND a.i <> b.i AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT i AS x, i AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+component AS (SELECT x, min(v.vec_id) AS least FROM reach JOIN v ON v.i = y GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.x = v.i) AS n_links, least AS component_id, vec_id = least AS kept
+FROM v JOIN component ON component.x = v.i
+"""
