@@ -53,7 +53,7 @@ OP3 = r"""
 WITH RECURSIVE classes AS (
   SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS m FROM documents GROUP BY 1),
 words AS (
-  SELECT rep, m, list_filter(string_split_regex(lower(text), '\s+'), x -> x <> '') AS w FROM classes),
+  SELECT rep, m, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM classes),
 shingles AS (
   SELECT DISTINCT rep, list_aggregate(w[i:i + least(5, len(w)) - 1], 'string_agg', ' ') AS s
   FROM (SELECT rep, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)),
@@ -74,8 +74,8 @@ FROM documents t JOIN classes c ON c.text = coalesce(t.text, '') JOIN component
 OP10 = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS i, vec_id, CAST(embedding AS DOUBLE[]) AS e,
-         coalesce(len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                  AND len(list_filter(embedding, x -> x <> 0)) > 0, false) AS valid
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS valid
   FROM embeddings),
 links AS (
   SELECT a.i AS x, b.i AS y, b.vec_id FROM v a JOIN v b ON a.valid AND b.valid AND a.i <> b.i AND len(a.e) = len(b.e)
