@@ -39,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featuremart.llm.common import (U64, components, forest, map_batches, materialize, mix, prefix_hash, read_table,
-                                    signed, sorted_groups, span_hash, text_key)
+from featuremart.llm.common import (GROUP, U64, components, deal_blocks, forest, fresh_matrix, fresh_pairs, map_batches,
+                                    materialize, mix, prefix_hash, read_table, signed, sorted_groups, span_hash,
+                                    text_key)
 from featuremart.llm.op9_suffix_dedup import bloom
 
 THRESHOLD = 0.8
@@ -53,6 +54,7 @@ MATCH = 13       # equal tokens of a sketch that a pair must have
 _T = RUNS * COORDS
 _MUL = mix(np.arange(1, _T + 1, dtype=U64)) | U64(1)
 _XOR = mix(np.arange(101, _T + 101, dtype=U64))
+_AGAIN = U64(0xD6E8FEB86659FD93)
 
 
 # -- sets --------------------------------------------------------------------------------------
@@ -72,8 +74,10 @@ def sketch(s: np.ndarray) -> bytes:
     """The embedded set: one token (minimum hash) per coordinate."""
     low = np.full(_T, np.iinfo(np.uint32).max, dtype=np.uint32)
     for at in range(0, len(s), 1 << 15):
-        part = ((s[at:at + (1 << 15)] ^ _XOR[:, None]) * _MUL[:, None]) >> U64(32)
-        low = np.minimum(low, part.min(axis=1).astype(np.uint32))
+        part = (s[at:at + (1 << 15)] ^ _XOR[:, None]) * _MUL[:, None]
+        part ^= part >> U64(32)  # a second round: one multiplication alone favours some shingles everywhere
+        part *= _AGAIN
+        low = np.minimum(low, (part.min(axis=1) >> U64(32)).astype(np.uint32))
     return low.tobytes()
 
 
@@ -151,23 +155,6 @@ def _leaves(classes: DataFrame) -> DataFrame:
 
 # -- buckets -----------------------------------------------------------------------------------
 
-def _fresh(path: int, leaves: list[list[int]], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Which pairs (rows[i], cols[i]) share no bucket before ``path``."""
-    earlier = [{p for p in x if p < path} for x in leaves]
-    return np.array([earlier[i].isdisjoint(earlier[j]) for i, j in zip(rows.tolist(), cols.tolist())], dtype=bool)
-
-
-def _fresh_matrix(path: int, leaves: list[list[int]]) -> np.ndarray:
-    """The same for all pairs of a block."""
-    index: dict[int, int] = {}
-    at = [[index.setdefault(p, len(index)) for p in x if p < path] for x in leaves]
-    m = np.zeros((len(leaves), max(1, len(index))), dtype=np.float32)
-    for i, x in enumerate(at):
-        m[i, x] = 1
-    m = m[:, m.sum(axis=0) > 1]
-    return (m @ m.T) == 0
-
-
 def _pairs(path: int, sizes: np.ndarray, sketches: np.ndarray, leaves: list[list[int]], side: np.ndarray | None,
            threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a bucket that are to be verified here. ``side``: blocks of the members; only pairs
@@ -181,11 +168,11 @@ def _pairs(path: int, sizes: np.ndarray, sketches: np.ndarray, leaves: list[list
     if side is not None:
         ok &= side[:, None] != side
     if n > SMALL and ok.sum() > 4 * n:
-        ok &= _fresh_matrix(path, leaves)
+        ok &= fresh_matrix(path, leaves)
         return np.nonzero(ok)
     i, j = np.nonzero(ok)
     if len(i):
-        f = _fresh(path, leaves, i, j)
+        f = fresh_pairs(path, leaves, i, j)
         i, j = i[f], j[f]
     return i, j
 
@@ -214,18 +201,6 @@ def _verify(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], threshold: flo
     return _similar(common, sizes[i], sizes[j], threshold)
 
 
-_KEYS = ["path", "bi", "bj"]
-
-
-def _dealt(leaves: DataFrame) -> DataFrame:
-    """(path, bi, bj, blk): the task groups that a member of a bucket goes to."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.when(F.col("n") > 2 * BLOCK, F.col("n")).otherwise(0) / BLOCK)).cast("int")
-    blk = F.pmod(F.xxhash64("k1", "k2"), blocks).cast("int")
-    return (leaves.withColumn("blk", blk)
-            .select("path", "blk", "k1", "k2", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
-            .select("path", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "k1", "k2"))
-
-
 def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
     """Members (path, bi, bj, blk, k1, k2) that have a pair to verify in their group."""
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -320,10 +295,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     leaves = _leaves(classes)
     listed = leaves.groupBy("k1", "k2").agg(F.collect_list("path").alias("leaves"))  # RUNS * PICK^DEPTH at most
     info = materialize(classes.join(listed, ["k1", "k2"]).select("k1", "k2", "m", "size", "sketch", "leaves"), "info")
-    dealt = _dealt(leaves)
-    order = [*_KEYS, "k1", "k2"]
-    groups = (dealt.join(info, ["k1", "k2"]).select(*_KEYS, "blk", "k1", "k2", "size", "sketch", "leaves")
-              .repartition(*_KEYS).sortWithinPartitions(*order))
+    dealt = deal_blocks(leaves, BLOCK)
+    order = [*GROUP, "k1", "k2"]
+    groups = (dealt.join(info, ["k1", "k2"]).select(*GROUP, "blk", "k1", "k2", "size", "sketch", "leaves")
+              .repartition(*GROUP).sortWithinPartitions(*order))
     need = materialize(_candidates(groups, threshold), "need")
     # the sets of those that have a pair to verify, from one row of each class
     who = materialize(need.select("k1", "k2").distinct().join(classes.select("k1", "k2", "rep.r1"), ["k1", "k2"]), "who")
@@ -337,8 +312,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     sets = map_batches(text, build, "k1 long, k2 long, set binary").dropDuplicates(["k1", "k2"])
     whole = materialize(sets.join(info, ["k1", "k2"]), "sets")
     checked = (need.join(whole, ["k1", "k2"])
-               .select(*_KEYS, "blk", "k1", "k2", "m", "sketch", "leaves", "set")
-               .repartition(*_KEYS).sortWithinPartitions(*order))
+               .select(*GROUP, "blk", "k1", "k2", "m", "sketch", "leaves", "set")
+               .repartition(*GROUP).sortWithinPartitions(*order))
     found = materialize(_links(checked, threshold), "links")
     links = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
     edges = found.where("p1 IS NOT NULL").select(F.struct("k1", "k2").alias("a"),
