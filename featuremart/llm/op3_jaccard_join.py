@@ -331,5 +331,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         F.col("m").alias("n_copies"), (F.col("r1") == F.col("keeper.r1")).alias("kept"), "k1", "k2", "r1")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, with all columns, without the rows that do not stay for their group. Rows equal in id
+    and text can't be told apart: one of them stays. Texts are joined only where a Bloom filter of
+    fixed size names them as touched."""
+    verdict = join(docs, id_col, text_col, threshold).groupBy("k1", "r1").agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    touched = materialize(verdict.where(~F.col("kept") | (F.col("rows") > 1)), "touched")
+    hit = bloom(touched, "r1")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    text = names[docs.columns.index(text_col)]
+    row = F.xxhash64(F.col(names[docs.columns.index(id_col)]), F.coalesce(F.col(text), F.lit(""))).alias("r1")
+    keyed = plain.select(*names, text_key(text)[0], row)
+    held = keyed.where(hit("r1")).join(touched, ["k1", "r1"], "left")
+    single = held.where(F.col("kept").isNull()).select(*names)
+    several = held.where("kept").dropDuplicates(["k1", "r1"]).select(*names)
+    return keyed.where(~hit("r1")).select(*names).unionByName(single).unionByName(several).toDF(*docs.columns)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read_table(spark, sf_dir, "documents")).select("doc_id", "component_id", "n_links", "n_copies", "kept")

@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # any fixed bounds give right results, so a sketch of the quantiles will do
     bounds = sorted({int(b) for b in keys.approxQuantile("key", [i / blocks for i in range(1, blocks)],
                                                          0.25 / blocks)}) if blocks > 1 else []
-    rows = rows.withColumn("block", _block(bounds, F.col("key")))
+    rows = rows.withColumn("block", block_of(bounds, F.col("key")))
     # the row that follows a block is the first of the next lower block that has rows: its greatest key
     tops = {r["block"]: r["m"] for r in rows.groupBy("block").agg(F.max("key").alias("m")).collect()}
     order = sorted(tops)
@@ -160,7 +160,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return dealt.mapInArrow(run, SCHEMA.format(id=kind))
 
 
-def _block(bounds: list[int], key: Column) -> Column:
+def block_of(bounds: list, key: Column) -> Column:
     """How many of the sorted ``bounds`` are not above ``key``, found in two steps of about the square
     root of their number each."""
     if not bounds:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from featuremart.llm.op10_embedding_dedup import op10_embedding_dedup
+from featuremart.llm.op1_html import op1_html
 from featuremart.llm.op2_langid import op2_langid
 from featuremart.llm.op3_jaccard_join import op3_jaccard_join
 from featuremart.llm.op4_packing import op4_packing
@@ -18,7 +19,7 @@ from featuremart.llm.op9_suffix_dedup import op9_suffix_dedup
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op3_jaccard_join, op4_packing, op5_fingerprint, op6_quality, op7_bpe, op8_chat,
+    return {f.__name__: f for f in (op1_html, op2_langid, op3_jaccard_join, op4_packing, op5_fingerprint, op6_quality, op7_bpe, op8_chat,
                                    op9_suffix_dedup, op10_embedding_dedup)}
 
 
