@@ -21,14 +21,21 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+ARROW_ROWS = 512  # rows of an Arrow batch
+BLOOM_BITS = 1 << 23
 
 
 # -- tables ------------------------------------------------------------------------------------
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, unless the submitter has put an archive on
+    """Make the session ready for tasks on whole texts.
+
+    Arrow batches of Spark's default of 10,000 rows are whole texts here, so a session that has left it
+    at that gets ``ARROW_ROWS``. Then send this package to the executors once per context, unless the submitter has put an archive on
     their path: tasks import it there, wherever the driver was started."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, str(ARROW_ROWS))
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if getattr(sc, "_training_data_shipped", False) or not os.path.isdir(root):
@@ -99,6 +106,28 @@ def _arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def bloom_split(df: DataFrame, marks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: the rows that may have their ``key`` (a 64-bit hash) in ``marks``, and the rest,
+    which surely do not. The Bloom filter is a table of at most ``BLOOM_BITS / 64`` words, whatever the
+    number of rows, and is broadcast as such; a full filter sends every row to the first part."""
+    def place(shift: int) -> Column:
+        return F.shiftrightunsigned(key, shift).bitwiseAND(BLOOM_BITS - 1)
+
+    words = (marks.select(F.explode(F.array(place(0), place(31))).alias("p"))
+             .groupBy(F.shiftright("p", 6).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("m")))
+    words = materialize(words, "bloom")
+    known = df.columns
+    found = F.lit(True)
+    for i, shift in enumerate((0, 31)):
+        w, m = f"__w{i}", f"__m{i}"
+        df = df.join(F.broadcast(words.select(F.col("w").alias(w), F.col("m").alias(m))),
+                     F.shiftright(place(shift), 6) == F.col(w), "left")
+        found = found & (F.call_function("shiftrightunsigned", F.coalesce(F.col(m), F.lit(0).cast("long")),
+                                         (place(shift) % 64).cast("int")).bitwiseAND(1) == 1)
+    return df.where(found).select(*known), df.where(~found).select(*known)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
     """Groups of a stream sorted by its first ``n_keys`` columns, as lists of record-batch slices."""
     held: list[pa.RecordBatch] = []
@@ -245,12 +274,13 @@ def fresh_pairs(path: int, leaves: list[list[int]], rows: np.ndarray, cols: np.n
 
 def fresh_matrix(path: int, leaves: list[list[int]]) -> np.ndarray:
     """The same for all pairs of a block."""
-    index: dict[int, int] = {}
-    at = [[index.setdefault(p, len(index)) for p in x if p < path] for x in leaves]
-    m = np.zeros((len(leaves), max(1, len(index))), dtype=np.float32)
-    for i, x in enumerate(at):
-        m[i, x] = 1
-    m = m[:, m.sum(axis=0) > 1]
+    before = [[p for p in x if p < path] for x in leaves]
+    who = np.repeat(np.arange(len(leaves)), [len(x) for x in before])
+    _, at, n = np.unique(np.array([p for x in before for p in x], dtype=np.int64), return_inverse=True,
+                         return_counts=True)
+    use = n[at] > 1  # a bucket that only one of them is in joins no pair
+    m = np.zeros((len(leaves), max(1, int((n > 1).sum()))), dtype=np.float32)
+    m[who[use], (np.cumsum(n > 1) - 1)[at[use]]] = 1
     return (m @ m.T) == 0
 
 

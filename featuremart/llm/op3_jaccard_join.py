@@ -39,10 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featuremart.llm.common import (GROUP, U64, components, deal_blocks, forest, fresh_matrix, fresh_pairs, map_batches,
-                                    materialize, mix, prefix_hash, read_table, signed, sorted_groups, span_hash,
+from featuremart.llm.common import (GROUP, U64, bloom_split, components, deal_blocks, forest, fresh_matrix,
+                                    fresh_pairs, map_batches, materialize, mix, prefix_hash, read_table, signed, sorted_groups, span_hash,
                                     text_key)
-from featuremart.llm.op9_suffix_dedup import bloom
 
 THRESHOLD = 0.8
 WORDS = 5
@@ -302,8 +301,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     need = materialize(_candidates(groups, threshold), "need")
     # the sets of those that have a pair to verify, from one row of each class
     who = materialize(need.select("k1", "k2").distinct().join(classes.select("k1", "k2", "rep.r1"), ["k1", "k2"]), "who")
-    hit = bloom(who, "r1")
-    text = rows.where(hit("r1")).join(who, ["k1", "k2", "r1"], "left_semi").select("k1", "k2", "text")
+    text = bloom_split(rows, who, "r1")[0].join(who, ["k1", "k2", "r1"], "left_semi").select("k1", "k2", "text")
 
     def build(k1, k2, texts):
         return k1, k2, [shingles(t).tobytes() for t in texts]
@@ -339,16 +337,16 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verdict = join(docs, id_col, text_col, threshold).groupBy("k1", "r1").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     touched = materialize(verdict.where(~F.col("kept") | (F.col("rows") > 1)), "touched")
-    hit = bloom(touched, "r1")
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     text = names[docs.columns.index(text_col)]
     row = F.xxhash64(F.col(names[docs.columns.index(id_col)]), F.coalesce(F.col(text), F.lit(""))).alias("r1")
     keyed = plain.select(*names, text_key(text)[0], row)
-    held = keyed.where(hit("r1")).join(touched, ["k1", "r1"], "left")
+    hit, miss = bloom_split(keyed, touched, "r1")
+    held = hit.join(touched, ["k1", "r1"], "left")
     single = held.where(F.col("kept").isNull()).select(*names)
     several = held.where("kept").dropDuplicates(["k1", "r1"]).select(*names)
-    return keyed.where(~hit("r1")).select(*names).unionByName(single).unionByName(several).toDF(*docs.columns)
+    return miss.select(*names).unionByName(single).unionByName(several).toDF(*docs.columns)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

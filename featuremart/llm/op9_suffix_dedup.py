@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featuremart.llm.common import (U64, map_batches, materialize, prefix_hash, read_table, signed, sliding_min,
-                                    sorted_groups, span_hash)
+from featuremart.llm.common import (U64, bloom_split, map_batches, materialize, prefix_hash, read_table, signed,
+                                    sliding_min, sorted_groups, span_hash)
 from featuremart.llm.gsaca import suffix_array
 
 LENGTH = 400          # bytes of a repeated string
@@ -47,7 +47,6 @@ SPARSE, GRAM = 48, 8  # anchors: least hash of GRAM bytes among SPARSE places
 CROWDED = 512         # different strings of a bucket before it is cut again
 BLOCK = 1 << 21       # windows of a text handled at once
 BATCH = 1 << 20       # bytes of whole buckets sorted together
-BLOOM_BITS = 1 << 23
 
 
 # -- step 1: runs ------------------------------------------------------------------------------
@@ -191,29 +190,6 @@ def spans_of(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 # -- the operator ----------------------------------------------------------------------------------
 
-def bloom(df: DataFrame, key: str, bits: int = BLOOM_BITS):
-    """Column predicate that holds for every ``key`` (64-bit hash) of ``df`` and few others. What
-    reaches the driver is the filter: ``bits`` bits, whatever the number of rows."""
-    probes = F.explode(F.array(*[F.shiftrightunsigned(key, s).bitwiseAND(bits - 1) for s in (0, 31)])).alias("p")
-    got = (df.select(probes).groupBy(F.shiftright("p", 5).alias("w"))
-           .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("m")).toArrow())
-    words = np.zeros(bits // 32, dtype=np.uint32)
-    words[got.column("w").to_numpy()] = got.column("m").to_numpy().astype(np.uint32)
-    shared = df.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def hit(k):
-        import pandas as pd
-        x = k.to_numpy().astype(np.int64).view(U64)
-        ok = np.ones(len(x), dtype=bool)
-        for s in (0, 31):
-            i = (x >> U64(s)) & U64(bits - 1)
-            ok &= (shared.value[(i >> U64(5)).astype(np.int64)] >> (i & U64(31)).astype(np.uint32) & np.uint32(1)) > 0
-        return pd.Series(ok)
-
-    return hit
-
-
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Rows (r1, r2, spans): by row key, the byte intervals of repeated windows, merged later. Only
     documents with such windows have a row."""
@@ -236,8 +212,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         F.collect_list(F.struct("v", "seg", "n", "a", "b", F.coalesce("crowded", F.lit(False)).alias("crowded")))
         .alias("wanted"))  # at most a text's own runs
     wanted = materialize(wanted, "wanted")
-    hit = bloom(wanted, "r1")
-    source = rows.where(hit("r1")).join(wanted, ["r1", "r2"]).select("wanted", "text")
+    source = bloom_split(rows, wanted, "r1")[0].join(wanted, ["r1", "r2"]).select("wanted", "text")
     longer = length - length // 8
 
     def cut(wanted, texts):
@@ -332,9 +307,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = rows.select("doc_id", *_row_key("doc_id", "text"), "text")
     spans = removals(rows, "doc_id", "text", length)
-    hit = bloom(spans, "r1")
+    hit, miss = bloom_split(keyed, spans, "r1")
     size = F.octet_length("text").cast("long")
-    same = keyed.where(~hit("r1")).select(
+    same = miss.select(
         "doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
@@ -348,7 +323,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 o.append(c)
         return out
 
-    touched = (keyed.where(hit("r1")).join(spans, ["r1", "r2"], "left").select("doc_id", "text", "spans"))
+    touched = hit.join(spans, ["r1", "r2"], "left").select("doc_id", "text", "spans")
     return same.unionByName(map_batches(touched, run, REPORT.format(id=kind)))
 
 
@@ -357,23 +332,31 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """``docs``, all rows and columns, without the repeated bytes in ``text_col`` (a character that is
     removed in part goes whole) and with ``size_col`` the new number of characters."""
     spans = removals(docs, id_col, text_col, length)
-    hit = bloom(spans, "r1")
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     text = names[docs.columns.index(text_col)]
     keyed = plain.select(*names, *_row_key(names[docs.columns.index(id_col)], text))
 
-    @F.udf("string")
-    def left(t, s):
-        return keep(t.encode("utf-8", "surrogatepass"), merge(s)).decode("utf-8", "ignore")
-
-    touched = (keyed.where(hit("r1")).join(spans, ["r1", "r2"], "left")
-               .withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(left(text, "spans"))))
-    if size_col and size_col in docs.columns:
-        n = names[docs.columns.index(size_col)]
-        size = F.length(text).cast(dict(plain.dtypes)[n])
-        touched = touched.withColumn(n, F.when(F.col("spans").isNull(), F.col(n)).otherwise(size))
-    return keyed.where(~hit("r1")).select(*names).unionByName(touched.select(*names)).toDF(*docs.columns)
+    hit, miss = bloom_split(keyed, spans, "r1")
+    touched = hit.join(spans, ["r1", "r2"], "left").select(*names, "spans")
+    text_at = names.index(text)
+    size_at = docs.columns.index(size_col) if size_col and size_col in docs.columns else None
+
+    def edit(batches):
+        for b in batches:
+            found = b.column(len(names)).to_pylist()
+            old = b.column(text_at).to_pylist()
+            new = [t if s is None else keep(t.encode("utf-8", "surrogatepass"), merge(s)).decode("utf-8", "ignore")
+                   for t, s in zip(old, found)]
+            cols = b.columns[:-1]
+            cols[text_at] = pa.array(new, type=cols[text_at].type)
+            if size_at is not None:
+                sizes = [n if s is None else len(t) for n, s, t in zip(cols[size_at].to_pylist(), found, new)]
+                cols[size_at] = pa.array(sizes, type=cols[size_at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    touched = touched.mapInArrow(edit, touched.select(*names).schema)
+    return miss.select(*names).unionByName(touched.select(*names)).toDF(*docs.columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
