@@ -5,7 +5,6 @@ Layout:
   operators/  reusable DataFrame operators (semi-join restriction, stack-and-sum, top-n, DAU, ...)
   functions/  column expressions and aggregate helpers, SQL registration
   plans/      the feature jobs (sales, visits, favourite/cart, search, members, gather, sales volume)
-  streaming/  notes only: the jobs are daily batch
   sink.py     partitioned, idempotent day-partition writes
 """
 

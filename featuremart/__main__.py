@@ -57,8 +57,6 @@ def main(argv: list[str] | None = None) -> int:
         spark = build_session(master=args.master)
     else:
         spark = SparkSession.builder.getOrCreate()
-        from featuremart.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
     t = _tables(spark, args)
     if args.cmd == "run-day":
         from featuremart.plans.daily import run_day

@@ -55,10 +55,22 @@ def letters_total(df: DataFrame, col: str) -> Column:
     return F.coalesce(F.sum(F.length(col)), F.lit(0).cast("bigint"))
 
 
+def _by_group(left: DataFrame, right: DataFrame, g: list[str], how: str) -> DataFrame:
+    """Join on the group columns, NULL groups with NULL groups; without columns, ``right`` has one row."""
+    if not g:
+        return left.crossJoin(right)
+    named = right.select(*[F.col(c).alias(f"__r_{c}") for c in g], *[c for c in right.columns if c not in g])
+    on = F.lit(True)
+    for c in g:
+        on = on & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(named, on, how).drop(*[f"__r_{c}" for c in g])
+
+
 def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median",
               accuracy: int = 10_000) -> DataFrame:
     """Exact median of ``col`` per group (U7): odd count -> middle value, even -> mean of the two
-    middle values (as double), NULLs skipped; groups with no non-NULL value are absent.
+    middle values (as double), NULLs skipped; a group with no non-NULL value gives NULL, and a NULL group is a
+    group.
 
     Plan, all distributed and with partial aggregation before every shuffle:
       1. a bounded quantile sketch per group (``percentile_approx``) gives values ``lo`` / ``hi``
@@ -83,7 +95,7 @@ def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median"
     sketch = rows.groupBy(*g).agg(
         F.percentile_approx("__x", [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias("__b"))
     vals = rows.groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    tagged = (vals.join(sketch, g) if g else vals.crossJoin(sketch)).select(
+    tagged = _by_group(vals, sketch, g, "inner").select(
         *g, "__x", "__c", F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"))
     inside = F.col("__x").between(F.col("__lo"), F.col("__hi"))
     stats = tagged.groupBy(*g).agg(
@@ -95,11 +107,13 @@ def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median"
     ok = (F.col("__below") <= F.col("__klo")) & (F.col("__below") + F.col("__mid") > F.col("__khi"))
     stats = stats.select(*g, "__klo", "__khi", F.when(ok, F.col("__below")).otherwise(F.lit(0)).alias("__base"),
                          ok.alias("__ok"))
-    cand = (tagged.join(stats, g) if g else tagged.crossJoin(stats)).where(~F.col("__ok") | inside)
+    cand = _by_group(tagged, stats, g, "inner").where(~F.col("__ok") | inside)
     w = Window.partitionBy(*g).orderBy("__x")
     cand = cand.withColumn("__end", F.col("__base") + F.sum("__c").over(w))  # exclusive end rank
     covers = lambda r: (F.col("__end") - F.col("__c") <= r) & (r < F.col("__end"))
     picked = cand.groupBy(*g).agg(
         F.max(F.when(covers(F.col("__klo")), F.col("__x"))).alias("__vlo"),
         F.max(F.when(covers(F.col("__khi")), F.col("__x"))).alias("__vhi"))
+    if g:  # groups without a value have a row too
+        picked = _by_group(df.select(*g).distinct(), picked, g, "left")
     return picked.select(*g, ((F.col("__vlo").cast("double") + F.col("__vhi").cast("double")) / 2).alias(out))

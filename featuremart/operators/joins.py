@@ -13,22 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_BYTES = 64 << 20  # text size of a broadcast side
+
 _SIZED: "weakref.WeakKeyDictionary[DataFrame, tuple[int, DataFrame]]" = weakref.WeakKeyDictionary()
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The check is one small job that stops after ``max_rows + 1`` rows of the dimension (pruned to
-    the columns the caller selected); its outcome is remembered for the same DataFrame.
+    The check is one distributed count of rows and bytes (pruned to the columns the caller selected;
+    no rows move), bounded by ``max_rows`` and ``MAX_BYTES``; its outcome is remembered for the same DataFrame.
     """
     if max_rows <= 0:
         return df
     hit = _SIZED.get(df)
     if hit is not None and hit[0] == max_rows:
         return hit[1]
-    n = df.limit(max_rows + 1).count()
-    out = F.broadcast(df) if n <= max_rows else df
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(16))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    out = F.broadcast(df) if n <= max_rows and size <= MAX_BYTES else df
     _SIZED[df] = (max_rows, out)
     return out
 

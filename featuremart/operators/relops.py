@@ -7,6 +7,7 @@ shuffle; nothing is gathered on the driver or in one task except inputs with a p
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +93,12 @@ def topn_array(df: DataFrame, group: Sequence[str], n: int, key: str, payload: S
     arr = F.transform(F.sort_array(F.collect_list(entry)),
                       lambda e: F.struct(*[e[f"f{i}"].alias(f"f{i}") for i in range(len(fields))]))
     res = ranked.groupBy(*group).agg(arr.alias(out))
+    # a group without any key is a group still: with n NULL rows, or none without padding
+    if group:
+        every = df.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).distinct()
+        same = functools.reduce(lambda a, b: a & b, [F.col(f"__g{i}").eqNullSafe(F.col(g)) for i, g in enumerate(group)])
+        res = every.join(res, same, "left").select(*[F.col(f"__g{i}").alias(g) for i, g in enumerate(group)],
+                                                   F.coalesce(out, F.expr("array()").cast(res.schema[out].dataType)).alias(out))
     if pad:
         null_row = F.struct(*[F.lit(None).cast(df.schema[c].dataType).alias(f"f{i}") for i, c in enumerate(fields)])
         res = res.withColumn(out, F.concat(F.col(out), F.array_repeat(null_row, F.lit(n) - F.size(out))))
@@ -161,5 +168,7 @@ def dau_count(df: DataFrame, group: Sequence[str], flag: str = "flag", uid: str
                .groupBy(*group, imei)
                .agg(F.max(F.col(flag) == 1).alias("__l"), F.max(F.col(flag) != 1).alias("__a")))
     anon = devices.groupBy(*group).agg(F.count_if(F.col("__a") & ~F.col("__l")).alias("__anon"))
-    both = stack_and_sum([logged, anon], group, ["__logged", "__anon"])
+    # a group whose flags are all NULL counts 0
+    every = df.groupBy(*group).agg(F.lit(0).cast("bigint").alias("__logged"))
+    both = stack_and_sum([logged, anon, every], group, ["__logged", "__anon"])
     return both.select(*group, (F.col("__logged") + F.col("__anon")).alias(out))

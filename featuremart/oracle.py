@@ -456,6 +456,11 @@ FROM slots s LEFT JOIN ranked r ON r.l_suppkey = s.l_suppkey AND r.rn = s.pos"""
 
 def _returning_range_sql() -> str:
     return f"""
+SELECT statis_date, gds_id, city_cd, CAST(SUM(old_uv) AS BIGINT) AS old_uv FROM (
+SELECT strftime(strptime(s.statis_date, '%Y%m%d') + k * INTERVAL 1 DAY, '%Y%m%d') AS statis_date, gds_id, city_cd, 0 AS old_uv
+FROM (SELECT DISTINCT statis_date, gds_id, city_cd FROM fx_cust_visit
+      WHERE busi_tp_id IN ('Z-SHIP', '-') AND gds_id <> '-' AND gds_id IN {GOODS}) s, range(0, 8) r(k)
+UNION ALL
 SELECT d.statis_date, d.gds_id, d.city_cd,
        CAST(SUM(CASE WHEN EXISTS (
             SELECT 1 FROM fx_cust_visit p
@@ -467,7 +472,8 @@ SELECT d.statis_date, d.gds_id, d.city_cd,
 FROM (SELECT DISTINCT statis_date, gds_id, city_cd, visitor_id FROM fx_cust_visit
       WHERE statis_date BETWEEN {_q(RANGE_LO)} AND {_q(RANGE_HI)} AND busi_tp_id IN ('Z-SHIP', '-')
         AND gds_id <> '-' AND gds_id IN {GOODS}) d
-GROUP BY d.statis_date, d.gds_id, d.city_cd"""
+GROUP BY d.statis_date, d.gds_id, d.city_cd)
+WHERE statis_date BETWEEN {_q(RANGE_LO)} AND {_q(RANGE_HI)} GROUP BY 1, 2, 3"""
 
 
 _TB = """

@@ -81,7 +81,7 @@ def sales_features(t: SourceTables, days, base: DataFrame | None = None, approx_
     deals) is stacked onto it. Two scans of the base instead of four, same result: keys come
     from the full base in both forms; refund quantity and member count default to 0; and a NULL
     price (zero quantity) becomes 0 exactly when another measure table holds the key, because
-    SUM skips the NULL and adds that table's 0. ``approx_distinct`` counts paying members with a
+    SUM skips the NULL and adds that table's 0; a NULL quantity likewise. ``approx_distinct`` counts paying members with a
     HyperLogLog sketch instead of exactly."""
     d = Days.of(days)
     keys = d.keys(*KEYS)
@@ -99,7 +99,8 @@ def sales_features(t: SourceTables, days, base: DataFrame | None = None, approx_
         other_table, F.coalesce(safe_ratio(F.col(amount), F.col("sale_cnt")), F.lit(0.0))
     ).otherwise(safe_ratio(F.col(amount), F.col("sale_cnt")))
     one_pass = one_pass.select(
-        *keys, "sale_cnt", F.coalesce("goods_rejected_num", F.lit(0).cast("bigint")).alias("goods_rejected_num"),
+        *keys, F.when(other_table, F.coalesce("sale_cnt", F.lit(0).cast("bigint"))).otherwise(
+            F.col("sale_cnt")).alias("sale_cnt"), F.coalesce("goods_rejected_num", F.lit(0).cast("bigint")).alias("goods_rejected_num"),
         "sale_member_num", price("__amnt").alias("gds_price"), price("__shld").alias("sale_price"))
     return stack_and_sum([one_pass, promotion_sales(base, t, d)], keys, MEASURES)
 

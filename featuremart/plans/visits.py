@@ -94,5 +94,12 @@ def returning_visitors_range(t: SourceTables, lo: str, hi: str, lookback: int =
     w = Window.partitionBy(*KEYS, "visitor_id").orderBy("statis_date")
     prev = F.lag(d).over(w)
     flagged = days.withColumn("returning", prev.isNotNull() & (F.date_diff(d, prev) <= lookback))
-    return (flagged.where(range_pred(lo, hi))
-            .groupBy("statis_date", *KEYS).agg(F.count_if("returning").alias("old_uv")))
+    counted = flagged.where(range_pred(lo, hi)).select(
+        "statis_date", *KEYS, F.col("returning").cast("bigint").alias("old_uv"))
+    # as in the daily form, a product and city seen in the look-back has a row of the day, if only with 0
+    day_of = F.date_format(F.date_add(d, F.col("__k")), "yyyyMMdd")
+    seen = (days.select(*KEYS, "statis_date").distinct()
+            .withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(lookback))))
+            .select(day_of.alias("statis_date"), *KEYS, F.lit(0).cast("bigint").alias("old_uv"))
+            .where(range_pred(lo, hi)))
+    return counted.unionByName(seen).groupBy("statis_date", *KEYS).agg(F.sum("old_uv").alias("old_uv"))

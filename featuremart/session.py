@@ -6,9 +6,6 @@ the command-line runner. On a cluster the submitter owns the configuration.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Defaults chosen for multi-executor runs: AQE re-plans joins from runtime sizes, coalesces small
@@ -40,19 +37,4 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    Only when the setting is absent (local tests) a fresh private folder is created and set.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    path = tempfile.mkdtemp(prefix="featuremart-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path

@@ -50,7 +50,9 @@ def write_day(df: DataFrame, target: Target, days, path: str | None = None, tabl
     d = Days.of(days)
     if not d.single and target.partition not in df.columns:
         raise ValueError(f"{target.name}: a day range needs a {target.partition} column")
-    out = conform(df, target, d.lo if d.single else None).hint("rebalance")
+    out = conform(df, target, d.lo if d.single else None)
+    # one day's rows meet in few tasks (AQE splits a large day), so a range writes few files per day
+    out = out.hint("rebalance") if d.single else out.hint("rebalance", F.col(target.partition))
     spark = df.sparkSession
     if table is not None and not spark.catalog.tableExists(table):
         out.limit(0).write.format("parquet").partitionBy(target.partition).saveAsTable(table)

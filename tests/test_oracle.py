@@ -19,8 +19,8 @@ def duck():
 
 
 def _names():
-    from __spark_entry__ import queries
-    return list(queries())
+    from __spark_entry__ import oracle_sql
+    return list(oracle_sql())
 
 
 # Spark type names as DuckDB reports them

@@ -54,7 +54,7 @@ def test_dau_property(spark):
     df = spark.createDataFrame(data, "g string, flag int, uid string, imei string").repartition(16)
     got = {r.g: r.dau for r in dau_count(df, ["g"]).collect()}
     expected = {g: v for g, v in dau_rule(data).items()}
-    assert {g: got.get(g, 0) for g in expected} == expected
+    assert got == expected
 
 
 def test_topn_property(spark):
@@ -96,3 +96,14 @@ def test_stack_and_sum_property(spark):
         gx, gy, gp = got[k]
         ex, ey, ep = expected[k]
         assert (gx, gy) == (ex, ey) and (gp is None) == (ep is None) and (gp is None or abs(gp - ep) < 1e-9), k
+
+
+def test_groups_without_values_stay(spark):
+    from featuremart.functions import median_by
+    from featuremart.operators.relops import topn_array
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 5.0, 3), ("b", None, 4)], "g string, x double, p int")
+    assert rows(median_by(df, ["g"], "x")) == rows(df.groupBy("g").agg(F.median("x")))
+    got = {r["g"]: [tuple(e) for e in r["topn"]] for r in topn_array(df, ["g"], 2, "x", ["p"]).collect()}
+    assert got == {None: [(3.0, 2), (1.0, 1)], "a": [(5.0, 3), (None, None)], "b": [(None, None), (None, None)]}
+    flags = spark.createDataFrame([("d", None, "u", "i"), ("e", 1, "u", "i")], "g string, flag int, uid string, imei string")
+    assert rows(dau_count(flags, ["g"])) == [("d", 0), ("e", 1)]
