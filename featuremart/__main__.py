@@ -38,10 +38,14 @@ def main(argv: list[str] | None = None) -> int:
         src.add_argument("--testdata", help="test-data folder (sf*/) to bind the sources to")
         src.add_argument("--catalog", help="JSON file: source role -> catalog table")
         src.add_argument("--paths", help="JSON file: source role -> parquet folder (partitioned by statis_date)")
-        sp.add_argument("--out", required=True, help="output root (run-day) or table folder (sales-volume)")
+        out = sp.add_mutually_exclusive_group(required=True)
+        out.add_argument("--out", help="output root (run-day) or table folder (sales-volume)")
+        out.add_argument("--database", help="catalog database of the target tables")
         sp.add_argument("--master", default=None, help="only for local runs, e.g. local[8]")
     sub.choices["run-day"].add_argument("--date", required=True, help="yyyyMMdd (first day with --to)")
     sub.choices["run-day"].add_argument("--to", default=None, help="last day of a backfill range, yyyyMMdd")
+    sub.choices["run-day"].add_argument("--d1", default=None, help="last earlier day of returning visitors, yyyyMMdd")
+    sub.choices["run-day"].add_argument("--d7", default=None, help="first earlier day of returning visitors, yyyyMMdd")
     sub.choices["run-day"].add_argument("--approx-distinct", action="store_true",
                                         help="HyperLogLog distinct counts instead of exact ones")
     sv = sub.choices["sales-volume"]
@@ -61,14 +65,16 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "run-day":
         from featuremart.plans.daily import run_day
         paths = run_day(spark, t, (args.date, args.to) if args.to else args.date, args.out,
-                        approx_distinct=args.approx_distinct)
+                        approx_distinct=args.approx_distinct, database=args.database, d1=args.d1, d7=args.d7)
         print(json.dumps(paths))
     else:
         from featuremart import schemas, sink
         from featuremart.plans.sales_volume import sales_volume_rank
         df = sales_volume_rank(t.order, args.start, args.end, args.min_days, args.rank_limit, dense=args.dense)
-        sink.write_table(df, schemas.SALES_VOLUME_T, args.out)
-        print(json.dumps({schemas.SALES_VOLUME_T.name: args.out}))
+        name = schemas.SALES_VOLUME_T.name
+        table = f"{args.database}.{name}" if args.database else None
+        sink.write_table(df, schemas.SALES_VOLUME_T, args.out, table)
+        print(json.dumps({name: table or args.out}))
     return 0
 
 

@@ -2,13 +2,15 @@
 
 ``max_any``, ``max_min`` and ``letters_total`` are ordinary aggregate expressions with partial
 (map-side) aggregation. The exact median is an operator (``median_by``) because Spark's
-``median`` keeps every distinct value of a group in one buffer; ``median_by`` ranks values in
-value-range buckets so no task holds more than a bucket of one group.
+``median`` keeps every distinct value of a group in one buffer; ``median_by`` narrows the middle ranks
+down by counts per leading bits of the values, so no task holds more than a bounded number of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,65 +57,80 @@ def letters_total(df: DataFrame, col: str) -> Column:
     return F.coalesce(F.sum(F.length(col)), F.lit(0).cast("bigint"))
 
 
-def _by_group(left: DataFrame, right: DataFrame, g: list[str], how: str) -> DataFrame:
-    """Join on the group columns, NULL groups with NULL groups; without columns, ``right`` has one row."""
-    if not g:
-        return left.crossJoin(right)
-    named = right.select(*[F.col(c).alias(f"__r_{c}") for c in g], *[c for c in right.columns if c not in g])
-    on = F.lit(True)
-    for c in g:
-        on = on & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    return left.join(named, on, how).drop(*[f"__r_{c}" for c in g])
+def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys``, NULL with NULL."""
+    named = right.select(*[F.col(c).alias(f"__r_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys])
+    return left.join(named, on, how).drop(*[f"__r_{c}" for c in keys])
 
 
-def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median",
-              accuracy: int = 10_000) -> DataFrame:
+def ordered_key(x: Column) -> Column:
+    """A 64-bit integer that orders like the double ``x``, equal only for equal values: exponent above
+    52 bits of fraction, negated below zero; infinity above all finite values and NaN above that."""
+    a = F.abs(x)
+    guess = F.least(F.greatest(F.floor(F.log2(a)), F.lit(-1022)), F.lit(1023))
+    ratio = a / F.pow(F.lit(2.0), guess)
+    # the logarithm is rounded: one step either way makes 1 <= ratio < 2 (less only at the least exponent)
+    e = (guess + F.when(ratio >= 2, 1).otherwise(0) - F.when((ratio < 1) & (guess > -1022), 1).otherwise(0))
+    bits = (e + 1022) * F.lit(2 ** 52) + (a / F.pow(F.lit(2.0), e) * F.lit(2.0 ** 52)).cast("long")
+    bits = F.when(F.isnan(x), 2 ** 63 - 1).when(a == float("inf"), 2047 * 2 ** 52).when(a == 0, 0).otherwise(bits)
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median", salts: int = 32) -> DataFrame:
     """Exact median of ``col`` per group (U7): odd count -> middle value, even -> mean of the two
     middle values (as double), NULLs skipped; a group with no non-NULL value gives NULL, and a NULL group is a
     group.
 
-    Plan, all distributed and with partial aggregation before every shuffle:
-      1. a bounded quantile sketch per group (``percentile_approx``) gives values ``lo`` / ``hi``
-         a few rank-error widths below / above the middle;
-      2. distinct values with counts per group, tagged against (lo, hi) with two comparisons;
-         exact counts give the rank of ``lo`` and check that the middle ranks fall in [lo, hi];
-      3. only the values in [lo, hi] (about ``8 / accuracy`` of a group) are ranked exactly in a
-         window per group. A group whose check fails is ranked over all its values instead, so
-         the result is exact whatever the sketch returns.
-
-    ``percentile_approx`` documents a rank error of at most ``n / accuracy``; the window reaches
-    ``4 n / accuracy`` to each side of the middle, so the check can only fail if that bound does.
-    The fallback is a safety net for exactness, not a path the data should take.
+    A radix selection, all distributed and with partial aggregation before every shuffle: distinct values with
+    counts per (group, value); then counts per (group, leading bits of the value's order-preserving integer), of
+    which only the one or two buckets that hold the middle ranks are kept; the next bits likewise; at last the
+    values that share the kept leading bits are ranked. Every ranking is a window over at most ``2 ** 22`` rows of
+    a group whatever its size: 22, 21 and 21 bits of long and double, 16 and 16 of the shorter types. The joins
+    that narrow the values use (group, leading bits, salt), so a group or bucket that holds most values is spread
+    over ``salts`` tasks. ``salts`` changes speed only.
     """
     require_median_input(df, col)
     g = list(group)
     require_columns(df, [*g, col], "median")
-    is_int = isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    t = df.schema[col].dataType
+    is_int = isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    shifts = [16] if is_int and not isinstance(t, T.LongType) else [42, 21]
     x = F.col(col).cast("long" if is_int else "double")
-    rows = df.where(F.col(col).isNotNull()).select(*g, x.alias("__x"))
-    d = 4.0 / accuracy
-    sketch = rows.groupBy(*g).agg(
-        F.percentile_approx("__x", [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias("__b"))
-    vals = rows.groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    tagged = _by_group(vals, sketch, g, "inner").select(
-        *g, "__x", "__c", F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"))
-    inside = F.col("__x").between(F.col("__lo"), F.col("__hi"))
-    stats = tagged.groupBy(*g).agg(
-        F.sum("__c").alias("__n"),
-        F.coalesce(F.sum(F.when(F.col("__x") < F.col("__lo"), F.col("__c"))), F.lit(0)).alias("__below"),
-        F.coalesce(F.sum(F.when(inside, F.col("__c"))), F.lit(0)).alias("__mid"))
-    stats = stats.select(*g, "__n", "__below", F.floor((F.col("__n") - 1) / 2).alias("__klo"),
-                         F.floor(F.col("__n") / 2).alias("__khi"), "__mid")
-    ok = (F.col("__below") <= F.col("__klo")) & (F.col("__below") + F.col("__mid") > F.col("__khi"))
-    stats = stats.select(*g, "__klo", "__khi", F.when(ok, F.col("__below")).otherwise(F.lit(0)).alias("__base"),
-                         ok.alias("__ok"))
-    cand = _by_group(tagged, stats, g, "inner").where(~F.col("__ok") | inside)
-    w = Window.partitionBy(*g).orderBy("__x")
-    cand = cand.withColumn("__end", F.col("__base") + F.sum("__c").over(w))  # exclusive end rank
-    covers = lambda r: (F.col("__end") - F.col("__c") <= r) & (r < F.col("__end"))
-    picked = cand.groupBy(*g).agg(
-        F.max(F.when(covers(F.col("__klo")), F.col("__x"))).alias("__vlo"),
-        F.max(F.when(covers(F.col("__khi")), F.col("__x"))).alias("__vhi"))
+    counted = (df.where(F.col(col).isNotNull()).select(*g, x.alias("__x"))
+               .groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c")))
+    vals = counted.withColumn("__key", F.col("__x") if is_int else ordered_key(F.col("__x")))
+    in_group = Window.partitionBy(*g)
+    holds = lambda r: (F.col("__end") - F.col("__c") <= F.col(r)) & (F.col(r) < F.col("__end"))
+
+    def narrowed(kept: DataFrame, bits: int) -> DataFrame:
+        salt = F.pmod(F.xxhash64("__x"), F.lit(salts)).cast("int")
+        spread = kept.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return _join_on(vals.withColumn("__p", F.shiftright("__key", bits)).withColumn("__salt", salt), spread,
+                        [*g, "__p", "__salt"], "inner").drop("__salt")
+
+    kept, above = None, None
+    for bits in shifts:
+        rows = vals if kept is None else narrowed(kept, above)
+        rows = rows.withColumn("__p", F.shiftright("__key", bits))
+        if kept is None:
+            buckets = rows.groupBy(*g, "__p").agg(F.sum("__c").alias("__c"))
+            n = F.sum("__c").over(in_group)
+            buckets = buckets.select(*g, "__p", "__c", F.lit(0).cast("long").alias("__base"),
+                                     F.floor((n - 1) / 2).alias("__klo"), F.floor(n / 2).alias("__khi"))
+        else:
+            buckets = rows.groupBy(*g, "__p").agg(
+                F.sum("__c").alias("__c"), *[F.min(c).alias(c) for c in ("__base", "__klo", "__khi")])
+        buckets = buckets.withColumn("__end", F.min("__base").over(in_group)
+                                     + F.sum("__c").over(in_group.orderBy("__p")))
+        kept = buckets.where(holds("__klo") | holds("__khi")).select(
+            *g, "__p", (F.col("__end") - F.col("__c")).alias("__base"), "__klo", "__khi")
+        above = bits
+    # the kept buckets of a group follow one another, so ranks go on from the first one's
+    last = narrowed(kept, above).withColumn("__end", F.min("__base").over(in_group)
+                                            + F.sum("__c").over(in_group.orderBy("__key")))
+    picked = last.groupBy(*g).agg(F.max(F.when(holds("__klo"), F.col("__x"))).alias("__vlo"),
+                                  F.max(F.when(holds("__khi"), F.col("__x"))).alias("__vhi"))
     if g:  # groups without a value have a row too
-        picked = _by_group(df.select(*g).distinct(), picked, g, "left")
+        picked = _join_on(df.select(*g).distinct(), picked, g, "left")
     return picked.select(*g, ((F.col("__vlo").cast("double") + F.col("__vhi").cast("double")) / 2).alias(out))

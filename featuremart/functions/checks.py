@@ -43,3 +43,12 @@ def require_max_min_input(df: DataFrame, col: str) -> None:
 def require_string(df: DataFrame, col: str, op: str) -> None:
     if not isinstance(_type(df, col), T.StringType):
         raise TypeError(f"{op}: {col} must be a string column, got {_type(df, col).simpleString()}")
+
+
+def require_array_contains(df: DataFrame, arr: str, x: str) -> None:
+    """``array_contains_strict`` takes a list of strings and a string."""
+    require_columns(df, [arr, x], "array_contains")
+    t = _type(df, arr)
+    if not (isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StringType)):
+        raise TypeError(f"array_contains: {arr} must be a list of strings, got {t.simpleString()}")
+    require_string(df, x, "array_contains")

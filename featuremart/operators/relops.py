@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featuremart.functions.checks import require_columns, require_orderable
+from featuremart.functions.checks import require_columns, require_orderable, require_string
 
 
 def stack_and_sum(frames: Sequence[DataFrame], keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -105,6 +105,9 @@ def topn_array(df: DataFrame, group: Sequence[str], n: int, key: str, payload: S
     return res
 
 
+MAX_HEAD = 1_000_000  # distinct order tuples of numbers: some tens of MB
+
+
 def ranked_head(df: DataFrame, order: Sequence[str], limit_rank: int, rank_col: str = "rank",
                 dense: bool = False) -> DataFrame:
     """Rows whose ``rank()`` over ``order`` (all descending) is below ``limit_rank``.
@@ -113,7 +116,7 @@ def ranked_head(df: DataFrame, order: Sequence[str], limit_rank: int, rank_col:
     distinct order tuples with multiplicities (partial aggregation), only the first
     ``limit_rank - 1`` tuples can rank below the limit (rank >= position), those are taken with a
     bounded top-k, ranked by a running sum of multiplicities over at most ``limit_rank - 1`` rows,
-    and broadcast back (bounded by ``limit_rank - 1`` rows). ``dense=True`` gives ``dense_rank``.
+    and joined back, broadcast only if those are at most ``MAX_HEAD``. ``dense=True`` gives ``dense_rank``.
     """
     if limit_rank <= 1:
         return df.withColumn(rank_col, F.lit(None).cast("int")).where(F.lit(False))
@@ -133,7 +136,8 @@ def ranked_head(df: DataFrame, order: Sequence[str], limit_rank: int, rank_col:
     for i, c in enumerate(order):
         e = F.col(c).eqNullSafe(F.col(f"__o{i}"))
         cond = e if cond is None else cond & e
-    joined = df.join(F.broadcast(head), cond, "inner")
+    side = F.broadcast(head) if limit_rank - 1 <= MAX_HEAD else head  # a bigger head: sizes decide at run time
+    joined = df.join(side, cond, "inner")
     return joined.drop(*[f"__o{i}" for i in range(len(order))])
 
 
@@ -147,6 +151,7 @@ def name_rows(df: DataFrame, col: str, keep: Sequence[str] = (), out: tuple[str,
     """
     from featuremart.functions.expr import name_pairs
     require_columns(df, [col, *keep], "name_rows")
+    require_string(df, col, "name_rows")
     return df.select(*keep, F.inline(name_pairs(F.col(col), out)))
 
 
@@ -161,6 +166,8 @@ def dau_count(df: DataFrame, group: Sequence[str], flag: str = "flag", uid: str
     require_columns(df, [*group, flag, uid, imei], "dau_count")
     if not isinstance(df.schema[flag].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
         raise TypeError("dau_count: flag must be an integer column")
+    require_string(df, uid, "dau_count")
+    require_string(df, imei, "dau_count")
     rows = df.where(F.col(flag).isNotNull())
     logged = (rows.where((F.col(flag) == 1) & F.col(uid).isNotNull())
               .groupBy(*group).agg(F.count_distinct(uid).alias("__logged")))

@@ -3,7 +3,7 @@
 The fixture binding of ``featuremart.sources.testdata`` is restated as CTEs over the raw test
 tables; each query then states the job's semantics in plain SQL (semi joins as ``IN``, the
 stack-and-sum as UNION ALL + SUM, ranks with window functions). Integer sums are cast to BIGINT,
-doubles rounded half-up to 6 decimals with the same
+doubles rounded half-even to 6 decimals with the same
 IEEE formula as the Spark side and divisions guarded with ``nullif``, matching the Spark side.
 """
 
@@ -35,11 +35,11 @@ _AGE = " ".join(f"WHEN {i} THEN {_q(a)}" for i, a in enumerate(td.AGE_LABELS))
 
 FIXTURES = f"""
 fx_goods AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS gds_cd FROM part WHERE p_partkey < 100 AND p_size <= 30),
+  SELECT CAST(p_partkey AS VARCHAR) AS gds_cd FROM part WHERE p_size <= 30),
 fx_order AS (
   SELECT strftime({_day('o_orderkey % 30')}, '%Y%m%d') AS statis_date,
-         CAST(l_partkey % 100 AS VARCHAR) AS gds_id,
-         CAST(o_custkey % 5 AS VARCHAR) AS city_cd,
+         CAST(l_partkey AS VARCHAR) AS gds_id,
+         CAST(c_nationkey AS VARCHAR) AS city_cd,
          CASE o_orderstatus WHEN 'F' THEN '50' WHEN 'O' THEN '51' WHEN 'P' THEN '52' END AS chnl_cd,
          CAST(trunc(l_quantity) AS BIGINT) AS tot_qty,
          CAST(l_extendedprice AS DECIMAL(15, 2)) AS tot_amnt,
@@ -47,13 +47,13 @@ fx_order AS (
          CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS oms_order_item_id,
          CASE WHEN l_linestatus = 'O' THEN 'Z' WHEN l_linenumber = 7 THEN '-' ELSE 'X' END AS busi_tp_id,
          CAST(o_custkey AS VARCHAR) AS member_id,
-         CAST(o_custkey % 15 AS VARCHAR) || '_' || CAST(o_orderkey % 30 + 1 AS VARCHAR) AS visit_id,
+         CAST(o_custkey AS VARCHAR) || '_' || CAST(o_orderkey % 30 + 1 AS VARCHAR) AS visit_id,
          strftime({_day('o_orderkey % 30 + CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END')}, '%Y-%m-%d')
            || ' 10:00:00' AS order_time,
          strftime({_day('o_orderkey % 30 + l_linenumber % 2')}, '%Y-%m-%d') || ' 11:00:00' AS pay_time,
          CASE WHEN l_returnflag = 'R'
               THEN strftime({_day('o_orderkey % 30 + l_linenumber % 3')}, '%Y-%m-%d') || ' 12:00:00' END AS rfd_time
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 fx_deal AS (
   SELECT DISTINCT strftime({_day('o_orderkey % 30')}, '%Y%m%d') AS statis_date,
          CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS order_item_id,
@@ -64,26 +64,27 @@ fx_ev AS (
   SELECT event_id, user_id, event_type, value,
          strftime(ts, '%Y%m%d') AS statis_date,
          CAST(user_id AS VARCHAR) AS visitor_id,
-         CAST(user_id % 15 AS VARCHAR) || '_' || CAST(dayofmonth(ts) AS VARCHAR) AS visit_id,
-         CAST(user_id % 5 AS VARCHAR) AS city_cd,
-         json_extract_string(props, '$.k') AS gds_id,
+         CAST(user_id AS VARCHAR) || '_' || CAST(dayofmonth(ts) AS VARCHAR) AS visit_id,
          CAST(1 AS BIGINT) AS pv_qty,
          CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS BIGINT) AS oos_pv_qty,
          CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS one_pv_puv_flag,
          CASE WHEN event_type = 'signup' THEN 'X' WHEN value < 20 THEN '-' ELSE 'Z-SHIP' END AS busi_tp_id,
          CASE WHEN event_type = 'view' THEN '-' ELSE {_q(td.KEYWORD)} END AS from_key_word
   FROM events),
-fx_cust_visit AS (SELECT * FROM fx_ev),
+fx_cust_visit AS (
+  SELECT fx_ev.*, CAST(l_partkey AS VARCHAR) AS gds_id, CAST(c_nationkey AS VARCHAR) AS city_cd
+  FROM fx_ev JOIN orders ON user_id = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
+       JOIN customer ON o_custkey = c_custkey),
 fx_web_visit AS (
   SELECT statis_date, CAST(event_id AS VARCHAR) AS pv_id, visitor_id, visit_id, city_cd, gds_id, busi_tp_id,
          from_key_word
-  FROM fx_ev WHERE event_id % 2 = 0),
+  FROM fx_cust_visit WHERE event_id % 2 = 0),
 fx_app_visit AS (
   SELECT statis_date,
          CAST(event_id % 3 AS VARCHAR) || 'c' || CAST(user_id AS VARCHAR) || 'v' || visit_id || 'o'
            || CAST(event_id AS VARCHAR) AS pv_id,
          visitor_id, visit_id, city_cd, gds_id, busi_tp_id, from_key_word
-  FROM fx_ev WHERE event_id % 2 = 1),
+  FROM fx_cust_visit WHERE event_id % 2 = 1),
 fx_web_click AS (
   SELECT statis_date, CAST(event_id AS VARCHAR) AS pv_id,
          CASE event_type WHEN 'click' THEN 'shoucang01' WHEN 'purchase' THEN 'buy01' WHEN 'signup' THEN 'shoucang02'
@@ -322,8 +323,8 @@ volume AS (
 
 
 def _r6(expr: str) -> str:
-    """Same half-up rounding to 6 decimals as ``featuremart.queries.round6``."""
-    return f"(CASE WHEN abs({expr}) < 1e12 THEN floor(({expr}) * 1e6 + 0.5) / 1e6 ELSE ({expr}) END)"
+    """Same half-even rounding to 6 decimals as ``featuremart.queries.round6``."""
+    return f"(round_even(({expr}) * 1e6, 0) / 1e6)"
 
 
 GATHER_COLS = ["gds_id", "city_cd", "chnl_cd", "sale_cnt", "sale_promotion_cnt", "sale_promotion_num",
@@ -357,6 +358,14 @@ def _daily_queries(day: str) -> dict[str, str]:
         "sal_fs": _with(*sales_ctes) +
         "SELECT gds_id, city_cd, chnl_cd, sale_cnt, sale_promotion_cnt, sale_promotion_num, goods_rejected_num, "
         f"sale_member_num, {price} FROM sal_fs",
+        "sal_fs_target": _with(*sales_ctes) +
+        "SELECT gds_id AS gds_cd, city_cd, chnl_cd, CAST(sale_cnt AS INTEGER) AS sale_cnt, CAST(sale_promotion_cnt AS "
+        "INTEGER) AS sale_promotion_cnt, CAST(sale_promotion_num AS INTEGER) AS sale_promotion_num, CAST(goods_rejected_num "
+        f"AS DOUBLE) AS goods_rejected_num, CAST(sale_member_num AS DOUBLE) AS sale_member_num, {price}, {_q(day)} AS "
+        "statis_date FROM sal_fs",
+        "gds_search_target": _with(c["SEARCH_VISITS"], c["GDS_SEARCH"]) +
+        "SELECT gds_id, city_cd, CAST(tot_qty AS INTEGER) AS tot_qty, CAST(search_visit_pv AS INTEGER) AS search_visit_pv, "
+        f"CAST(search_visit_uv AS INTEGER) AS search_visit_uv, {_q(day)} AS statis_date FROM gds_search",
         "visit_measures": _with(c["VISIT_A"]) + "SELECT * FROM visit_a",
         "returning_visitors": _with(c["VISIT_D"]) + "SELECT * FROM visit_d",
         "gds_visit": _with(*visit_ctes) +
@@ -417,7 +426,7 @@ def sql() -> dict[str, str]:
         f'CAST(dense_rank() OVER (ORDER BY num DESC, sales_volume DESC) AS INTEGER) AS "rank" '
         f'FROM volume WHERE num > {VOLUME_MIN_DAYS}) r WHERE "rank" < {VOLUME_RANK_LIMIT}',
         "adhoc_filter_limit": _with(_TB) + "SELECT a, b, c FROM tb WHERE a = '' AND b = '' ORDER BY c LIMIT 10",
-        "greeting": "SELECT r_regionkey, 'Hello ' || r_name AS greeting FROM region",
+        "greeting": "SELECT c_custkey, 'Hello ' || c_name AS greeting FROM customer",
         "array_contains_strict": "SELECT p_partkey, list_contains(string_split(p_name, ' '), 'red') AS has_red "
                                  "FROM part",
         "total_score": "SELECT 'o' || CAST(l_orderkey AS VARCHAR) AS name, "
@@ -431,6 +440,14 @@ def sql() -> dict[str, str]:
         "max_min": f"SELECT l_returnflag, {_r6('MAX(l_extendedprice)')} AS price_max, "
                    f"{_r6('MIN(l_extendedprice)')} AS price_min, CAST(MAX(l_linenumber) AS DOUBLE) AS line_max, "
                    "CAST(MIN(l_linenumber) AS DOUBLE) AS line_min FROM lineitem GROUP BY l_returnflag",
+        "max_min_text": "SELECT l_returnflag, CAST(MAX(l_quantity) AS VARCHAR) || chr(9) || CAST(MIN(l_quantity) AS VARCHAR) "
+                        f"AS quantity, {_r6('epoch_us(MAX(l_shipdate)) / 1e6')} AS ship_max, "
+                        f"{_r6('epoch_us(MIN(l_shipdate)) / 1e6')} AS ship_min FROM lineitem GROUP BY l_returnflag",
+        "median_null_groups": f"SELECT nullif(l_returnflag, 'N') AS flag, {_r6('quantile_cont(price, 0.5)')} AS median "
+                              "FROM (SELECT l_returnflag, CASE WHEN l_returnflag <> 'A' THEN l_extendedprice END AS price "
+                              "FROM lineitem) GROUP BY 1",
+        "sql_functions": "SELECT 'Hello o' || CAST(l_orderkey AS VARCHAR) AS greeting, l_orderkey = 1 AS is_o1, "
+                         "CAST(trunc(l_quantity) AS BIGINT) + l_linenumber AS total_score FROM lineitem",
         "median_int": _median_sql("l_linenumber"),
         "median_long": _median_sql("l_suppkey"),
         "median_double": _median_sql("l_extendedprice"),

@@ -23,9 +23,12 @@ def target_path(root: str, target: schemas.Target) -> str:
     return os.path.join(root, target.name)
 
 
-def run_day(spark: SparkSession, t: SourceTables, days, out_root: str, persist_base: bool = True,
-            parallel: bool = True, approx_distinct: bool = False) -> dict:
-    """Compute and write every feature table of ``days`` under ``out_root``; returns the paths.
+def run_day(spark: SparkSession, t: SourceTables, days, out_root: str | None = None, persist_base: bool = True,
+            parallel: bool = True, approx_distinct: bool = False, database: str | None = None, d1: str | None = None,
+            d7: str | None = None) -> dict:
+    """Compute and write every feature table of ``days`` under ``out_root``, or into catalog tables of
+    ``database``; returns the paths or table names. ``d1`` and ``d7`` are the bounds of the returning visitors'
+    earlier days for a single day (default: the day before, seven days before).
 
     ``days`` is one day, or a ``(lo, hi)`` range for a backfill: each job then scans the range once
     and writes all its day partitions in one job (N2's returning visitors by the one-pass look-back
@@ -34,39 +37,39 @@ def run_day(spark: SparkSession, t: SourceTables, days, out_root: str, persist_b
     side by side. The wide table is gathered after all five are written. ``approx_distinct``
     switches the distinct-visitor / member counts to HyperLogLog sketches (default exact)."""
     d = Days.of(days)
-    paths = {}
+    if (out_root is None) == (database is None):
+        raise ValueError("run_day: give either an output root or a database")
+    places = {tg.name: {"table": f"{database}.{tg.name}"} if database else {"path": target_path(out_root, tg)}
+              for tg in schemas.DAILY}
     base = sales.sales_base(t, d)
     if persist_base:  # the day's order lines: read by N1's two branches, N4 and N5
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [
             (schemas.SALES_T, sales.sales_features(t, d, base=base, approx_distinct=approx_distinct)),
-            (schemas.VISITS_T, visits.gds_visit(t, d, approx_distinct=approx_distinct)),
+            (schemas.VISITS_T, visits.gds_visit(t, d, d1, d7, approx_distinct)),
             (schemas.FAVOURITE_CART_T, clct_cart.gds_clct_cart(t, d, approx_distinct)),
             (schemas.SEARCH_T, search.gds_search(t, d, approx_distinct, base=base)),
             (schemas.MEMBERS_T, members.gds_member(t, d, base=base)),
         ]
-        for target, _ in jobs:
-            paths[target.name] = target_path(out_root, target)
         if parallel:
             with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-                done = [pool.submit(sink.write_day, df, target, d, path=paths[target.name]) for target, df in jobs]
+                done = [pool.submit(sink.write_day, df, target, d, **places[target.name]) for target, df in jobs]
                 for f in done:
                     f.result()
         else:
             for target, df in jobs:
-                sink.write_day(df, target, d, path=paths[target.name])
+                sink.write_day(df, target, d, **places[target.name])
     finally:
         if persist_base:
             base.unpersist()
 
     def read(tg: schemas.Target):
-        df = sink.read_day(spark, tg, d.lo, paths[tg.name], None if d.single else d.hi).drop("etl_time")
+        df = sink.read_day(spark, tg, d.lo, hi=None if d.single else d.hi, **places[tg.name]).drop("etl_time")
         return df.drop("statis_date") if d.single else df
 
     sal = read(schemas.SALES_T).withColumnRenamed("gds_cd", "gds_id")
     wide = gather.feature_gather(sal, read(schemas.VISITS_T), read(schemas.FAVOURITE_CART_T), read(schemas.SEARCH_T),
                                  read(schemas.MEMBERS_T))
-    paths[schemas.GATHER_T.name] = target_path(out_root, schemas.GATHER_T)
-    sink.write_day(wide, schemas.GATHER_T, d, path=paths[schemas.GATHER_T.name])
-    return paths
+    sink.write_day(wide, schemas.GATHER_T, d, **places[schemas.GATHER_T.name])
+    return {name: next(iter(place.values())) for name, place in places.items()}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featuremart import schemas, sink
 from featuremart.functions import aggs
 from featuremart.functions.expr import array_contains_strict, greeting, total_score
 from featuremart.operators import relops
@@ -25,19 +26,15 @@ from featuremart.sources.tables import SourceTables
 DAY = "20240115"
 RANGE_LO, RANGE_HI = "20240110", "20240120"
 VOLUME_START, VOLUME_END = "20240101", "20240131"
-VOLUME_MIN_DAYS = 29
+VOLUME_MIN_DAYS = 12
 VOLUME_RANK_LIMIT = 100
 TOPN = 3
 
 
-ROUND_LIMIT = 1e12
-
-
 def round6(c: Column) -> Column:
-    """Half-up rounding to 6 decimals as plain IEEE arithmetic, ``floor(x * 1e6 + 0.5) / 1e6``, so
-    Spark and the oracle produce the same double from the same input (values beyond 1e12 are left
-    as they are)."""
-    return F.when(F.abs(c) < ROUND_LIMIT, F.floor(c * 1e6 + 0.5) / 1e6).otherwise(c)
+    """Half-even rounding to 6 decimals as plain IEEE arithmetic, ``rint(x * 1e6) / 1e6``, so Spark and
+    the oracle produce the same double from the same input, whatever its size."""
+    return F.rint(c * 1e6) / 1e6
 
 
 def round_doubles(df: DataFrame) -> DataFrame:
@@ -115,8 +112,8 @@ def adhoc_filter_limit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- functions ------------------------------------------------------------------------------------
 
 def greeting_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = testdata.read(spark, sf_dir, "region", "r_regionkey", "r_name")
-    return r.select("r_regionkey", greeting(F.col("r_name")).alias("greeting"))
+    c = testdata.read(spark, sf_dir, "customer", "c_custkey", "c_name")
+    return c.select("c_custkey", greeting(F.col("c_name")).alias("greeting"))
 
 
 def array_contains_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +138,25 @@ def name_rows_sql_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT f.p_partkey, r.name, r.surname FROM fx_name f, LATERAL name_rows(f.full_name) r")
 
 
+def sql_functions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar functions by their SQL names, one row per order line."""
+    from featuremart.functions.sql import register_functions
+    register_functions(spark)
+    return testdata.fx_score(spark, sf_dir).selectExpr(
+        "greeting(name) AS greeting", "array_contains_strict(array(name, NULL), 'o1') AS is_o1",
+        "total_score(name, score_list).totalScore AS total_score")
+
+
+def sal_fs_target_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N1 as its sink writes it: target names and types."""
+    return round_doubles(sink.conform(sales.sales_features(_tables(spark, sf_dir), DAY), schemas.SALES_T, DAY))
+
+
+def gds_search_target_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N4 as its sink writes it, without the processing time."""
+    return sink.conform(search.gds_search(_tables(spark, sf_dir), DAY), schemas.SEARCH_T, DAY).drop("etl_time")
+
+
 def max_any_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _lineitem(spark, sf_dir, "l_returnflag", "l_linenumber", "l_suppkey", "l_extendedprice", "l_linestatus",
                    "l_shipdate")
@@ -159,6 +175,22 @@ def max_min_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(li.groupBy("l_returnflag").agg(*price, *line))
 
 
+def max_min_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximum and minimum of text (in the text form) and of timestamps (in seconds)."""
+    li = _lineitem(spark, sf_dir, "l_returnflag", "l_quantity", "l_shipdate").withColumn(
+        "l_quantity", F.col("l_quantity").cast("string"))
+    return round_doubles(li.groupBy("l_returnflag").agg(
+        aggs.max_min(li, "l_quantity", "quantity")[2], *aggs.max_min(li, "l_shipdate", "ship")[:2]))
+
+
+def median_null_groups_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A NULL group (flag N) and a group without any value (flag A)."""
+    li = _lineitem(spark, sf_dir, "l_returnflag", "l_extendedprice").select(
+        F.nullif(F.col("l_returnflag"), F.lit("N")).alias("flag"),
+        F.when(F.col("l_returnflag") != "A", F.col("l_extendedprice")).alias("price"))
+    return round_doubles(aggs.median_by(li, ["flag"], "price"))
+
+
 def _median(col: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         li = _lineitem(spark, sf_dir, "l_returnflag", col)
@@ -218,6 +250,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gds_search_range": _range_job(search.gds_search),
         "gds_member_range": _range_job(members.gds_member),
         "feature_gather_range": _range_job(gather.feature_gather_for_day),
+        # conformed targets (K1, K4)
+        "sal_fs_target": sal_fs_target_q,
+        "gds_search_target": gds_search_target_q,
         # sales volume (N7) and the ad-hoc fetch
         "sales_volume": sales_volume_q,
         "sales_volume_rank": sales_volume_rank_q,
@@ -229,11 +264,14 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "total_score": total_score_q,
         "name_rows": name_rows_q,
         "name_rows_sql": name_rows_sql_q,
+        "sql_functions": sql_functions_q,
         "max_any": max_any_q,
         "max_min": max_min_q,
+        "max_min_text": max_min_text_q,
         "median_int": _median("l_linenumber"),
         "median_long": _median("l_suppkey"),
         "median_double": _median("l_extendedprice"),
+        "median_null_groups": median_null_groups_q,
         "letters_total": letters_total_q,
         "topn_rows": topn_rows_q,
         "topn_array": topn_array_q,

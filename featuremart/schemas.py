@@ -48,3 +48,4 @@ SALES_VOLUME_T = Target("sales_volume_stats",
                        ("sales_volume", T.LongType()), ("rank", I)], partition="")
 
 TARGETS = {t.name: t for t in [SALES_T, VISITS_T, FAVOURITE_CART_T, SEARCH_T, MEMBERS_T, GATHER_T, SALES_VOLUME_T]}
+DAILY = [SALES_T, VISITS_T, FAVOURITE_CART_T, SEARCH_T, MEMBERS_T, GATHER_T]

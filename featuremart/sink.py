@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,15 +82,19 @@ def _empty_days(spark: SparkSession, target: Target, days: list[str], path: str
     part = target.partition
     fields = [f for f in target.schema.fields if f.name != part]
     empty = spark.createDataFrame([], T.StructType(fields))
-    for day in days:
+    view = f"__featuremart_empty_{target.name}"
+    empty.createOrReplaceTempView(view)
+    cols = ", ".join(f"`{f.name}`" for f in fields)
+
+    def clear(day: str) -> None:
         if table is not None:
-            view = f"__featuremart_empty_{target.name}"
-            empty.createOrReplaceTempView(view)
-            cols = ", ".join(f"`{f.name}`" for f in fields)
             spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({part} = '{day}') SELECT {cols} FROM {view}")
         else:
             empty.write.mode("overwrite").parquet(f"{path}/{part}={day}")
 
+    with ThreadPoolExecutor(max_workers=8) as pool:  # jobs without rows, side by side
+        list(pool.map(clear, days))
+
 
 def _day_list(d: Days) -> list[str]:
     out, day = [], d.lo
@@ -98,14 +104,22 @@ def _day_list(d: Days) -> list[str]:
     return out
 
 
-def read_day(spark: SparkSession, target: Target, day: str, path: str, hi: str | None = None) -> DataFrame:
+def read_day(spark: SparkSession, target: Target, day: str, path: str | None = None, hi: str | None = None,
+             table: str | None = None) -> DataFrame:
     """Read one day partition (or the days ``day..hi``) back with the declared schema (no partition
-    type inference)."""
-    df = spark.read.schema(target.schema).parquet(path)
+    type inference), from a folder or a catalog table."""
+    df = spark.table(table) if table is not None else spark.read.schema(target.schema).parquet(path)
     if hi is None:
         return df.where(F.col(target.partition) == F.lit(_check_day(day)))
     return df.where(F.col(target.partition).between(F.lit(_check_day(day)), F.lit(_check_day(hi))))
 
 
-def write_table(df: DataFrame, target: Target, path: str) -> None:
-    conform(df, target).hint("rebalance").write.mode("overwrite").parquet(path)
+def write_table(df: DataFrame, target: Target, path: str | None = None, table: str | None = None) -> None:
+    """Create or replace an unpartitioned result (K3): a parquet folder or a catalog table."""
+    out = conform(df, target).hint("rebalance").write.mode("overwrite")
+    if table is not None:
+        out.format("parquet").saveAsTable(table)
+    elif path is not None:
+        out.parquet(path)
+    else:
+        raise ValueError("write_table: give a path or a table")

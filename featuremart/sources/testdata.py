@@ -1,8 +1,8 @@
 """Binding of the reference's source tables to the generated test data.
 
-Every fixture is a projection (plus at most one equi-join) of the TPC-H-like parquet tables, so it
-grows with the scale factor; the same expressions, inlined as CTEs, form the DuckDB oracle
-(``featuremart.oracle``). ``day(n)`` is 2024-01-01 plus n days.
+Every fixture is a projection over equi-joins of the TPC-H-like parquet tables. Products, cities, members
+and visits are the tables' own keys, so rows and keys grow with the scale factor; the same expressions,
+inlined as CTEs, form the DuckDB oracle (``featuremart.oracle``). ``day(n)`` is 2024-01-01 plus n days.
 """
 
 from __future__ import annotations
@@ -81,14 +81,14 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
               "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     od = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return li.join(od, li.l_orderkey == od.o_orderkey)
+    cu = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    return li.join(od, li.l_orderkey == od.o_orderkey).join(cu, od.o_custkey == cu.c_custkey)
 
 
 @fixture
 def fx_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part", "p_partkey", "p_size")
-    return part.where((F.col("p_partkey") < 100) & (F.col("p_size") <= 30)).select(
-        _txt(F.col("p_partkey")).alias("gds_cd"))
+    return part.where(F.col("p_size") <= 30).select(_txt(F.col("p_partkey")).alias("gds_cd"))
 
 
 @fixture
@@ -97,8 +97,8 @@ def fx_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
     return _order_lines(spark, sf_dir).select(
         _day_key(n0).alias("statis_date"),
-        _txt(F.col("l_partkey") % 100).alias("gds_id"),
-        _txt(F.col("o_custkey") % 5).alias("city_cd"),
+        _txt(F.col("l_partkey")).alias("gds_id"),
+        _txt(F.col("c_nationkey")).alias("city_cd"),
         F.when(F.col("o_orderstatus") == "F", "50").when(F.col("o_orderstatus") == "O", "51")
          .when(F.col("o_orderstatus") == "P", "52").alias("chnl_cd"),
         F.col("l_quantity").cast("bigint").alias("tot_qty"),
@@ -107,7 +107,7 @@ def fx_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(_txt(F.col("l_orderkey")), F.lit("-"), _txt(line)).alias("oms_order_item_id"),
         F.when(F.col("l_linestatus") == "O", "Z").when(line == 7, "-").otherwise("X").alias("busi_tp_id"),
         _txt(F.col("o_custkey")).alias("member_id"),
-        F.concat(_txt(F.col("o_custkey") % 15), F.lit("_"), _txt(n0 + 1)).alias("visit_id"),
+        F.concat(_txt(F.col("o_custkey")), F.lit("_"), _txt(n0 + 1)).alias("visit_id"),
         _day_text(n0 + F.when(line == 1, 1).otherwise(0), "10:00:00").alias("order_time"),
         _day_text(n0 + line % 2, "11:00:00").alias("pay_time"),
         F.when(F.col("l_returnflag") == "R", _day_text(n0 + line % 3, "12:00:00")).alias("rfd_time"),
@@ -117,7 +117,9 @@ def fx_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @fixture
 def fx_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
     n0 = F.col("o_orderkey") % 30
-    return _order_lines(spark, sf_dir).select(
+    li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_tax")
+    od = read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
+    return li.join(od, li.l_orderkey == od.o_orderkey).select(
         _day_key(n0).alias("statis_date"),
         F.concat(_txt(F.col("l_orderkey")), F.lit("-"), _txt(F.col("l_linenumber"))).alias("order_item_id"),
         F.when(F.col("l_tax") != 0,
@@ -128,16 +130,15 @@ def fx_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @fixture
-def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: its user is a customer, its visit that customer's day."""
+    ev = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     et = F.col("event_type")
     return ev.select(
         "event_id", "user_id", "event_type", "value",
         F.date_format("ts", "yyyyMMdd").alias("statis_date"),
         _txt(F.col("user_id")).alias("visitor_id"),
-        F.concat(_txt(F.col("user_id") % 15), F.lit("_"), _txt(F.dayofmonth("ts"))).alias("visit_id"),
-        _txt(F.col("user_id") % 5).alias("city_cd"),
-        F.get_json_object("props", "$.k").alias("gds_id"),
+        F.concat(_txt(F.col("user_id")), F.lit("_"), _txt(F.dayofmonth("ts"))).alias("visit_id"),
         F.lit(1).cast("bigint").alias("pv_qty"),
         F.when(et == "error", 1).otherwise(0).cast("bigint").alias("oos_pv_qty"),
         F.when(et == "view", 1).otherwise(0).alias("one_pv_puv_flag"),
@@ -146,6 +147,14 @@ def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@fixture
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page views: a page shows the products that its user's orders hold, in the user's city."""
+    shown = _order_lines(spark, sf_dir).select(
+        "o_custkey", _txt(F.col("l_partkey")).alias("gds_id"), _txt(F.col("c_nationkey")).alias("city_cd"))
+    return _events(spark, sf_dir).join(shown, F.col("user_id") == F.col("o_custkey")).drop("o_custkey")
+
+
 VISIT_COLS = ["statis_date", "pv_id", "visitor_id", "visit_id", "city_cd", "gds_id", "busi_tp_id", "from_key_word"]
 
 
@@ -182,7 +191,7 @@ def fx_web_click(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(et == "purchase", "tab").when(et == "signup", "shop").when(et == "error", "favorite")
            .otherwise("none"))
     pair = lambda a, b: F.struct(a.alias("prmtr_id_1"), b.alias("prmtr_id_2"))
-    web = _visits(spark, sf_dir).where(F.col("event_id") % 2 == 0)
+    web = _events(spark, sf_dir).where(F.col("event_id") % 2 == 0)
     return web.select(
         "statis_date", _txt(F.col("event_id")).alias("pv_id"),
         F.inline(F.array(pair(p1, p2), pair(F.lit("other"), F.lit("none")))))
@@ -192,7 +201,7 @@ def fx_web_click(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_app_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     et = F.col("event_type")
     num = F.when(et == "click", "121316").when(et == "purchase", "121312").when(et == "error", "1210709").otherwise("0")
-    app = _visits(spark, sf_dir).where(F.col("event_id") % 2 == 1)
+    app = _events(spark, sf_dir).where(F.col("event_id") % 2 == 1)
     return app.select(
         "statis_date",
         _txt(F.col("event_id") % 3).alias("trmnl_tp_id"),

@@ -122,14 +122,14 @@ def test_median_odd_even_null_and_types(spark):
         median_by(sdf, [], "s")
 
 
-@pytest.mark.parametrize("parts,acc", [(1, 10_000), (4, 10_000), (64, 10_000), (4, 20), (4, 1)])
-def test_median_matches_brute_force_on_skewed_group(spark, parts, acc):
+@pytest.mark.parametrize("parts,salts", [(1, 32), (4, 32), (64, 32), (4, 1)])
+def test_median_matches_brute_force_on_skewed_group(spark, parts, salts):
     import random
     rnd = random.Random(7)
     data = [(0, rnd.random() * 1000) for _ in range(3000)] + [(g, float(rnd.randint(0, 50))) for g in range(1, 30)
                                                              for _ in range(rnd.randint(1, 40))]
     df = spark.createDataFrame(data, "g int, x double").repartition(parts)
-    got = dict((g, m) for g, m in median_by(df, ["g"], "x", accuracy=acc).collect())
+    got = dict((g, m) for g, m in median_by(df, ["g"], "x", salts=salts).collect())
     by = {}
     for g, x in data:
         by.setdefault(g, []).append(x)
@@ -140,15 +140,33 @@ def test_median_matches_brute_force_on_skewed_group(spark, parts, acc):
         assert got[g] == pytest.approx(exp, abs=1e-9), g
 
 
-def test_median_falls_back_to_full_ranking_when_sketch_window_misses(spark, monkeypatch):
-    import featuremart.functions.aggs as aggs_mod
-    # a "sketch" whose window is the maximum only: the check fails for every group with more
-    # than one distinct value, so those groups are ranked over all their values
-    monkeypatch.setattr(aggs_mod.F, "percentile_approx",
-                        lambda c, p, a: F.array(F.max(c), F.max(c)))
-    data = [(1, x) for x in [5, 1, 4, 2, 3]] + [(2, x) for x in [10, 10, 1, 7]] + [(3, 8)]
-    df = spark.createDataFrame(data, "g int, x int").repartition(3)
-    assert rows(median_by(df, ["g"], "x")) == [(1, 3.0), (2, 8.5), (3, 8.0)]
+def test_ordered_key_orders_every_double(spark):
+    import math
+    import random
+    import struct
+    from pyspark.sql import functions as F
+    from featuremart.functions.aggs import ordered_key
+    rnd = random.Random(5)
+    xs = [struct.unpack("<d", struct.pack("<Q", rnd.getrandbits(64)))[0] for _ in range(1000)]
+    xs = [x for x in xs if x == x] + [0.0, 5e-324, -5e-324, 1.7976931348623157e308, math.inf, -math.inf]
+    xs += [2.0 ** k for k in range(-1074, 1024, 3)] + [math.nextafter(2.0 ** k, 0) for k in range(-1022, 1024, 3)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", ordered_key(F.col("x")).alias("k")).collect()
+    assert [r.x for r in sorted(got, key=lambda r: r.k)] == sorted(xs)
+    assert len({r.k for r in got}) == len(set(xs))
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "double"])
+def test_median_of_extreme_values_and_without_groups(spark, kind):
+    top = {"int": 2 ** 31 - 1, "bigint": 2 ** 62, "double": 1e300}[kind]
+    vals = [top, -top, 0, 1, -1, 7, 7, 65536, -65537, top - 1]
+    vals = [float(v) for v in vals] if kind == "double" else vals
+    for k in range(1, len(vals) + 1):
+        xs = sorted(vals[:k])
+        df = spark.createDataFrame([(v,) for v in vals[:k]], f"x {kind}")
+        if k in (1, 2, 5, 10):
+            assert rows(median_by(df, [], "x")) == [((float(xs[(k - 1) // 2]) + float(xs[k // 2])) / 2,)]
+    empty = spark.createDataFrame([], f"x {kind}")
+    assert rows(median_by(empty, [], "x")) == [(None,)] and rows(median_by(empty.selectExpr("1 AS g", "x"), ["g"], "x")) == []
 
 
 # ---- letters ------------------------------------------------------------------------------------------
@@ -220,3 +238,34 @@ def test_letters_and_max_min_do_not_depend_on_partitioning(spark, parts):
     df = spark.createDataFrame(data, "g int, t string, v string").repartition(parts)
     got = rows(df.groupBy("g").agg(letters_total(df, "t").alias("n"), *max_min(df, "v", "mm")[:2]))
     assert got == [(g, 6, 2.0, -1.5) for g in range(5)] + [(9, 0, None, None)]
+
+
+# ---- argument checks (U11) ----------------------------------------------------------------------------
+def test_arguments_are_checked_when_bound(spark):
+    from featuremart.functions.checks import require_array_contains
+    from featuremart.operators.relops import dau_count, name_rows
+    df = spark.createDataFrame([(["a"], "a", 1, [1])], "arr array<string>, s string, i int, nums array<int>")
+    require_array_contains(df, "arr", "s")
+    for arr, x in (("nums", "s"), ("s", "s"), ("arr", "i")):
+        with pytest.raises(TypeError):
+            require_array_contains(df, arr, x)
+    with pytest.raises(TypeError):
+        name_rows(df, "i")
+    for args in ({"uid": "i", "imei": "s"}, {"uid": "s", "imei": "i"}):
+        with pytest.raises(TypeError):
+            dau_count(df, [], flag="i", **args)
+
+
+# ---- fixed values, stated literally (the oracle shares the jobs' constants) -----------------------------
+def test_codes_and_labels_have_their_literal_values():
+    from featuremart.plans import clct_cart, members, sales, visits
+    assert clct_cart.WEB_FAVOURITE_P1 == ["shoucang01", "basic"] and clct_cart.WEB_FAVOURITE_P2 == ["gmq", "favorite"]
+    assert clct_cart.WEB_CART_P1 == ["buy01", "buy03"] and clct_cart.WEB_CART_P2 == ["gmq", "tab"]
+    assert clct_cart.APP_FAVOURITE_CODES == ["121316", "780801", "1010106", "1010202", "1010301", "1200220", "1210135"]
+    assert clct_cart.APP_CART_CODES == ["121312", "1210138", "1210709"]
+    assert dict(members.LEVEL_COLUMNS) == {"new": "161000000100", "v1": "161000000110", "v2": "161000000120",
+                                           "v3": "161000000130", "orther": "-"}
+    assert [label for _, label in members.AGE_COLUMNS] == [
+        "40岁-49岁", "19岁-24岁", "18岁以下", "-", "35岁-39岁", "50岁-59岁", "34岁-39岁", "25岁-29岁", "60岁以上"]
+    assert sales.ORDER_BUSINESS_TYPES == ["Z", "-"] and sales.PROMOTION_DEAL_TYPES == ["02", "03"]
+    assert visits.VISIT_BUSINESS_TYPES == ["Z-SHIP", "-"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_CHECK, SF_SMALL, rows
 from featuremart.plans import clct_cart, gather, members, sales, sales_volume, search, visits
 from featuremart.plans.sales import KEYS as SALES_KEYS
-from featuremart.queries import DAY
+from featuremart.queries import DAY, VOLUME_MIN_DAYS
 from featuremart.sources import SourceTables, shift_day
 from featuremart.sources.scans import day_scan
 
@@ -61,7 +61,7 @@ def test_one_pass_sales_null_price_rule(spark):
 def test_gather_keeps_sales_rows_at_channel_50(spark, t):
     n_sales = sales.sales_features(t, DAY).where("chnl_cd = '50'").count()
     wide = gather.feature_gather_for_day(t, DAY)
-    assert wide.count() == n_sales == 163
+    assert wide.count() == n_sales == 226
 
 
 def test_gather_union_form_equals_left_join_chain(spark, t):
@@ -131,13 +131,13 @@ def test_member_counts_add_up(spark, t):
     lv = " + ".join(["new", "v3", "v2", "v1", "orther", "vn"])
     ag = " + ".join([f"ar{i}" for i in range(1, 11)])
     bad = m.where(f"members != {lv} OR members != {ag} OR members != f + m + n")
-    assert bad.count() == 0 and m.count() == 299
+    assert bad.count() == 0 and m.count() == 681
 
 
 def test_sales_volume_rank_is_bounded_and_consistent(spark):
     from featuremart.sources import testdata
     order = testdata.fx_order(spark, SF_CHECK)
-    ranked = sales_volume.sales_volume_rank(order, "20240101", "20240131", 29, 100)
+    ranked = sales_volume.sales_volume_rank(order, "20240101", "20240131", VOLUME_MIN_DAYS, 100)
     assert ranked.agg(F.max("rank")).collect()[0][0] < 100
     per_gds = ranked.select("gds_id", "num", "sales_volume", "rank").distinct()
     assert per_gds.count() == ranked.select("gds_id").distinct().count()
@@ -153,7 +153,7 @@ def test_results_do_not_depend_on_shuffle_partitions(spark):
             assert rows(gather.feature_gather_for_day(SourceTables.from_testdata(spark, SF_SMALL), DAY)) == ref
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-    assert len(ref) == 26
+    assert len(ref) == 24
 
 
 def test_member_join_semantics_with_repeated_members(spark):

@@ -73,3 +73,22 @@ def test_member_join_with_a_hot_member_is_split_and_unchanged(spark):
     for g, c, _ in buyers:
         expected[(g, c)] = expected.get((g, c), 0) + 1
     assert {(r[0], r[1]): r[2] for r in plain} == expected
+
+
+def test_median_of_a_hot_group_is_spread_over_salts(spark):
+    from featuremart.functions import median_by
+    df = spark.range(20000).select(F.when(F.col("id") % 5 != 0, "HOT").otherwise((F.col("id") % 50).cast("string")).alias("g"),
+                                   (F.col("id") * 7 % 20011).cast("double").alias("x"))
+
+    def run():
+        med = median_by(df, ["g"], "x")
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            med.explain()
+        return rows(med), buf.getvalue()
+
+    got, text = _with_conf(spark, SKEW_CONF, run)
+    assert got == rows(df.groupBy("g").agg(F.median("x")))
+    # values meet the kept buckets by (group, leading bits, salt), never by group alone
+    narrowing = [ln for ln in text.splitlines() if "SortMergeJoin" in ln and "Inner" in ln]
+    assert narrowing and all("__salt" in ln and "__p" in ln for ln in narrowing), text
