@@ -12,8 +12,10 @@ Plan, exact at every size:
    run hash, document key, place), no text.
 2. Runs with equal bytes are one string with a multiplicity. Hashes with different strings send one
    copy of each string to a bucket per hash. Strings of a crowded bucket (say a passage in very many
-   documents) are cut again by the least hash of longer substrings, so a bucket shrinks to strings
-   that share nearly a whole window.
+   documents) are cut again by the least hash of longer substrings. Buckets that are still crowded
+   (the strings at the passage's edges share all but the bytes around it) are decided by whole
+   windows: a partially aggregated count per 128-bit window hash, so only buckets of at most
+   ``CROWDED`` strings and ``CROWDED * 1024`` windows reach a suffix array.
 3. Inside a bucket a suffix array by linear grouping (``gsaca``) decides. Suffixes start at anchors
    (least 8-byte hash of each ``SPARSE`` places; about one in 25 bytes); a symbol is the rank of the
    bytes that determine the next anchor, so the order of symbol strings is the order of byte strings.
@@ -44,7 +46,7 @@ from featuremart.llm.gsaca import suffix_array
 
 LENGTH = 400          # bytes of a repeated string
 SPARSE, GRAM = 48, 8  # anchors: least hash of GRAM bytes among SPARSE places
-CROWDED = 512         # different strings of a bucket before it is cut again
+CROWDED = 512         # different strings of a bucket before it is cut again, or windows / 1024
 BLOCK = 1 << 21       # windows of a text handled at once
 BATCH = 1 << 20       # bytes of whole buckets sorted together
 
@@ -190,30 +192,19 @@ def spans_of(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 # -- the operator ----------------------------------------------------------------------------------
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Rows (r1, r2, spans): by row key, the byte intervals of repeated windows, merged later. Only
-    documents with such windows have a row."""
-    assert length >= 2 * (SPARSE + GRAM)
-    rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
-    runs = _runs(rows, length)
-    stat = (runs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi"),
-                                  F.max("twice").alias("twice"))
-            .where((F.col("n") > 1) | F.col("twice"))
-            .select(F.col("v").alias("v0"), ((F.col("lo") != F.col("hi")) | F.col("twice")).alias("mixed")))
-    kept = materialize(runs.drop("twice").join(stat, F.col("v") == F.col("v0")).drop("v0"), "runs")
-    mixed = kept.where("mixed")
-    # one copy of each different string
-    one = mixed.groupBy("v", "seg").agg(F.count(F.lit(1)).alias("n"),
-                                        F.min(F.struct("r1", "r2", "a", "b")).alias("s"))
-    one = materialize(one.select("v", "seg", "n", "s.*"), "strings")
-    crowd = one.groupBy("v").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > CROWDED).select("v")
-    one = one.join(crowd.withColumn("crowded", F.lit(True)), "v", "left")
+def _crowded(strings: DataFrame, bucket: str) -> DataFrame:
+    """The buckets with too many strings or windows for one task, of rows (bucket, windows)."""
+    return (strings.groupBy(bucket).agg(F.count(F.lit(1)).alias("strings"), F.sum("windows").alias("windows"))
+            .where((F.col("strings") > CROWDED) | (F.col("windows") > CROWDED * 1024)))
+
+
+def _pieces(rows: DataFrame, one: DataFrame, length: int, gram: int | None = None) -> DataFrame:
+    """Rows (g, v, seg, off, n, bytes): the strings ``one`` with their bytes, whole in the bucket of their
+    hash or, with ``gram``, cut into buckets by the least hash of substrings of that size."""
     wanted = one.groupBy("r1", "r2").agg(
-        F.collect_list(F.struct("v", "seg", "n", "a", "b", F.coalesce("crowded", F.lit(False)).alias("crowded")))
-        .alias("wanted"))  # at most a text's own runs
+        F.collect_list(F.struct("v", "seg", "n", "a", "b")).alias("wanted"))  # at most a text's own runs
     wanted = materialize(wanted, "wanted")
     source = bloom_split(rows, wanted, "r1")[0].join(wanted, ["r1", "r2"]).select("wanted", "text")
-    longer = length - length // 8
 
     def cut(wanted, texts):
         out = [[] for _ in range(6)]  # bucket, v, seg, offset, copies, bytes
@@ -221,9 +212,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             raw = (t or "").encode("utf-8", "surrogatepass")
             for w in ws:
                 piece = raw[w["a"]:w["b"] + length - 1]
-                if w["crowded"]:
+                if gram:
                     parts = [(int(x) ^ w["v"], int(a), int(b))
-                             for v2, _, aa, bb, _ in runs_of(np.frombuffer(piece, np.uint8), length, longer)
+                             for v2, _, aa, bb, _ in runs_of(np.frombuffer(piece, np.uint8), length, gram)
                              for x, a, b in zip(signed(v2), aa, bb)]
                 else:
                     parts = [(w["v"], 0, w["b"] - w["a"])]
@@ -232,7 +223,66 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                         o.append(c)
         return out
 
-    strings = map_batches(source, cut, "g long, v long, seg long, off int, n long, bytes binary")
+    return map_batches(source, cut, "g long, v long, seg long, off int, n long, bytes binary")
+
+
+def _counted(strings: DataFrame, length: int) -> DataFrame:
+    """Rows (v, seg, x, y) of repeated windows of rows (v, seg, off, n, bytes), by the number of places
+    of every window. Equal windows are in one bucket, so all places of a window are among the rows."""
+    def run(vs, segs, offs, ns, raws):
+        out = [[] for _ in range(6)]
+        for v, seg, off, n, raw in zip(vs, segs, offs, ns, raws):
+            for i in range(len(raw) - length + 1):
+                h = hashlib.blake2b(raw[i:i + length], digest_size=16).digest()
+                for o, c in zip(out, (int.from_bytes(h[:8], "big", signed=True),
+                                      int.from_bytes(h[8:], "big", signed=True), v, seg, off + i, n)):
+                    o.append(c)
+        return out
+
+    windows = map_batches(strings.select("v", "seg", "off", "n", "bytes"), run,
+                          "h1 long, h2 long, v long, seg long, x int, n long", rows=32)
+    many = (windows.groupBy("h1", "h2").agg(F.sum("n").alias("places")).where("places > 1")
+            .select(F.col("h1").alias("m1"), F.col("h2").alias("m2")))
+    many = materialize(many, "many")  # so that a window of very many places is a skewed join that AQE splits
+    hit = (windows.join(many, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")), "left_semi")
+           .groupBy("v", "seg").agg(F.sort_array(F.collect_list("x")).alias("xs")))  # at most a run's own windows
+
+    def join(vs, segs, places):
+        out = [[] for _ in range(4)]
+        for v, seg, xs in zip(vs, segs, places):
+            at = np.array(xs, dtype=np.int64)
+            first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+            last = np.append(first[1:], len(at)) - 1
+            for x, y in zip(at[first].tolist(), (at[last] + 1).tolist()):
+                for o, c in zip(out, (v, seg, x, y)):
+                    o.append(c)
+        return out
+
+    return map_batches(hit.select("v", "seg", "xs"), join, "v long, seg long, x int, y int")
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Rows (r1, r2, spans): by row key, the byte intervals of repeated windows, merged later. Only
+    documents with such windows have a row."""
+    assert length >= 2 * (SPARSE + GRAM)
+    rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
+    runs = _runs(rows, length)
+    stat = (runs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi"),
+                                  F.max("twice").alias("twice"))
+            .where((F.col("n") > 1) | F.col("twice"))
+            .select(F.col("v").alias("v0"), ((F.col("lo") != F.col("hi")) | F.col("twice")).alias("mixed")))
+    kept = materialize(runs.drop("twice").join(stat, F.col("v") == F.col("v0")).drop("v0"), "runs")
+    mixed = kept.where("mixed")
+    # one copy of each different string
+    one = mixed.groupBy("v", "seg").agg(F.count(F.lit(1)).alias("n"),
+                                        F.min(F.struct("r1", "r2", "a", "b")).alias("s"))
+    one = materialize(one.select("v", "seg", "n", "s.*"), "strings")
+    crowd = _crowded(one.select("v", (F.col("b") - F.col("a")).alias("windows")), "v").select("v")
+    plain = _pieces(rows, one.join(crowd, "v", "left_anti"), length)
+    cut = materialize(_pieces(rows, one.join(crowd, "v", "left_semi"), length, length - length // 8), "cut")
+    windows = (F.octet_length("bytes") - (length - 1)).alias("windows")
+    still = materialize(_crowded(cut.select("g", windows), "g").select("g"), "crowded")
+    strings = plain.unionByName(cut.join(still, "g", "left_anti"))
     dealt = strings.repartition("g").sortWithinPartitions("g", "v", "seg", "off")
 
     def judge(batches):
@@ -247,6 +297,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             yield from _judged(held, length)
 
     found = dealt.mapInArrow(judge, "v long, seg long, x int, y int")
+    found = found.unionByName(_counted(cut.join(still, "g", "left_semi"), length))
     found = materialize(found, "found")
     whole = kept.where("NOT mixed").select("r1", "r2", "a", "b")
     part = (mixed.join(found, ["v", "seg"])

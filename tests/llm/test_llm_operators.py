@@ -314,6 +314,30 @@ def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch, crowded):
     assert Counter(tuple(r) for r in op9_suffix_dedup.report(docs).collect()) == want
 
 
+def test_suffix_dedup_crowded_edges(spark, monkeypatch):
+    """A passage in many documents with other surroundings: no bucket above CROWDED reaches a suffix array."""
+    monkeypatch.setattr(op9_suffix_dedup, "CROWDED", 8)
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage = word(470)
+    texts = [word(90 + i) + passage + word(130 - i) for i in range(60)]
+    texts += [texts[0], texts[0][:580] + word(50), word(600), "a" * 12000]
+    frame, seen, plain = type(spark.range(0)), [], type(spark.range(0)).mapInArrow
+
+    def spy(self, fn, *args, **kw):
+        if fn.__name__ == "judge":
+            seen.append(self.groupBy("g").count().agg(F.max("count")).first()[0])
+        return plain(self, fn, *args, **kw)
+
+    monkeypatch.setattr(frame, "mapInArrow", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op9_suffix_dedup.report(docs).collect()}
+    assert seen and all((n or 0) <= 8 for n in seen)
+    for i, gone in enumerate(brute_removed([t.encode() for t in texts], 400)):
+        left = bytes(b for b, x in zip(texts[i].encode(), gone) if not x)
+        assert got[i]["kept_sha256"] == hashlib.sha256(left).hexdigest()
+
+
 def test_suffix_dedup_edits_documents(odd, none):
     got = op9_suffix_dedup.remove(odd, length=200).collect()
     assert len(got) == len(ODD) and list(got[0].asDict()) == odd.columns
