@@ -10,8 +10,10 @@ and control strings inside roles and texts are escaped reversibly: a backslash i
 control string gets a backslash after its first character.
 
 Plan: rows are shuffled once by conversation and sorted by turn; a streaming pass over each sorted
-partition holds one conversation's formatted prefix. An example holds all turns before its reply by
-definition, so a conversation must fit into one task; many equal conversations or one very common
+partition holds one conversation's turns and formatted prefix and gives its examples one by one. They
+are read back row by row, with the last text, a running hash and counts held. An example holds all
+turns before its reply by definition, so a conversation's own text must fit into one task, and its
+examples together are as long as the square of its turns; many equal conversations or one very common
 first turn are different keys and spread.
 
 Defined cases: null texts and roles are empty; the order of a conversation is (turn, nulls first;
@@ -104,23 +106,34 @@ def digest(made: DataFrame) -> DataFrame:
     rows = (made.select("conv_id", "example", "n_turns", "formatted", "loss_start", "loss_end")
             .repartition("conv_id").sortWithinPartitions("conv_id", "example"))
 
+    def done(conv, kind, loss, chars, loss_chars, last):
+        n, whole = 0, hashlib.sha256()
+        for m in _ONE_TURN.finditer(last):
+            n += 1
+            whole.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([conv], type=kind), pa.array([n], pa.int64()), pa.array([whole.hexdigest()]),
+             pa.array([loss_chars], pa.int64()), pa.array([loss.hexdigest()]), pa.array([chars], pa.int64())],
+            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
     def run(batches):
-        for (conv,), parts in sorted_groups(batches, 1):
-            loss, chars, loss_chars, last = hashlib.sha256(), 0, 0, ""
-            for p in parts:
-                for text, a, b in zip(*[p.column(i).to_pylist() for i in (3, 4, 5)]):
-                    target = unescape(text[a:b])
-                    loss.update(target.encode())
-                    loss_chars += len(target)
-                    chars += len(text)
-                    last = text
-            turns = parse(last)
-            whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([conv], type=parts[0].schema.field(0).type), pa.array([len(turns)], pa.int64()),
-                 pa.array([whole]), pa.array([loss_chars], pa.int64()), pa.array([loss.hexdigest()]),
-                 pa.array([chars], pa.int64())],
-                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        # row by row: what is held of a conversation is its hash, its counts and the last text
+        kind, started, conv = None, False, None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for at in range(batch.num_rows):
+                key, text, a, b = (batch.column(i)[at].as_py() for i in (0, 3, 4, 5))
+                if not started or key != conv:
+                    if started:
+                        yield done(conv, kind, loss, chars, loss_chars, last)
+                    started, conv, loss, chars, loss_chars = True, key, hashlib.sha256(), 0, 0
+                target = unescape(text[a:b])
+                loss.update(target.encode())
+                loss_chars += len(target)
+                chars += len(text)
+                last = text
+        if started:
+            yield done(conv, kind, loss, chars, loss_chars, last)
 
     return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
                                 "loss_sha256 string, formatted_chars long")

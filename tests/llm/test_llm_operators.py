@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -284,6 +285,31 @@ def test_chat_odd(spark):
     assert op8_chat.digest(op8_chat.examples(frame.limit(0))).count() == 0
 
 
+def test_chat_digest_streams_a_conversation(spark, monkeypatch):
+    """Reading a long conversation back holds a few of its examples, not all of them."""
+    frame, kept = type(spark.range(0)), []
+    made = op8_chat.examples(spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string"))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, fn, *args, **kw: kept.append(fn) or self)
+    op8_chat.digest(made)
+    held = []
+
+    def batches():
+        base = pa.total_allocated_bytes()
+        for i in range(100):
+            held.append(pa.total_allocated_bytes() - base)
+            text = op8_chat.format_turn("user", "x" * 1_000_000) + op8_chat.format_turn("assistant", str(i))
+            end = len(text) - len(op8_chat.END)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([5], pa.int64()), pa.array([i], pa.int32()), pa.array([2], pa.int32()), pa.array([text]),
+                 pa.array([end - len(str(i))], pa.int32()), pa.array([end], pa.int32())],
+                names=["conv_id", "example", "n_turns", "formatted", "loss_start", "loss_end"])
+
+    out = [r for b in kept[0](batches()) for r in b.to_pylist()]
+    assert max(held) < 20_000_000
+    assert len(out) == 1 and out[0]["n_turns"] == 2
+    assert out[0]["loss_sha256"] == hashlib.sha256("".join(map(str, range(100))).encode()).hexdigest()
+
+
 # -- op9 -----------------------------------------------------------------------------------------
 
 def brute_removed(texts, length):
