@@ -87,6 +87,19 @@ def test_html_differencing_deletes_the_template(spark):
     assert op1_html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differencing_decides_unmarked_lines_beside_marked_ones():
+    def page(i, lead, body):
+        parts = [f"<article>{lead}</article>", "<div>Menu</div>", *(f"<div>{b}</div>" for b in body), "<div>End</div>"]
+        return op1_html.lines_of("".join(parts))
+
+    a, b = page(1, "Teaser 1", ["Body 1", "More 1"]), page(2, "Teaser 2", ["Body 2", "More 2"])
+    assert op1_html.main_text(*a, b) == "Teaser 1\nBody 1\nMore 1"
+    # only unmarked template lines beside articles that differ: no copies, all of the template goes
+    assert op1_html.main_text(*page(1, "Story 1", []), page(2, "Story 2", [])) == "Story 1"
+    # copies keep everything
+    assert op1_html.main_text(*a, a) == "Teaser 1\nMenu\nBody 1\nMore 1\nEnd"
+
+
 def test_html_query_against_plain_reading(spark):
     got = {r["page_id"]: r["text"] for r in op1_html.op1_html(spark, SF_CHECK).collect()}
     for r in spark.read.parquet(f"{SF_CHECK}/pages.parquet").collect():
