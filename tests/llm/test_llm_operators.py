@@ -76,6 +76,21 @@ def test_html_lines_and_furniture():
     assert op1_html.lines_of(None) == ([], [])
 
 
+def test_html_marks_do_not_take_the_article():
+    def kept(page):
+        texts, kinds = op1_html.lines_of(page)
+        return [t for t, k in zip(texts, kinds) if k != op1_html.IN_FURNITURE]
+
+    for wrap in ('<main class="content no-sidebar">{}</main>', '<div class="post social-share">{}</div>',
+                 '<div id="search-results">{}</div>', '<article class="promotion">{}</article>',
+                 '<div class="search">lead<main>{}</main></div>', '<div class="promotion"><article>{}</article></div>'):
+        assert "body" in kept(wrap.format("<p>body</p>")), wrap
+    assert kept('<article>a</article><div class="related"><article>card</article></div>') == ["a"]
+    assert kept('<main><p>a</p><div class="share">x</div><p>b</p></main>') == ["a", "b"]
+    assert kept('<p>a<svg width="1"/>b</p><object data="x" /><p>c</p><title-bar>d</title-bar><svg>x</svg>') == ["ab", "c", "d"]
+    assert kept("<article><p>if <math><mi>x</mi></math> is</p></article>") == ["if x is"]
+
+
 def test_html_differencing_deletes_the_template(spark):
     rows = [(i, f"https://h.example/a/{i}", "".join(f"<div>{t}</div>" for t in ("Site", "Menu", f"Story {i}", f"More {i}", "End")),
              "x") for i in range(4)]
