@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from featuremart.llm.op10_embedding_dedup import op10_embedding_dedup
+from featuremart.llm.op11_prefix_trie import op11_prefix_trie
 from featuremart.llm.op1_html import op1_html
 from featuremart.llm.op2_langid import op2_langid
 from featuremart.llm.op3_jaccard_join import op3_jaccard_join
@@ -20,11 +21,11 @@ from featuremart.llm.op9_suffix_dedup import op9_suffix_dedup
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html, op2_langid, op3_jaccard_join, op4_packing, op5_fingerprint, op6_quality, op7_bpe, op8_chat,
-                                   op9_suffix_dedup, op10_embedding_dedup)}
+                                   op9_suffix_dedup, op10_embedding_dedup, op11_prefix_trie)}
 
 
 def sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3, "op8_chat": OP8, "op10_embedding_dedup": OP10}
+    return {"op3_jaccard_join": OP3, "op8_chat": OP8, "op10_embedding_dedup": OP10, "op11_prefix_trie": OP11}
 
 
 # Template marks and control strings are the operator's fixed values: a turn adds the marks (23
@@ -86,3 +87,40 @@ component AS (SELECT x, min(v.vec_id) AS least FROM reach JOIN v ON v.i = y GROU
 SELECT vec_id, (SELECT count(*) FROM links WHERE links.x = v.i) AS n_links, least AS component_id, vec_id = least AS kept
 FROM v JOIN component ON component.x = v.i
 """
+
+
+# Nodes are whole lists of turns here; the CRC-32 of an id is taken bit by bit.
+OP11 = r"""
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+  SELECT c, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+                lambda x: [ord(x), 0, 0, 0, 0, 0, 0, 0]))),
+           lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384) ELSE xor(a, x) >> 1 END) AS reg
+  FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, role, text FROM (
+    SELECT h.c, 0 AS own, pos, role, text FROM heads h JOIN turns t ON t.c = h.c - h.c % 5 WHERE pos <= xor(reg, 4294967295) % 9
+    UNION ALL
+    SELECT h.c, 1, pos, role, text FROM heads h JOIN turns t ON t.c = h.c WHERE pos > xor(reg, 4294967295) % 9)),
+prefixes AS (
+  SELECT c, d, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY d) AS p, octet_length(encode(text)) AS b FROM rebuilt
+  UNION ALL SELECT c, 0, [], 0 FROM heads),
+nodes AS (SELECT row_number() OVER () AS id, * FROM (SELECT d, p, min(c) AS conv_id, count(*) AS n, min(b) AS b FROM prefixes GROUP BY d, p)),
+members AS (SELECT x.c, x.d, id FROM prefixes x JOIN nodes v ON v.d = x.d AND v.p = x.p),
+edges AS (SELECT DISTINCT up.id AS parent, low.id AS child FROM members up JOIN members low ON up.c = low.c AND low.d = up.d + 1),
+kids AS (SELECT parent AS id, count(*) AS k FROM edges GROUP BY 1),
+below AS (SELECT DISTINCT up.id AS top, low.id AS id FROM members up JOIN members low ON up.c = low.c AND low.d >= up.d),
+sums AS (
+  SELECT top AS id, count(*) FILTER (k IS NULL) AS leaves, sum((n - 1) * b) AS saved
+  FROM below JOIN nodes USING (id) LEFT JOIN kids USING (id) GROUP BY 1),
+ended AS (
+  SELECT id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+  FROM members m WHERE d = (SELECT max(d) FROM members o WHERE o.c = m.c) GROUP BY id)
+SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes v JOIN sums USING (id) LEFT JOIN kids USING (id) LEFT JOIN ended USING (id)
+LEFT JOIN edges ON edges.child = v.id LEFT JOIN nodes up ON up.id = edges.parent
+"""
