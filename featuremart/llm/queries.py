@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from featuremart.llm.op10_embedding_dedup import op10_embedding_dedup
 from featuremart.llm.op11_prefix_trie import op11_prefix_trie
+from featuremart.llm.op12_spelling import op12_spelling
 from featuremart.llm.op1_html import op1_html
 from featuremart.llm.op2_langid import op2_langid
 from featuremart.llm.op3_jaccard_join import op3_jaccard_join
@@ -21,11 +22,13 @@ from featuremart.llm.op9_suffix_dedup import op9_suffix_dedup
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html, op2_langid, op3_jaccard_join, op4_packing, op5_fingerprint, op6_quality, op7_bpe, op8_chat,
-                                   op9_suffix_dedup, op10_embedding_dedup, op11_prefix_trie)}
+                                   op9_suffix_dedup, op10_embedding_dedup, op11_prefix_trie,
+                                   op12_spelling)}
 
 
 def sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3, "op8_chat": OP8, "op10_embedding_dedup": OP10, "op11_prefix_trie": OP11}
+    return {"op3_jaccard_join": OP3, "op8_chat": OP8, "op10_embedding_dedup": OP10, "op11_prefix_trie": OP11,
+            "op12_spelling": OP12}
 
 
 # Template marks and control strings are the operator's fixed values: a turn adds the marks (23
@@ -124,3 +127,32 @@ SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, co
 FROM nodes v JOIN sums USING (id) LEFT JOIN kids USING (id) LEFT JOIN ended USING (id)
 LEFT JOIN edges ON edges.child = v.id LEFT JOIN nodes up ON up.id = edges.parent
 """
+
+OP12 = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS doc, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+           range(octet_length(encode(doc || ':' || run))),
+           lambda i: [CAST('0x' || substr(hex(encode(doc || ':' || run)), 2 * i + 1, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+         lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384) ELSE xor(a, x) >> 1 END)) AS h
+  FROM runs),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+less AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON l.rest = w.word),
+ranked AS (SELECT near.word, other, n, max(n) OVER (PARTITION BY near.word) AS top FROM near JOIN words w ON w.word = other),
+best AS (SELECT word, count(*) AS n_near, max(top) AS top, min(other) FILTER (n = top) AS form FROM ranked GROUP BY word),
+forms AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN form END AS form,
+                 CASE WHEN top >= 2 * n THEN top END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (SELECT word, word AS tip FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.tip WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, tip AS root, n, n_near, form_n
+FROM forms f JOIN chain c ON c.word = f.word WHERE tip IN (SELECT word FROM forms WHERE form IS NULL)
+"""
