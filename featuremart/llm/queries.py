@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from featuremart.llm.op10_embedding_dedup import op10_embedding_dedup
 from featuremart.llm.op11_prefix_trie import op11_prefix_trie
 from featuremart.llm.op12_spelling import op12_spelling
+from featuremart.llm.op13_graph_search import op13_graph_search
 from featuremart.llm.op1_html import op1_html
 from featuremart.llm.op2_langid import op2_langid
 from featuremart.llm.op3_jaccard_join import op3_jaccard_join
@@ -23,12 +24,12 @@ from featuremart.llm.op9_suffix_dedup import op9_suffix_dedup
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html, op2_langid, op3_jaccard_join, op4_packing, op5_fingerprint, op6_quality, op7_bpe, op8_chat,
                                    op9_suffix_dedup, op10_embedding_dedup, op11_prefix_trie,
-                                   op12_spelling)}
+                                   op12_spelling, op13_graph_search)}
 
 
 def sql() -> dict[str, str]:
     return {"op3_jaccard_join": OP3, "op8_chat": OP8, "op10_embedding_dedup": OP10, "op11_prefix_trie": OP11,
-            "op12_spelling": OP12}
+            "op12_spelling": OP12, "op13_graph_search": OP13}
 
 
 # Template marks and control strings are the operator's fixed values: a turn adds the marks (23
@@ -156,3 +157,17 @@ chain AS (SELECT word, word AS tip FROM forms UNION ALL SELECT c.word, f.form FR
 SELECT f.word, f.form, tip AS root, n, n_near, form_n
 FROM forms f JOIN chain c ON c.word = f.word WHERE tip IN (SELECT word FROM forms WHERE form IS NULL)
 """
+
+# The exact answer; the operator's is approximate and equals it where every list is found whole (500 vectors).
+OP13 = """
+WITH v AS (
+  SELECT row_number() OVER () AS i, CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false)),
+scored AS (
+  SELECT q.i, q.vec_id AS query_id, c.vec_id, c.i AS j,
+         list_reduce(list_concat([CAST(0 AS DOUBLE)], list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2])), lambda a, x: a + x) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.i <> c.i AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id NULLS LAST, j) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
