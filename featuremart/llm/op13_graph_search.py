@@ -40,6 +40,7 @@ DEGREE = 16     # links of a new vector, and of a vector on an upper level; twic
 BEAM = 96       # nearest found that a search keeps
 BATCH = 256     # vectors linked, and queries searched, at a time
 GROUP = 8192    # queries that a shard answers in one task
+MOST_TASKS = 1 << 14
 
 
 # -- graphs ------------------------------------------------------------------------------------------
@@ -217,7 +218,8 @@ def index(classes: DataFrame, shards: int, norm: float) -> DataFrame:
     """One row per vector: its place is its order by (level descending, k1, k2) in its shard; ``links`` are the places it
     links to on level 0, then on the levels above, -1 for none."""
     dealt = (classes.select("dim", F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), "k1", "k2", "vector")
-             .repartition("dim", "shard").sortWithinPartitions("dim", "shard", "k1", "k2"))
+             .repartition(min(2 * shards, MOST_TASKS), "dim", "shard")  # few rows, much work: not for AQE to merge
+             .sortWithinPartitions("dim", "shard", "k1", "k2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (dim, shard), parts in sorted_groups(batches, 2):
@@ -302,12 +304,12 @@ def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
         .where(F.coalesce(valid, F.lit(False)))
         .select("vec_id", "vector", F.size("vector").alias("dim"), F.xxhash64("vector").alias("k1"),
-                F.xxhash64(F.lit(7), "vector").alias("k2"), F.monotonically_increasing_id().alias("row")), "vectors")
-    classes = materialize(named.groupBy("k1", "k2").agg(F.first("vector").alias("vector"), F.first("dim").alias("dim")),
-                          "classes")
-    top = F.array_max(F.transform("vector", F.abs))
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / top) * (x / top))
-    n, norm = classes.agg(F.count(F.lit(1)), F.max(top * F.sqrt(squares))).first()
+                F.xxhash64(F.lit(7), "vector").alias("k2"), F.monotonically_increasing_id().alias("row"),
+                F.array_max(F.transform("vector", F.abs)).alias("top")), "vectors")
+    classes = materialize(named.groupBy("k1", "k2").agg(F.first("vector").alias("vector"), F.first("dim").alias("dim"),
+                                                        F.max("top").alias("top")), "classes")
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top")))
+    n, norm = classes.agg(F.count(F.lit(1)), F.max(F.col("top") * F.sqrt(squares))).first()
     shards = max(1, -(-n // shard))
     built = materialize(index(classes, shards, norm or 1.0), "graph")
 
@@ -320,7 +322,7 @@ def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(*cols)
     held = built.withColumns({"is_query": F.lit(False), "row": F.lit(None).cast("long"), "level_up": -F.col("level")}).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*cols)
-    sent = (held.unionByName(asked).repartition("dim", "shard", "part")
+    sent = (held.unionByName(asked).repartition(min(2 * shards * groups, MOST_TASKS), "dim", "shard", "part")
             .sortWithinPartitions("dim", "shard", "part", "is_query", "level_up", "k1", "k2", "row")
             .select("dim", "shard", "part", "is_query", "k1", "k2", "row", "vector", "level", "links"))
     found = _answers(sent, k + 1, norm or 1.0)
