@@ -97,9 +97,9 @@ def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median"
     is_int = isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     shifts = [16] if is_int and not isinstance(t, T.LongType) else [42, 21]
     x = F.col(col).cast("long" if is_int else "double")
-    counted = (df.where(F.col(col).isNotNull()).select(*g, x.alias("__x"))
-               .groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c")))
-    vals = counted.withColumn("__key", F.col("__x") if is_int else ordered_key(F.col("__x")))
+    # a group without a value is a row of its own, counted 0; the filter is on the count, so every use reads one exchange
+    counted = df.select(*g, x.alias("__x")).groupBy(*g, "__x").agg(F.count("__x").alias("__c"))
+    vals = counted.where("__c > 0").withColumn("__key", F.col("__x") if is_int else ordered_key(F.col("__x")))
     in_group = Window.partitionBy(*g)
     holds = lambda r: (F.col("__end") - F.col("__c") <= F.col(r)) & (F.col(r) < F.col("__end"))
 
@@ -132,5 +132,5 @@ def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median"
     picked = last.groupBy(*g).agg(F.max(F.when(holds("__klo"), F.col("__x"))).alias("__vlo"),
                                   F.max(F.when(holds("__khi"), F.col("__x"))).alias("__vhi"))
     if g:  # groups without a value have a row too
-        picked = _join_on(df.select(*g).distinct(), picked, g, "left")
+        picked = _join_on(counted.select(*g).distinct(), picked, g, "left")
     return picked.select(*g, ((F.col("__vlo").cast("double") + F.col("__vhi").cast("double")) / 2).alias(out))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featuremart.functions.checks import require_columns, require_orderable, require_string
+from featuremart.shared import stage
 
 
 def stack_and_sum(frames: Sequence[DataFrame], keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -60,7 +61,7 @@ def count_by_label(df: DataFrame, keys: Sequence[str], counters: Sequence[tuple[
 
 
 def _rank_order(key: str, payload: Sequence[str]) -> list[Column]:
-    return [F.col(key).desc()] + [F.col(p).asc_nulls_last() for p in payload]
+    return [F.col(key).desc_nulls_last()] + [F.col(p).asc_nulls_last() for p in payload]
 
 
 def topn_rows(df: DataFrame, group: Sequence[str], n: int, key: str, payload: Sequence[str] = (),
@@ -75,70 +76,97 @@ def topn_rows(df: DataFrame, group: Sequence[str], n: int, key: str, payload: Se
         raise ValueError("topn: n must be a positive int constant")
     require_columns(df, [*group, key, *payload], "topn")
     require_orderable(df, key, "topn")
+    return _first_rows(df.where(F.col(key).isNotNull()), group, n, key, payload, rank_col)
+
+
+def _first_rows(df: DataFrame, group: Sequence[str], n: int, key: str, payload: Sequence[str], rank_col: str) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*_rank_order(key, payload))
-    return (df.where(F.col(key).isNotNull())
-            .select(*group, key, *payload)
-            .withColumn(rank_col, F.row_number().over(w))
-            .where(F.col(rank_col) <= n))
+    return df.select(*group, key, *payload).withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
 def topn_array(df: DataFrame, group: Sequence[str], n: int, key: str, payload: Sequence[str] = (),
                pad: bool = True, out: str = "topn") -> DataFrame:
     """Array form of ``topn_rows``: ``array<struct<f0=key, f1.., >>`` in descending key order,
     padded to ``n`` with NULL rows as the reference's function returns it. Each collected list
-    holds at most ``n`` rows."""
+    holds at most ``n`` rows. A group without any key is a group still (with n NULL rows, or none without padding):
+    NULL keys rank last, so they are among its first rows and are only left out of the list. One scan."""
+    if not isinstance(n, int) or n <= 0:
+        raise ValueError("topn: n must be a positive int constant")
+    require_columns(df, [*group, key, *payload], "topn")
+    require_orderable(df, key, "topn")
     fields = [key, *payload]
-    ranked = topn_rows(df, group, n, key, payload, rank_col="__rn")
+    ranked = _first_rows(df, group, n, key, payload, "__rn")
     entry = F.struct(F.col("__rn").alias("__rn"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])
-    arr = F.transform(F.sort_array(F.collect_list(entry)),
+    arr = F.transform(F.sort_array(F.collect_list(F.when(F.col(key).isNotNull(), entry))),
                       lambda e: F.struct(*[e[f"f{i}"].alias(f"f{i}") for i in range(len(fields))]))
     res = ranked.groupBy(*group).agg(arr.alias(out))
-    # a group without any key is a group still: with n NULL rows, or none without padding
-    if group:
-        every = df.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).distinct()
-        same = functools.reduce(lambda a, b: a & b, [F.col(f"__g{i}").eqNullSafe(F.col(g)) for i, g in enumerate(group)])
-        res = every.join(res, same, "left").select(*[F.col(f"__g{i}").alias(g) for i, g in enumerate(group)],
-                                                   F.coalesce(out, F.expr("array()").cast(res.schema[out].dataType)).alias(out))
     if pad:
         null_row = F.struct(*[F.lit(None).cast(df.schema[c].dataType).alias(f"f{i}") for i, c in enumerate(fields)])
         res = res.withColumn(out, F.concat(F.col(out), F.array_repeat(null_row, F.lit(n) - F.size(out))))
     return res
 
 
-MAX_HEAD = 1_000_000  # distinct order tuples of numbers: some tens of MB
+MAX_HEAD = 10_000  # distinct order tuples that one task ranks; beyond it ranks are made from range partitions
 
 
-def ranked_head(df: DataFrame, order: Sequence[str], limit_rank: int, rank_col: str = "rank",
+def ranked_head(df: DataFrame, order: Sequence[str], limit_rank: int | None, rank_col: str = "rank",
                 dense: bool = False) -> DataFrame:
-    """Rows whose ``rank()`` over ``order`` (all descending) is below ``limit_rank``.
-
-    A global rank window would run in one task over all rows. Instead: rows are reduced to their
-    distinct order tuples with multiplicities (partial aggregation), only the first
-    ``limit_rank - 1`` tuples can rank below the limit (rank >= position), those are taken with a
-    bounded top-k, ranked by a running sum of multiplicities over at most ``limit_rank - 1`` rows,
-    and joined back, broadcast only if those are at most ``MAX_HEAD``. ``dense=True`` gives ``dense_rank``.
+    """Rows whose ``rank()`` over ``order`` (all descending, NULLs last) is below ``limit_rank`` (W3, T4, N7); ``None``:
+    all rows.
+
+    A global rank window would run in one task over all rows. Instead rows are reduced to their distinct order tuples
+    with multiplicities (partial aggregation). Only the first ``limit_rank - 1`` tuples can rank below the limit (rank >=
+    position): up to ``MAX_HEAD`` of them are taken with a bounded top-k, ranked by a running sum of multiplicities and
+    broadcast. More tuples, or all, are dealt by range of the order: each range ranks its own tuples, the ranges'
+    totals (one row each) give the ranks before it, and ranks are joined back to the rows. ``dense=True`` gives
+    ``dense_rank``.
     """
-    if limit_rank <= 1:
-        return df.withColumn(rank_col, F.lit(None).cast("int")).where(F.lit(False))
     order = list(order)
-    desc = [F.col(c).desc() for c in order]
+    require_columns(df, order, "ranked_head")
+    if limit_rank is not None and limit_rank <= 1:
+        return df.withColumn(rank_col, F.lit(None).cast("int")).where(F.lit(False))
     tuples = df.groupBy(*order).agg(F.count(F.lit(1)).alias("__cnt"))
+    if limit_rank is not None and limit_rank - 1 <= MAX_HEAD:
+        head = _first_ranks(tuples, order, limit_rank, rank_col, dense)
+        side = F.broadcast(head)
+    else:
+        side = head = _all_ranks(tuples, order, rank_col, dense)
+        if limit_rank is not None:
+            side = head.where(F.col(rank_col) < limit_rank)
+            if limit_rank < 2 ** 31:
+                side = side.withColumn(rank_col, F.col(rank_col).cast("int"))
+    cond = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__o{i}")) for i, c in enumerate(order)])
+    return df.join(side, cond, "inner").drop(*[f"__o{i}" for i in range(len(order))])
+
+
+def _named(tuples: DataFrame, order: list[str], rank: Column, rank_col: str) -> DataFrame:
+    return tuples.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], rank.alias(rank_col))
+
+
+def _first_ranks(tuples: DataFrame, order: list[str], limit_rank: int, rank_col: str, dense: bool) -> DataFrame:
+    desc = [F.col(c).desc_nulls_last() for c in order]
     head = tuples.orderBy(*desc).limit(limit_rank - 1)
-    w = Window.orderBy(*desc)  # over at most limit_rank - 1 rows
+    w = Window.orderBy(*desc)  # over at most MAX_HEAD rows
     if dense:
         rank = F.row_number().over(w)
     else:
-        before = F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        rank = F.coalesce(before, F.lit(0)) + 1
-    head = head.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)],
-                       rank.cast("int").alias(rank_col)).where(F.col(rank_col) < limit_rank)
-    cond = None
-    for i, c in enumerate(order):
-        e = F.col(c).eqNullSafe(F.col(f"__o{i}"))
-        cond = e if cond is None else cond & e
-    side = F.broadcast(head) if limit_rank - 1 <= MAX_HEAD else head  # a bigger head: sizes decide at run time
-    joined = df.join(side, cond, "inner")
-    return joined.drop(*[f"__o{i}" for i in range(len(order))])
+        rank = F.coalesce(F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    return _named(head, order, rank.cast("int"), rank_col).where(F.col(rank_col) < limit_rank)
+
+
+def _all_ranks(tuples: DataFrame, order: list[str], rank_col: str, dense: bool) -> DataFrame:
+    """Ranks of all tuples. The dealt tuples are written once, as their range numbers must not change between the totals
+    and the ranks. Tuples are distinct, so no range is forced to hold a group."""
+    desc = [F.col(c).desc_nulls_last() for c in order]
+    each = F.lit(1).cast("long") if dense else F.col("__cnt")
+    dealt = stage(tuples.repartitionByRange(*desc).select(*order, each.alias("__n"), F.spark_partition_id().alias("__range")),
+                  "ranks")
+    so_far = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = dealt.groupBy("__range").agg(F.sum("__n").alias("__n")).select(
+        "__range", F.coalesce(F.sum("__n").over(so_far), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(*desc).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    return _named(ranked.join(F.broadcast(before), "__range"), order, F.col("__before") + F.col("__inside") + 1, rank_col)
 
 
 def name_rows(df: DataFrame, col: str, keep: Sequence[str] = (), out: tuple[str, str] = ("name", "surname")
@@ -160,22 +188,21 @@ def dau_count(df: DataFrame, group: Sequence[str], flag: str = "flag", uid: str
     """Deduplicated daily active users.
 
     dau = |uid with flag = 1| + |imei with flag <> 1| - |imei seen with both|, i.e. logged-in users
-    plus devices that were only ever anonymous. Two-level aggregation (per device, then per group)
-    replaces the per-group sets; rows with a NULL flag are ignored, NULL uid / imei are not counted.
+    plus devices that were only ever anonymous. Every row becomes a user row, if logged in, and a device row; both
+    are reduced per (group, kind, id) and counted per group, so one scan and no sets. Rows with a NULL flag are ignored,
+    NULL uid / imei are not counted; a group whose flags are all NULL counts 0.
     """
     require_columns(df, [*group, flag, uid, imei], "dau_count")
     if not isinstance(df.schema[flag].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
         raise TypeError("dau_count: flag must be an integer column")
     require_string(df, uid, "dau_count")
     require_string(df, imei, "dau_count")
-    rows = df.where(F.col(flag).isNotNull())
-    logged = (rows.where((F.col(flag) == 1) & F.col(uid).isNotNull())
-              .groupBy(*group).agg(F.count_distinct(uid).alias("__logged")))
-    devices = (rows.where(F.col(imei).isNotNull())
-               .groupBy(*group, imei)
-               .agg(F.max(F.col(flag) == 1).alias("__l"), F.max(F.col(flag) != 1).alias("__a")))
-    anon = devices.groupBy(*group).agg(F.count_if(F.col("__a") & ~F.col("__l")).alias("__anon"))
-    # a group whose flags are all NULL counts 0
-    every = df.groupBy(*group).agg(F.lit(0).cast("bigint").alias("__logged"))
-    both = stack_and_sum([logged, anon, every], group, ["__logged", "__anon"])
-    return both.select(*group, (F.col("__logged") + F.col("__anon")).alias(out))
+    logged = F.col(flag) == 1
+    device = F.when(F.col(flag).isNotNull(), F.col(imei))
+    seen = [F.struct(F.lit(False).alias("__user"), device.alias("__id"), logged.alias("__l"))]
+    user = F.struct(F.lit(True).alias("__user"), F.col(uid).alias("__id"), logged.alias("__l"))
+    both = F.when(logged & F.col(uid).isNotNull(), F.array(user, *seen)).otherwise(F.array(*seen))
+    ids = (df.select(*group, F.inline(both)).groupBy(*group, "__user", "__id")
+           .agg(F.max("__l").alias("__l")))
+    counted = F.col("__id").isNotNull() & (F.col("__user") | ~F.col("__l"))
+    return ids.groupBy(*group).agg(F.count_if(counted).alias(out))

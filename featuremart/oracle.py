@@ -425,6 +425,11 @@ def sql() -> dict[str, str]:
         f'SELECT * FROM (SELECT gds_id, statis_date, "sum", num, sales_volume, '
         f'CAST(dense_rank() OVER (ORDER BY num DESC, sales_volume DESC) AS INTEGER) AS "rank" '
         f'FROM volume WHERE num > {VOLUME_MIN_DAYS}) r WHERE "rank" < {VOLUME_RANK_LIMIT}',
+        "sales_volume_rank_all": _with(PAID_DAYS) +
+        'SELECT gds_id, statis_date, "sum", num, sales_volume, '
+        'rank() OVER (ORDER BY num DESC, sales_volume DESC) AS "rank" FROM volume WHERE num > 0',
+        "order_line_rank": 'SELECT l_orderkey, l_linenumber, CAST(r AS INTEGER) AS "rank" FROM (SELECT *, rank() OVER '
+        '(ORDER BY l_extendedprice DESC, l_quantity DESC) AS r FROM lineitem) t WHERE r < 2000000',
         "adhoc_filter_limit": _with(_TB) + "SELECT a, b, c FROM tb WHERE a = '' AND b = '' ORDER BY c LIMIT 10",
         "greeting": "SELECT c_custkey, 'Hello ' || c_name AS greeting FROM customer",
         "array_contains_strict": "SELECT p_partkey, list_contains(string_split(p_name, ' '), 'red') AS has_red "
@@ -468,6 +473,10 @@ SELECT s.l_suppkey, s.pos, r.l_extendedprice AS f0, r.l_orderkey AS f1, r.l_line
 FROM slots s LEFT JOIN ranked r ON r.l_suppkey = s.l_suppkey AND r.rn = s.pos""",
         "dau_count": _DAU,
     })
+    # other plans of the same results
+    out["returning_visitors_state"] = out["returning_visitors"]
+    out["sales_volume_store"] = out["sales_volume"]
+    out["sales_volume_rank_store"] = out["sales_volume_rank"]
     return out
 
 

@@ -1,32 +1,42 @@
-"""Daily visit features per product x city."""
+"""Daily visit features per product x city.
+
+Returning visitors are tests of visit-day bitmasks: one bit per day and (product, city, visitor), built by a
+``bit_or`` with partial aggregation. For a day range the masks come from one scan; for the daily job they are a state
+table that is shifted by one day, so that only the day itself is scanned.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featuremart.functions.aggs import distinct_count
 from featuremart.functions.expr import safe_ratio
 from featuremart.operators.joins import restrict_to
-from featuremart.sources.scans import Days, range_pred, range_scan, shift_day
+from featuremart.sources.scans import Days, day_scan, days_between, range_pred, range_scan, shift_day
 from featuremart.sources.tables import SourceTables
 
 KEYS = ["gds_id", "city_cd"]
 VISIT_BUSINESS_TYPES = ["Z-SHIP", "-"]
+LOOKBACK = 7    # days before a visit that make its visitor a returning one
+MASK_DAYS = 28  # days of a range that one mask holds, beside its look-back
+
+
+def _of_products(df: DataFrame) -> DataFrame:
+    return df.where(F.col("busi_tp_id").isin(*VISIT_BUSINESS_TYPES) & (F.col("gds_id") != "-"))
 
 
 def _visits(t: SourceTables, df: DataFrame) -> DataFrame:
-    df = df.where(F.col("busi_tp_id").isin(*VISIT_BUSINESS_TYPES) & (F.col("gds_id") != "-"))
-    return restrict_to(df, t.goods_side(), "gds_id", "gds_cd")
+    return restrict_to(_of_products(df), t.goods_side(), "gds_id", "gds_cd")
 
 
 def visit_measures(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:
     """Page views, visitors, out-of-stock views, one-page visits and visits.
 
-    The three distinct counts are taken after reducing the rows to one per
-    (product, city, visitor, visit), so Catalyst's expansion for several distinct aggregates
-    multiplies the reduced rows, not the raw page views. With ``approx_distinct`` the three counts
-    are HyperLogLog sketches over the raw rows: one grouped pass, no distinct shuffle."""
+    Rows are reduced to one per (product, city, visitor, visit). From these come one row per visit, which carries the
+    sums and both counts of visits, and one row per visitor; both are counted together per key, so there is no
+    expansion for several distinct aggregates. With ``approx_distinct`` the three counts are HyperLogLog sketches
+    over the raw rows: one grouped pass, no distinct shuffle."""
     d = Days.of(days)
     v = _visits(t, d.scan(t.cust_visit, *KEYS, "visitor_id", "visit_id", "busi_tp_id", "pv_qty", "oos_pv_qty",
                           "one_pv_puv_flag"))
@@ -40,12 +50,20 @@ def visit_measures(t: SourceTables, days, approx_distinct: bool = False) -> Data
     per_visit = v.groupBy(*d.keys(*KEYS, "visitor_id", "visit_id")).agg(
         F.sum("pv_qty").alias("pv_qty"), F.sum("oos_pv_qty").alias("oos_pv_qty"),
         F.max(F.col("one_pv_puv_flag") == 1).alias("one_pv"))
-    return per_visit.groupBy(*d.keys(*KEYS)).agg(
-        F.sum("pv_qty").alias("pv_qty"),
-        F.count_distinct("visitor_id").alias("visitor_num"),
-        F.sum("oos_pv_qty").alias("oos_pv_qty"),
-        F.count_distinct(F.when(F.col("one_pv"), F.col("visit_id"))).alias("one_pv_puv_num"),
-        F.count_distinct("visit_id").alias("visitors"))
+    keys = d.keys(*KEYS)
+    visits = per_visit.groupBy(*keys, "visit_id").agg(
+        F.sum("pv_qty").alias("pv_qty"), F.sum("oos_pv_qty").alias("oos_pv_qty"), F.max("one_pv").alias("one_pv"))
+    known = F.col("visit_id").isNotNull()
+    visits = visits.select(*keys, "pv_qty", "oos_pv_qty", F.lit(False).alias("visitor"),
+                           known.alias("visit"), (known & F.col("one_pv")).alias("one_pv"))
+    none = [F.lit(None).cast(visits.schema[c].dataType).alias(c) for c in ("pv_qty", "oos_pv_qty")]
+    visitors = per_visit.select(*keys, "visitor_id").distinct().select(
+        *keys, *none, F.col("visitor_id").isNotNull().alias("visitor"), F.lit(False).alias("visit"),
+        F.lit(False).alias("one_pv"))
+    return visits.unionByName(visitors).groupBy(*keys).agg(
+        F.sum("pv_qty").alias("pv_qty"), F.count_if("visitor").alias("visitor_num"),
+        F.sum("oos_pv_qty").alias("oos_pv_qty"), F.count_if("one_pv").alias("one_pv_puv_num"),
+        F.count_if("visit").alias("visitors"))
 
 
 def returning_visitors(t: SourceTables, day: str, d1: str | None = None, d7: str | None = None) -> DataFrame:
@@ -60,16 +78,18 @@ def returning_visitors(t: SourceTables, day: str, d1: str | None = None, d7: str
         F.count_if(F.col("old_visitor") & F.col("new_visitor")).alias("old_uv"))
 
 
-def gds_visit(t: SourceTables, days, d1: str | None = None, d7: str | None = None, approx_distinct: bool = False
-              ) -> DataFrame:
+def gds_visit(t: SourceTables, days, d1: str | None = None, d7: str | None = None, approx_distinct: bool = False,
+              returning: DataFrame | None = None) -> DataFrame:
     """Visit measures with returning visitors (left join: no match -> NULL) and the bounce rate.
     Both sides are aggregated on (gds_id, city_cd), so the join reuses their partitioning.
 
     For a day range the returning visitors come from the one-pass backfill form (7-day look-back,
-    i.e. the default d7 / d1 of the daily job)."""
+    i.e. the default d7 / d1 of the daily job). ``returning`` gives them from elsewhere (the state table)."""
     dd = Days.of(days)
     a = visit_measures(t, dd, approx_distinct)
-    if dd.single:
+    if returning is not None:
+        d = returning
+    elif dd.single:
         d = returning_visitors(t, dd.lo, d1, d7)
     else:
         if d1 is not None or d7 is not None:
@@ -81,25 +101,72 @@ def gds_visit(t: SourceTables, days, d1: str | None = None, d7: str | None = Non
         safe_ratio(F.col("one_pv_puv_num"), F.col("visitors")).alias("loss_rate"))
 
 
-def returning_visitors_range(t: SourceTables, lo: str, hi: str, lookback: int = 7) -> DataFrame:
+def returning_visitors_range(t: SourceTables, lo: str, hi: str, lookback: int = LOOKBACK) -> DataFrame:
     """N2b for every day in [lo, hi] in one pass (backfill form).
 
-    Rows are reduced to distinct (product, city, visitor, day); a visitor is returning on a day
-    when the previous visit day of the same product and city lies within ``lookback`` days.
-    The window runs per (product, city, visitor) over that visitor's visit days only."""
-    start = shift_day(lo, -lookback)
-    v = _visits(t, range_scan(t.cust_visit, start, hi, "statis_date", *KEYS, "visitor_id", "busi_tp_id"))
-    days = v.select(*KEYS, "visitor_id", "statis_date").distinct()
-    d = F.to_date("statis_date", "yyyyMMdd")
-    w = Window.partitionBy(*KEYS, "visitor_id").orderBy("statis_date")
-    prev = F.lag(d).over(w)
-    flagged = days.withColumn("returning", prev.isNotNull() & (F.date_diff(d, prev) <= lookback))
-    counted = flagged.where(range_pred(lo, hi)).select(
-        "statis_date", *KEYS, F.col("returning").cast("bigint").alias("old_uv"))
-    # as in the daily form, a product and city seen in the look-back has a row of the day, if only with 0
-    day_of = F.date_format(F.date_add(d, F.col("__k")), "yyyyMMdd")
-    seen = (days.select(*KEYS, "statis_date").distinct()
-            .withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(lookback))))
-            .select(day_of.alias("statis_date"), *KEYS, F.lit(0).cast("bigint").alias("old_uv"))
-            .where(range_pred(lo, hi)))
-    return counted.unionByName(seen).groupBy("statis_date", *KEYS).agg(F.sum("old_uv").alias("old_uv"))
+    The range is cut into blocks of ``MASK_DAYS``; a (product, city, visitor)'s days of a block and of the ``lookback`` days
+    before it are the bits of one number. A visitor returns on a day whose bit is set if one of the ``lookback`` bits
+    before it is, so all days of a block are tested by shifts, and counted per (product, city) before any day becomes a
+    row. As in the daily form a product and city seen in the look-back has a row of the day, if only with 0."""
+    if not 0 < lookback <= MASK_DAYS:
+        raise ValueError(f"returning_visitors_range: a look-back of 1 to {MASK_DAYS} days")
+    n_days = days_between(lo, hi) + 1
+    width = min(MASK_DAYS, n_days)
+    last = (n_days - 1) // width
+    v = _visits(t, range_scan(t.cust_visit, shift_day(lo, -lookback), hi, "statis_date", *KEYS, "visitor_id", "busi_tp_id"))
+    first = F.to_date(F.lit(lo), "yyyyMMdd")
+    v = v.select(*KEYS, "visitor_id", F.date_diff(F.to_date("statis_date", "yyyyMMdd"), first).alias("__at"))
+    if last:  # a block's last days are in the look-back of the next one
+        blocks = F.array_distinct(F.array(F.floor(F.col("__at") / width), F.floor((F.col("__at") + lookback) / width)))
+        v = v.withColumn("__block", F.explode(blocks).cast("int")).where(F.col("__block").between(0, last))
+    else:
+        v = v.withColumn("__block", F.lit(0))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__at") - F.col("__block") * width + lookback)
+    masks = v.groupBy(*KEYS, "visitor_id", "__block").agg(F.bit_or(bit).alias("__days"))
+    before = F.shiftleft("__days", 1)
+    for k in range(2, lookback + 1):
+        before = before.bitwiseOR(F.shiftleft("__days", k))
+    masks = masks.withColumn("__back", F.col("__days").bitwiseAND(before))
+    counted = masks.groupBy(*KEYS, "__block").agg(
+        F.bit_or("__days").alias("__seen"),
+        *[F.count_if(_any_bit("__back", 1 << lookback + i)).alias(f"__d{i}") for i in range(width)])
+    at = F.col("__block") * width
+    rows = F.array(*[F.struct(F.date_format(F.date_add(first, at + i), "yyyyMMdd").alias("statis_date"),
+                              _any_bit("__seen", (1 << lookback + 1) - 1 << i).alias("__row"),
+                              F.col(f"__d{i}").alias("old_uv")) for i in range(width)])
+    return (counted.select(*KEYS, F.inline(rows)).where(F.col("__row") & range_pred(lo, hi))
+            .select("statis_date", *KEYS, "old_uv"))
+
+
+# ---- returning visitors from a state table ----------------------------------------------------------
+
+def _any_bit(mask: str, bits: int) -> Column:
+    return F.col(mask).bitwiseAND(F.lit(bits).cast("long")) != 0
+
+
+def visit_days(t: SourceTables, day: str, previous: DataFrame | None = None, lookback: int = LOOKBACK) -> DataFrame:
+    """State of ``day``: (gds_id, city_cd, visitor_id, days), bit k of ``days`` set if the visitor saw the product in that
+    city k days before (0 to ``lookback``).
+
+    ``previous`` is the state of the day before: it is shifted by one bit and the day's visits are added, so one day is
+    scanned. Without it the ``lookback`` days are scanned once. The state holds all products, not only the selected
+    ones, so a product that is selected later has its earlier days."""
+    cols = [*KEYS, "visitor_id"]
+    one = F.lit(1).cast("long")
+    if previous is None:
+        v = _of_products(range_scan(t.cust_visit, shift_day(day, -lookback), day, "statis_date", *cols, "busi_tp_id"))
+        ago = F.date_diff(F.to_date(F.lit(day), "yyyyMMdd"), F.to_date("statis_date", "yyyyMMdd"))
+        seen = v.select(*cols, F.call_function("shiftleft", one, ago).alias("days"))
+    else:
+        today = _of_products(day_scan(t.cust_visit, day, *cols, "busi_tp_id")).select(*cols, one.alias("days"))
+        held = F.shiftleft("days", 1).bitwiseAND(F.lit((1 << lookback + 1) - 1).cast("long"))
+        seen = today.unionByName(previous.select(*cols, held.alias("days")).where("days <> 0"))
+    return seen.groupBy(*cols).agg(F.bit_or("days").alias("days"))
+
+
+def returning_of_state(t: SourceTables, state: DataFrame, first: int = 1, last: int = LOOKBACK) -> DataFrame:
+    """N2b from the state of a day: visitors of the day who also came ``first`` to ``last`` days before. Products and
+    cities seen on none of the days 0 to ``last`` have no row."""
+    window = (1 << last + 1) - (1 << first)
+    seen = restrict_to(state.where(_any_bit("days", (1 << last + 1) - 1)), t.goods_side(), "gds_id", "gds_cd")
+    return seen.groupBy(*KEYS).agg(F.count_if(_any_bit("days", 1) & _any_bit("days", window)).alias("old_uv"))

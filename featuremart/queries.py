@@ -19,7 +19,9 @@ from featuremart.functions import aggs
 from featuremart.functions.expr import array_contains_strict, greeting, total_score
 from featuremart.operators import relops
 from featuremart.plans import adhoc, clct_cart, gather, members, sales, sales_volume, search, visits
+from featuremart.shared import new_folder
 from featuremart.sources import testdata
+from featuremart.sources.scans import shift_day
 from featuremart.sources.tables import SourceTables
 
 # Fixed parameters shared with the oracle.
@@ -88,6 +90,43 @@ def q_returning_visitors_range(t: SourceTables, day: str) -> DataFrame:
     return visits.returning_visitors_range(t, RANGE_LO, RANGE_HI)
 
 
+def returning_visitors_state_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily form: the state as of the day before is a written partition; only the day itself is scanned."""
+    t, before, path = _tables(spark, sf_dir), shift_day(DAY, -1), new_folder(spark, schemas.VISIT_DAYS_T.name)
+    sink.write_day(visits.visit_days(t, before), schemas.VISIT_DAYS_T, before, path=path)
+    held = sink.read_day(spark, schemas.VISIT_DAYS_T, before, path=path)
+    return visits.returning_of_state(t, visits.visit_days(t, DAY, held))
+
+
+def _volume_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after a backfill of all days and a repeated run of one of them."""
+    order, path = testdata.fx_order(spark, sf_dir), new_folder(spark, schemas.PAID_QUANTITY_T.name)
+    sales_volume.update_store(order, (VOLUME_START, VOLUME_END), path=path)
+    sales_volume.update_store(order, DAY, path=path)
+    return sales_volume.read_store(spark, VOLUME_START, VOLUME_END, path=path)
+
+
+def sales_volume_store_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_volume.sales_volume(None, VOLUME_START, VOLUME_END, VOLUME_MIN_DAYS, store=_volume_store(spark, sf_dir))
+
+
+def sales_volume_rank_store_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_volume.sales_volume_rank(None, VOLUME_START, VOLUME_END, VOLUME_MIN_DAYS, VOLUME_RANK_LIMIT,
+                                          store=_volume_store(spark, sf_dir))
+
+
+def sales_volume_rank_all_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's rank: no limit, so no task holds the head."""
+    order = testdata.fx_order(spark, sf_dir)
+    return sales_volume.sales_volume_rank(order, VOLUME_START, VOLUME_END, 0, None)
+
+
+def order_line_rank_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines by price and quantity below a rank of two million."""
+    li = _lineitem(spark, sf_dir, "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return relops.ranked_head(li, ["l_extendedprice", "l_quantity"], 2_000_000).select("l_orderkey", "l_linenumber", "rank")
+
+
 def sales_volume_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = testdata.fx_order(spark, sf_dir)
     return sales_volume.sales_volume(order, VOLUME_START, VOLUME_END, VOLUME_MIN_DAYS)
@@ -233,6 +272,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "returning_visitors": _job(visits.returning_visitors),
         "gds_visit": _job(visits.gds_visit),
         "returning_visitors_range": _job(q_returning_visitors_range),
+        "returning_visitors_state": returning_visitors_state_q,
         # favourite / cart
         "web_click_flags": _job(clct_cart.web_click_flags),
         "app_click_flags": _job(clct_cart.app_click_flags),
@@ -257,6 +297,10 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sales_volume": sales_volume_q,
         "sales_volume_rank": sales_volume_rank_q,
         "sales_volume_dense_rank": sales_volume_dense_rank_q,
+        "sales_volume_store": sales_volume_store_q,
+        "sales_volume_rank_store": sales_volume_rank_store_q,
+        "sales_volume_rank_all": sales_volume_rank_all_q,
+        "order_line_rank": order_line_rank_q,
         "adhoc_filter_limit": adhoc_filter_limit_q,
         # functions
         "greeting": greeting_q,

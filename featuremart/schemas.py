@@ -47,5 +47,10 @@ SALES_VOLUME_T = Target("sales_volume_stats",
                       [("gds_id", S), ("statis_date", S), ("sum", T.LongType()), ("num", T.LongType()),
                        ("sales_volume", T.LongType()), ("rank", I)], partition="")
 
-TARGETS = {t.name: t for t in [SALES_T, VISITS_T, FAVOURITE_CART_T, SEARCH_T, MEMBERS_T, GATHER_T, SALES_VOLUME_T]}
+# State kept between daily runs: bit k of ``days``: the visitor came k days before; quantity per product and paid day.
+VISIT_DAYS_T = Target("visit_days_d", [("gds_id", S), ("city_cd", S), ("visitor_id", S), ("days", T.LongType())])
+PAID_QUANTITY_T = Target("paid_quantity_d", [("gds_id", S), ("sum", T.LongType())])
+
+TARGETS = {t.name: t for t in [SALES_T, VISITS_T, FAVOURITE_CART_T, SEARCH_T, MEMBERS_T, GATHER_T, SALES_VOLUME_T,
+                               VISIT_DAYS_T, PAID_QUANTITY_T]}
 DAILY = [SALES_T, VISITS_T, FAVOURITE_CART_T, SEARCH_T, MEMBERS_T, GATHER_T]

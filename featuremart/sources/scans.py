@@ -26,6 +26,11 @@ def shift_day(day: str, days: int) -> str:
     return d.strftime("%Y%m%d")
 
 
+def days_between(lo: str, hi: str) -> int:
+    """Days from ``lo`` to ``hi``."""
+    return (datetime.strptime(_check_day(hi), "%Y%m%d") - datetime.strptime(_check_day(lo), "%Y%m%d")).days
+
+
 def day_pred(day: str, col: str = DAY_COL) -> Column:
     return F.col(col) == F.lit(_check_day(day))
 
