@@ -48,7 +48,13 @@ def main(argv: list[str] | None = None) -> int:
     sub.choices["run-day"].add_argument("--d7", default=None, help="first earlier day of returning visitors, yyyyMMdd")
     sub.choices["run-day"].add_argument("--approx-distinct", action="store_true",
                                         help="HyperLogLog distinct counts instead of exact ones")
+    sub.choices["run-day"].add_argument("--visit-state", action="store_true",
+                                        help="keep the visitors' days as a state table and scan one day of visits")
+    sub.choices["run-day"].add_argument("--publish", action="store_true",
+                                        help="run into a staging folder and replace the targets only if all checks pass")
     sv = sub.choices["sales-volume"]
+    sv.add_argument("--store", default=None, help="folder of the paid-quantity store; --update first replaces its days")
+    sv.add_argument("--update", default=None, nargs=2, metavar=("LO", "HI"), help="days of the store to replace")
     sv.add_argument("--start", default="20160101")
     sv.add_argument("--end", default="20171231")
     sv.add_argument("--min-days", type=int, default=600)
@@ -63,14 +69,20 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.getOrCreate()
     t = _tables(spark, args)
     if args.cmd == "run-day":
-        from featuremart.plans.daily import run_day
-        paths = run_day(spark, t, (args.date, args.to) if args.to else args.date, args.out,
-                        approx_distinct=args.approx_distinct, database=args.database, d1=args.d1, d7=args.d7)
-        print(json.dumps(paths))
+        from featuremart.plans.daily import publish_day, run_day
+        run = publish_day if args.publish else run_day
+        done = run(spark, t, (args.date, args.to) if args.to else args.date, args.out, approx_distinct=args.approx_distinct,
+                   database=args.database, d1=args.d1, d7=args.d7, visit_state=args.visit_state)
+        print(json.dumps(done))
     else:
         from featuremart import schemas, sink
-        from featuremart.plans.sales_volume import sales_volume_rank
-        df = sales_volume_rank(t.order, args.start, args.end, args.min_days, args.rank_limit, dense=args.dense)
+        from featuremart.plans.sales_volume import read_store, sales_volume_rank, update_store
+        store = None
+        if args.store:
+            if args.update:
+                update_store(t.order, tuple(args.update), path=args.store)
+            store = read_store(spark, args.start, args.end, path=args.store)
+        df = sales_volume_rank(t.order, args.start, args.end, args.min_days, args.rank_limit, dense=args.dense, store=store)
         name = schemas.SALES_VOLUME_T.name
         table = f"{args.database}.{name}" if args.database else None
         sink.write_table(df, schemas.SALES_VOLUME_T, args.out, table)

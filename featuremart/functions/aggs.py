@@ -132,5 +132,6 @@ def median_by(df: DataFrame, group: Sequence[str], col: str, out: str = "median"
     picked = last.groupBy(*g).agg(F.max(F.when(holds("__klo"), F.col("__x"))).alias("__vlo"),
                                   F.max(F.when(holds("__khi"), F.col("__x"))).alias("__vhi"))
     if g:  # groups without a value have a row too
-        picked = _join_on(counted.select(*g).distinct(), picked, g, "left")
-    return picked.select(*g, ((F.col("__vlo").cast("double") + F.col("__vhi").cast("double")) / 2).alias(out))
+        picked = _join_on(counted.groupBy(*g).agg(F.sum("__c").alias("__n")), picked, g, "left")
+    middle = (F.col("__vlo").cast("double") + F.col("__vhi").cast("double")) / 2
+    return picked.select(*g, (F.when(F.col("__n") > 0, middle) if g else middle).alias(out))

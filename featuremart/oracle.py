@@ -9,6 +9,7 @@ IEEE formula as the Spark side and divisions guarded with ``nullif``, matching t
 
 from __future__ import annotations
 
+from featuremart.schemas import CART_FIELDS, MEMBER_FIELDS, SALES_FIELDS, SEARCH_FIELDS, VISIT_FIELDS
 from featuremart.plans.clct_cart import (APP_CART_CODES, APP_FAVOURITE_CODES, WEB_CART_P1, WEB_CART_P2, WEB_FAVOURITE_P1,
                                          WEB_FAVOURITE_P2)
 from featuremart.plans.members import AGE_COLUMNS, GENDER_COLUMNS, LEVEL_COLUMNS
@@ -410,6 +411,15 @@ def _median_sql(col: str) -> str:
     return f"SELECT l_returnflag, {_r6(f'quantile_cont({col}, 0.5)')} AS median FROM lineitem GROUP BY l_returnflag"
 
 
+def _as_target(query: str, keys: list[str], fields: list) -> str:
+    kinds = {"integer": "INTEGER", "double": "DOUBLE", "float": "FLOAT"}
+    cols = []
+    for name, kind in fields:
+        cast = f'CAST("{name}" AS {kinds[kind.typeName()]})'
+        cols.append(f"{cast if kind.typeName() == 'integer' else _r6(f'CAST({cast} AS DOUBLE)')} AS \"{name}\"")
+    return f"SELECT {', '.join(keys)}, {', '.join(cols)}, {_q(DAY)} AS statis_date FROM ({query}) result"
+
+
 def sql() -> dict[str, str]:
     out = _daily_queries(DAY)
     out.update(_range_queries(RANGE_LO, RANGE_HI))
@@ -473,6 +483,18 @@ SELECT s.l_suppkey, s.pos, r.l_extendedprice AS f0, r.l_orderkey AS f1, r.l_line
 FROM slots s LEFT JOIN ranked r ON r.l_suppkey = s.l_suppkey AND r.rn = s.pos""",
         "dau_count": _DAU,
     })
+    # results as the sinks write them: declared types, the day as a column
+    for name, fields in (("gds_visit", VISIT_FIELDS), ("gds_clct_cart", CART_FIELDS), ("gds_member", MEMBER_FIELDS)):
+        out[f"{name}_target"] = _as_target(out[name], ["gds_id", "city_cd"], fields)
+    out["feature_gather_published"] = _as_target(
+        out["feature_gather"], ["gds_id", "city_cd", "chnl_cd"],
+        [*SALES_FIELDS, *VISIT_FIELDS, *CART_FIELDS, *SEARCH_FIELDS, *MEMBER_FIELDS])
+    out["dau_bitmaps"] = out["dau_count"]
+    out["dau_period"] = _DAU_PERIOD
+    out["period_visitors"] = _with() + (
+        "SELECT gds_id, city_cd, count(DISTINCT visitor_id) AS visitor_num FROM fx_cust_visit WHERE statis_date BETWEEN "
+        f"{_q(RANGE_LO)} AND {_q(RANGE_HI)} AND busi_tp_id IN ('Z-SHIP', '-') AND gds_id <> '-' AND gds_id IN "
+        f"{GOODS} GROUP BY gds_id, city_cd")
     # other plans of the same results
     out["returning_visitors_state"] = out["returning_visitors"]
     out["sales_volume_store"] = out["sales_volume"]
@@ -524,13 +546,19 @@ SELECT p_partkey, tk[1] AS name, tk[4] AS surname FROM t WHERE len(tk) = 4 AND t
 UNION ALL
 SELECT p_partkey, tk[3] AS name, tk[4] AS surname FROM t WHERE len(tk) = 4 AND tk[2] = 'and'"""
 
-_DAU = """
+_DAU_ROWS = """
 WITH e AS (
   SELECT strftime(ts, '%Y%m%d') AS statis_date,
          CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS flag,
          'u' || CAST(user_id AS VARCHAR) AS uid,
          'i' || CAST(user_id * 3 + event_id % 3 AS VARCHAR) AS imei
-  FROM events),
+  FROM events)"""
+
+_DAU_PERIOD = _DAU_ROWS + """
+SELECT (SELECT COUNT(DISTINCT uid) FROM e WHERE flag = 1)
+       + (SELECT COUNT(DISTINCT imei) FROM e WHERE flag <> 1 AND imei NOT IN (SELECT imei FROM e WHERE flag = 1)) AS dau"""
+
+_DAU = _DAU_ROWS + """,
 logged AS (SELECT statis_date, COUNT(DISTINCT uid) AS n FROM e WHERE flag = 1 GROUP BY statis_date),
 anon AS (SELECT statis_date, COUNT(DISTINCT imei) AS n FROM e WHERE flag <> 1 GROUP BY statis_date),
 both_ AS (SELECT statis_date, COUNT(*) AS n FROM (

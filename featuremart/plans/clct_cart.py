@@ -46,16 +46,24 @@ def app_click_flags(t: SourceTables, days) -> DataFrame:
         F.max(flag(num.isin(*APP_CART_CODES))).alias("cart_flag"))
 
 
-def gds_clct_cart(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:
+def channel_views(t: SourceTables, days, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """Web and app page views of the selected products: what N3 and N4 start from."""
+    d = Days.of(days)
+    return tuple(restrict_to(d.scan(df, *d.keys(*cols)), t.goods_side(), "gds_id", "gds_cd")
+                 for df in (t.web_visit, t.app_visit))
+
+
+def gds_clct_cart(t: SourceTables, days, approx_distinct: bool = False, views: tuple | None = None) -> DataFrame:
     """Distinct visitors with a favourite / cart click, web and app together.
 
     As in the reference, only the web page views are filtered by business type. Distinct counts are
-    two-level: one row per (product, city, visitor) with its flags, then conditional counts."""
+    two-level: one row per (product, city, visitor) with its flags, then conditional counts. ``views``: the shared
+    page views of ``channel_views``."""
     d = Days.of(days)
     cols = d.keys("pv_id", "visitor_id", "city_cd", "gds_id")
-    web = d.scan(t.web_visit, *cols, "busi_tp_id").where(F.col("busi_tp_id").isin(*VISIT_BUSINESS_TYPES))
-    web = restrict_to(web, t.goods_side(), "gds_id", "gds_cd").select(*cols)
-    app = restrict_to(d.scan(t.app_visit, *cols), t.goods_side(), "gds_id", "gds_cd")
+    web, app = views or channel_views(t, d, "pv_id", "visitor_id", "city_cd", "gds_id", "busi_tp_id")
+    web = web.where(F.col("busi_tp_id").isin(*VISIT_BUSINESS_TYPES)).select(*cols)
+    app = app.select(*cols)
     out = [*d.keys(*KEYS), "visitor_id", "p_clct_flag", "cart_flag"]
     web_rows = web.join(web_click_flags(t, d), d.keys("pv_id")).select(*out)
     app_flags = app_click_flags(t, d).withColumnRenamed("pv_key", "pv_id")

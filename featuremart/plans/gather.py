@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featuremart.operators.joins import restrict_to
+from featuremart.plans import clct_cart, search
 from featuremart.plans.clct_cart import gds_clct_cart
 from featuremart.plans.members import OUTPUT as MEMBER_COLUMNS
 from featuremart.plans.members import gds_member
 from featuremart.plans.sales import MEASURES as SALES_MEASURES
-from featuremart.plans.sales import sales_features
+from featuremart.plans.sales import sales_base, sales_features, with_promotion
 from featuremart.plans.search import gds_search
-from featuremart.plans.visits import KEYS, gds_visit
-from featuremart.sources.scans import DAY_COL, Days
+from featuremart.plans.visits import KEYS, LOOKBACK, gds_visit
+from featuremart.shared import stage
+from featuremart.sources.scans import DAY_COL, Days, range_scan, shift_day
 from featuremart.sources.tables import SourceTables
 
 GATHERED_CHANNEL = "50"
@@ -72,10 +77,28 @@ def feature_gather_joined(sales: DataFrame, visit: DataFrame, clct_cart: DataFra
     return out.select(*keys[:-2], *OUTPUT)
 
 
+def shared_inputs(t: SourceTables, days) -> tuple[DataFrame, tuple[DataFrame, DataFrame], DataFrame]:
+    """What several of the jobs start from, each read from its source once and written side by side to the shared folder:
+    the order lines with the promotion flag (N1, N4, N5), web and app page views (N3, N4), and the visits from the
+    look-back on (N2a, N2b)."""
+    d = Days.of(days)
+    web, app = clct_cart.channel_views(t, d, "pv_id", "visitor_id", *search.VISIT_KEYS, "busi_tp_id", "from_key_word")
+    visits = range_scan(t.cust_visit, shift_day(d.lo, -LOOKBACK), d.hi, "statis_date", *KEYS, "visitor_id", "visit_id",
+                        "busi_tp_id", "pv_qty", "oos_pv_qty", "one_pv_puv_flag")
+    visits = restrict_to(visits, t.goods_side(), "gds_id", "gds_cd")
+    base = with_promotion(sales_base(t, d), t, d)
+    made = {"order-lines": base, "web-views": web, "app-views": app, "visits": visits}
+    with ThreadPoolExecutor(max_workers=len(made)) as pool:
+        lines, web, app, visits = pool.map(stage, made.values(), made)
+    return lines, (web, app), visits
+
+
 def feature_gather_for_day(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:
-    """N6 computed in one plan from the source tables (the daily runner instead reads the five
-    written day partitions back). ``days`` may be a (lo, hi) range: one row set per day."""
+    """N6 computed from the source tables (the daily runner instead reads the five written day partitions back).
+    ``days`` may be a (lo, hi) range: one row set per day. Inputs that jobs share are staged first (``shared_inputs``)."""
     d = Days.of(days)
     a = approx_distinct
-    return feature_gather(sales_features(t, d, approx_distinct=a), gds_visit(t, d, approx_distinct=a),
-                          gds_clct_cart(t, d, a), gds_search(t, d, a), gds_member(t, d))
+    base, views, visits = shared_inputs(t, d)
+    staged = t.replace(cust_visit=visits, restricted=["cust_visit"])
+    return feature_gather(sales_features(t, d, base=base, approx_distinct=a), gds_visit(staged, d, approx_distinct=a),
+                          gds_clct_cart(t, d, a, views), gds_search(t, d, a, base, views), gds_member(t, d, base))

@@ -44,11 +44,28 @@ def price_and_quantity(base: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.sum("tot_qty").alias("sale_cnt"))
 
 
+def _deals(t: SourceTables, d: Days) -> DataFrame:
+    return (d.scan(t.deal, "order_item_id", "promotion_num", "deal_type")
+            .where(F.col("promotion_num").isNotNull() & F.col("deal_type").isin(*PROMOTION_DEAL_TYPES)))
+
+
+PROMOTED = "__promoted"
+
+
+def with_promotion(base: DataFrame, t: SourceTables, days) -> DataFrame:
+    """The base with the flag of N1c's lines, so that one pass over it gives all of N1."""
+    d = Days.of(days)
+    item = F.when(day_key_from_text(F.col("order_time")) == F.col("statis_date"), F.col("oms_order_item_id"))
+    deals = _deals(t, d).select(*d.keys(F.col("order_item_id").alias("__item"))).distinct().withColumn(PROMOTED, F.lit(True))
+    lines = base.withColumn("__item", item)
+    return (lines.join(deals, d.keys("__item"), "left").drop("__item")
+            .withColumn(PROMOTED, F.coalesce(PROMOTED, F.lit(False))))
+
+
 def promotion_sales(base: DataFrame, t: SourceTables, days) -> DataFrame:
     """Lines ordered on the day that carry a promotion deal (deal type 02/03) of that day."""
     d = Days.of(days)
-    deals = (d.scan(t.deal, "order_item_id", "promotion_num", "deal_type")
-             .where(F.col("promotion_num").isNotNull() & F.col("deal_type").isin(*PROMOTION_DEAL_TYPES)))
+    deals = _deals(t, d)
     ordered_today = base.where(day_key_from_text(F.col("order_time")) == F.col("statis_date"))
     if d.single:
         promo = restrict_to(ordered_today, deals, "oms_order_item_id", "order_item_id")
@@ -82,10 +99,13 @@ def sales_features(t: SourceTables, days, base: DataFrame | None = None, approx_
     from the full base in both forms; refund quantity and member count default to 0; and a NULL
     price (zero quantity) becomes 0 exactly when another measure table holds the key, because
     SUM skips the NULL and adds that table's 0; a NULL quantity likewise. ``approx_distinct`` counts paying members with a
-    HyperLogLog sketch instead of exactly."""
+    HyperLogLog sketch instead of exactly. A base of ``with_promotion`` carries the promotion lines' flag and needs no
+    second branch."""
     d = Days.of(days)
     keys = d.keys(*KEYS)
     base = sales_base(t, d) if base is None else base
+    flagged = PROMOTED in base.columns
+    promoted = F.col(PROMOTED) if flagged else F.lit(False)
     refunded = day_key_by_parsing(F.col("rfd_time")) == F.col("statis_date")
     paid = day_key_from_text(F.col("pay_time")) == F.col("statis_date")
     one_pass = base.groupBy(*keys).agg(
@@ -93,15 +113,22 @@ def sales_features(t: SourceTables, days, base: DataFrame | None = None, approx_
         F.sum(F.when(refunded, F.col("tot_qty"))).alias("goods_rejected_num"),
         distinct_count(F.when(paid, F.col("member_id")), approx_distinct).alias("sale_member_num"),
         F.coalesce(F.max(refunded), F.lit(False)).alias("__has_refund"),
-        F.coalesce(F.max(paid), F.lit(False)).alias("__has_paid"))
-    other_table = F.col("__has_refund") | F.col("__has_paid")
+        F.coalesce(F.max(paid), F.lit(False)).alias("__has_paid"),
+        F.max(promoted).alias("__has_promotion"),
+        F.count(F.when(promoted, F.col("oms_order_item_id"))).alias("sale_promotion_cnt"),
+        F.sum(F.when(promoted, F.col("tot_qty"))).alias("sale_promotion_num"))
+    other_table = F.col("__has_refund") | F.col("__has_paid") | F.col("__has_promotion")
     price = lambda amount: F.when(
         other_table, F.coalesce(safe_ratio(F.col(amount), F.col("sale_cnt")), F.lit(0.0))
     ).otherwise(safe_ratio(F.col(amount), F.col("sale_cnt")))
     one_pass = one_pass.select(
         *keys, F.when(other_table, F.coalesce("sale_cnt", F.lit(0).cast("bigint"))).otherwise(
             F.col("sale_cnt")).alias("sale_cnt"), F.coalesce("goods_rejected_num", F.lit(0).cast("bigint")).alias("goods_rejected_num"),
-        "sale_member_num", price("__amnt").alias("gds_price"), price("__shld").alias("sale_price"))
+        "sale_member_num", price("__amnt").alias("gds_price"), price("__shld").alias("sale_price"), "sale_promotion_cnt",
+        F.coalesce("sale_promotion_num", F.lit(0).cast("bigint")).alias("sale_promotion_num"))
+    if flagged:
+        return one_pass.select(*keys, *MEASURES)
+    one_pass = one_pass.drop("sale_promotion_cnt", "sale_promotion_num")
     return stack_and_sum([one_pass, promotion_sales(base, t, d)], keys, MEASURES)
 
 

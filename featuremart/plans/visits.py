@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from featuremart.functions.aggs import distinct_count
 from featuremart.functions.expr import safe_ratio
+from featuremart.operators import bitmaps
 from featuremart.operators.joins import restrict_to
-from featuremart.sources.scans import Days, day_scan, days_between, range_pred, range_scan, shift_day
+from featuremart.sources.scans import DAY_COL, Days, day_scan, days_between, range_pred, range_scan, shift_day
 from featuremart.sources.tables import SourceTables
 
 KEYS = ["gds_id", "city_cd"]
@@ -27,16 +28,17 @@ def _of_products(df: DataFrame) -> DataFrame:
 
 
 def _visits(t: SourceTables, df: DataFrame) -> DataFrame:
-    return restrict_to(_of_products(df), t.goods_side(), "gds_id", "gds_cd")
+    df = _of_products(df)
+    return df if "cust_visit" in t.restricted else restrict_to(df, t.goods_side(), "gds_id", "gds_cd")
 
 
 def visit_measures(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:
     """Page views, visitors, out-of-stock views, one-page visits and visits.
 
-    Rows are reduced to one per (product, city, visitor, visit). From these come one row per visit, which carries the
-    sums and both counts of visits, and one row per visitor; both are counted together per key, so there is no
-    expansion for several distinct aggregates. With ``approx_distinct`` the three counts are HyperLogLog sketches
-    over the raw rows: one grouped pass, no distinct shuffle."""
+    Every row becomes a visit row, which carries the measures, and a visitor row; both are reduced per (key, kind, id) with
+    partial aggregation and then counted per key: one scan, two shuffles, no expansion for several distinct
+    aggregates. With ``approx_distinct`` the three counts are HyperLogLog sketches over the raw rows: one grouped
+    pass, no distinct shuffle."""
     d = Days.of(days)
     v = _visits(t, d.scan(t.cust_visit, *KEYS, "visitor_id", "visit_id", "busi_tp_id", "pv_qty", "oos_pv_qty",
                           "one_pv_puv_flag"))
@@ -47,23 +49,22 @@ def visit_measures(t: SourceTables, days, approx_distinct: bool = False) -> Data
             F.sum("oos_pv_qty").alias("oos_pv_qty"),
             distinct_count(F.when(F.col("one_pv_puv_flag") == 1, F.col("visit_id")), True).alias("one_pv_puv_num"),
             distinct_count("visit_id", True).alias("visitors"))
-    per_visit = v.groupBy(*d.keys(*KEYS, "visitor_id", "visit_id")).agg(
-        F.sum("pv_qty").alias("pv_qty"), F.sum("oos_pv_qty").alias("oos_pv_qty"),
-        F.max(F.col("one_pv_puv_flag") == 1).alias("one_pv"))
     keys = d.keys(*KEYS)
-    visits = per_visit.groupBy(*keys, "visit_id").agg(
-        F.sum("pv_qty").alias("pv_qty"), F.sum("oos_pv_qty").alias("oos_pv_qty"), F.max("one_pv").alias("one_pv"))
-    known = F.col("visit_id").isNotNull()
-    visits = visits.select(*keys, "pv_qty", "oos_pv_qty", F.lit(False).alias("visitor"),
-                           known.alias("visit"), (known & F.col("one_pv")).alias("one_pv"))
-    none = [F.lit(None).cast(visits.schema[c].dataType).alias(c) for c in ("pv_qty", "oos_pv_qty")]
-    visitors = per_visit.select(*keys, "visitor_id").distinct().select(
-        *keys, *none, F.col("visitor_id").isNotNull().alias("visitor"), F.lit(False).alias("visit"),
-        F.lit(False).alias("one_pv"))
-    return visits.unionByName(visitors).groupBy(*keys).agg(
-        F.sum("pv_qty").alias("pv_qty"), F.count_if("visitor").alias("visitor_num"),
-        F.sum("oos_pv_qty").alias("oos_pv_qty"), F.count_if("one_pv").alias("one_pv_puv_num"),
-        F.count_if("visit").alias("visitors"))
+    visit = {"visit": F.lit(True), "id": F.col("visit_id").cast("string"), "pv": F.col("pv_qty"), "oos": F.col("oos_pv_qty"),
+             "one": F.col("one_pv_puv_flag") == 1}
+    visitor = {"visit": F.lit(False), "id": F.col("visitor_id").cast("string"),
+               **{c: F.lit(None).cast(v.schema[of].dataType) for c, of in (("pv", "pv_qty"), ("oos", "oos_pv_qty"))},
+               "one": F.lit(None).cast("boolean")}
+    both = F.array(*[F.struct(*[c.alias(f"__{name}") for name, c in row.items()]) for row in (visit, visitor)])
+    ids = v.select(*keys, F.inline(both)).groupBy(*keys, "__visit", "__id").agg(
+        F.sum("__pv").alias("__pv"), F.sum("__oos").alias("__oos"), F.max("__one").alias("__one"))
+    known = F.col("__id").isNotNull()
+    return ids.groupBy(*keys).agg(
+        F.sum("__pv").alias("pv_qty"),
+        F.count_if(known & ~F.col("__visit")).alias("visitor_num"),
+        F.sum("__oos").alias("oos_pv_qty"),
+        F.count_if(known & F.col("__visit") & F.col("__one")).alias("one_pv_puv_num"),
+        F.count_if(known & F.col("__visit")).alias("visitors"))
 
 
 def returning_visitors(t: SourceTables, day: str, d1: str | None = None, d7: str | None = None) -> DataFrame:
@@ -117,8 +118,8 @@ def returning_visitors_range(t: SourceTables, lo: str, hi: str, lookback: int =
     first = F.to_date(F.lit(lo), "yyyyMMdd")
     v = v.select(*KEYS, "visitor_id", F.date_diff(F.to_date("statis_date", "yyyyMMdd"), first).alias("__at"))
     if last:  # a block's last days are in the look-back of the next one
-        blocks = F.array_distinct(F.array(F.floor(F.col("__at") / width), F.floor((F.col("__at") + lookback) / width)))
-        v = v.withColumn("__block", F.explode(blocks).cast("int")).where(F.col("__block").between(0, last))
+        blocks = F.array_distinct(F.array(*[F.floor(x / width).cast("int") for x in (F.col("__at"), F.col("__at") + lookback)]))
+        v = v.withColumn("__block", F.explode(blocks)).where(F.col("__block").between(0, last))
     else:
         v = v.withColumn("__block", F.lit(0))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__at") - F.col("__block") * width + lookback)
@@ -170,3 +171,18 @@ def returning_of_state(t: SourceTables, state: DataFrame, first: int = 1, last:
     window = (1 << last + 1) - (1 << first)
     seen = restrict_to(state.where(_any_bit("days", (1 << last + 1) - 1)), t.goods_side(), "gds_id", "gds_cd")
     return seen.groupBy(*KEYS).agg(F.count_if(_any_bit("days", 1) & _any_bit("days", window)).alias("old_uv"))
+
+
+# ---- unique visitors of a period from day bitmaps -----------------------------------------------------
+
+def visitor_bitmaps(t: SourceTables, days, visitors: DataFrame) -> DataFrame:
+    """(statis_date, gds_id, city_cd, bucket, bits): the day's visitors of each product and city as exact bitmaps over the
+    dictionary ``visitors`` (visitor_id, number) of ``bitmaps.number_ids``; they merge into any period."""
+    d = Days.of(days)
+    v = _visits(t, range_scan(t.cust_visit, d.lo, d.hi, DAY_COL, *KEYS, "visitor_id", "busi_tp_id"))
+    return bitmaps.bitmaps_of(v, [DAY_COL, *KEYS], "visitor_id", visitors)
+
+
+def period_visitors(days_bitmaps: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Different visitors per product and city of a period, from its days' bitmaps (not the sum of the days' counts)."""
+    return bitmaps.count_ids(days_bitmaps.where(range_pred(lo, hi)), KEYS, "visitor_num")

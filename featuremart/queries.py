@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from featuremart import schemas, sink
 from featuremart.functions import aggs
 from featuremart.functions.expr import array_contains_strict, greeting, total_score
-from featuremart.operators import relops
-from featuremart.plans import adhoc, clct_cart, gather, members, sales, sales_volume, search, visits
+from featuremart.operators import bitmaps, relops
+from featuremart.plans import adhoc, clct_cart, daily, gather, members, sales, sales_volume, search, visits
 from featuremart.shared import new_folder
 from featuremart.sources import testdata
 from featuremart.sources.scans import shift_day
@@ -196,6 +196,22 @@ def gds_search_target_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.conform(search.gds_search(_tables(spark, sf_dir), DAY), schemas.SEARCH_T, DAY).drop("etl_time")
 
 
+def _target(job: Callable, target: schemas.Target) -> Callable[[SparkSession, str], DataFrame]:
+    """A job's result as its sink writes it, without the processing time."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return round_doubles(sink.conform(job(_tables(spark, sf_dir), DAY), target, DAY).drop("etl_time"))
+    return run
+
+
+def _published(target: schemas.Target) -> Callable[[SparkSession, str], DataFrame]:
+    """A target's partition, read back after a checked run of the day was published (K1-K5)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = new_folder(spark, "mart")
+        daily.publish_day(spark, _tables(spark, sf_dir), DAY, out, visit_state=True)
+        return round_doubles(sink.read_day(spark, target, DAY, path=daily.target_path(out, target)).drop("etl_time"))
+    return run
+
+
 def max_any_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _lineitem(spark, sf_dir, "l_returnflag", "l_linenumber", "l_suppkey", "l_extendedprice", "l_linestatus",
                    "l_shipdate")
@@ -259,6 +275,27 @@ def dau_count_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relops.dau_count(testdata.fx_dau(spark, sf_dir), ["statis_date"])
 
 
+def _dau_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = testdata.fx_dau(spark, sf_dir)
+    return bitmaps.dau_bitmaps(rows, ["statis_date"], bitmaps.number_ids(rows, "uid"), bitmaps.number_ids(rows, "imei"))
+
+
+def dau_bitmaps_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmaps.dau_of_bitmaps(_dau_bitmaps(spark, sf_dir), ["statis_date"])
+
+
+def dau_period_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active users of the whole time, merged from the days' bitmaps."""
+    return bitmaps.dau_of_bitmaps(_dau_bitmaps(spark, sf_dir), [])
+
+
+def period_visitors_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique visitors per product and city of the range, merged from the days' bitmaps."""
+    t = _tables(spark, sf_dir)
+    numbers = bitmaps.number_ids(t.cust_visit, "visitor_id")
+    return visits.period_visitors(visits.visitor_bitmaps(t, (RANGE_LO, RANGE_HI), numbers), RANGE_LO, RANGE_HI)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sales features (N1a-N1e, N1)
@@ -293,6 +330,11 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # conformed targets (K1, K4)
         "sal_fs_target": sal_fs_target_q,
         "gds_search_target": gds_search_target_q,
+        "gds_visit_target": _target(visits.gds_visit, schemas.VISITS_T),
+        "gds_clct_cart_target": _target(clct_cart.gds_clct_cart, schemas.FAVOURITE_CART_T),
+        "gds_member_target": _target(members.gds_member, schemas.MEMBERS_T),
+        # the wide table from a checked, published day
+        "feature_gather_published": _published(schemas.GATHER_T),
         # sales volume (N7) and the ad-hoc fetch
         "sales_volume": sales_volume_q,
         "sales_volume_rank": sales_volume_rank_q,
@@ -320,4 +362,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topn_rows": topn_rows_q,
         "topn_array": topn_array_q,
         "dau_count": dau_count_q,
+        # exact counts merged from day bitmaps
+        "dau_bitmaps": dau_bitmaps_q,
+        "dau_period": dau_period_q,
+        "period_visitors": period_visitors_q,
     }

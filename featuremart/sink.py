@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,6 +115,34 @@ def read_day(spark: SparkSession, target: Target, day: str, path: str | None = N
     return df.where(F.col(target.partition).between(F.lit(_check_day(day)), F.lit(_check_day(hi))))
 
 
+def has_day(spark: SparkSession, target: Target, day: str, path: str | None = None, table: str | None = None) -> bool:
+    """Whether the target exists and holds rows of the day."""
+    if table is not None and not spark.catalog.tableExists(table):
+        return False
+    try:
+        return not read_day(spark, target, day, path=path, table=table).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+class CheckFailed(ValueError):
+    """A day's result is not fit to be published."""
+
+
+def check_day(df: DataFrame, target: Target, least_rows: int = 0) -> int:
+    """Number of rows of a day's (or range's) result; an error if a key occurs twice in a day or rows are missing."""
+    keys = [c for c in (target.partition, "gds_id", "gds_cd", "city_cd", "chnl_cd") if c in df.columns]
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    n, most = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most > 1:
+        raise CheckFailed(f"{target.name}: a key of {', '.join(keys)} occurs {most} times")
+    if n < least_rows:
+        raise CheckFailed(f"{target.name}: {n} rows, at least {least_rows} expected")
+    return n
+
+
 def write_table(df: DataFrame, target: Target, path: str | None = None, table: str | None = None) -> None:
     """Create or replace an unpartitioned result (K3): a parquet folder or a catalog table."""
     out = conform(df, target).hint("rebalance").write.mode("overwrite")

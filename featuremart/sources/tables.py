@@ -8,7 +8,7 @@ jobs, lower-cased.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +34,7 @@ class SourceTables:
     """Lazily resolved source tables; ``SourceTables(order=df, ...)`` or with loaders."""
 
     def __init__(self, loaders: dict[str, Callable[[], DataFrame]] | None = None,
-                 goods_broadcast_rows: int = 2_000_000, **frames: DataFrame):
+                 goods_broadcast_rows: int = 2_000_000, restricted: Iterable[str] = (), **frames: DataFrame):
         unknown = set(frames) | set(loaders or {})
         unknown -= set(TABLES)
         if unknown:
@@ -43,6 +43,8 @@ class SourceTables:
         self._frames = dict(frames)
         # Largest product list (rows) shipped to every task instead of shuffling the fact side.
         self.goods_broadcast_rows = goods_broadcast_rows
+        # Tables that hold rows of selected products only.
+        self.restricted = frozenset(restricted)
         self._goods_side: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -54,9 +56,10 @@ class SourceTables:
             self._frames[name] = self._loaders[name]()
         return self._frames[name]
 
-    def replace(self, **frames: DataFrame) -> "SourceTables":
+    def replace(self, restricted: Iterable[str] = (), **frames: DataFrame) -> "SourceTables":
         loaders = {k: (lambda k=k: getattr(self, k)) for k in TABLES if k not in frames}
-        return SourceTables(loaders, self.goods_broadcast_rows, **frames)
+        kept = [name for name in self.restricted if name not in frames and "goods" not in frames]
+        return SourceTables(loaders, self.goods_broadcast_rows, [*kept, *restricted], **frames)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, names: dict[str, str], **kw) -> "SourceTables":
