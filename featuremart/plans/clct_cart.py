@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from featuremart.functions.aggs import distinct_count
 from featuremart.functions.expr import flag
-from featuremart.operators.joins import restrict_to
 from featuremart.plans.visits import KEYS, VISIT_BUSINESS_TYPES
 from featuremart.sources.scans import Days
 from featuremart.sources.tables import SourceTables
@@ -49,7 +48,7 @@ def app_click_flags(t: SourceTables, days) -> DataFrame:
 def channel_views(t: SourceTables, days, *cols: str) -> tuple[DataFrame, DataFrame]:
     """Web and app page views of the selected products: what N3 and N4 start from."""
     d = Days.of(days)
-    return tuple(restrict_to(d.scan(df, *d.keys(*cols)), t.goods_side(), "gds_id", "gds_cd")
+    return tuple(t.selected(d.scan(df, *d.keys(*cols)))
                  for df in (t.web_visit, t.app_visit))
 
 

@@ -7,7 +7,6 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featuremart.operators.joins import restrict_to
 from featuremart.plans import clct_cart, search
 from featuremart.plans.clct_cart import gds_clct_cart
 from featuremart.plans.members import OUTPUT as MEMBER_COLUMNS
@@ -85,7 +84,7 @@ def shared_inputs(t: SourceTables, days) -> tuple[DataFrame, tuple[DataFrame, Da
     web, app = clct_cart.channel_views(t, d, "pv_id", "visitor_id", *search.VISIT_KEYS, "busi_tp_id", "from_key_word")
     visits = range_scan(t.cust_visit, shift_day(d.lo, -LOOKBACK), d.hi, "statis_date", *KEYS, "visitor_id", "visit_id",
                         "busi_tp_id", "pv_qty", "oos_pv_qty", "one_pv_puv_flag")
-    visits = restrict_to(visits, t.goods_side(), "gds_id", "gds_cd")
+    visits = t.selected(visits)
     base = with_promotion(sales_base(t, d), t, d)
     made = {"order-lines": base, "web-views": web, "app-views": app, "visits": visits}
     with ThreadPoolExecutor(max_workers=len(made)) as pool:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featuremart.operators.joins import restrict_to
 from featuremart.operators.relops import count_by_label
 from featuremart.plans.sales import ORDER_BUSINESS_TYPES
 from featuremart.plans.visits import KEYS
@@ -46,7 +45,7 @@ def buyers(t: SourceTables, days, base: DataFrame | None = None) -> DataFrame:
     if base is None:
         o = d.scan(t.order, *KEYS, "member_id", "busi_tp_id")
         o = o.where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
-        base = restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
+        base = t.selected(o)
     return base.select(*d.keys(*KEYS), "member_id").distinct()
 
 

@@ -33,7 +33,7 @@ def sales_base(t: SourceTables, days) -> DataFrame:
     o = Days.of(days).scan(t.order, "statis_date", *KEYS, *shared, "tot_qty", "oms_order_item_id", "busi_tp_id",
                            "rfd_time", "member_id", "tot_amnt", "shld_amnt", "order_time", "pay_time")
     o = o.where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
-    return restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
+    return t.selected(o)
 
 
 def price_and_quantity(base: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featuremart.functions.aggs import distinct_count
-from featuremart.operators.joins import not_placeholder, restrict_to
+from featuremart.operators.joins import not_placeholder
 from featuremart.plans.clct_cart import channel_views
 from featuremart.plans.sales import ORDER_BUSINESS_TYPES
 from featuremart.plans.visits import KEYS, VISIT_BUSINESS_TYPES
@@ -48,7 +48,7 @@ def gds_search(t: SourceTables, days, approx_distinct: bool = False, base: DataF
     if base is None:
         o = d.scan(t.order, *VISIT_KEYS, "tot_qty", "busi_tp_id")
         o = o.where(F.col("busi_tp_id").isin(*ORDER_BUSINESS_TYPES))
-        o = restrict_to(o, t.goods_side(), "gds_id", "gds_cd")
+        o = t.selected(o)
     else:
         o = base
     o = o.where((F.col("gds_id") != "-") & (F.col("visit_id") != "-"))

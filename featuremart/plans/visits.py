@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from featuremart.functions.aggs import distinct_count
 from featuremart.functions.expr import safe_ratio
 from featuremart.operators import bitmaps
-from featuremart.operators.joins import restrict_to
 from featuremart.sources.scans import DAY_COL, Days, day_scan, days_between, range_pred, range_scan, shift_day
 from featuremart.sources.tables import SourceTables
 
@@ -29,7 +28,7 @@ def _of_products(df: DataFrame) -> DataFrame:
 
 def _visits(t: SourceTables, df: DataFrame) -> DataFrame:
     df = _of_products(df)
-    return df if "cust_visit" in t.restricted else restrict_to(df, t.goods_side(), "gds_id", "gds_cd")
+    return df if "cust_visit" in t.restricted else t.selected(df)
 
 
 def visit_measures(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:
@@ -169,7 +168,7 @@ def returning_of_state(t: SourceTables, state: DataFrame, first: int = 1, last:
     """N2b from the state of a day: visitors of the day who also came ``first`` to ``last`` days before. Products and
     cities seen on none of the days 0 to ``last`` have no row."""
     window = (1 << last + 1) - (1 << first)
-    seen = restrict_to(state.where(_any_bit("days", (1 << last + 1) - 1)), t.goods_side(), "gds_id", "gds_cd")
+    seen = t.selected(state.where(_any_bit("days", (1 << last + 1) - 1)))
     return seen.groupBy(*KEYS).agg(F.count_if(_any_bit("days", 1) & _any_bit("days", window)).alias("old_uv"))
 
 

@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from featuremart.operators.joins import bounded_broadcast
+from featuremart.operators.joins import bounded_broadcast, key_bits, reduce_by_bits, restrict_to
 
 TABLES = {
     "order": "order lines: statis_date, gds_id, city_cd, chnl_cd, tot_qty, oms_order_item_id, busi_tp_id, rfd_time, "
@@ -46,6 +47,7 @@ class SourceTables:
         # Tables that hold rows of selected products only.
         self.restricted = frozenset(restricted)
         self._goods_side: DataFrame | None = None
+        self._goods_bits: tuple[DataFrame, int] | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
@@ -86,5 +88,18 @@ class SourceTables:
         """Product keys for the semi joins (J1-J4), broadcast only when the row count is within
         ``goods_broadcast_rows``; otherwise a shuffled semi join. The size check runs once."""
         if self._goods_side is None:
-            self._goods_side = bounded_broadcast(self.goods, self.goods_broadcast_rows).select("gds_cd")
+            side = bounded_broadcast(self.goods, self.goods_broadcast_rows)
+            if side is self.goods:  # beyond the bound
+                bits = key_bits(self.goods, "gds_cd")
+                size = bits.agg(F.max("size")).first()[0]
+                self._goods_bits = (bits, size or 1)
+            self._goods_side = side.select("gds_cd")
         return self._goods_side
+
+    def selected(self, df: DataFrame, col: str = "gds_id") -> DataFrame:
+        """The rows of selected products (J1-J3). A product list beyond the broadcast bound is a shuffled semi join; its bit
+        table then takes away most other rows before the shuffle."""
+        side = self.goods_side()
+        if self._goods_bits is not None:
+            df = reduce_by_bits(df, col, *self._goods_bits)
+        return restrict_to(df, side, col, "gds_cd")

@@ -65,3 +65,31 @@ def test_ranked_head_equals_global_window(spark, dense):
         expected = rows(df.withColumn("rank", fn.over(w)).where(F.col("rank") < k))
         got = rows(ranked_head(df, ["a", "b"], k, dense=dense))
         assert got == expected, k
+
+
+def test_key_bits_cut_the_facts_before_the_shuffle(spark):
+    from featuremart.operators.joins import key_bits, reduce_by_bits
+    goods = spark.range(0, 40_000, 20).select(F.col("id").cast("string").alias("gds_cd"))
+    facts = spark.range(200_000).select(F.when(F.col("id") % 1000 != 7, (F.col("id") % 50_000).cast("string")).alias("g"),
+                                        F.col("id").alias("w0"))
+    bits = key_bits(goods, "gds_cd")
+    size = bits.agg(F.max("size")).first()[0]
+    kept = reduce_by_bits(facts, "g", bits, size)
+    matches = facts.join(goods, F.col("g") == F.col("gds_cd"), "left_semi")
+    assert kept.columns == facts.columns
+    assert rows(restrict_to(kept, goods, "g", "gds_cd")) == rows(matches)
+    assert matches.count() <= kept.count() < matches.count() + 0.03 * facts.count()
+    assert reduce_by_bits(facts, "g", key_bits(goods.limit(0), "gds_cd"), 1 << 16).count() == 0
+
+
+def test_jobs_beyond_the_broadcast_bound(spark):
+    """The jobs give the same with a shuffled product list, whose facts are cut by its bit table."""
+    from conftest import SF_SMALL
+    from featuremart.plans import sales, visits
+    from featuremart.queries import DAY
+    from featuremart.sources import SourceTables
+    near, far = (SourceTables.from_testdata(spark, SF_SMALL, goods_broadcast_rows=n) for n in (2_000_000, 0))
+    for job in (sales.sales_features, visits.gds_visit):
+        assert rows(job(far, DAY)) == rows(job(near, DAY))
+    plan = sales.sales_base(far, DAY)._jdf.queryExecution().executedPlan().toString()
+    assert "key-bits" in plan and plan.index("LeftSemi") < plan.index("key-bits")  # below the semi join
