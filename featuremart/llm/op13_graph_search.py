@@ -6,8 +6,9 @@ vectors of that level. A search walks greedily from the top level's first vector
 level 0 with a list of the ``BEAM`` nearest found. The index is a table with one row per vector, its links as flat arrays
 of places in its shard; every query searches every shard, and its results are merged by exact scores.
 
-Largest inner products become nearest points by one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the largest norm of all
-vectors, which is 0 on unit vectors. Graphs compare single-precision points; the candidates that a search
+Largest inner products become nearest points by one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the largest norm, which
+is 0 on unit vectors. So that long vectors don't make short ones meet in one point, vectors are parted by length (bands of
+a factor of 8, each with its own M and shards). Graphs compare single-precision points; the candidates that a search
 ends with are scored anew in double precision on the original vectors.
 
 Plan. Equal vectors are one class, so a hot vector is one point of a graph; of its rows only the ``K + 1`` least
@@ -19,7 +20,8 @@ window that limits them in each task before the shuffle. Memory of a task: one s
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as query
 nor as candidate; a query's candidates are the vectors of its dimension; rows with a null id are candidates, after
 all ids on ties, and no queries; repeated ids and rows are rows of their own, each a query whose only excluded row is
-itself; a score beyond double precision is infinite. Labels and other columns are ignored.
+itself; a score beyond double precision is infinite,
+and lowest if not even its sign is known. Labels and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -211,20 +213,25 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-INDEX = "dim int, shard int, k1 long, k2 long, vector array<double>, level int, links array<int>"
+SHARDED = ["dim", "band", "shard"]
+INDEX = "dim int, band int, shard int, norm double, k1 long, k2 long, vector array<double>, level int, links array<int>"
 
 
-def index(classes: DataFrame, shards: int, norm: float) -> DataFrame:
-    """One row per vector: its place is its order by (level descending, k1, k2) in its shard; ``links`` are the places it
-    links to on level 0, then on the levels above, -1 for none."""
-    dealt = (classes.select("dim", F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), "k1", "k2", "vector")
-             .repartition(min(2 * shards, MOST_TASKS), "dim", "shard")  # few rows, much work: not for AQE to merge
-             .sortWithinPartitions("dim", "shard", "k1", "k2"))
+def _arrays(shard: tuple, norm: float, n: int) -> list[pa.Array]:
+    return [*[pa.array([x] * n, type=pa.int32()) for x in shard], pa.array([norm] * n, type=pa.float64())]
+
+
+def index(dealt: DataFrame, tasks: int) -> DataFrame:
+    """One row per vector of ``dealt`` (dim, band, shard, norm, k1, k2, vector): its place is its order by (level
+    descending, k1, k2) in its shard; ``links`` are the places it links to on level 0, then on the levels above, -1 for none."""
+    dealt = (dealt.select(*SHARDED, "norm", "k1", "k2", "vector")
+             .repartition(tasks, *SHARDED)  # few rows, much work: not for AQE to merge
+             .sortWithinPartitions(*SHARDED, "k1", "k2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (dim, shard), parts in sorted_groups(batches, 2):
+        for key, parts in sorted_groups(batches, 3):
             t = pa.Table.from_batches(parts)
-            vectors = _matrix(t.column("vector"))
+            vectors, norm = _matrix(t.column("vector")), t.column("norm")[0].as_py()
             k1, k2 = (t.column(c).to_numpy() for c in ("k1", "k2"))
             levels = level_of(k2)
             order = np.lexsort((k2, k1, -levels))
@@ -236,8 +243,7 @@ def index(classes: DataFrame, shards: int, norm: float) -> DataFrame:
                 part = order[at:at + 1024]
                 size = len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim] * size, type=pa.int32()), pa.array([shard] * size, type=pa.int32()),
-                     pa.array(k1[part]), pa.array(k2[part]), pa.array(list(vectors[part]), type=pa.list_(pa.float64())),
+                    [*_arrays(key, norm, size), pa.array(k1[part]), pa.array(k2[part]), pa.array(list(vectors[part]), type=pa.list_(pa.float64())),
                      pa.array(levels[part].astype(np.int32)),
                      pa.array([x.astype(np.int32) for x in links], type=pa.list_(pa.int32()))],
                     names=[c.split()[0] for c in INDEX.split(", ")])
@@ -254,8 +260,8 @@ def _graph(levels: np.ndarray, links: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _answers(rows: DataFrame, k: int, norm: float) -> DataFrame:
-    """Rows sorted by (dim, shard, part): a shard's vectors, then queries -> (query, k1, k2, score), the ``k`` best of
+def _answers(rows: DataFrame, k: int) -> DataFrame:
+    """Rows sorted by (dim, band, shard, part): a shard's vectors, then queries -> (query, k1, k2, score), the ``k`` best of
     every query in the shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = vectors = points = graph = k1 = k2 = None
@@ -263,9 +269,11 @@ def _answers(rows: DataFrame, k: int, norm: float) -> DataFrame:
         def answered(t: pa.RecordBatch) -> pa.RecordBatch:
             a = _matrix(t.column("vector"))
             found = search(points, graph, lifted(a, None), max(BEAM, k))
-            score = np.where(found < 0, -np.inf, 0.0)
-            for j in range(a.shape[1]):  # in the order of the components, as a plain sum
-                score = score + vectors[:, j][found] * a[:, j][:, None]
+            score = np.zeros(found.shape)
+            with np.errstate(over="ignore", invalid="ignore"):
+                for j in range(a.shape[1]):  # in the order of the components, as a plain sum
+                    score = score + vectors[:, j][found] * a[:, j][:, None]
+            score = np.where((found < 0) | np.isnan(score), -np.inf, score)
             order = np.argsort(-score, axis=1, kind="stable")
             best, score = np.take_along_axis(found, order, axis=1), np.take_along_axis(score, order, axis=1)
             # equal scores at the end are all kept: ids decide later
@@ -275,17 +283,17 @@ def _answers(rows: DataFrame, k: int, norm: float) -> DataFrame:
                 [pa.array(t.column("row").to_numpy(zero_copy_only=False)[i]), pa.array(k1[best[i, j]]), pa.array(k2[best[i, j]]),
                  pa.array(score[i, j])], names=["query", "k1", "k2", "score"])
 
-        for (dim, shard, part, is_query), parts in sorted_groups(batches, 4):
+        for (*shard, is_query), parts in sorted_groups(batches, 5):
             if not is_query:
                 t = pa.Table.from_batches(parts)
-                key, vectors = (dim, shard, part), _matrix(t.column("vector"))
+                key, vectors = shard, _matrix(t.column("vector"))
                 k1, k2 = (t.column(c).to_numpy() for c in ("k1", "k2"))
                 levels = t.column("level").to_numpy()
                 flat = t.column("links").combine_chunks()
                 at, values = flat.offsets.to_numpy(), flat.values.to_numpy()
                 graph = _graph(levels, [values[a:b] for a, b in zip(at[:-1], at[1:])])
-                points = lifted(vectors, norm)
-            elif key == (dim, shard, part):
+                points = lifted(vectors, t.column("norm")[0].as_py())
+            elif key == shard:
                 for t in parts:
                     for at in range(0, t.num_rows, BATCH):
                         yield answered(t.slice(at, BATCH))
@@ -308,24 +316,30 @@ def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 F.array_max(F.transform("vector", F.abs)).alias("top")), "vectors")
     classes = materialize(named.groupBy("k1", "k2").agg(F.first("vector").alias("vector"), F.first("dim").alias("dim"),
                                                         F.max("top").alias("top")), "classes")
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top")))
-    n, norm = classes.agg(F.count(F.lit(1)), F.max(F.col("top") * F.sqrt(squares))).first()
-    shards = max(1, -(-n // shard))
-    built = materialize(index(classes, shards, norm or 1.0), "graph")
+    top = F.col("top")
+    length = top * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top"))))
+    sized = classes.withColumn("length", length).withColumn("band", F.round(F.log2("length") / 3).cast("int"))
+    bands = materialize(sized.groupBy("dim", "band").agg(
+        F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"), F.max("length").alias("norm")), "bands")
+    shards = bands.agg(F.sum("shards")).first()[0] or 0
+    tasks = max(1, min(2 * shards, MOST_TASKS))
+    dealt = sized.join(bands, ["dim", "band"]).withColumn("shard", F.pmod("k1", F.col("shards")).cast("int"))
+    built = materialize(index(dealt, tasks), "graph")
 
     queries = named.where((F.col("vec_id") % every) == 0)
     groups = max(1, -(-queries.count() // GROUP))
     part = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")
-    none = {"level": F.lit(None).cast("int"), "links": F.lit(None).cast("array<int>")}
-    cols = ["dim", "shard", "part", "is_query", "level_up", "k1", "k2", "row", "vector", "level", "links"]
-    asked = queries.withColumns({"part": part, "is_query": F.lit(True), **none, "level_up": F.lit(0)}).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(*cols)
+    none = {"level": F.lit(None).cast("int"), "links": F.lit(None).cast("array<int>"), "norm": F.lit(None).cast("double")}
+    cols = [*SHARDED, "part", "is_query", "level_up", "norm", "k1", "k2", "row", "vector", "level", "links"]
+    asked = queries.join(bands.drop("norm"), "dim").withColumns(
+        {"part": part, "is_query": F.lit(True), **none, "level_up": F.lit(0)}).withColumn(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(*cols)
     held = built.withColumns({"is_query": F.lit(False), "row": F.lit(None).cast("long"), "level_up": -F.col("level")}).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*cols)
-    sent = (held.unionByName(asked).repartition(min(2 * shards * groups, MOST_TASKS), "dim", "shard", "part")
-            .sortWithinPartitions("dim", "shard", "part", "is_query", "level_up", "k1", "k2", "row")
-            .select("dim", "shard", "part", "is_query", "k1", "k2", "row", "vector", "level", "links"))
-    found = _answers(sent, k + 1, norm or 1.0)
+    sent = (held.unionByName(asked).repartition(min(tasks * groups, MOST_TASKS), *SHARDED, "part")
+            .sortWithinPartitions(*SHARDED, "part", "is_query", "level_up", "k1", "k2", "row")
+            .select(*SHARDED, "part", "is_query", "norm", "k1", "k2", "row", "vector", "level", "links"))
+    found = _answers(sent, k + 1)
     # the k + 1 best classes of a query, then their rows: the least k + 1 ids of each
     by_score = Window.partitionBy("query").orderBy(F.col("score").desc())
     best = materialize(found.withColumn("place", F.rank().over(by_score)).where(F.col("place") <= k + 1)

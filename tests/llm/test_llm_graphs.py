@@ -206,6 +206,13 @@ def test_node_numbers_name_prefixes(spark):
 VECTORS = "vec_id long, embedding array<double>, label int, row long, dim string, k1 long"
 
 
+def product(x, y):
+    total = 0.0  # one by one: Python's sum corrects its rounding
+    for a, b in zip(x.tolist(), y.tolist()):
+        total += a * b
+    return total
+
+
 def exact(rows, k=20):
     """{query row: [(score, id)]}, its best ``k``."""
     ok = [(i, v, np.array(x)) for i, (v, x) in enumerate(rows)
@@ -214,7 +221,7 @@ def exact(rows, k=20):
     for i, v, x in ok:
         if v is None or v % 20:
             continue
-        found = sorted(((-sum(a * b for a, b in zip(x.tolist(), y.tolist())), w is None, w or 0) for j, w, y in ok
+        found = sorted(((-product(x, y), w is None, w or 0) for j, w, y in ok
                         if j != i and len(y) == len(x)))[:k]
         out[i] = [(v, -s, None if null else w) for s, null, w in found]
     return out
