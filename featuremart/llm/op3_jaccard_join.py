@@ -2,12 +2,16 @@
 
 Documents whose sets of five-word shingles have Jaccard similarity ``threshold`` or more are linked.
 Sets are split recursively on sampled shared tokens: a token of the embedded set is (coordinate,
-minimum hash of the shingles under it); a node of the path tree samples ``PICK`` unused coordinates
-and sends every set to the children named by its tokens there. Buckets of at most ``SMALL`` sets are
-compared by brute force; larger ones are split again, unless their sets are alike on average (then no
-split would part them, and they are compared in blocks). The tree is built ``RUNS`` times with
-coordinates of their own: a pair at the threshold of 0.8 parts at one level of one run with
-probability 0.2^3, so it is missed in all four with less than 1e-6.
+minimum hash of the shingles under it); a node of the path tree samples coordinates that its path has
+not used and sends every set to the children named by its tokens there, ``ROOT`` of them at a root and
+``PICK`` below. Sets less alike than 1 / ``PICK`` = ``ALIKE`` thus share fewer nodes with every level,
+and a node whose sets are more alike than that on average is not split: it is judged before, from a
+sample of its sets, and compared whole. Buckets of at most ``SMALL`` sets are compared by brute force.
+
+The tree is built anew, in ``runs`` with paths of their own, until a pair at the threshold is found with
+probability ``recall`` even if every node on its way is split to the last level; ``missed`` gives that
+probability exactly. The default of one in a million takes 5 runs at 0.8. Lower thresholds take more; where
+``MOST_RUNS`` can't reach the recall, ``join`` raises a ValueError that names what they reach.
 
 Words are the white-space separated words of the lower-cased text; a text of one to four words is one
 shingle; similarity is computed exactly on the sets of 64-bit shingle hashes.
@@ -19,8 +23,8 @@ Plan:
 * the tree moves (path, class) rows; counting a path is a partial aggregation; sketches travel only
   to buckets with several classes;
 * a pair of a bucket is looked at only where it is the least bucket that both share, so it counts
-  once without moving pairs; sizes and sketches (at least ``MATCH`` of 32 tokens equal; a pair at 0.8
-  fails this with probability 1e-8) leave few to verify;
+  once without moving pairs; sizes and the first ``FILTER`` tokens (as many equal as a pair at the threshold
+  has but for 1e-8; 11 at 0.8) leave few to verify;
 * shingle sets travel to the buckets that have a pair to verify; a bucket gives one number of links
   per class and a spanning forest, never its pairs. A bucket of n classes beyond ``BLOCK`` is dealt
   as pairs of blocks to as many tasks.
@@ -32,30 +36,82 @@ rows equal in id and text are copies like others. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featuremart.llm.common import (GROUP, U64, bloom_split, components, deal_blocks, forest, fresh_matrix,
-                                    fresh_pairs, map_batches, materialize, mix, prefix_hash, read_table, signed, sorted_groups, span_hash,
-                                    text_key)
+                                    fresh_pairs, map_batches, materialize, mix, prefix_hash, read_table, sorted_groups,
+                                    span_hash, text_key)
 
 THRESHOLD = 0.8
 WORDS = 5
-RUNS, COORDS, PICK, DEPTH = 4, 8, 3, 4
-SMALL = 64       # classes of a bucket that is compared at once
-BLOCK = 512      # classes of a block of a large bucket
-ALIKE = 0.5      # mean similarity from which a bucket is not split
-MATCH = 13       # equal tokens of a sketch that a pair must have
-_T = RUNS * COORDS
-_MUL = mix(np.arange(1, _T + 1, dtype=U64)) | U64(1)
-_XOR = mix(np.arange(101, _T + 101, dtype=U64))
+RECALL = 1 - 1e-6
+MOST_RUNS = 64
+DEPTH = 4
+COORDS = 16            # coordinates of a level; every run starts at another level's
+ROOT, PICK = 3, 2      # children that a set has at a root, and below
+SMALL = 64             # classes of a bucket that is compared at once
+BLOCK = 512            # classes of a block of a large bucket
+ALIKE = 1 / PICK       # mean similarity from which a bucket is not split
+JUDGED = 256           # sets, about, from which a node is judged
+FILTER = 32            # tokens that are compared before sets are
+_T = DEPTH * COORDS
+_MUL = mix(np.arange(1, _T // 2 + 1, dtype=U64)) | U64(1)
+_XOR = mix(np.arange(101, _T // 2 + 101, dtype=U64))
 _AGAIN = U64(0xD6E8FEB86659FD93)
 
 
+# -- recall --------------------------------------------------------------------------------------
+
+def missed(threshold: float, runs: int) -> float:
+    """Probability that a pair at the threshold shares no node of the last level in any run."""
+    m = np.arange(COORDS + 1)
+    chance = np.array([comb(COORDS, int(k)) * threshold ** k * (1 - threshold) ** (COORDS - k) for k in m])
+
+    def shared(picks: int) -> np.ndarray:
+        """[k, j]: j of the picked coordinates are equal if k of the level's are."""
+        return np.array([[comb(int(k), j) * comb(COORDS - int(k), picks - j) / comb(COORDS, picks)
+                          for j in range(picks + 1)] for k in m])
+
+    def level(axis: int) -> np.ndarray:
+        return m.reshape([-1 if i == axis else 1 for i in range(DEPTH)])
+
+    weight = reduce(np.multiply, [chance[level(i)] for i in range(DEPTH)])
+    lost = np.ones((COORDS + 1,) * DEPTH)
+    for run in range(runs):
+        found = np.ones((1,) * DEPTH)
+        for depth in reversed(range(DEPTH)):
+            p = shared(ROOT if depth == 0 else PICK)[level((depth + run) % DEPTH)]
+            found = 1 - sum(p[..., j] * (1 - found) ** j for j in range(p.shape[-1]))
+        lost = lost * (1 - found)
+    return float((weight * lost).sum())
+
+
+def runs_for(threshold: float, recall: float) -> int:
+    """The least number of runs that finds a pair at the threshold with the probability ``recall``."""
+    for runs in range(1, MOST_RUNS + 1):
+        if missed(threshold, runs) <= 1 - recall:
+            return runs
+    raise ValueError(f"{MOST_RUNS} runs find a pair at similarity {threshold} with probability "
+                     f"{1 - missed(threshold, MOST_RUNS):.6f}, not {recall}: ask for less recall or a higher threshold")
+
+
+def least_match(threshold: float) -> int:
+    """The equal tokens out of ``FILTER`` that a pair at the threshold has, but for a probability of 1e-8."""
+    below = 0.0
+    for k in range(FILTER + 1):
+        below += comb(FILTER, k) * threshold ** k * (1 - threshold) ** (FILTER - k)
+        if below > 1e-8:
+            return k
+    return FILTER
+
+
 # -- sets --------------------------------------------------------------------------------------
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -70,14 +126,16 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """The embedded set: one token (minimum hash) per coordinate."""
-    low = np.full(_T, np.iinfo(np.uint32).max, dtype=np.uint32)
+    """The embedded set: one token (minimum hash) per coordinate; a 64-bit hash gives two of them."""
+    low = np.full((2, _T // 2), np.iinfo(np.uint32).max, dtype=np.uint32)
     for at in range(0, len(s), 1 << 15):
         part = (s[at:at + (1 << 15)] ^ _XOR[:, None]) * _MUL[:, None]
         part ^= part >> U64(32)  # a second round: one multiplication alone favours some shingles everywhere
         part *= _AGAIN
-        low = np.minimum(low, (part.min(axis=1) >> U64(32)).astype(np.uint32))
-    return low.tobytes()
+        low[0] = np.minimum(low[0], (part.min(axis=1) >> U64(32)).astype(np.uint32))
+        part <<= U64(32)
+        low[1] = np.minimum(low[1], (part.min(axis=1) >> U64(32)).astype(np.uint32))
+    return low.T.tobytes()
 
 
 def _similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -87,69 +145,61 @@ def _similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float)
 
 # -- tree --------------------------------------------------------------------------------------
 
-def children(path: int, run: int, used: int, tokens: np.ndarray) -> list[tuple[int, int]]:
-    """(path, used coordinates) of the children of a node that a set belongs to."""
-    free = [c for c in range(COORDS) if not used >> c & 1]
-    with np.errstate(over="ignore"):
-        order = mix(np.array(free, dtype=U64) + U64(path & (1 << 64) - 1) * U64(3))
-        picked = [free[i] for i in np.argsort(order)[:PICK]]
-        at = np.array([run * COORDS + c for c in picked])
-        named = mix(mix(tokens[at].astype(U64) + (at.astype(U64) << U64(40))) ^ U64(path & (1 << 64) - 1))
-    return [(int(x), used | 1 << c) for x, c in zip(signed(named), picked)]
+def _tokens(depth: int) -> tuple[Column, Callable[[Column], Column]]:
+    """First coordinate of a node's level, and the name of the child by a coordinate."""
+    first = F.pmod(F.col("run") + depth, F.lit(DEPTH)) * COORDS
+    return first, lambda at: F.xxhash64("path", at, F.call_function("substring", F.col("sketch"), at * 4 + 1, F.lit(4)))
 
 
-_STATE = "path long, parent long, parent_n long, run int, used int, k1 long, k2 long"
-
+def _children(depth: int) -> Column:
+    """The children of a node that a set belongs to. Roots take coordinates of their own, other nodes
+    those that their path names."""
+    first, child = _tokens(depth)
+    if depth == 0:
+        start, step, picks = F.floor(F.col("run") / DEPTH).cast("int") * 4, F.lit(1), ROOT
+    else:
+        named = F.xxhash64("path")
+        start = named.bitwiseAND(COORDS - 1).cast("int")
+        step, picks = F.shiftright(named, 8).bitwiseAND(COORDS // 2 - 1).cast("int") * 2 + 1, PICK
+    return F.array(*[child(first + (start + step * i) % COORDS) for i in range(picks)])
 
-def _split(nodes: DataFrame) -> DataFrame:
-    """Children of (path, n, run, used, k1, k2, sketch) rows."""
-    def run(paths, ns, runs, useds, k1, k2, sketches):
-        out = [[] for _ in range(7)]
-        for p, n, r, u, x, y, s in zip(paths, ns, runs, useds, k1, k2, sketches):
-            for child, used in children(p, r, u, np.frombuffer(s, dtype=np.uint32)):
-                for o, c in zip(out, (child, p, n, r, used, x, y)):
-                    o.append(c)
-        return out
 
-    return map_batches(nodes, run, _STATE, rows=2048)
+def _alike(nodes: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
+    """The nodes (path) that are not to be split: the mean similarity of about ``JUDGED`` of their sets, as the
+    share of pairs with equal tokens over all coordinates of the level, is ``ALIKE`` or more."""
+    first, child = _tokens(depth)
+    drawn = nodes.where(F.pmod(F.xxhash64("k1", "k2", "path"), F.col("n")) < JUDGED).join(sets, ["k1", "k2"])
+    tokens = drawn.select("path", F.posexplode(F.array(*[child(first + i) for i in range(COORDS)])).alias("at", "token"))
+    equal = tokens.groupBy("path", "at", "token").agg(F.count(F.lit(1)).alias("c"))
+    one = equal.groupBy("path", "at").agg(F.sum("c").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
+    return (one.groupBy("path").agg((F.sum("same") / F.sum(F.col("m") * (F.col("m") - 1))).alias("s"))
+            .where(F.col("s") >= ALIKE).select("path"))
 
 
-def _leaves(classes: DataFrame) -> DataFrame:
+def _leaves(classes: DataFrame, runs: int) -> DataFrame:
     """Rows (path, n, k1, k2): the buckets to be compared by brute force."""
     sets = classes.where("size > 0").select("k1", "k2", "sketch")
-    roots = sets.select(F.explode(F.array(*[F.struct(F.lit(r + 1).cast("long").alias("path"), F.lit(r).alias("run"))
-                                            for r in range(RUNS)])).alias("t"), "k1", "k2", "sketch")
-    nodes = roots.select("t.path", F.lit(0).cast("long").alias("n"), "t.run", F.lit(0).alias("used"),
-                         "k1", "k2", "sketch")
-    leaves, before = [], None
-    for depth in range(1, DEPTH + 1):
-        kids = _split(nodes)
-        if depth > 1:
+    roots = F.explode(F.array(*[F.struct(F.lit(r + 1).cast("long").alias("path"), F.lit(r).alias("run"))
+                                for r in range(runs)])).alias("t")
+    nodes = sets.select(roots, "k1", "k2", "sketch").select("t.path", "t.run", "k1", "k2", "sketch")
+    leaves = []
+    for depth in range(DEPTH):
+        kids = nodes.select(F.explode(_children(depth)).alias("path"), "run", "k1", "k2")
+        if depth:
             kids = materialize(kids, "kids")
-        count = kids.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"),
-                                         F.first("parent_n").alias("parent_n"))
-        several = count.where("n > 1").select(F.col("path").alias("p0"), "n")
-        if before is not None:
-            # a node is kept whole if its children stay nearly as large: the mean similarity in it
-            alike = (materialize(count.groupBy("parent").agg(
-                (F.sum(F.col("n") * F.col("n")) / (PICK * F.first("parent_n") * F.first("parent_n"))).alias("s"))
-                .where(F.col("s") >= ALIKE).select("parent"), "alike"))
-            leaves.append(before.join(alike, F.col("path") == F.col("parent"), "left_semi")
-                          .select("path", "n", "k1", "k2"))
-            kids = kids.join(alike, "parent", "left_anti")
-        now = materialize(kids.join(several, F.col("path") == F.col("p0"))
-                          .select("path", "n", "run", "used", "k1", "k2"), "nodes")
+        several = kids.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        now = materialize(kids.join(several, "path").select("path", "n", "run", "k1", "k2"), "nodes")
         leaves.append(now.where(F.col("n") <= SMALL).select("path", "n", "k1", "k2"))
-        before = now.where(F.col("n") > SMALL)
-        if before.isEmpty():
+        large = now.where(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        if depth == DEPTH - 1:
+            leaves.append(large.select("path", "n", "k1", "k2"))
             break
-        if depth == DEPTH:
-            leaves.append(before.select("path", "n", "k1", "k2"))
-        nodes = before.join(sets, ["k1", "k2"]).select("path", "n", "run", "used", "k1", "k2", "sketch")
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionByName(x)
-    return materialize(out, "leaves")
+        alike = materialize(_alike(large, sets, depth + 1), "alike")
+        leaves.append(large.join(alike, "path", "left_semi").select("path", "n", "k1", "k2"))
+        nodes = large.join(alike, "path", "left_anti").join(sets, ["k1", "k2"]).select("path", "run", "k1", "k2", "sketch")
+    return materialize(reduce(DataFrame.unionByName, leaves), "leaves")
 
 
 # -- buckets -----------------------------------------------------------------------------------
@@ -162,7 +212,7 @@ def _pairs(path: int, sizes: np.ndarray, sketches: np.ndarray, leaves: list[list
     equal = np.zeros((n, n), dtype=np.uint8)
     for c in range(sketches.shape[1]):
         equal += sketches[:, c][:, None] == sketches[:, c]
-    ok = np.triu(equal >= MATCH, 1)
+    ok = np.triu(equal >= least_match(threshold), 1)
     ok &= np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes) - 1e-9
     if side is not None:
         ok &= side[:, None] != side
@@ -208,7 +258,7 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
             t = pa.Table.from_batches(parts)
             if t.num_rows > 1:
                 blk = t.column("blk").to_numpy()
-                sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, _T)
+                sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, FILTER)
                 i, j = _pairs(path, t.column("size").to_numpy(), sk, t.column("leaves").to_pylist(),
                               blk if bi != bj else None, threshold)
                 need = np.union1d(i, j)
@@ -239,7 +289,7 @@ def _links(rows: DataFrame, threshold: float) -> DataFrame:
             t = pa.Table.from_batches(parts)
             sets = [np.frombuffer(s, dtype=U64) for s in t.column("set").to_pylist()]
             sizes = np.array([len(s) for s in sets])
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, _T)
+            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, FILTER)
             i, j = _pairs(path, sizes, sk, t.column("leaves").to_pylist(),
                           t.column("blk").to_numpy() if bi != bj else None, threshold)
             ok = _verify(i, j, sets, threshold) if len(i) else np.zeros(0, dtype=bool)
@@ -274,10 +324,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(text_col).alias("text"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+         recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, component_id (least id reachable by links), n_links (other rows
     linked directly), n_copies (rows with the same text), kept (this row stays for its group), and the
     row's keys (k1, k2, r1)."""
+    runs = runs_for(threshold, recall)
     rows = _keyed(docs, id_col, text_col)
 
     def describe(k1, k2, r1, ids, texts):
@@ -291,9 +343,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     classes = materialize(made.groupBy("k1", "k2").agg(
         F.count(F.lit(1)).alias("m"), F.min(first).alias("rep"), F.first("size").alias("size"),
         F.first("sketch").alias("sketch")), "classes")
-    leaves = _leaves(classes)
-    listed = leaves.groupBy("k1", "k2").agg(F.collect_list("path").alias("leaves"))  # RUNS * PICK^DEPTH at most
-    info = materialize(classes.join(listed, ["k1", "k2"]).select("k1", "k2", "m", "size", "sketch", "leaves"), "info")
+    leaves = _leaves(classes, runs)
+    listed = leaves.groupBy("k1", "k2").agg(F.collect_list("path").alias("leaves"))  # runs * ROOT * PICK^(DEPTH - 1) at most
+    info = materialize(classes.join(listed, ["k1", "k2"]).select(
+        "k1", "k2", "m", "size", F.call_function("substring", F.col("sketch"), F.lit(1), F.lit(4 * FILTER)).alias("sketch"),
+        "leaves"), "info")
     dealt = deal_blocks(leaves, BLOCK)
     order = [*GROUP, "k1", "k2"]
     groups = (dealt.join(info, ["k1", "k2"]).select(*GROUP, "blk", "k1", "k2", "size", "sketch", "leaves")
@@ -330,11 +384,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    threshold: float = THRESHOLD) -> DataFrame:
+                    threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``docs``, with all columns, without the rows that do not stay for their group. Rows equal in id
     and text can't be told apart: one of them stays. Texts are joined only where a Bloom filter of
     fixed size names them as touched."""
-    verdict = join(docs, id_col, text_col, threshold).groupBy("k1", "r1").agg(
+    verdict = join(docs, id_col, text_col, threshold, recall).groupBy("k1", "r1").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     touched = materialize(verdict.where(~F.col("kept") | (F.col("rows") > 1)), "touched")
     names = [f"c{i}" for i in range(len(docs.columns))]

@@ -206,6 +206,44 @@ def test_jaccard_blocks_and_deep_trees(spark, monkeypatch):
     assert got == {i: (root[i], len(near[i])) for i in range(len(rows))}
 
 
+def test_jaccard_runs_follow_threshold_and_recall():
+    """The formula of the recall equals drawn pairs; what can't be reached is an error."""
+    assert op3_jaccard_join.runs_for(0.8, 1 - 1e-6) == 5 and op3_jaccard_join.runs_for(0.9, 1 - 1e-6) == 3
+    assert op3_jaccard_join.runs_for(0.5, 0.9) < op3_jaccard_join.runs_for(0.5, 0.99)
+    with pytest.raises(ValueError, match="0.3"):
+        op3_jaccard_join.runs_for(0.3, 1 - 1e-6)
+    rnd, lost = random.Random(5), 0
+    for _ in range(4000):
+        equal = [[rnd.random() < 0.5 for _ in range(op3_jaccard_join.COORDS)] for _ in range(op3_jaccard_join.DEPTH)]
+
+        def found(depth):
+            if depth == op3_jaccard_join.DEPTH:
+                return True
+            picks = rnd.sample(equal[depth], op3_jaccard_join.PICK if depth else op3_jaccard_join.ROOT)
+            return any([found(depth + 1) for same in picks if same])
+
+        lost += not found(0)
+    assert abs(lost / 4000 - op3_jaccard_join.missed(0.5, 1)) < 0.03
+
+
+def test_jaccard_at_a_lower_threshold(spark, monkeypatch):
+    """Documents of every similarity around 0.5: at least the asked recall, and no link below the threshold."""
+    monkeypatch.setattr(op3_jaccard_join, "SMALL", 4)
+    rnd, rows = random.Random(3), []
+    for g in range(6):
+        base = [f"g{g}t{i}" for i in range(60)]
+        for k in range(30):
+            w = list(base)
+            for at in rnd.sample(range(60), rnd.randrange(5)):
+                w[at] = f"e{rnd.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {r["doc_id"]: r["n_links"] for r in op3_jaccard_join.join(
+        spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5, recall=0.999).collect()}
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    near = [sum(len(a & b) >= 0.5 * len(a | b) for b in sets) - 1 for a in sets]
+    assert all(got[i] <= n for i, n in enumerate(near)) and sum(got.values()) >= 0.99 * sum(near) > 1000
+
+
 # -- op4 -----------------------------------------------------------------------------------------
 
 def check_bins(rows, sizes):
