@@ -25,6 +25,7 @@ Plan:
 * a pair of a bucket is looked at only where it is the least bucket that both share, so it counts
   once without moving pairs; sizes and the first ``FILTER`` tokens (as many equal as a pair at the threshold
   has but for 1e-8; 11 at 0.8) leave few to verify;
+* of buckets with the same members one stays, so near copies are not sent to each bucket that they share;
 * shingle sets travel to the buckets that have a pair to verify; a bucket gives one number of links
   per class and a spanning forest, never its pairs. A bucket of n classes beyond ``BLOCK`` is dealt
   as pairs of blocks to as many tasks.
@@ -199,7 +200,15 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
         alike = materialize(_alike(large, sets, depth + 1), "alike")
         leaves.append(large.join(alike, "path", "left_semi").select("path", "n", "k1", "k2"))
         nodes = large.join(alike, "path", "left_anti").join(sets, ["k1", "k2"]).select("path", "run", "k1", "k2", "sketch")
-    return materialize(reduce(DataFrame.unionByName, leaves), "leaves")
+    return _distinct(materialize(reduce(DataFrame.unionByName, leaves), "leaves"))
+
+
+def _distinct(leaves: DataFrame) -> DataFrame:
+    """The least of the buckets with the same members: near copies share most of theirs. Buckets are the same if
+    their counts and both exclusive-or sums of the members' hashes (128 bits) are."""
+    buckets = leaves.groupBy("path").agg(F.first("n").alias("n"), F.bit_xor("k1").alias("x1"), F.bit_xor("k2").alias("x2"))
+    kept = buckets.groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path")
+    return materialize(leaves.join(kept, "path", "left_semi"), "buckets")
 
 
 # -- buckets -----------------------------------------------------------------------------------
@@ -324,6 +333,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(text_col).alias("text"))
 
 
+def _earlier() -> Column:
+    """A member's buckets before this one: those that tell whether a pair has been looked at."""
+    return F.filter("leaves", lambda p: p < F.col("path")).alias("leaves")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
          recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, component_id (least id reachable by links), n_links (other rows
@@ -350,7 +364,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         "leaves"), "info")
     dealt = deal_blocks(leaves, BLOCK)
     order = [*GROUP, "k1", "k2"]
-    groups = (dealt.join(info, ["k1", "k2"]).select(*GROUP, "blk", "k1", "k2", "size", "sketch", "leaves")
+    groups = (dealt.join(info, ["k1", "k2"]).select(*GROUP, "blk", "k1", "k2", "size", "sketch", _earlier())
               .repartition(*GROUP).sortWithinPartitions(*order))
     need = materialize(_candidates(groups, threshold), "need")
     # the sets of those that have a pair to verify, from one row of each class
@@ -364,7 +378,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     sets = map_batches(text, build, "k1 long, k2 long, set binary").dropDuplicates(["k1", "k2"])
     whole = materialize(sets.join(info, ["k1", "k2"]), "sets")
     checked = (need.join(whole, ["k1", "k2"])
-               .select(*GROUP, "blk", "k1", "k2", "m", "sketch", "leaves", "set")
+               .select(*GROUP, "blk", "k1", "k2", "m", "sketch", _earlier(), "set")
                .repartition(*GROUP).sortWithinPartitions(*order))
     found = materialize(_links(checked, threshold), "links")
     links = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
