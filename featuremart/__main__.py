@@ -1,6 +1,7 @@
 """Command-line runner.
 
   python -m featuremart run-day --date 20240115 [--to 20240131] --out /shared/mart (--testdata DIR | --catalog names.json)
+  python -m featuremart bucket-members --table mart.members --buckets 512 (--testdata DIR | --catalog names.json)
   python -m featuremart sales-volume --start 20160101 --end 20171231 --min-days 600 --rank-limit 10000 \\
       --out /shared/mart/sales_volume_stats (--testdata DIR | --catalog names.json)
 
@@ -32,15 +33,16 @@ def _tables(spark: SparkSession, args):
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="featuremart")
     sub = p.add_subparsers(dest="cmd", required=True)
-    for name in ("run-day", "sales-volume"):
+    for name in ("run-day", "sales-volume", "bucket-members"):
         sp = sub.add_parser(name)
         src = sp.add_mutually_exclusive_group(required=True)
         src.add_argument("--testdata", help="test-data folder (sf*/) to bind the sources to")
         src.add_argument("--catalog", help="JSON file: source role -> catalog table")
         src.add_argument("--paths", help="JSON file: source role -> parquet folder (partitioned by statis_date)")
-        out = sp.add_mutually_exclusive_group(required=True)
-        out.add_argument("--out", help="output root (run-day) or table folder (sales-volume)")
-        out.add_argument("--database", help="catalog database of the target tables")
+        if name != "bucket-members":
+            out = sp.add_mutually_exclusive_group(required=True)
+            out.add_argument("--out", help="output root (run-day) or table folder (sales-volume)")
+            out.add_argument("--database", help="catalog database of the target tables")
         sp.add_argument("--master", default=None, help="only for local runs, e.g. local[8]")
     sub.choices["run-day"].add_argument("--date", required=True, help="yyyyMMdd (first day with --to)")
     sub.choices["run-day"].add_argument("--to", default=None, help="last day of a backfill range, yyyyMMdd")
@@ -52,6 +54,11 @@ def main(argv: list[str] | None = None) -> int:
                                         help="keep the visitors' days as a state table and scan one day of visits")
     sub.choices["run-day"].add_argument("--publish", action="store_true",
                                         help="run into a staging folder and replace the targets only if all checks pass")
+    sub.choices["run-day"].add_argument("--bucketed-members", default=None, metavar="TABLE",
+                                        help="catalog table that bucket-members wrote: it is joined without a shuffle")
+    bm = sub.choices["bucket-members"]
+    bm.add_argument("--table", required=True, help="catalog table to create or replace")
+    bm.add_argument("--buckets", type=int, required=True, help="number of buckets of member_id")
     sv = sub.choices["sales-volume"]
     sv.add_argument("--store", default=None, help="folder of the paid-quantity store; --update first replaces its days")
     sv.add_argument("--update", default=None, nargs=2, metavar=("LO", "HI"), help="days of the store to replace")
@@ -68,7 +75,13 @@ def main(argv: list[str] | None = None) -> int:
     else:
         spark = SparkSession.builder.getOrCreate()
     t = _tables(spark, args)
-    if args.cmd == "run-day":
+    if args.cmd == "bucket-members":
+        from featuremart import sink
+        sink.write_bucketed(t.member, args.table, "member_id", args.buckets)
+        print(json.dumps({"member": args.table}))
+    elif args.cmd == "run-day":
+        if args.bucketed_members:
+            t = t.with_bucketed(member=args.bucketed_members)
         from featuremart.plans.daily import publish_day, run_day
         run = publish_day if args.publish else run_day
         done = run(spark, t, (args.date, args.to) if args.to else args.date, args.out, approx_distinct=args.approx_distinct,

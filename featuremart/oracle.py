@@ -378,6 +378,7 @@ def _daily_queries(day: str) -> dict[str, str]:
         "search_visits": _with(c["SEARCH_VISITS"]) + "SELECT * FROM search_visits",
         "gds_search": _with(c["SEARCH_VISITS"], c["GDS_SEARCH"]) + "SELECT * FROM gds_search",
         "gds_member": _with(c["GDS_MEMBER"]) + "SELECT * FROM gds_member",
+        "gds_member_bucketed": _with(c["GDS_MEMBER"]) + "SELECT * FROM gds_member",
         "feature_gather": _with(*sales_ctes, *visit_ctes, c["WEB_FLAGS"], c["APP_FLAGS"], c["CLCT_CART"],
                                 c["SEARCH_VISITS"], c["GDS_SEARCH"], c["GDS_MEMBER"]) +
         f"SELECT {_gather_select()} FROM (SELECT * FROM sal_fs WHERE chnl_cd = '50') a "

@@ -98,6 +98,14 @@ def returning_visitors_state_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visits.returning_of_state(t, visits.visit_days(t, DAY, held))
 
 
+def gds_member_bucketed_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member job over a member table in buckets of member_id."""
+    path, t = new_folder(spark, "members"), _tables(spark, sf_dir)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    sink.write_bucketed(t.member, table, "member_id", 64, path=path)
+    return members.gds_member(t.with_bucketed(member=table), DAY)
+
+
 def _volume_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store after a backfill of all days and a repeated run of one of them."""
     order, path = testdata.fx_order(spark, sf_dir), new_folder(spark, schemas.PAID_QUANTITY_T.name)
@@ -319,6 +327,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gds_search": _job(search.gds_search),
         # members (N5) and the wide table
         "gds_member": _job(members.gds_member),
+        "gds_member_bucketed": gds_member_bucketed_q,
         "feature_gather": _job(gather.feature_gather_for_day),
         # the same jobs over a day range in one pass (backfill)
         "sal_fs_range": _range_job(sales.sales_features),

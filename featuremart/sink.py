@@ -6,6 +6,7 @@
   survive, and a day whose new result is empty is emptied (K2). A REBALANCE hint lets AQE size the
   output files.
 * ``write_table``: plain create-or-replace of an unpartitioned result (K3).
+* ``write_bucketed``: a dimension in buckets of its join key (S5, J8).
 """
 
 from __future__ import annotations
@@ -143,6 +144,14 @@ def check_day(df: DataFrame, target: Target, least_rows: int = 0) -> int:
     return n
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Create or replace a catalog table in sorted buckets of ``key``, one file a bucket, so that joins on the key
+    don't shuffle it. Rows without a key, which no join finds, are left out. ``path``: folder of an external table."""
+    out = (df.where(F.col(key).isNotNull()).repartition(buckets, key).write.mode("overwrite").format("parquet")
+           .bucketBy(buckets, key).sortBy(key))
+    (out if path is None else out.option("path", path)).saveAsTable(table)
+
+
 def write_table(df: DataFrame, target: Target, path: str | None = None, table: str | None = None) -> None:
     """Create or replace an unpartitioned result (K3): a parquet folder or a catalog table."""
     out = conform(df, target).hint("rebalance").write.mode("overwrite")

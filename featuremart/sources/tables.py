@@ -35,7 +35,8 @@ class SourceTables:
     """Lazily resolved source tables; ``SourceTables(order=df, ...)`` or with loaders."""
 
     def __init__(self, loaders: dict[str, Callable[[], DataFrame]] | None = None,
-                 goods_broadcast_rows: int = 2_000_000, restricted: Iterable[str] = (), **frames: DataFrame):
+                 goods_broadcast_rows: int = 2_000_000, restricted: Iterable[str] = (), bucketed: Iterable[str] = (),
+                 **frames: DataFrame):
         unknown = set(frames) | set(loaders or {})
         unknown -= set(TABLES)
         if unknown:
@@ -46,6 +47,8 @@ class SourceTables:
         self.goods_broadcast_rows = goods_broadcast_rows
         # Tables that hold rows of selected products only.
         self.restricted = frozenset(restricted)
+        # Tables stored in buckets of their join key (``sink.write_bucketed``).
+        self.bucketed = frozenset(bucketed)
         self._goods_side: DataFrame | None = None
         self._goods_bits: tuple[DataFrame, int] | None = None
 
@@ -61,7 +64,15 @@ class SourceTables:
     def replace(self, restricted: Iterable[str] = (), **frames: DataFrame) -> "SourceTables":
         loaders = {k: (lambda k=k: getattr(self, k)) for k in TABLES if k not in frames}
         kept = [name for name in self.restricted if name not in frames and "goods" not in frames]
-        return SourceTables(loaders, self.goods_broadcast_rows, [*kept, *restricted], **frames)
+        stored = [name for name in self.bucketed if name not in frames]
+        return SourceTables(loaders, self.goods_broadcast_rows, [*kept, *restricted], stored, **frames)
+
+    def with_bucketed(self, **names: str) -> "SourceTables":
+        """The same sources, with roles read from catalog tables that are stored in buckets of their join key."""
+        spark = SparkSession.active()
+        out = self.replace(**{role: spark.table(name) for role, name in names.items()})
+        out.bucketed |= set(names)
+        return out
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, names: dict[str, str], **kw) -> "SourceTables":

@@ -17,5 +17,12 @@ def test_run_day_range_and_sales_volume(spark, capsys):
     assert sorted(r[0] for r in wide.select("statis_date").distinct().collect()) == ["20240114", "20240115"]
     assert main(["sales-volume", "--start", "20240101", "--end", "20240131", "--min-days", "10", "--rank-limit", "20",
                  "--out", f"{out}/volume", "--testdata", SF_SMALL]) == 0
+    assert main(["bucket-members", "--table", "cli_members", "--buckets", "4", "--testdata", SF_SMALL]) == 0
+    assert main(["run-day", "--date", "20240115", "--bucketed-members", "cli_members", "--out", f"{out}/again",
+                 "--testdata", SF_SMALL]) == 0
+    name = schemas.MEMBERS_T.name
+    day = [spark.read.schema(schemas.MEMBERS_T.schema).parquet(f"{out}/{x}/{name}").where("statis_date = '20240115'")
+           .drop("etl_time") for x in ("mart", "again")]
+    assert day[0].count() > 0 and day[0].exceptAll(day[1]).isEmpty() and day[1].exceptAll(day[0]).isEmpty()
     vol = spark.read.parquet(f"{out}/volume")
     assert vol.count() > 0 and vol.agg({"rank": "max"}).collect()[0][0] < 20

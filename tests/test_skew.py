@@ -3,10 +3,12 @@ join partition (forced here with tiny thresholds, as it would trigger at scale).
 
 import contextlib
 import io
+import re
 
 from pyspark.sql import functions as F
 
 from conftest import rows
+from featuremart import sink
 from featuremart.plans import members
 from featuremart.queries import DAY
 from featuremart.sources import SourceTables
@@ -75,6 +77,34 @@ def test_member_join_with_a_hot_member_is_split_and_unchanged(spark):
     assert {(r[0], r[1]): r[2] for r in plain} == expected
 
 
+def test_bucketed_members_are_not_shuffled(spark, monkeypatch):
+    """No exchange above the member scan, with or without hot members; the same rows as from the plain table."""
+    plain = _skewed_sources(spark)
+    sink.write_bucketed(plain.member.union(spark.createDataFrame([(None, "x", "y", "z")], plain.member.schema)),
+                        "members_in_buckets", "member_id", 4)
+    t = plain.with_bucketed(member="members_in_buckets")
+    assert t.replace(order=plain.order).bucketed == {"member"} and not t.replace(member=plain.member).bucketed
+    no_broadcast = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+    def run():
+        df = members.gds_member(t, DAY)
+        out, buf = rows(df), io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain("formatted")
+        return out, buf.getvalue()
+
+    expected = rows(members.gds_member(plain, DAY))
+    for most in (members.HOT_BUYS, 20):  # none, and the hot one alone
+        monkeypatch.setattr(members, "HOT_BUYS", most)
+        got, text = _with_conf(spark, no_broadcast, run)
+        assert got == expected
+        final = text.split("== Initial Plan ==")[0]
+        assert "Bucketed: true" in text
+        # buyers into the buckets, and the final aggregation
+        assert len(re.findall(r"\bExchange \(", final)) == 2, final
+        assert ("BroadcastHashJoin Inner" in final) == (most == 20), final
+
+
 def test_median_of_a_hot_group_is_spread_over_salts(spark):
     from featuremart.functions import median_by
     df = spark.range(20000).select(F.when(F.col("id") % 5 != 0, "HOT").otherwise((F.col("id") % 50).cast("string")).alias("g"),
