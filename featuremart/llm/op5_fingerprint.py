@@ -2,9 +2,15 @@
 
 A fingerprint is the lane-wise sum, modulo powers of two, of wide vectors hashed from paragraphs
 (lines): ``EXACT`` lanes of 64 bits of dense pseudo-random numbers, which decide equality, and
-``SKETCH`` lanes of 16 bits, a signed count sketch of the paragraph's word pairs, which estimate
-likeness. Sums commute, so paragraphs may come in any order, and a paragraph is inserted or deleted
-by adding or subtracting its vector alone (``insert``, ``delete``).
+``SKETCH`` lanes of 32 bits, a signed count sketch of the paragraph's features, which estimate
+likeness (a text has fewer than 2^31 bytes, so no lane of a text wraps). Sums commute, so paragraphs may
+come in any order, and a paragraph is inserted or deleted by adding or subtracting its vector alone
+(``insert``, ``delete``).
+
+Features: a word (a run without white space or control bytes) is its windows of ``WINDOW`` bytes, a
+shorter word is one window; a word's first window counts together with the window before it in its
+paragraph, every further one alone. So words of usual length count as word pairs, and text without
+spaces as overlapping strings.
 
 Likeness of two fingerprints is 1 if they are equal, else the cosine of the sketch lanes read as
 signed numbers, within [0, 1].
@@ -14,7 +20,8 @@ bounded quantile sketch; each block also gets the one row that follows it. A str
 sorted blocks holds two texts at a time.
 
 Defined cases: null texts are empty; an empty text has the sum of no paragraphs (zero) and is like
-another empty one by 1 and any other by 0; empty lines are paragraphs too; null ids sort last
+another empty one by 1 and any other by 0, as are different texts of white space alone; empty lines are
+paragraphs too; ids may be of any type that sorts (text ids in code-point order); null ids sort last
 (descending), ties by text; repeated rows are neighbours of each other; one row is its own next
 document. Extra columns are ignored.
 """
@@ -31,7 +38,8 @@ from pyspark.sql import functions as F
 from featuremart.llm.common import U64, mix, prefix_hash, read_table, ship, span_hash
 
 EXACT = 8       # lanes modulo 2^64
-SKETCH = 256    # lanes modulo 2^16
+SKETCH = 256    # lanes modulo 2^32
+WINDOW = 16     # bytes of a feature's string
 BLOCKS = 16384  # most blocks of neighbouring ids; their bounds are a literal of the plan
 BLOCK_ROWS = 1000
 _LANES = mix(np.arange(1, EXACT + 1, dtype=U64))
@@ -62,10 +70,10 @@ class Fingerprint:
         return self.add(paragraph, -1)
 
     def hex(self) -> str:
-        return (self.exact.astype("<u8").tobytes() + self.sketch.astype("<u2").tobytes()).hex()
+        return (self.exact.astype("<u8").tobytes() + self.sketch.astype("<u4").tobytes()).hex()
 
     def likeness(self, other: "Fingerprint") -> float:
-        a, b = self.sketch.astype(np.int16).astype(np.float64), other.sketch.astype(np.int16).astype(np.float64)
+        a, b = self.sketch.astype(np.int32).astype(np.float64), other.sketch.astype(np.int32).astype(np.float64)
         if np.array_equal(self.exact, other.exact) and np.array_equal(a, b):
             return 1.0
         n = float(np.sqrt((a @ a) * (b @ b)))
@@ -87,10 +95,14 @@ def vectors(text: str) -> tuple[np.ndarray, np.ndarray]:
     ws, we = edge[0::2], edge[1::2]
     if not len(ws):
         return exact, np.zeros(SKETCH, dtype=np.int64)
-    w = span_hash(p, ws, we)
+    many = np.maximum(we - ws - WINDOW, 0) + 1  # windows of every word
+    first = np.cumsum(many) - many
+    start = np.repeat(ws - first, many) + np.arange(many.sum())
+    w = span_hash(p, start, np.minimum(start + WINDOW, np.repeat(we, many)))
+    before = np.zeros(len(w), dtype=U64)  # pairs do not cross paragraphs
     line = np.searchsorted(cut, ws)
-    before = np.concatenate((np.zeros(1, dtype=U64), w[:-1]))
-    before[1:][line[1:] != line[:-1]] = 0  # pairs do not cross paragraphs
+    follows = np.flatnonzero(line[1:] == line[:-1]) + 1
+    before[first[follows]] = w[first[follows] - 1]
     f = mix(before * U64(3) + w)
     lane, sign = (f >> U64(56)).astype(np.int64) % SKETCH, (f & U64(1)).astype(np.int64) * 2 - 1
     return exact, np.bincount(lane, weights=sign, minlength=SKETCH).astype(np.int64)
@@ -115,26 +127,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in descending id (after the last: the first)."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    lowest = -(1 << 63)
-    rows = docs.select(F.col(id_col).alias("doc_id"),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"),
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) if whole else F.col(id_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = rows.select("key")
     n = keys.count()
     if not n:
         return docs.sparkSession.createDataFrame([], SCHEMA.format(id=kind))
     blocks = max(1, min(BLOCKS, n // BLOCK_ROWS))
-    # any fixed bounds give right results, so a sketch of the quantiles will do
-    bounds = sorted({int(b) for b in keys.approxQuantile("key", [i / blocks for i in range(1, blocks)],
-                                                         0.25 / blocks)}) if blocks > 1 else []
+    # any fixed bounds give right results, so a sketch of the quantiles or a sample of keys will do
+    if blocks == 1:
+        bounds = []
+    elif whole:
+        bounds = sorted({int(b) for b in keys.approxQuantile("key", [i / blocks for i in range(1, blocks)],
+                                                             0.25 / blocks)})
+    else:
+        some = keys.where("key IS NOT NULL").distinct().orderBy(F.xxhash64("key"), "key").limit(blocks - 1)
+        bounds = [r["key"] for r in some.orderBy("key").collect()]
     rows = rows.withColumn("block", block_of(bounds, F.col("key")))
     # the row that follows a block is the first of the next lower block that has rows: its greatest key
     tops = {r["block"]: r["m"] for r in rows.groupBy("block").agg(F.max("key").alias("m")).collect()}
     order = sorted(tops)
     serves = [(order[(i + 1) % len(order)], tops[b]) for i, b in enumerate(order)]  # (block above, key)
-    after = docs.sparkSession.createDataFrame(serves, "to int, key long")  # a row a block
+    after = docs.sparkSession.createDataFrame(serves, f"to int, after {'long' if whole else kind}")  # a row a block
     # of several rows with that key the first in text order follows
-    extra = (rows.select("doc_id", "key", "text").join(F.broadcast(after), "key")
+    extra = (rows.select("doc_id", "key", "text").join(F.broadcast(after), F.col("key").eqNullSafe(F.col("after")))
              .groupBy("to", "key").agg(F.min(F.struct("text", "doc_id")).alias("s"))
              .select("s.doc_id", "key", "s.text", F.col("to").alias("block")))
     dealt = (rows.select("block", F.lit(0).alias("extra"), "key", "text", "doc_id")
