@@ -49,6 +49,7 @@ SPARSE, GRAM = 48, 8  # anchors: least hash of GRAM bytes among SPARSE places
 CROWDED = 512         # different strings of a bucket before it is cut again, or windows / 1024
 BLOCK = 1 << 21       # windows of a text handled at once
 BATCH = 1 << 20       # bytes of whole buckets sorted together
+COUNTED = 1 << 14     # windows of a batch of counted ones
 
 
 # -- step 1: runs ------------------------------------------------------------------------------
@@ -229,18 +230,23 @@ def _pieces(rows: DataFrame, one: DataFrame, length: int, gram: int | None = Non
 def _counted(strings: DataFrame, length: int) -> DataFrame:
     """Rows (v, seg, x, y) of repeated windows of rows (v, seg, off, n, bytes), by the number of places
     of every window. Equal windows are in one bucket, so all places of a window are among the rows."""
-    def run(vs, segs, offs, ns, raws):
-        out = [[] for _ in range(6)]
-        for v, seg, off, n, raw in zip(vs, segs, offs, ns, raws):
-            for i in range(len(raw) - length + 1):
-                h = hashlib.blake2b(raw[i:i + length], digest_size=16).digest()
-                for o, c in zip(out, (int.from_bytes(h[:8], "big", signed=True),
-                                      int.from_bytes(h[8:], "big", signed=True), v, seg, off + i, n)):
-                    o.append(c)
-        return out
-
-    windows = map_batches(strings.select("v", "seg", "off", "n", "bytes"), run,
-                          "h1 long, h2 long, v long, seg long, x int, n long", rows=32)
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                v, seg, off, n, raw = (c[k].as_py() for c in b.columns)
+                view, end = memoryview(raw), len(raw) - length + 1
+                for at in range(0, end, COUNTED):
+                    m = min(COUNTED, end - at)
+                    h = b"".join(hashlib.blake2b(view[i:i + length], digest_size=16).digest()
+                                 for i in range(at, at + m))
+                    h = np.frombuffer(h, dtype="<i8").reshape(m, 2)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (h[:, 0].copy(), h[:, 1].copy(), np.full(m, v), np.full(m, seg),
+                                               np.arange(off + at, off + at + m, dtype=np.int32), np.full(m, n))],
+                        names=["h1", "h2", "v", "seg", "x", "n"])
+
+    windows = strings.select("v", "seg", "off", "n", "bytes").mapInArrow(
+        run, "h1 long, h2 long, v long, seg long, x int, n long")
     many = (windows.groupBy("h1", "h2").agg(F.sum("n").alias("places")).where("places > 1")
             .select(F.col("h1").alias("m1"), F.col("h2").alias("m2")))
     many = materialize(many, "many")  # so that a window of very many places is a skewed join that AQE splits
