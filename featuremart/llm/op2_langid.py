@@ -14,7 +14,8 @@ covers every whole text and uses nothing but the text.
 Defined cases: null texts and texts without a letter are ``und`` with score 0; a text with letters
 and no known n-gram gets the language with most sampled rows and score 0; ties go to the language
 that sorts first; null languages are not learned; without any learned language every row is
-``und``. Any number of languages (one 64-bit word of mask per 64). Extra columns are ignored.
+``und``. Any number of languages (one 64-bit word of mask per 64). Texts of any length give the n-grams
+of the whole text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ PROBES = 3
 SIZES = (3, 4)      # bytes of an n-gram
 MIN_COUNT = 2
 SHARE = 0.3
-PART = 1 << 20
+PART = 1 << 20      # bytes of a text whose n-grams are held at once
 
 # Bytes that are no part of a word become spaces: all of ASCII but the letters.
 _WORD = np.full(256, 32, dtype=np.uint8)
@@ -46,22 +47,28 @@ def has_letter(text: str | None) -> bool:
 
 
 def grams(text: str | None):
-    """64-bit hashes of the n-grams of the lower-cased text, words separated by one space; long texts
-    come in several arrays."""
+    """64-bit hashes of the n-grams of the lower-cased text, words separated by one space. Long texts are
+    read ``PART`` bytes at a time; the last bytes of a part are carried over, so no n-gram is lost or made."""
     raw = (text or "").lower().encode("utf-8", "surrogatepass")
+    tail, after_space = np.full(1, 32, dtype=np.uint8), True
     for at in range(0, len(raw), PART):
         data = _WORD[np.frombuffer(raw[at:at + PART], dtype=np.uint8)]
         space = data == 32
         keep = ~space
         keep[1:] |= ~space[:-1]
-        data = np.concatenate(([np.uint8(32)], data[keep], [np.uint8(32)]))
+        keep[0] |= not after_space
+        after_space = bool(space[-1])
+        end = [np.full(1, 32, dtype=np.uint8)] if at + PART >= len(raw) else []
+        data = np.concatenate([tail, data[keep], *end])
         wide = data.astype(U64)
         for n in SIZES:
-            if len(data) > n:
-                acc = np.full(len(data) - n + 1, n, dtype=U64)
+            new = wide[max(0, len(tail) - n + 1):]  # the n-grams that end in this part
+            if len(new) >= n:
+                acc = np.full(len(new) - n + 1, n, dtype=U64)
                 for i in range(n):
-                    acc = (acc << U64(8)) | wide[i:len(data) - n + 1 + i]
+                    acc = (acc << U64(8)) | new[i:len(new) - n + 1 + i]
                 yield mix(acc)
+        tail = data[-(max(SIZES) - 1):]
 
 
 @dataclass

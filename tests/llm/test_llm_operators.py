@@ -153,6 +153,38 @@ def test_quality_held_out(spark):
     assert n > 50 and right / n >= 0.95
 
 
+def test_language_parts_give_the_grams_of_the_whole(monkeypatch):
+    texts = ["", "a", " ab ", "Été à  Paris, 中文 und   so weiter... " * 40, "x" * 500, " " * 90 + "word", "1234" * 50]
+    whole = [Counter(np.concatenate([*op2_langid.grams(t), np.zeros(0, dtype=np.uint64)]).tolist()) for t in texts]
+    plain = re.sub(r"[^a-z\x80-\xff]+", " ", texts[3].lower().encode().decode("latin-1"))
+    assert sum(whole[3].values()) == sum(len(f" {plain} ") - n + 1 for n in op2_langid.SIZES)
+    for part in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(op2_langid, "PART", part)
+        for t, want in zip(texts, whole):
+            got = Counter(np.concatenate([*op2_langid.grams(t), np.zeros(0, dtype=np.uint64)]).tolist())
+            assert got == want
+
+
+def test_quality_parts_give_the_features_of_the_whole(monkeypatch):
+    texts = ["One two, THREE ... été 中文 x" * 30, "z" * 700 + " end", " " * 300 + "a b", "...!?" * 99, "abc"]
+    whole = [op6_quality.features(t) for t in texts]
+    for part in (1, 5, 64, 1000):
+        monkeypatch.setattr(op6_quality, "PART", part)
+        for t, want in zip(texts, whole):
+            assert all(np.array_equal(a, b) for a, b in zip(op6_quality.features(t), want))
+
+
+def test_quality_text_ids_and_repeated_ids(spark):
+    rows = [(f"id-{i % 40}", ("good plain words " if i % 2 else "bad!!! $$$ ... ") * 5 + f"x{i % 40}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"id-{i}", i % 2) for i in range(40)] * 3, "doc_id string, quality int")
+    model = op6_quality.train(docs, labels, op6_quality.train_fold)
+    once = op6_quality.train(docs.distinct(), labels.distinct(), op6_quality.train_fold)
+    assert model.bias == once.bias and np.array_equal(model.weights, once.weights)
+    got = op6_quality.score(docs, model).collect()
+    assert all((r["score"] > 0.5) == (int(r["doc_id"][3:]) % 2 == 1) for r in got)
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (10, 0), (6, 1), (6, 0), (7, None), (None, 1)], "doc_id long, quality int")
     model = op6_quality.train(odd, labels, op6_quality.train_fold)
@@ -309,6 +341,53 @@ def test_fingerprints_are_homomorphic(odd, none):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def test_fingerprint_likeness_of_long_and_space_free_texts():
+    fp = op5_fingerprint.fingerprint
+
+    def brute(a, b):
+        """Cosine of the feature counts themselves."""
+        def counts(text):
+            c = Counter()
+            for line in text.encode().split(b"\n"):
+                before = b""
+                for word in line.split():
+                    wins = [word[i:i + 16] for i in range(max(1, len(word) - 15))]
+                    for i, w in enumerate(wins):
+                        c[(before if i == 0 else b""), w] += 1
+                    before = wins[-1]
+            return c
+        x, y = counts(a), counts(b)
+        dot = sum(n * y[k] for k, n in x.items())
+        return dot / (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
+
+    rnd = random.Random(5)
+    free = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(3000))
+    spaced = " ".join(f"w{rnd.randrange(500)}" for _ in range(4000))
+    cases = [("ab " * 40_000, "ab " * 20_000 + "cd " * 20_000), ("ab " * 30_000, "ab " * 15_000 + "cd " * 15_000),
+             ("x" * 1000, "x" * 500 + "y" * 500), (free, free[:1500] + free[:100] * 15), (spaced, spaced[:9000]),
+             ("ab " * 200_000, "ab " * 199_999), (free, spaced)]
+    for a, b in cases:
+        assert abs(fp(a).likeness(fp(b)) - brute(a, b)) < 0.2
+    assert fp("x" * 1000).likeness(fp("x" * 500 + "y" * 500)) > 0.6
+    assert fp("ab " * 40_000).likeness(fp("ab " * 20_000 + "cd " * 20_000)) > 0.6
+    assert fp("  ").likeness(fp(" \t")) == 0.0 and fp("  ").likeness(fp("  ")) == 1.0
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(10,2)"])
+def test_fingerprints_of_other_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(op5_fingerprint, "BLOCK_ROWS", 7)
+    docs = (docs_of(spark, SF_SMALL).where("doc_id < 60").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+            .unionByName(spark.createDataFrame([(None, "b"), (None, "a"), (None, None)], f"doc_id {kind}, text string")))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: r[1])
+    rows = sorted([r for r in rows if r[0] is not None], key=lambda r: r[0], reverse=True) + [
+        r for r in rows if r[0] is None]
+    want = Counter()
+    for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        want[i, hashlib.sha256(op5_fingerprint.edited(t, following).encode()).hexdigest()] += 1
+    got = op5_fingerprint.fingerprints(docs).collect()
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 # -- op7 -----------------------------------------------------------------------------------------
 
 def test_bpe_as_the_library(spark, odd, none):
@@ -430,6 +509,20 @@ def test_suffix_dedup_crowded_edges(spark, monkeypatch):
         assert got[i]["kept_sha256"] == hashlib.sha256(left).hexdigest()
 
 
+def test_suffix_dedup_counted_windows_come_in_bounded_batches(spark, monkeypatch):
+    """A periodic text is one bucket of very many windows; its windows are counted, a batch at a time."""
+    monkeypatch.setattr(op9_suffix_dedup, "COUNTED", 1000)
+    monkeypatch.setattr(op9_suffix_dedup, "CROWDED", 1)
+    rnd = random.Random(3)
+    period = "".join(rnd.choice("abcdefgh ") for _ in range(37))
+    texts = [period * 700, "x" * 900 + period * 11 + "y" * 300, "".join(rnd.choice("pqrst ") for _ in range(2500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op9_suffix_dedup.report(docs).collect()}
+    for i, gone in enumerate(brute_removed([t.encode() for t in texts], 400)):
+        left = bytes(b for b, x in zip(texts[i].encode(), gone) if not x)
+        assert got[i]["n_removed"] == int(gone.sum()) and got[i]["kept_sha256"] == hashlib.sha256(left).hexdigest()
+
+
 def test_suffix_dedup_edits_documents(odd, none):
     got = op9_suffix_dedup.remove(odd, length=200).collect()
     assert len(got) == len(ODD) and list(got[0].asDict()) == odd.columns
