@@ -1,9 +1,9 @@
 """Exact distinct counts that merge: bitmaps over dense numbers of the ids.
 
-A dictionary gives every id a number; a group's ids are then bits, one row of 4 KB (before compression) per 32,768 numbers
-that the group touches. Bitmaps of days merge into bitmaps of any period by OR, and differences of sets are differences
-of counts, so a period's exact count needs the days' bitmaps and no raw rows. They pay for groups that hold many ids;
-groups with a few ids each are cheaper as (group, id) rows, which is what the daily jobs count.
+A dictionary gives every id a number; a group's ids are then bits, one row with a 64-bit word per 64 numbers that the
+group touches. Bitmaps of days merge into bitmaps of any period by OR, and differences of sets are differences of counts,
+so a period's exact count needs the days' bitmaps and no raw rows. A group of few ids has at most a row per id, so sparse
+groups never take more room than (group, id) rows, and a word is a number that hash aggregation updates in place.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from featuremart.functions.checks import require_columns
 from featuremart.shared import stage
 
 PARTS = 1024  # parts of the ids that are numbered side by side
+WORD = 6      # ids of a word, as a power of two
 
 
 def number_ids(ids: DataFrame, col: str, known: DataFrame | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def number_ids(ids: DataFrame, col: str, known: DataFrame | None = None) -> Data
 
 
 def bitmaps_of(df: DataFrame, group: Sequence[str], col: str, dictionary: DataFrame) -> DataFrame:
-    """(group, bucket, bits): the ids in ``col`` of each group. Pairs are made different before they are joined to the
+    """(group, bucket, bits): the ids in ``col`` of each group, bit i of bucket b for the number 64 b + i. Pairs are made different before they are joined to the
     dictionary, so a hot id or group moves once per task. A group without ids keeps a row without bits; an id that the
     dictionary lacks is an error."""
     require_columns(df, [*group, col], "bitmaps_of")
@@ -56,18 +57,18 @@ def bitmaps_of(df: DataFrame, group: Sequence[str], col: str, dictionary: DataFr
         F.concat(F.lit("bitmaps_of: not in the dictionary: "), F.col("__id").cast("string"))).cast("long")).otherwise(
         F.col("__number"))
     pairs = pairs.join(numbers, "__id", "left").select(*group, number.alias("__number"))
-    return pairs.groupBy(*group, F.bitmap_bucket_number("__number").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("__number")).alias("bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("__number") % (1 << WORD)).cast("int"))
+    return pairs.groupBy(*group, F.shiftright("__number", WORD).alias("bucket")).agg(F.bit_or(bit).alias("bits"))
 
 
 def merge(bitmaps: DataFrame, group: Sequence[str]) -> DataFrame:
     """Bitmaps of the coarser ``group``: the ids in any of the merged groups."""
-    return bitmaps.groupBy(*group, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return bitmaps.groupBy(*group, "bucket").agg(F.bit_or("bits").alias("bits"))
 
 
 def count_ids(bitmaps: DataFrame, group: Sequence[str], out: str = "ids") -> DataFrame:
     """Number of different ids per ``group``; 0 for a group without any."""
-    bits = F.when(F.col("bucket").isNotNull(), F.bitmap_count("bits")).otherwise(F.lit(0).cast("long"))
+    bits = F.when(F.col("bucket").isNotNull(), F.bit_count("bits").cast("long")).otherwise(F.lit(0).cast("long"))
     return merge(bitmaps, group).groupBy(*group).agg(F.sum(bits).alias(out))
 
 

@@ -62,3 +62,12 @@ def test_visitors_of_periods(spark):
         want = v.where(F.col("statis_date").between(lo, hi)).groupBy("gds_id", "city_cd").agg(
             F.count_distinct("visitor_id").alias("visitor_num"))
         assert rows(visits.period_visitors(days, lo, hi)) == rows(want)
+
+
+def test_bitmaps_of_sparse_groups_take_a_word_per_id(spark):
+    df = spark.range(3000).select((F.col("id") % 1000).alias("g"), F.col("id"))
+    made = bitmaps.bitmaps_of(df, ["g"], "id", spark.range(3000).select("id", (F.col("id") * 7 + 63).alias("number")))
+    assert made.count() <= 3000 and dict(made.dtypes)["bits"] == "bigint"  # not 4 KB per group and bucket
+    assert rows(bitmaps.count_ids(made, ["g"])) == rows(df.groupBy("g").agg(F.count_distinct("id").alias("ids")))
+    for plan in (made, bitmaps.count_ids(made, ["g"])):  # masks are updated in hash maps, nothing is sorted
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
