@@ -56,23 +56,26 @@ def gds_clct_cart(t: SourceTables, days, approx_distinct: bool = False, views: t
     """Distinct visitors with a favourite / cart click, web and app together.
 
     As in the reference, only the web page views are filtered by business type. Distinct counts are
-    two-level: one row per (product, city, visitor) with its flags, then conditional counts. ``views``: the shared
-    page views of ``channel_views``."""
+    two-level: one row per (product, city, visitor) with its flags, then conditional counts. Views without a flag only
+    make their product and city have a row, so they are counted without their visitor: one row per (product, city). The
+    flags, one row a page view, are the hash side of the joins, so the many views are not sorted. ``views``: the
+    shared page views of ``channel_views``."""
     d = Days.of(days)
     cols = d.keys("pv_id", "visitor_id", "city_cd", "gds_id")
     web, app = views or channel_views(t, d, "pv_id", "visitor_id", "city_cd", "gds_id", "busi_tp_id")
     web = web.where(F.col("busi_tp_id").isin(*VISIT_BUSINESS_TYPES)).select(*cols)
     app = app.select(*cols)
     out = [*d.keys(*KEYS), "visitor_id", "p_clct_flag", "cart_flag"]
-    web_rows = web.join(web_click_flags(t, d), d.keys("pv_id")).select(*out)
-    app_flags = app_click_flags(t, d).withColumnRenamed("pv_key", "pv_id")
+    web_rows = web.join(web_click_flags(t, d).hint("shuffle_hash"), d.keys("pv_id")).select(*out)
+    app_flags = app_click_flags(t, d).withColumnRenamed("pv_key", "pv_id").hint("shuffle_hash")
     app_rows = app.join(app_flags, d.keys("pv_id")).select(*out)
     rows = web_rows.unionByName(app_rows)
     if approx_distinct:  # HyperLogLog sketches per key instead of the per-visitor level
         return rows.groupBy(*d.keys(*KEYS)).agg(
             distinct_count(F.when(F.col("p_clct_flag") == 1, F.col("visitor_id")), True).alias("p_clct_uv_num"),
             distinct_count(F.when(F.col("cart_flag") == 1, F.col("visitor_id")), True).alias("cart_flag_uv_num"))
-    per_visitor = rows.groupBy(*d.keys(*KEYS, "visitor_id")).agg(
+    flagged = F.when((F.col("p_clct_flag") == 1) | (F.col("cart_flag") == 1), F.col("visitor_id"))
+    per_visitor = rows.withColumn("visitor_id", flagged).groupBy(*d.keys(*KEYS, "visitor_id")).agg(
         F.max("p_clct_flag").alias("p"), F.max("cart_flag").alias("c"))
     known = F.col("visitor_id").isNotNull()
     return per_visitor.groupBy(*d.keys(*KEYS)).agg(

@@ -96,3 +96,19 @@ def test_inferred_numeric_day_key_still_prunes_and_matches(spark, partitioned):
     text = plan(sales.sales_features(inferred, DAY), "formatted")
     assert any(ln.startswith("PartitionFilters:") and "20240115" in ln for ln in text.splitlines())
     assert rows(gather.feature_gather_for_day(inferred, DAY)) == rows(gather.feature_gather_for_day(partitioned, DAY))
+
+
+def test_cart_views_are_not_sorted(spark, partitioned):
+    days = ("20240110", "20240112")
+    text = plan(clct_cart.gds_clct_cart(partitioned, days))
+    assert text.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in text
+    views = spark.createDataFrame([(d, "p", v, "c", g, "-") for d in days for v in ("a", "b", None) for g in ("1", "2")]
+                                  + [(days[0], "q", "a", "c", "1", "-"), (days[0], "q", "z", "c", "3", "-")],
+                                  "statis_date string, pv_id string, visitor_id string, city_cd string, gds_id string, busi_tp_id string")
+    clicks = spark.createDataFrame([(days[0], "p", "shoucang01", "gmq"), (days[0], "q", "x", "y"), (days[1], "p", "x", "y")],
+                                   "statis_date string, pv_id string, prmtr_id_1 string, prmtr_id_2 string")
+    goods = spark.createDataFrame([("1",), ("2",), ("3",)], "gds_cd string")
+    t = partitioned.replace(web_visit=views, app_visit=views.limit(0), web_click=clicks, goods=goods)
+    got = sorted(tuple(r) for r in clct_cart.gds_clct_cart(t, days).collect())
+    assert got == [(days[0], "1", "c", 2, 0), (days[0], "2", "c", 2, 0), (days[0], "3", "c", 0, 0),
+                   (days[1], "1", "c", 0, 0), (days[1], "2", "c", 0, 0)]
