@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featuremart.operators.joins import key_bits, reduce_by_bits
 from featuremart.plans import clct_cart, search
 from featuremart.plans.clct_cart import gds_clct_cart
 from featuremart.plans.members import OUTPUT as MEMBER_COLUMNS
@@ -39,13 +40,14 @@ def feature_gather(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, sea
     channel is fixed), so the four left joins equal one grouping of the stacked inputs: each input
     contributes its own columns (NULL elsewhere) and a base marker, rows are grouped by the key and
     only keys present in the base are kept. One exchange for all five inputs and a hash
-    aggregation, instead of four sort-merge joins. Rows of the feature sets with a NULL key part
+    aggregation (the channel, a text that only sorted groups could carry, is the same in all base rows and
+    stays outside), instead of four sort-merge joins. Rows of the feature sets with a NULL key part
     are dropped first: an equi-join never matches them, and the base's NULL-key rows must not pick
     up their values."""
     keys = [DAY_COL, *KEYS] if DAY_COL in sales.columns else list(KEYS)  # day range: per day
     base = sales.where(F.col("chnl_cd") == GATHERED_CHANNEL)
     sides = _sides(visit, clct_cart, search, member)
-    all_cols = ["chnl_cd", *SALES_MEASURES] + [c for _, cols in sides for c in cols]
+    all_cols = list(SALES_MEASURES) + [c for _, cols in sides for c in cols]
     types = {f.name: f.dataType for df in (base, visit, clct_cart, search, member) for f in df.schema.fields}
 
     def stacked(df: DataFrame, own: list[str], is_base: bool) -> DataFrame:
@@ -54,7 +56,7 @@ def feature_gather(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, sea
                              *[f"`{c}`" if c in own else f"CAST(NULL AS {types[c].simpleString()}) AS `{c}`"
                                for c in all_cols])
 
-    frames = [stacked(base, ["chnl_cd", *SALES_MEASURES], True)]
+    frames = [stacked(base, SALES_MEASURES, True)]
     for side, cols in sides:
         keyed = side.where(F.col(keys[-2]).isNotNull() & F.col(keys[-1]).isNotNull())
         frames.append(stacked(keyed, cols, False))
@@ -63,7 +65,8 @@ def feature_gather(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, sea
         union = union.unionByName(f)
     # each column comes from exactly one input row per key, so max() just picks it (or NULL)
     out = union.groupBy(*keys).agg(F.max("__base").alias("__base"), *[F.max(c).alias(c) for c in all_cols])
-    return out.where(F.col("__base")).select(*keys[:-2], *OUTPUT)
+    out = out.where(F.col("__base")).withColumn("chnl_cd", F.lit(GATHERED_CHANNEL).cast(types["chnl_cd"]))
+    return out.select(*keys[:-2], *OUTPUT)
 
 
 def feature_gather_joined(sales: DataFrame, visit: DataFrame, clct_cart: DataFrame, search: DataFrame,
@@ -76,19 +79,37 @@ def feature_gather_joined(sales: DataFrame, visit: DataFrame, clct_cart: DataFra
     return out.select(*keys[:-2], *OUTPUT)
 
 
+CELL = "__cell"
+
+
+def _cell() -> Column:
+    return F.concat_ws("\u0001", *KEYS)
+
+
 def shared_inputs(t: SourceTables, days) -> tuple[DataFrame, tuple[DataFrame, DataFrame], DataFrame]:
-    """What several of the jobs start from, each read from its source once and written side by side to the shared folder:
-    the order lines with the promotion flag (N1, N4, N5), web and app page views (N3, N4), and the visits from the
-    look-back on (N2a, N2b)."""
+    """What several of the jobs start from, each read from its source once and written to the shared folder: the order
+    lines with the promotion flag (N1, N4, N5), then side by side web and app page views (N3, N4), and the visits from
+    the look-back on (N2a, N2b).
+
+    The wide table has the (product, city) of lines sold at the gathered channel, so views and visits of most others are
+    left out by a bit table of these keys: bounded, broadcast and without a shuffle. It lets all rows of a sold key through,
+    and the few rows of others that pass make features that the gather drops, as before."""
     d = Days.of(days)
+    lines = stage(with_promotion(sales_base(t, d), t, d), "order-lines")
+    sold = lines.where(F.col("chnl_cd") == GATHERED_CHANNEL).select(_cell().alias(CELL))
+    bits = key_bits(sold, CELL)
+    size = bits.agg(F.max("size")).first()[0] or 1
+
+    def of_sold(df: DataFrame) -> DataFrame:
+        return reduce_by_bits(df.withColumn(CELL, _cell()), CELL, bits, size).drop(CELL)
+
     web, app = clct_cart.channel_views(t, d, "pv_id", "visitor_id", *search.VISIT_KEYS, "busi_tp_id", "from_key_word")
     visits = range_scan(t.cust_visit, shift_day(d.lo, -LOOKBACK), d.hi, "statis_date", *KEYS, "visitor_id", "visit_id",
                         "busi_tp_id", "pv_qty", "oos_pv_qty", "one_pv_puv_flag")
     visits = t.selected(visits)
-    base = with_promotion(sales_base(t, d), t, d)
-    made = {"order-lines": base, "web-views": web, "app-views": app, "visits": visits}
+    made = {"web-views": of_sold(web), "app-views": of_sold(app), "visits": of_sold(visits)}
     with ThreadPoolExecutor(max_workers=len(made)) as pool:
-        lines, web, app, visits = pool.map(stage, made.values(), made)
+        web, app, visits = pool.map(stage, made.values(), made)
     return lines, (web, app), visits
 
 

@@ -105,3 +105,16 @@ def _parts(t, days):
     from featuremart.plans import clct_cart, members, search, visits
     return (sales.sales_features(t, days), visits.gds_visit(t, days), clct_cart.gds_clct_cart(t, days),
             search.gds_search(t, days), members.gds_member(t, days))
+
+
+def test_wide_table_hashes_its_groups_and_stages_only_sold_products(spark, t, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(gather, "stage", lambda df, name, keep=gather.stage: staged.setdefault(name, keep(df, name)))
+    wide = gather.feature_gather_for_day(t, DAY)
+    assert "SortAggregate" not in wide._jdf.queryExecution().executedPlan().toString()
+    lines = staged["order-lines"].where(F.col("chnl_cd") == gather.GATHERED_CHANNEL).select("gds_id", "city_cd")
+    for name, table, lo in (("web-views", t.web_visit, DAY), ("app-views", t.app_visit, DAY), ("visits", t.cust_visit, "20240108")):
+        whole = t.selected(table.where(F.col("statis_date").between(lo, DAY)))
+        of_sold = whole.join(lines, ["gds_id", "city_cd"], "left_semi")
+        kept = staged[name].join(lines, ["gds_id", "city_cd"], "left_semi")
+        assert kept.count() == of_sold.count() and staged[name].count() <= whole.count() / 2
