@@ -14,7 +14,8 @@ is deleted.
 
 Plan: one parsing pass gives a page's lines; pages are dealt into blocks of neighbouring URLs, whose
 bounds come from a bounded sample of keys, and a streaming pass over the sorted blocks holds three
-pages. A host with a third of all pages is many blocks. A page at a block's end is paired inside it.
+pages. A host with a third of all pages is many blocks. The first and last page of a block also go to
+the blocks before and after it, as neighbours only, so no pair is lost at a block's end.
 
 Defined cases: null html gives an empty text; null URLs have an empty host and path and are neighbours
 of each other by id; unclosed and truncated markup is read as far as it goes; unknown references stay
@@ -28,7 +29,7 @@ import os
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featuremart.llm.common import map_batches, read_table
@@ -225,6 +226,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     bounds = [r["key"] for r in keys.orderBy(F.xxhash64("key"), "key").limit(n).collect()]
     placed = rows.withColumn("key", key)
     block = block_of(sorted(set(bounds)), F.col("key"))
+    guests = _guests(placed.select(block.alias("block"), "key"))
 
     def parse(blocks, ks, ids, urls, hosts, paths, htmls):
         made = [lines_of(h) for h in htmls]
@@ -233,6 +235,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = map_batches(placed.select(block.alias("block"), "key", "page_id", "url", "host", "path", "html"), parse,
                          f"block int, key string, page_id {kind}, url string, host string, path string, "
                          "texts array<string>, kinds binary")
+    parsed = parsed.join(F.broadcast(guests), F.col("key") == F.col("edge"), "left").drop("edge")
+    also = F.coalesce("also", F.array().cast("array<int>"))
+    parsed = parsed.withColumn("own", F.col("block")).withColumn("block", F.explode(F.concat(F.array("block"), also)))
+    parsed = parsed.select("block", "key", "page_id", "url", "host", "path", "texts", "kinds",
+                           (F.col("block") == F.col("own")).alias("own"))
     dealt = parsed.repartition("block").sortWithinPartitions("block", "key", "url")
 
     def run(batches):
@@ -240,17 +247,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             out = []
             for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
-                if now is not None:
+                if now is not None and now[8]:
                     out.append(_decided(before, now, row))
                 before, now = now, row
             if out:
                 yield _batch(out, batch.schema.field(2).type)
-        if now is not None:
+        if now is not None and now[8]:
             yield _batch([_decided(before, now, None)], batch.schema.field(2).type)
 
     return dealt.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, compared_with string")
 
 
+def _guests(keys: DataFrame) -> DataFrame:
+    """Rows (edge, also) of rows (block, key): the least and greatest key of a block and the blocks next to it, of
+    those with pages, that need their pages as neighbours; at most two rows a block."""
+    ends = keys.groupBy("block").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    near = Window.orderBy("block")  # over BLOCKS + 1 rows at most
+    ends = ends.select("first", "last", F.lag("block").over(near).alias("before"), F.lead("block").over(near).alias("after"))
+    pairs = F.array(F.struct(F.col("first").alias("edge"), F.col("before").alias("to")),
+                    F.struct(F.col("last").alias("edge"), F.col("after").alias("to")))
+    return (ends.select(F.inline(pairs)).where(F.col("to").isNotNull())
+            .groupBy("edge").agg(F.collect_set("to").alias("also")))
+
+
 def _batch(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     types = [kind, pa.string(), pa.string(), pa.int64(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)],

@@ -115,6 +115,22 @@ def test_html_differencing_decides_unmarked_lines_beside_marked_ones():
     assert op1_html.main_text(*a, a) == "Teaser 1\nMenu\nBody 1\nMore 1\nEnd"
 
 
+def test_html_pairs_cross_the_ends_of_blocks(spark, monkeypatch):
+    rows = [(i, f"https://h{i % 2}.example/a/{i:03}", "".join(f"<div>{x}</div>" for x in ("Site", "Menu", f"Story {i}", f"More {i}", "End")))
+            for i in range(60)] + [(70, None, None), (71, "https://alone.example/", "<p>alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def read():
+        return sorted((r["page_id"], r["text"], r["n_chars"], r["compared_with"] or "") for r in op1_html.extract(pages).collect())
+
+    whole = read()
+    for pages_of_block in (1, 2, 7):
+        monkeypatch.setattr(op1_html, "BLOCK_PAGES", pages_of_block)
+        got = read()
+        assert [r[1] for r in got[:60]] == [f"Story {i}\nMore {i}" for i in range(60)]
+        assert got == whole
+
+
 def test_html_query_against_plain_reading(spark):
     got = {r["page_id"]: r["text"] for r in op1_html.op1_html(spark, SF_CHECK).collect()}
     for r in spark.read.parquet(f"{SF_CHECK}/pages.parquet").collect():
