@@ -42,7 +42,7 @@ def run_day(spark: SparkSession, t: SourceTables, days, out_root: str | None = N
     and writes all its day partitions in one job (N2's returning visitors by the one-pass look-back
     form instead of an 8-day scan per day). The five feature jobs are independent; with
     ``parallel`` their writes are submitted from separate threads, so Spark schedules their stages
-    side by side. The wide table is gathered after all five are written. ``approx_distinct``
+    side by side. The page views of N3 and N4 are read from their sources once. The wide table is gathered after all five are written. ``approx_distinct``
     switches the distinct-visitor / member counts to HyperLogLog sketches (default exact).
 
     ``visit_state`` keeps the visitors' days as a state table beside the features: a day's run reads the partition of the
@@ -59,14 +59,15 @@ def run_day(spark: SparkSession, t: SourceTables, days, out_root: str | None = N
         returning = _returning(spark, t, d, d1, d7, place, previous_state or place)
         places[schemas.VISIT_DAYS_T.name] = place
     base = sales.sales_base(t, d)
+    views = gather.shared_views(t, d)
     if persist_base:  # the day's order lines: read by N1's two branches, N4 and N5
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [
             (schemas.SALES_T, sales.sales_features(t, d, base=base, approx_distinct=approx_distinct)),
             (schemas.VISITS_T, visits.gds_visit(t, d, d1, d7, approx_distinct, returning)),
-            (schemas.FAVOURITE_CART_T, clct_cart.gds_clct_cart(t, d, approx_distinct)),
-            (schemas.SEARCH_T, search.gds_search(t, d, approx_distinct, base=base)),
+            (schemas.FAVOURITE_CART_T, clct_cart.gds_clct_cart(t, d, approx_distinct, views)),
+            (schemas.SEARCH_T, search.gds_search(t, d, approx_distinct, base=base, views=views)),
             (schemas.MEMBERS_T, members.gds_member(t, d, base=base)),
         ]
         if parallel:

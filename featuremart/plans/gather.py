@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
@@ -86,6 +87,15 @@ def _cell() -> Column:
     return F.concat_ws("\u0001", *KEYS)
 
 
+def shared_views(t: SourceTables, days, reduce: Callable[[DataFrame], DataFrame] = lambda df: df
+                 ) -> tuple[DataFrame, DataFrame]:
+    """Web and app page views of N3 and N4, each read from its source once and written to the shared folder."""
+    views = clct_cart.channel_views(t, days, "pv_id", "visitor_id", *search.VISIT_KEYS, "busi_tp_id", "from_key_word")
+    with ThreadPoolExecutor(max_workers=len(views)) as pool:
+        web, app = pool.map(stage, map(reduce, views), ("web-views", "app-views"))
+    return web, app
+
+
 def shared_inputs(t: SourceTables, days) -> tuple[DataFrame, tuple[DataFrame, DataFrame], DataFrame]:
     """What several of the jobs start from, each read from its source once and written to the shared folder: the order
     lines with the promotion flag (N1, N4, N5), then side by side web and app page views (N3, N4), and the visits from
@@ -103,14 +113,13 @@ def shared_inputs(t: SourceTables, days) -> tuple[DataFrame, tuple[DataFrame, Da
     def of_sold(df: DataFrame) -> DataFrame:
         return reduce_by_bits(df.withColumn(CELL, _cell()), CELL, bits, size).drop(CELL)
 
-    web, app = clct_cart.channel_views(t, d, "pv_id", "visitor_id", *search.VISIT_KEYS, "busi_tp_id", "from_key_word")
     visits = range_scan(t.cust_visit, shift_day(d.lo, -LOOKBACK), d.hi, "statis_date", *KEYS, "visitor_id", "visit_id",
                         "busi_tp_id", "pv_qty", "oos_pv_qty", "one_pv_puv_flag")
     visits = t.selected(visits)
-    made = {"web-views": of_sold(web), "app-views": of_sold(app), "visits": of_sold(visits)}
-    with ThreadPoolExecutor(max_workers=len(made)) as pool:
-        web, app, visits = pool.map(stage, made.values(), made)
-    return lines, (web, app), visits
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        staged = pool.submit(stage, of_sold(visits), "visits")
+        views = shared_views(t, d, of_sold)
+        return lines, views, staged.result()
 
 
 def feature_gather_for_day(t: SourceTables, days, approx_distinct: bool = False) -> DataFrame:

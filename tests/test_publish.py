@@ -118,3 +118,11 @@ def test_wide_table_hashes_its_groups_and_stages_only_sold_products(spark, t, mo
         of_sold = whole.join(lines, ["gds_id", "city_cd"], "left_semi")
         kept = staged[name].join(lines, ["gds_id", "city_cd"], "left_semi")
         assert kept.count() == of_sold.count() and staged[name].count() <= whole.count() / 2
+
+
+def test_daily_run_reads_the_page_views_once(spark, t, tmp_path, monkeypatch):
+    read = []
+    monkeypatch.setattr(gather.clct_cart, "channel_views", lambda *a, keep=gather.clct_cart.channel_views: read.append(1) or keep(*a))
+    monkeypatch.setattr(daily.search, "channel_views", gather.clct_cart.channel_views)
+    daily.run_day(spark, t, DAY, str(tmp_path / "out"))
+    assert len(read) == 1
